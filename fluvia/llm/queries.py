@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
 from .simhash import op1_simhash
+from .secrets import op9_secrets
+from .toxicity import op3_toxicity
 from .packing import op10_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_toxicity": op3_toxicity,
         "op6_bpe": op6_bpe,
+        "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
     }
