@@ -76,10 +76,9 @@ class Model:
     weights: np.ndarray
 
 
-def _evidence(marginal_sums: np.ndarray, faint_sums: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Inputs of a text's score: how much is toxic, how densely, and how densely the faint traces lie."""
-    strong, faint = marginal_sums / (tokens + 20), faint_sums / (tokens + 20)
-    return np.stack([np.ones(len(tokens)), np.log(marginal_sums + 0.05), np.log(strong + 1e-3), np.log(np.maximum(faint, 0) + 1e-3)], 1)
+def _evidence(marginal_sums: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Inputs of a text's score: how much is toxic, and how densely."""
+    return np.stack([np.ones(len(tokens)), np.log(marginal_sums + 0.05), np.log(marginal_sums / (tokens + 20) + 1e-3)], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
@@ -106,9 +105,9 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     rng = np.random.default_rng(5)
     pick = lambda xs: [xs[i] for i in rng.permutation(len(xs))[:SAMPLE_SENTENCES]]
     crf = train(Crf.zeros(BUCKETS, 2), Types(_features, most=1 << 40), pick(positive) + pick(near) + pick(negative), epochs=8)
-    scorer = Scorer(Model(crf, np.zeros(4)))
+    scorer = Scorer(Model(crf, np.zeros(3)))
     seen = [scorer.evidence([x for x, _ in rows[at : at + 256]]) for at in range(0, len(rows), 256)]
-    inputs = _evidence(*(np.concatenate([e[i] for e in seen]) for i in range(3)))
+    inputs = _evidence(*(np.concatenate([e[i] for e in seen]) for i in range(2)))
     return Model(crf, _logistic(inputs, np.array([y for _, y in rows])))
 
 
@@ -119,8 +118,8 @@ class Scorer:
         self.crf, self.weights, self.types = model.crf, model.weights, Types(_features, _BREAKS)
         self.emit = np.zeros((0, 3, 2))
 
-    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Sums of the marginals of ``FAINT`` or more and of the others, number of tokens of each text, and the marginals of all its tokens and breaks."""
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Sum of the marginals of ``FAINT`` or more and number of tokens of each text, and the marginals of all its tokens and breaks."""
         if len(self.types.rows) > self.types.most:
             self.types.clear()
             self.emit = self.emit[:0]
@@ -141,7 +140,7 @@ class Scorer:
             lengths = np.diff(firsts, append=len(ids))
             p[real] = self.crf.marginals(self.crf.emissions(self.emit, ids, lengths), lengths)[0][:, 1]
         sums = np.bincount(doc, np.where(p >= FAINT, p, 0), len(texts))
-        return sums, np.bincount(doc, p, len(texts)) - sums, np.bincount(doc[real], minlength=len(texts)), np.split(p, np.cumsum(sizes)[:-1])
+        return sums, np.bincount(doc[real], minlength=len(texts)), np.split(p, np.cumsum(sizes)[:-1])
 
     def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int]]]]:
         """Score and offending (start, end) offsets of each text."""
