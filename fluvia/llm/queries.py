@@ -10,6 +10,8 @@ from .bpe import op6_bpe
 from .simhash import op1_simhash
 from .secrets import op9_secrets
 from .toxicity import op3_toxicity
+from .telephony import op5_telephony
+from .language import op4_language
 from .packing import op10_packing
 
 
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_toxicity": op3_toxicity,
+        "op4_language": op4_language,
+        "op5_telephony": op5_telephony,
         "op6_bpe": op6_bpe,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
