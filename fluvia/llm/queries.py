@@ -12,6 +12,7 @@ from .secrets import op9_secrets
 from .toxicity import op3_toxicity
 from .telephony import op5_telephony
 from .language import op4_language
+from .pii import op7_pii
 from .packing import op10_packing
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_telephony": op5_telephony,
         "op6_bpe": op6_bpe,
+        "op7_pii": op7_pii,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
     }
