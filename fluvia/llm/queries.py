@@ -13,6 +13,7 @@ from .toxicity import op3_toxicity
 from .telephony import op5_telephony
 from .language import op4_language
 from .pii import op7_pii
+from .html import op8_html
 from .packing import op10_packing
 
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_telephony": op5_telephony,
         "op6_bpe": op6_bpe,
         "op7_pii": op7_pii,
+        "op8_html": op8_html,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
     }
