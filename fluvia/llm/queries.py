@@ -14,12 +14,14 @@ from .telephony import op5_telephony
 from .language import op4_language
 from .pii import op7_pii
 from .html import op8_html
+from .ann import op2_ann
 from .packing import op10_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_ann": op2_ann,
         "op3_toxicity": op3_toxicity,
         "op4_language": op4_language,
         "op5_telephony": op5_telephony,
