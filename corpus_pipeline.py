@@ -1,7 +1,105 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, pieces of packed sequences out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last
+return the columns of documents. ``run`` writes each stage's rows as Parquet and rereads them.
+Null texts and texts without words pass the toxicity stage and are rejected by the language stage as
+having no language. Rows without a doc_id are never judged copies of others. An empty table gives no rows.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fluvia.llm import language, pii, simhash, toxicity
+from fluvia.llm.base import fold, map_rows, table, written
+from fluvia.llm.packing import pack
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a toxicity score of 0.5 or more; learns from the labels of those of ``docs`` that op3 doesn't hold out."""
+    out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    shared = spark.sparkContext.broadcast(toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), out)))
+
+    def make():
+        scorer = toxicity.Scorer(shared.value) if shared.value is not None else None
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if scorer is None:
+                return batch
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            return batch.filter(pa.array([score < 0.5 for score, _ in scorer.scores(texts)], pa.bool_()))
+
+        return work
+
+    return map_rows(docs, make)
+
+
+def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts, texts without a letter, and those whose best two languages are close."""
+    out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    shared = spark.sparkContext.broadcast(language.fit(language.labelled_sample(docs, out)))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = shared.value.predict(batch.column("text").to_pylist())
+            return batch.filter(pa.array([lang != "und" and not ambiguous for lang, _, ambiguous in found], pa.bool_()))
+
+        return work
+
+    return map_rows(docs, make, rows=64)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each near-duplicate group."""
+    found = simhash.near_duplicates(docs)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in text by its kind in brackets and renews n_chars; keeps every document."""
+    shared = spark.sparkContext.broadcast(pii.fit())
+    kinds = dict(docs.dtypes)
+
+    def make():
+        tagger = pii.Tagger(shared.value)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column("text").to_pylist()
+            clean = [pii.redact(t, base + added) for t, (base, added) in zip(texts, tagger.spans(texts), strict=True)]
+            new = {"text": clean} | ({"n_chars": [None if t is None else len(t) for t in clean]} if kinds.get("n_chars") == "bigint" else {})
+            for name, values in new.items():
+                at = batch.schema.get_field_index(name)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+            return batch
+
+        return work
+
+    return map_rows(docs, make)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("language", reject_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Learned scores, fingerprints over XXH64 and tokenizers are beyond SQL; tests/llm compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -40,6 +40,18 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = 256) -> DataFrame:
+    """Apply ``make()(batch)`` to slices of at most ``rows`` rows of all columns; the schema stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield work(batch.slice(at, rows))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
