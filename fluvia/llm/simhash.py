@@ -113,7 +113,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     ids = whole.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = whole.join(ids, "root").select("fp", "component_id")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    named = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
