@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .base import fold, map_arrow, table
 
 #: Learning uses at most so many documents a language, and of each the first so many characters. Prediction reads whole texts.
-SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 4000
+SAMPLE_DOCS = 500
+SAMPLE_CHARS = 1500
 BUCKETS = 1 << 14
 AMBIGUOUS = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
@@ -86,7 +86,7 @@ class Model:
         return out
 
 
-def fit(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 60.0, decay: float = 1e-6) -> Model:
+def fit(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 60.0, decay: float = 1e-6) -> Model:
     """The model learned from (text, language) rows by gradient steps on the logistic loss of all bits at once."""
     rows = [(t[:SAMPLE_CHARS], y) for t, y in rows if t and _LETTER.search(t)]
     languages = sorted({y for _, y in rows})
@@ -95,30 +95,23 @@ def fit(rows: list[tuple[str, str]], rounds: int = 60, rate: float = 60.0, decay
     model = Model(languages, code, np.zeros((BUCKETS, n_bits), np.float32), np.zeros(n_bits), np.ones(n_bits) / n_bits)
     if len(languages) < 2:
         return model
-    ids, starts = grams([t for t, _ in rows])
-    sizes = np.diff(starts)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    key, count = np.unique(doc[:, None] * np.int64(BUCKETS) + ids, return_counts=True)
-    row, col = key // BUCKETS, key % BUCKETS
-    value = count / sizes[row]
-    value *= 1 / np.maximum(1e-3, np.sqrt(np.bincount(col, value, BUCKETS) / len(rows)))[col]  # rarer n-grams count more
-    scale = 1 / np.maximum(1e-3, np.sqrt(np.bincount(col, count / sizes[row], BUCKETS) / len(rows)))
-    first = np.searchsorted(row, np.arange(len(rows)))
-    by_col = np.argsort(col, kind="stable")
-    col_first = np.searchsorted(col[by_col], np.arange(BUCKETS))
-    used = np.bincount(col, minlength=BUCKETS) > 0
-    y = code[[languages.index(lang) for _, lang in rows]]
-    share = np.bincount([languages.index(lang) for _, lang in rows], minlength=len(languages))
-    weigh = (len(rows) / len(languages) / share)[[languages.index(lang) for _, lang in rows]][:, None]
+    parts = []
+    for i, (text, _) in enumerate(rows):  # text by text: only the different n-grams of each are held
+        col, count = np.unique(grams([text])[0], return_counts=True)
+        parts.append((np.full(len(col), i, np.int32), col, (count / count.sum() * 3).astype(np.float32)))
+    row, col, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    scale = 1 / np.maximum(1e-3, np.sqrt(np.bincount(col, value, BUCKETS) / len(rows)))  # rarer n-grams count more
+    value = value * scale[col]
+    which = np.array([languages.index(lang) for _, lang in rows])
+    weigh = len(rows) / len(languages) / np.bincount(which, minlength=len(languages))[which]
     w, b = np.zeros((BUCKETS, n_bits)), np.zeros(n_bits)
-    for _ in range(rounds):
-        f = b + np.add.reduceat(w[col] * value[:, None], first, axis=0)
-        g = weigh * y / (1 + np.exp(np.clip(y * f, -50, 50))) / len(rows)
-        step = np.add.reduceat((g[row] * value[:, None])[by_col], np.minimum(col_first, len(by_col) - 1), axis=0)
-        step[~used] = 0
-        w += rate * (step - decay * w)
-        b += g.sum(0)
-    f = b + np.add.reduceat(w[col] * value[:, None], first, axis=0)
+    y, f = code[which], np.zeros((len(rows), n_bits))
+    for k in range(n_bits):
+        for _ in range(rounds):
+            g = weigh * y[:, k] / (1 + np.exp(np.clip(y[:, k] * f[:, k], -50, 50))) / len(rows)
+            w[:, k] += rate * (np.bincount(col, g[row] * value, BUCKETS) - decay * w[:, k])
+            b[k] += g.sum()
+            f[:, k] = b[k] + np.bincount(row, w[col, k] * value, len(rows))
     right = np.clip((np.sign(f) == y).mean(0), 0.5, 0.999)
     trust = np.log(right / (1 - right)) + 1e-3
     model.weights, model.bias, model.trust = (w * scale[:, None]).astype(np.float32), b, trust / trust.sum() * n_bits
