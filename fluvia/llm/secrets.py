@@ -97,9 +97,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFram
         first = first.join(known.select("blob"), "blob", "left_anti")
     key = F.col("v.path_id").eqNullSafe(F.col("f.path_id")) & (F.col("v.blob") == F.col("f.blob"))
     unseen = hashed.alias("v").join(first.alias("f"), key, "left_semi").select("blob", "text")
-    new = written(scan_blobs(unseen), "ledger")
+    new = written(scan_blobs(unseen).dropDuplicates(["blob"]), "ledger")
     all_rows = new if ledger is None else new.unionByName(known.select(new.columns))
-    hits = all_rows.where("size(base) + size(more) > 0").select("blob", "base", "more").dropDuplicates(["blob"])
+    hits = all_rows.where("size(base) + size(more) > 0").select("blob", "base", "more")
     none = F.array().cast(FINDINGS)
     found = paths.join(hits, "blob", "left").select("path_id", F.coalesce("base", none).alias("base"), F.coalesce("more", none).alias("more"))
     return found, new
