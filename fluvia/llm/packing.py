@@ -24,6 +24,7 @@ from .vocab import merger
 
 CACHE_CHARS = 8_000_000
 BLOCK = 1024
+MOST_BROADCAST = 500_000
 #: A run of letters that no normalizer but lower case changes, then ASCII punctuation: two pre-tokens at most.
 _SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-/:-@\[-`{-~]*)")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -128,8 +129,11 @@ def cut(tokens: DataFrame, length: int = 4096, end_width: int = 2) -> DataFrame:
 
         return work
 
+    offsets = partition_offsets(tokens)
+    if tokens.select("part").distinct().count() <= MOST_BROADCAST:
+        offsets = F.broadcast(offsets)  # two numbers for each input partition, and their count is checked
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_arrow(tokens.join(partition_offsets(tokens), "part").select("doc_id", "at", "base", "ids"), make, schema)
+    return map_arrow(tokens.join(offsets, "part").select("doc_id", "at", "base", "ids"), make, schema)
 
 
 def pack(docs: DataFrame, length: int = 4096, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:
