@@ -1,0 +1,300 @@
+"""Operators on documents against brute force, and on odd rows."""
+
+import hashlib
+import re
+import zlib
+from array import array
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from fluvia.llm import bpe, language, packing, pii, secrets, simhash, telephony, toxicity, vocab
+
+SF = "/root/testdata/sf0.001"
+
+
+def by_id(df):
+    return sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+
+
+def slow_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    h = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(prints):
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def check_simhash(df):
+    got = by_id(simhash.near_duplicates(df))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    prints = {i: slow_print(t) for i, t in texts.items()}
+    want = slow_components(prints)
+    assert len(got) == df.count()
+    assert all(r.fp % (1 << 64) == prints[r.doc_id] and r.component_id == want[r.doc_id] for r in got)
+
+
+def test_simhash(odd, docs):
+    check_simhash(odd)
+    check_simhash(docs)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_grid_join_finds_every_pair_within_three_bits(spark):
+    rng = np.random.default_rng(0)
+    base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)]
+    found = set(base)
+    for x in base:
+        for n in (1, 2, 3, 4, 5):
+            y = x
+            for b in rng.choice(64, n, replace=False):
+                y ^= 1 << int(b)
+            found.add(y - (1 << 64) if y >= 1 << 63 else y + (1 << 64) if y < -(1 << 63) else y)
+    fps = sorted(((x + (1 << 63)) % (1 << 64)) - (1 << 63) for x in found)
+    got = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame([(x,) for x in set(fps)], "fp long")).collect()}
+    want = {(x, y) for x in set(fps) for y in set(fps) if x < y and ((x ^ y) % (1 << 64)).bit_count() <= 3}
+    assert got == want and len(want) > 100
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_token_encodes_to_itself(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    merge, special = vocab.merger(t), {*t.get_added_tokens_decoder()}
+    for i, b in enumerate(vocab.token_bytes(t)):
+        if i not in special and not name.startswith("word"):
+            try:
+                assert merge(b.decode()) == [i]
+            except UnicodeDecodeError:
+                continue
+    mark = "</w>" if name.startswith("word") else ""
+    whole = {x: i for x, i in t.get_vocab().items() if i not in special and x.endswith(mark)}
+    assert all([y.id for y in t.model.tokenize(x.removesuffix(mark) if mark else x)] == [i] for x, i in whole.items())
+
+
+def test_bpe(odd, docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for df in (odd, docs):
+        texts = [(r.doc_id, r.text or "") for r in by_id(df.select("doc_id", "text"))]
+        got = by_id(bpe.encode_decode(df))
+        for (i, text), r in zip(texts, got, strict=True):
+            ids = t.encode(text, add_special_tokens=False).ids
+            assert (r.doc_id, r.n_tokens, list(r.ids)) == (i, len(ids), ids)
+            assert r.decoded == t.decode(ids, skip_special_tokens=False)
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert bpe.encode_decode(docs.limit(0)).count() == 0
+
+
+def test_bpe_of_random_text_whatever_the_cuts(monkeypatch):
+    rng = np.random.default_rng(1)
+    bits = ["a", "B", " ", "  ", "\n", "é", "漢", "'s", "'ll", "12", "!!", "<|endoftext|>", "the", "　", "\x1c", "\U0001f642"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 120))) for _ in range(400)]
+    monkeypatch.setattr(bpe, "MASK", 3)
+    monkeypatch.setattr(bpe, "LEAST", 1)
+    e = bpe.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    got = [array("I", x).tolist() for x in e.encode(texts)]
+    assert got == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing(odd, docs):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for df in (odd.where("doc_id <> 5"), docs):
+        ids = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 2] for r in df.collect()}
+        pieces = packing.pack(df).collect()
+        by_doc, by_sequence = {}, {}
+        for p in pieces:
+            by_doc.setdefault(p.doc_id, []).append(p)
+            by_sequence.setdefault(p.sequence_id, []).append(p)
+        assert by_doc.keys() == ids.keys()
+        for i, ps in by_doc.items():
+            at = 0
+            for p in sorted(ps, key=lambda p: p.start):
+                piece = ids[i][p.start : p.start + p.length]
+                assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids[i]), zlib.crc32(np.array(piece, "<u4").tobytes()))
+                at += p.length
+            assert at == len(ids[i])
+        assert sorted(by_sequence) == list(range(len(by_sequence)))
+        for s, ps in by_sequence.items():
+            at = 0
+            for p in sorted(ps, key=lambda p: p.offset):
+                assert p.offset == at
+                at += p.length
+            assert at == 4096 or s == max(by_sequence)
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_telephony_tables_and_round_trips():
+    # fixed points of the coding rules
+    assert telephony.MULAW[[0x00, 0x7F, 0x80, 0xFF, 0xF0]].tolist() == [-32124, 0, 32124, 0, 120]
+    assert telephony.ALAW[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+    assert len(np.unique(telephony.ALAW)) == 256
+    x = (np.sin(np.arange(505) / 9) * 9000).astype(np.int16).reshape(1, -1)
+    back = telephony.decode_adpcm(telephony.encode_adpcm(x))
+    assert back.shape == x.shape and np.abs(back.astype(int) - x).mean() < 400
+    assert telephony.resample(np.array([0, 10, 20], np.int16), 2, 1).tolist() == [0, 5, 10, 15, 20, 20]
+    for codec in ("mulaw", "alaw"):
+        assert telephony.from_wave(telephony.to_wave(b"abc", codec))[0::3] == (codec, b"abc")
+    assert telephony.to_pcm([None, b"junk", telephony.to_wave(b"ab", "mulaw")])[:2] == [None, None]
+
+
+def test_telephony(odd, docs, spark):
+    for df in (odd, docs):
+        texts = {r.doc_id: r.text or "" for r in df.collect()}
+        for r in telephony.media_digest(df).collect():
+            raw = texts[r.doc_id].encode()
+            whole = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+            assert (r.n_bytes, r.payload_bytes) == (len(raw), len(whole))
+            assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+    clips = spark.createDataFrame([(1, telephony.to_wave(b"\x00" * 80, "mulaw")), (2, None), (3, b"?")], "clip_id long, media binary")
+    got = {r.clip_id: r for r in telephony.store_pcm(clips).collect()}
+    assert got[1].n_samples == 160 and got[2].media is None and got[3].media is None
+    assert telephony.from_wave(bytes(got[1].media))[:2] == ("pcm", 16000)
+    assert telephony.media_digest(docs.limit(0)).count() == 0
+
+
+def slow_pii(x):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        return sum(sum(map(int, str(int(c) * 2))) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
+
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x) if 12 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 9 <= len(digits(m.group())) <= 15]
+    return [(pii.KINDS[k], a, b) for a, k, b in sorted(found)]
+
+
+def test_pii_base_patterns(docs):
+    rng = np.random.default_rng(3)
+    bits = ["a", "B", ".", "@", "-", "1", "22", "255", "256", "+", "4111111111111111", " ", "(", ")", "_", "٣", "\n"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 50))) for _ in range(3000)] + [r.text for r in docs.collect()]
+    assert all(pii.base_spans(t) == slow_pii(t) for t in texts)
+
+
+def test_pii(odd, docs):
+    for df in (odd, docs):
+        found = pii.find_personal_data(df, keep_text=True)
+        rows, texts = found.collect(), {r.doc_id: r.text for r in df.collect()}
+        assert len(rows) == df.count()
+        for r in rows:
+            t = texts[r.doc_id]
+            if t is None:
+                assert r.redacted is None and not r.base and not r.added
+            elif len(t) < 50_000:
+                assert [(s.kind, s.start, s.end) for s in r.base] == slow_pii(t)
+                assert "@example.com" not in r.redacted
+    row = next(r for r in pii.digest(pii.find_personal_data(odd)).collect() if r.doc_id == 11)
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
+    assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
+    tagger = pii.Tagger(pii.fit())
+    added = lambda t: [(k, t[a:b]) for k, a, b in tagger.spans([t])[0][1]]
+    assert added("please call (415) 555-0164 now") == [("phone", "(415) 555-0164")]
+    assert added("her SSN 321-54-9876 is here") == [("id", "321-54-9876")]
+    assert added("In 1987, 40 people ran 12 miles.") == []
+
+
+def test_secrets_and_ledger(odd, docs, spark):
+    patterns = {
+        "assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 1),
+        "access": (r"AKIA[A-Z0-9]+", 18, 0),
+        "hex": (r"[0-9a-f]+", 16, 0),
+    }
+
+    def slow(t):
+        found = [(m.start(), i, k, m.end()) for i, (k, (p, n, g)) in enumerate(patterns.items()) for m in re.finditer(p, t) if len(m.group(g)) >= n]
+        return [(k, a, b) for a, _, k, b in sorted(found)]
+
+    for df in (odd, docs):
+        texts = {r.doc_id: r.text or "" for r in df.collect()}
+        found, ledger = secrets.scan(df.withColumnRenamed("doc_id", "path_id"))
+        rows = found.collect()
+        assert len(rows) == df.count() and ledger.count() == len(set(texts.values()))
+        assert all([(s.kind, s.start, s.end) for s in r.base] == slow(texts[r.path_id]) for r in rows)
+        again, fresh = secrets.scan(df.withColumnRenamed("doc_id", "path_id"), ledger)
+        assert fresh.count() == 0 and sorted(map(str, again.collect())) == sorted(map(str, rows))
+        assert secrets.digest(found).count() == len(rows)
+    # two versions of one path, and a path without an id
+    rows = spark.createDataFrame([(1, "token: abcdefghijkl1"), (1, "clean"), (None, "secret = zzzzzzzzzzzzz")], "path_id long, text string")
+    got = sorted((r.path_id or 0, len(r.base)) for r in secrets.scan(rows)[0].collect())
+    assert got == [(0, 1), (1, 0), (1, 1)]
+
+
+def test_toxicity(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    from pyspark.sql import functions as F
+
+    from fluvia.llm.base import fold
+
+    out = fold("doc_id", 5) == 0
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels, out))
+    rows = toxicity.score_documents(docs, model).join(labels, "doc_id").where(fold("doc_id", 5) == 0).select("score", "toxic").collect()
+    pos, neg = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    assert auc > 0.8 and np.mean([n >= 0.5 for n in neg]) < 0.05
+    got = toxicity.score_documents(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score_documents(docs.limit(0), None).count() == 0
+    assert toxicity.fit([]) is None and toxicity.score_documents(odd, None).agg(F.max("score")).first()[0] == 0
+
+
+def test_language(spark, odd):
+    from fluvia.llm.base import fold
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = fold("doc_id", 3) == 1
+    model = language.fit(language.labelled_sample(docs, held))
+    rows = language.identify(docs, model).join(docs.where(held).select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97
+    got = {r.doc_id: r.lang_pred for r in language.identify(odd, model).collect()}
+    assert all(got[i] == "und" for i in (2, 3, 4)) and got[1] != "und"
+    assert language.identify(docs.limit(0), model).count() == 0
+    assert language.fit([]).predict(["abc"]) == [("und", 0.0, True)]
+    code = language.codewords(9)
+    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 5
+
+
+def test_crf_marginals_and_best_path_match_enumeration():
+    from itertools import product
+
+    from fluvia.llm.crf import Crf
+
+    rng = np.random.default_rng(2)
+    crf = Crf.zeros(4, 3)
+    crf.trans, crf.start = rng.normal(size=(3, 3)), rng.normal(size=3)
+    lengths = np.array([4, 1, 3])
+    e = rng.normal(size=(8, 3))
+    p, best, at = crf.marginals(e, lengths)[0], crf.best(e, lengths), 0
+    for n in lengths:
+        paths = list(product(range(3), repeat=int(n)))
+        s = np.array([crf.start[y[0]] + sum(e[at + i, y[i]] for i in range(n)) + sum(crf.trans[a, b] for a, b in zip(y, y[1:], strict=False)) for y in paths])
+        w = np.exp(s) / np.exp(s).sum()
+        for i in range(n):
+            assert np.allclose(p[at + i], [sum(x for x, y in zip(w, paths, strict=True) if y[i] == k) for k in range(3)])
+        assert tuple(best[at : at + n]) == paths[int(s.argmax())]
+        at += n
