@@ -59,11 +59,11 @@ CTES = {
         (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM daily) t""",
     "grid": "SELECT station_id, ts, value FROM spine LEFT JOIN daily USING (station_id, ts)",
     "filled": "SELECT station_id, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS value FROM grid",
-    "stations": "SELECT CAST(i AS VARCHAR) AS station_id, 20.0 * (i + 1) AS river_mile, CAST(i % 4 AS BIGINT) AS tier FROM range(14) r(i)",
+    "stations": "SELECT CAST(i AS VARCHAR) AS station_id, CAST(20 * (i + 1) AS DOUBLE) AS river_mile, CAST(i % 4 AS BIGINT) AS tier FROM range(14) r(i)",
     "q": "SELECT CAST(o_custkey % 5 AS VARCHAR) AS station_id, date_trunc('day', o_orderdate) AS ts, avg(o_totalprice) AS value FROM orders WHERE o_custkey % 5 BETWEEN 0 AND 2 GROUP BY ALL",
     "tide": "SELECT CAST(o_custkey % 5 AS VARCHAR) AS station_id, date_trunc('day', o_orderdate) AS ts, avg(o_totalprice / 100000.0) AS value FROM orders WHERE o_custkey % 5 BETWEEN 3 AND 4 GROUP BY ALL",
     "q0": "SELECT ts, value AS q FROM q WHERE station_id = '0'",
-    "line": "SELECT i * 2.0 AS mile, round(29.0 + i * 2.0 * 0.02, 6) AS lat, round(-89.0 - i * 2.0 * 0.01 + 0.1 * sin(i * 2.0 / 20), 6) AS lon FROM range(151) r(i)",
+    "line": "SELECT m AS mile, round(29.0 + m * 0.02, 6) AS lat, round(-89.0 - m * 0.01 + 0.1 * sin(m / 20), 6) AS lon FROM (SELECT CAST(2 * i AS DOUBLE) AS m FROM range(151) r(i))",
     "pairs": """SELECT a.station_id AS up, b.station_id AS dn, a.river_mile - b.river_mile AS miles
         FROM (SELECT *, row_number() OVER (ORDER BY river_mile DESC, station_id) AS n FROM stations) a
         JOIN (SELECT *, row_number() OVER (ORDER BY river_mile DESC, station_id) AS n FROM stations) b ON b.n > a.n AND b.n <= a.n + 3 AND a.river_mile - b.river_mile <= 600""",

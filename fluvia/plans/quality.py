@@ -82,7 +82,7 @@ def json_bodies(spark, d):
 
 def json_parse(spark, d):
     rows = formats.json_series(json_bodies(spark, d))
-    return rows.groupBy("station_id", "variable", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return rows.groupBy("station_id", "variable", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 def xml_parse(spark, d):
@@ -130,7 +130,7 @@ QUERIES = {
     "iterative_qaqc": lambda s, d: tidy(result(s, d)),
     "spatial_prediction": lambda s, d: tidy(spatial_prediction(daily(s, d), tables.stations(s)).select("station_id", "ts", "predicted")),
     "gapfill_repair": lambda s, d: tidy(qaqc.repair_gaps(result(s, d), tables.stations(s)).where("observed IS NULL").select("station_id", "ts", "predicted", "suspect", "repaired")),
-    "gapfill_ci": lambda s, d: tidy(qaqc.confidence(result(s, d)).where("observed IS NULL").select("station_id", "ts", "ci_lower", "ci_upper")),
+    "gapfill_ci": lambda s, d: tidy(qaqc.confidence(result(s, d)).where("observed IS NULL").select("station_id", "ts", "ci_lower", "ci_upper"), 9),
     "model_metrics": metrics,
     "horizon_errors": residual_errors,
     "best_variable": variables,
@@ -200,7 +200,7 @@ SQL = {
     ),
     "gapfill_ci": sql(
         "grid",
-        f"SELECT station_id, {DAY}, {r('corrected - 1.96 * coalesce(sigma, 0.5)', 'ci_lower')}, {r('corrected + 1.96 * coalesce(sigma, 0.5)', 'ci_upper')} FROM res LEFT JOIN cs USING (station_id) WHERE observed IS NULL",
+        f"SELECT station_id, {DAY}, {r('corrected - 1.96 * coalesce(sigma, 0.5)', 'ci_lower', 9)}, {r('corrected + 1.96 * coalesce(sigma, 0.5)', 'ci_upper', 9)} FROM res LEFT JOIN cs USING (station_id) WHERE observed IS NULL",
         **_LOOP,
         cm="SELECT station_id, quantile_cont(residual, 0.5) AS med FROM res WHERE residual IS NOT NULL AND NOT is_outlier GROUP BY 1",
         cs="SELECT station_id, greatest(quantile_cont(abs(residual - med), 0.5) * 1.4826, 0.25) AS sigma FROM res JOIN cm USING (station_id) WHERE residual IS NOT NULL AND NOT is_outlier GROUP BY 1",

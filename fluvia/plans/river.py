@@ -187,7 +187,7 @@ def _near(table: str, stations: str) -> str:
 def _profile(controls: str, value: str) -> str:
     """Piecewise linear value t0 every tenth mile of the controls (t0, river_mile, v)."""
     return f"""SELECT t0, mile, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL THEN lo.v WHEN lo.m = hi.m THEN lo.v ELSE lo.v * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.v * (mile - lo.m) / (hi.m - lo.m) END AS {value}
-        FROM (SELECT t0, mile, max({{'m': river_mile, 'v': v}}) FILTER (river_mile <= mile) AS lo, min({{'m': river_mile, 'v': v}}) FILTER (river_mile >= mile) AS hi FROM {controls} CROSS JOIN (SELECT i * 10.0 AS mile FROM range(31) t(i)) GROUP BY ALL)"""
+        FROM (SELECT t0, mile, max({{'m': river_mile, 'v': v}}) FILTER (river_mile <= mile) AS lo, min({{'m': river_mile, 'v': v}}) FILTER (river_mile >= mile) AS hi FROM {controls} CROSS JOIN (SELECT CAST(i * 10 AS DOUBLE) AS mile FROM range(31) t(i)) GROUP BY ALL)"""
 
 
 _BEAR = """SELECT mile, lat, lon, first_value(lat) OVER a AS lat1, first_value(lon) OVER a AS lon1, last_value(lat) OVER b AS lat2, last_value(lon) OVER b AS lon2
@@ -218,7 +218,7 @@ SQL = {
     "bracket_interpolate": sql(
         "line",
         f"SELECT mile, {r('CASE WHEN lo IS NULL THEN hi.lat WHEN hi IS NULL THEN lo.lat WHEN lo.m = hi.m THEN lo.lat ELSE lo.lat + (hi.lat - lo.lat) * (mile - lo.m) / (hi.m - lo.m) END', 'lat', 8)}, {r('CASE WHEN lo IS NULL THEN hi.lon WHEN hi IS NULL THEN lo.lon WHEN lo.m = hi.m THEN lo.lon ELSE lo.lon + (hi.lon - lo.lon) * (mile - lo.m) / (hi.m - lo.m) END', 'lon', 8)} FROM b",
-        b="SELECT t.mile, max({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile <= t.mile) AS lo, min({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile >= t.mile) AS hi FROM (SELECT i * 1.0 - 5 AS mile FROM range(320) x(i)) t CROSS JOIN line l GROUP BY 1",
+        b="SELECT t.mile, max({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile <= t.mile) AS lo, min({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile >= t.mile) AS hi FROM (SELECT CAST(i - 5 AS DOUBLE) AS mile FROM range(320) x(i)) t CROSS JOIN line l GROUP BY 1",
     ),
     "proximity_join": sql("line stations", "SELECT mile, arg_min(station_id, {'d': abs(mile - river_mile), 's': station_id}) FILTER (abs(mile - river_mile) <= 2) AS gage_id, count(*) FILTER (abs(mile - river_mile) <= 2) > 0 AS is_gage FROM line CROSS JOIN stations GROUP BY 1"),
     "pair_enumeration": sql("pairs", "SELECT up, dn, miles FROM pairs"),

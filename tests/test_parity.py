@@ -8,6 +8,7 @@ import pytest
 from fluvia.plans import quality, river, series
 
 SF = "/root/testdata/sf0.001"
+KIND = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
 QUERIES = series.QUERIES | river.QUERIES | quality.QUERIES
 SQL = series.SQL | river.SQL | quality.SQL
 
@@ -38,6 +39,8 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, name):
     got = QUERIES[name](spark, SF)
+    types = {r[0]: KIND.get(r[1], r[1]) for r in duck.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    assert dict(got.dtypes) == types
     want = duck.execute(SQL[name])
     columns = [d[0] for d in want.description]
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
