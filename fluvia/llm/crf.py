@@ -26,9 +26,10 @@ class Types:
 
     def ids(self, tokens: list[str]) -> list[int]:
         number = self.number
-        for t in set(tokens).difference(number):
-            number[t] = len(self.rows)
-            self.rows.append(self.features(t))
+        for t in dict.fromkeys(tokens):  # in order of appearance, so that numbers don't depend on string hashes
+            if t not in number:
+                number[t] = len(self.rows)
+                self.rows.append(self.features(t))
         return list(map(number.__getitem__, tokens))
 
 
