@@ -121,8 +121,10 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 60.0, decay
 def labelled_sample(docs: DataFrame, held_out) -> list[tuple[str, str]]:
     """At most ``SAMPLE_DOCS`` prefixes a language, in order of a hash of the id, of rows that aren't held out."""
     named = docs.where(F.col("lang").isNotNull() & ~held_out)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id", F.col("lang").alias("y"))
+    hashed = named.select("doc_id", F.col("lang").alias("y"), F.xxhash64("doc_id").alias("h"))
+    first = lambda rows, *keys: rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE_DOCS)
+    # first within 64 parts of each language, so that no task sees more than 64 samples' worth of a common one
+    ids = first(first(hashed, "y", F.pmod("h", F.lit(64))), "y")
     texts = docs.select("doc_id", F.col("lang").alias("y"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = texts.join(F.broadcast(ids.select("doc_id", "y")), ["doc_id", "y"]).collect()  # at most SAMPLE_DOCS ids a language
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.text or ""))]
