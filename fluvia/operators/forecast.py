@@ -132,6 +132,14 @@ def recursive(grid: DataFrame, days: int = 7, keep_days: int = 60, **settings) -
     return out.join(origin, KEY).select(KEY, "origin", "horizon", "pred", (F.col("pred") - band).alias("lo"), (F.col("pred") + band).alias("hi"))
 
 
+def by_tier(grid: DataFrame, stations: DataFrame, horizon: int = 1, least: int = 60, **settings) -> dict[int, Regressor]:
+    """One regressor a tier of stations, lowest tier first; tiers under ``least`` training rows are left out."""
+    rows, names = features(grid)
+    known = training_set(rows, names, horizon).join(F.broadcast(stations.select(KEY, "tier")), KEY)
+    sizes = {r["tier"]: r["count"] for r in known.where("is_train").groupBy("tier").count().collect()}  # a row a tier
+    return {t: fit(known.where(F.col("tier") == t), names, **settings) for t in sorted(sizes) if sizes[t] >= least}
+
+
 def horizon_errors(residuals: DataFrame, horizons: list[int]) -> DataFrame:
     """(station_id, horizon, error): median absolute residual of the held-out rows times the root of the horizon."""
     base = residuals.where("NOT is_train").groupBy(KEY).agg(F.percentile(F.abs("residual"), 0.5).alias("_e"))

@@ -38,6 +38,20 @@ def without_spikes(points: DataFrame, most_feet: float = 5.0) -> DataFrame:
     return points.groupBy("at").applyInPandas(lambda rows: remove_spikes(rows, most_feet), points.schema)
 
 
+def within_envelope(points: DataFrame, envelope: DataFrame, q: DataFrame, margin: float = 1.0) -> DataFrame:
+    """Without the points more than ``margin`` above the station's p95 for the discharge bin of their date; q is (at, q). A boundary takes the lower bin."""
+    bins = q.join(F.broadcast(envelope.select(KEY, "q_lo", "q_hi", "p95")), F.col("q").between(F.col("q_lo"), F.col("q_hi")))
+    top = bins.groupBy("at", KEY).agg(F.min_by("p95", "q_lo").alias("_top"))
+    return points.join(top, ["at", KEY], "left").where(F.col("_top").isNull() | (F.col("value") <= F.col("_top") + margin)).drop("_top")
+
+
+def envelope_profile(envelope: DataFrame, stations: DataFrame, miles: DataFrame) -> DataFrame:
+    """(bin, mile, p05, p50, p95) along the miles for each bin with two stations at least."""
+    points = envelope.join(F.broadcast(stations.select(KEY, "river_mile")), KEY)
+    enough = points.groupBy("bin").count().where(F.col("count") >= 2).select("bin")
+    return at_miles(enough.crossJoin(F.broadcast(miles.select("mile"))), points, "river_mile", ["p05", "p50", "p95"], ("bin",))
+
+
 def profile(points: DataFrame, miles: DataFrame) -> DataFrame:
     """(at, mile, value): piecewise linear between the controls of each date, for all dates in one plan."""
     targets = points.select("at").distinct().crossJoin(F.broadcast(miles.select("mile")))

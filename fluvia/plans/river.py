@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import lags, network, profile
+from ..operators import features, lags, network, profile, stats
 from ..sources import tables
 from ..sources.tables import DATUM_ROWS
-from .base import W, daily, discharge, filled, grid, main_q, r, sql, tidy
+from .base import W, daily, discharge, filled, grid, main_q, r, sql, tide, tidy
+from .series import _ENV2, _guard
 
 DAY = "CAST(ts AS DATE) AS day"
 HOT = "timestamp_ntz'1999-01-01'"
@@ -141,11 +142,36 @@ def rating_pairs(spark, d):
     return tidy(rows.groupBy("station_id").agg(F.count("*").alias("n"), (F.min("value") - pad).alias("low"), (F.max("value") + pad).alias("high"), F.min("q").alias("q_lo"), F.max("q").alias("q_hi")))
 
 
+def feature_table(spark, d):
+    return tidy(features.station_features(grid(spark, d), tables.stations(spark), stats.composite(discharge(spark, d)), stats.mean_and_spread(tide(spark, d), "3", "4")), 5)
+
+
+def envelopes(spark, d):
+    return tidy(profile.envelope_profile(stats.envelope(daily(spark, d), main_q(spark, d)), tables.stations(spark), every_ten(spark)))
+
+
+def checked_points(spark, d):
+    """Controls of each date that stay under the envelope; the margin is -3 so that some go."""
+    q = network.asof_nearest(dates(spark).withColumn("station_id", F.lit("0")), discharge(spark, d)).select("at", F.col("value").alias("q"))
+    kept = profile.within_envelope(points(spark, d), stats.envelope(daily(spark, d), main_q(spark, d)), q, -3.0)
+    return kept.select(F.col("at").cast("date").alias("at_day"), "station_id", F.round("value", 6).alias("value"))
+
+
+def coverage(spark, d):
+    """Stations with readings on 1999-01-01 (semi join) and without (anti join)."""
+    s, there = tables.stations(spark), daily(spark, d).where(f"ts = {HOT}")
+    return s.join(there, "station_id", "left_semi").withColumn("has_data", F.lit(True)).unionByName(s.join(there, "station_id", "left_anti").withColumn("has_data", F.lit(False))).select("station_id", "river_mile", "has_data")
+
+
 def greedy(spark, d):
     return lags.matched_lags(filled(spark, d), network.pairs(tables.stations(spark)), main_q(spark, d))
 
 
 QUERIES = {
+    "station_features": feature_table,
+    "envelope_profile": envelopes,
+    "envelope_exceedance": checked_points,
+    "station_coverage": coverage,
     "datum_interval_join": datum_join,
     "datum_convert": convert,
     "asof_nearest": asof,
@@ -263,4 +289,37 @@ SQL = {
     "thalweg": f"WITH c AS ({_CELLS}), p AS ({_RASTER}) SELECT point_id, {r('quantile_cont(elev_ft, 0.05)', 'bed_elev_ft')} FROM p LEFT JOIN c ON abs(p.row - c.row) <= 15 AND abs(p.col - c.col) <= 15 GROUP BY 1",
     "transect_area": f"WITH c AS ({_CELLS}), p AS (SELECT point_id, CAST(round_even(row + k * 0.6, 0) AS INT) AS row, CAST(round_even(col + k * 0.8, 0) AS INT) AS col FROM ({_RASTER}) CROSS JOIN range(-10, 11) t(k)) SELECT point_id, {r('coalesce(sum(greatest(5.0 - elev_ft, 0.0) * 98.4), 0.0)', 'wet_area_ft2', 4)} FROM p LEFT JOIN c USING (row, col) GROUP BY 1",
     "rating_pairs": sql("daily q0", f"SELECT station_id, count(*) AS n, {r('min(value) - 0.05 * (max(value) - min(value))', 'low')}, {r('max(value) + 0.05 * (max(value) - min(value))', 'high')}, {r('min(q)', 'q_lo')}, {r('max(q)', 'q_hi')} FROM daily JOIN q0 USING (ts) WHERE station_id IN ('0', '1', '2') GROUP BY 1"),
+    "station_features": sql(
+        "grid q tide stations",
+        f"""SELECT f.station_id, CAST(f.ts AS DATE) AS day, {", ".join(r("f." + c, c, 5) for c in ("value", "lag1", "lag2", "lag3", "lag5", "lag7", "d1", "d3", "rate"))},
+            {", ".join(r(f"{a}.value", f"{s}_then", 5) + ", " + r(f"{a}.value - {b}.value", f"{s}_step", 5) + ", " + r(f"{c}.value - f.lag1", f"{s}_slope", 5) for s, a, b, c in (("up", "u1", "u2", "u3"), ("dn", "d1", "d2", "d3")))},
+            {r("cq.composite", "q_then", 5)}, {r("tq.mean", "tide_then", 5)}, CASE WHEN cq.composite IS NOT NULL AND pl.um IS NOT NULL THEN CAST(round_even(least(greatest(abs(pl.um - pl.river_mile) / (72.0 * power(greatest(cq.composite, 0.01), 0.4)), 0.0), 30.0), 0) AS BIGINT) END AS expected_days,
+            {", ".join(r(f"{g}({2 * k} * pi() * dayofyear(f.ts) / 365.25)", f"{g}{k}", 5) for k in (1, 2) for g in ("sin", "cos"))}, month(f.ts) AS month
+            FROM f JOIN pl USING (station_id)
+            LEFT JOIN grid u1 ON u1.station_id = pl.up AND u1.ts = f.ts - INTERVAL 1 DAY LEFT JOIN grid u2 ON u2.station_id = pl.up AND u2.ts = f.ts - INTERVAL 2 DAY LEFT JOIN grid u3 ON u3.station_id = pl.up AND u3.ts = f.ts - INTERVAL 1 DAY
+            LEFT JOIN grid d1 ON d1.station_id = pl.dn AND d1.ts = f.ts - INTERVAL 1 DAY LEFT JOIN grid d2 ON d2.station_id = pl.dn AND d2.ts = f.ts - INTERVAL 2 DAY LEFT JOIN grid d3 ON d3.station_id = pl.dn AND d3.ts = f.ts - INTERVAL 1 DAY
+            LEFT JOIN cq ON cq.ts = f.ts - INTERVAL 1 DAY LEFT JOIN tq ON tq.ts = f.ts - INTERVAL 1 DAY""",
+        g0=f"SELECT *, value - lag(value) OVER ({W}) AS d1 FROM grid",
+        f=f"SELECT station_id, ts, value, d1, {', '.join(f'lag(value, {k}) OVER ({W}) AS lag{k}' for k in (1, 2, 3, 5, 7))}, value - lag(value, 3) OVER ({W}) AS d3, {_guard('avg', 7, 3, 0, 'd1')} AS rate FROM g0",
+        pl="SELECT *, lag(station_id) OVER w AS up, lag(river_mile) OVER w AS um, lead(station_id) OVER w AS dn FROM stations WINDOW w AS (ORDER BY river_mile DESC)",
+        cq="SELECT ts, avg(value / greatest(m, 1.0)) AS composite FROM q JOIN (SELECT station_id, quantile_cont(value, 0.5) AS m FROM q GROUP BY 1) USING (station_id) GROUP BY 1",
+        tq="SELECT ts, avg(value) AS mean FROM tide GROUP BY 1",
+    ),
+    "envelope_profile": sql(
+        "daily q0 stations",
+        "SELECT bin, mile, " + ", ".join(r(f"CASE WHEN lo IS NULL THEN hi.{p} WHEN hi IS NULL OR lo.m = hi.m THEN lo.{p} ELSE lo.{p} * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.{p} * (mile - lo.m) / (hi.m - lo.m) END", p) for p in ("p05", "p50", "p95")) + " FROM b",
+        **_ENV2,
+        c="SELECT bin, river_mile AS m, p05, p50, p95 FROM env JOIN stations USING (station_id) QUALIFY count(*) OVER (PARTITION BY bin) >= 2",
+        b="SELECT bin, mile, max({'m': m, 'p05': p05, 'p50': p50, 'p95': p95}) FILTER (m <= mile) AS lo, min({'m': m, 'p05': p05, 'p50': p50, 'p95': p95}) FILTER (m >= mile) AS hi FROM c CROSS JOIN (SELECT CAST(i * 10 AS DOUBLE) AS mile FROM range(31) t(i)) GROUP BY 1, 2",
+    ),
+    "envelope_exceedance": sql(
+        "daily q0 q stations",
+        f"SELECT CAST(t0 AS DATE) AS at_day, station_id, {r('m.value', 'value')} FROM near LEFT JOIN top USING (t0, station_id) WHERE top IS NULL OR m.value <= top - 3",
+        **_ENV2, **_DATES,
+        near=_near("daily", "stations"),
+        g="SELECT '0' AS station_id, 0.0 AS river_mile",
+        qn=_near("q", "g"),
+        top="SELECT t0, e.station_id, arg_min(p95, q_lo) AS top FROM qn JOIN env e ON qn.m.value BETWEEN q_lo AND q_hi GROUP BY 1, 2",
+    ),
+    "station_coverage": sql("daily stations", "SELECT station_id, river_mile, station_id IN (SELECT station_id FROM daily WHERE ts = TIMESTAMP '1999-01-01') AS has_data FROM stations"),
 }
