@@ -38,12 +38,12 @@ def main_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discharge(spark, sf_dir).where("station_id = '0'").select("ts", F.col("value").alias("q"))
 
 
-def tidy(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, instants of daily tables as dates."""
+def tidy(rows: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Doubles rounded (``other`` digits for named columns), instants of daily tables as dates."""
     out = []
     for name, kind in rows.dtypes:
         c = F.col(f"`{name}`")
-        out.append(F.round(c, digits).alias(name) if kind == "double" else c.cast("date").alias("day") if name == "ts" else c.cast("bigint").alias(name) if kind == "int" else c)
+        out.append(F.round(c, other.get(name, digits)).alias(name) if kind == "double" else c.cast("date").alias("day") if name == "ts" else c.cast("bigint").alias(name) if kind == "int" else c)
     return rows.select(out)
 
 

@@ -143,7 +143,7 @@ def rating_pairs(spark, d):
 
 
 def feature_table(spark, d):
-    return tidy(features.station_features(grid(spark, d), tables.stations(spark), stats.composite(discharge(spark, d)), stats.mean_and_spread(tide(spark, d), "3", "4")), 5)
+    return tidy(features.station_features(grid(spark, d), tables.stations(spark), stats.composite(discharge(spark, d)), stats.mean_and_spread(tide(spark, d), "3", "4")), 5, tide_then=12)
 
 
 def envelopes(spark, d):
@@ -293,7 +293,7 @@ SQL = {
         "grid q tide stations",
         f"""SELECT f.station_id, CAST(f.ts AS DATE) AS day, {", ".join(r("f." + c, c, 5) for c in ("value", "lag1", "lag2", "lag3", "lag5", "lag7", "d1", "d3", "rate"))},
             {", ".join(r(f"{a}.value", f"{s}_then", 5) + ", " + r(f"{a}.value - {b}.value", f"{s}_step", 5) + ", " + r(f"{c}.value - f.lag1", f"{s}_slope", 5) for s, a, b, c in (("up", "u1", "u2", "u3"), ("dn", "d1", "d2", "d3")))},
-            {r("cq.composite", "q_then", 5)}, {r("tq.mean", "tide_then", 5)}, CASE WHEN cq.composite IS NOT NULL AND pl.um IS NOT NULL THEN CAST(round_even(least(greatest(abs(pl.um - pl.river_mile) / (72.0 * power(greatest(cq.composite, 0.01), 0.4)), 0.0), 30.0), 0) AS BIGINT) END AS expected_days,
+            {r("cq.composite", "q_then", 5)}, {r("tq.mean", "tide_then", 12)}, CASE WHEN cq.composite IS NOT NULL AND pl.um IS NOT NULL THEN CAST(round_even(least(greatest(abs(pl.um - pl.river_mile) / (72.0 * power(greatest(cq.composite, 0.01), 0.4)), 0.0), 30.0), 0) AS BIGINT) END AS expected_days,
             {", ".join(r(f"{g}({2 * k} * pi() * dayofyear(f.ts) / 365.25)", f"{g}{k}", 5) for k in (1, 2) for g in ("sin", "cos"))}, month(f.ts) AS month
             FROM f JOIN pl USING (station_id)
             LEFT JOIN grid u1 ON u1.station_id = pl.up AND u1.ts = f.ts - INTERVAL 1 DAY LEFT JOIN grid u2 ON u2.station_id = pl.up AND u2.ts = f.ts - INTERVAL 2 DAY LEFT JOIN grid u3 ON u3.station_id = pl.up AND u3.ts = f.ts - INTERVAL 1 DAY
