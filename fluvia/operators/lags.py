@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import adaptive_speed, half_even, travel_days
@@ -17,15 +17,16 @@ def xcorr(grid: DataFrame, pairs: DataFrame, most: int = 21, least_rows: int = 9
     Pairs with fewer common rows get lag 0 and no r; a null correlation never wins; ties take the smaller lag.
     """
     series = detrend(interpolate(grid, 5).where("value IS NOT NULL")).select(KEY, "ts", "anomaly")
-    dn = series.select(F.col(KEY).alias("dn"), "ts", F.col("anomaly").alias("b"))
-    lags = F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag_days")
-    up = series.select(F.col(KEY).alias("up"), "ts", F.col("anomaly").alias("a")).join(F.broadcast(pairs.select("up", "dn")), "up")
-    common = up.join(dn, ["dn", "ts"]).groupBy("up", "dn").agg(F.count("*").alias("n"))
-    shifted = up.select("up", "dn", "a", "ts", lags).withColumn("ts", F.col("ts") + F.make_interval(days=F.col("lag_days")))
-    r = shifted.join(dn, ["dn", "ts"]).groupBy("up", "dn", "lag_days").agg(F.corr("a", "b").alias("r"))
-    r = r.where("r IS NOT NULL AND NOT isnan(r)")
-    best = r.groupBy("up", "dn").agg(F.min_by(F.struct("lag_days", "r"), F.struct(-F.round("r", 9), F.col("lag_days"))).alias("best"))
-    known = pairs.select("up", "dn").join(common, ["up", "dn"], "left").join(best, ["up", "dn"], "left").withColumn("_ok", F.coalesce(F.col("n") >= least_rows, F.lit(False)))
+    dense = grid.select(KEY, "ts").join(series, [KEY, "ts"], "left")
+    up = dense.toDF("up", "ts", "a").join(F.broadcast(pairs.select("up", "dn")), "up")
+    both = up.join(dense.toDF("dn", "ts", "b"), ["dn", "ts"])
+    w = Window.partitionBy("up", "dn").orderBy("ts")
+    lagged = both.select("up", "dn", "b", *(F.lag("a", k).over(w).alias(f"a{k}") for k in range(most + 1)))
+    common = F.count(F.when(F.col("a0").isNotNull() & F.col("b").isNotNull(), 1)).alias("n")
+    r = lagged.groupBy("up", "dn").agg(common, *(F.corr(f"a{k}", "b").alias(f"r{k}") for k in range(most + 1)))
+    each = F.array(*(F.struct((-F.round(f"r{k}", 9)).alias("key"), F.lit(k).alias("lag_days"), F.col(f"r{k}").alias("r")) for k in range(most + 1)))
+    best = F.array_min(F.filter(each, lambda x: x["r"].isNotNull() & ~F.isnan(x["r"])))
+    known = pairs.select("up", "dn").join(r.select("up", "dn", "n", best.alias("best")), ["up", "dn"], "left").withColumn("_ok", F.coalesce(F.col("n") >= least_rows, F.lit(False)))
     return known.select("up", "dn", F.when(F.col("_ok"), F.coalesce("best.lag_days", F.lit(0))).otherwise(0).cast("bigint").alias("lag_days"), F.when(F.col("_ok"), F.col("best.r")).alias("r"))
 
 
