@@ -71,7 +71,7 @@ def importance(spark, d):
 
 def json_bodies(spark, d):
     """Events of each type and hour as service JSON, with a sentinel for every 97th."""
-    e = tables.read(spark, d, "events").where("event_id < 5000")
+    e = tables.read(spark, d, "events")
     v = F.struct(F.when(F.col("event_id") % 97 == 0, "-999999").otherwise(F.get_json_object("props", "$.k")).alias("value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'-06:00'").alias("dateTime"))
     one = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.sort_array(F.collect_list(v)).alias("v"))
     site = F.struct(F.array(F.struct(F.col("event_type").alias("value"))).alias("siteCode"))
@@ -86,11 +86,11 @@ def json_parse(spark, d):
 
 
 def xml_parse(spark, d):
-    """Orders of each customer group as markup, parsed again."""
-    o = tables.read(spark, d, "orders").where("o_orderkey < 3000")
+    """Orders of each customer group and day as markup, parsed again."""
+    o = tables.read(spark, d, "orders")
     piece = F.concat(F.lit('<value dateTime="'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('" code="A">'), (F.floor(F.col("o_totalprice") / 10) / 100 - 20).cast("string"), F.lit("</value>"))
-    body = o.groupBy((F.col("o_custkey") % 7).cast("string").alias("station_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", piece.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
-    rows = formats.xml_series(body)
+    body = o.groupBy((F.col("o_custkey") % 7).cast("string").alias("station_id"), F.to_date("o_orderdate").alias("_day")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", piece.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
+    rows = formats.xml_series(body.drop("_day"))
     return rows.select("station_id", F.col("ts").cast("date").alias("day"), F.round("value", 2).alias("value"))
 
 
