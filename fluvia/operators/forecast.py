@@ -82,7 +82,7 @@ def _vectors(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def fit(rows: DataFrame, names: list[str], trees: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 1, weight: str | None = None) -> Regressor:
     """Fits to the rows with is_train; medians come from these alone, and the error from the others."""
-    live = _flags(rows, names)
+    live = _flags(rows, names).persist()
     train = live.where("is_train")
     imputer = Imputer(strategy="median", inputCols=names, outputCols=[f"{n}_i" for n in names], relativeError=0.001).fit(train)
     trees_ = GBTRegressor(featuresCol="features", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=20, subsamplingRate=0.8, seed=seed)
@@ -91,6 +91,7 @@ def fit(rows: DataFrame, names: list[str], trees: int = 20, depth: int = 5, rate
     model = trees_.fit(_vectors(imputer.transform(train), names))
     held = model.transform(_vectors(imputer.transform(live.where("NOT is_train")), names))
     mae = held.agg(F.avg(F.abs(F.col("prediction") - F.col("target")))).first()[0]
+    live.unpersist()
     return Regressor(names, imputer, model, mae or 0.0)
 
 
@@ -100,7 +101,9 @@ def direct(grid: DataFrame, horizons=HORIZONS, most_null: float = 0.3, **setting
     A horizon with over ``most_null`` null targets is skipped.
     """
     rows, names = features(grid)
-    latest, out = scoring_rows(rows), None
+    rows, out = rows.persist(), None  # every horizon fits on them
+    latest = scoring_rows(rows)
+    latest = grid.sparkSession.createDataFrame(latest.collect(), latest.schema)  # one row a station
     total = rows.count()
     for h in horizons:
         known = training_set(rows, names, h)
@@ -109,6 +112,7 @@ def direct(grid: DataFrame, horizons=HORIZONS, most_null: float = 0.3, **setting
         r = fit(known, names, **settings)
         one = r.predict(latest).select(KEY, F.col("ts").alias("origin"), F.lit(h).alias("horizon"), "pred", (F.col("pred") - r.mae).alias("lo"), (F.col("pred") + r.mae).alias("hi"))
         out = one if out is None else out.unionByName(one)
+    rows.unpersist()
     return out
 
 
@@ -121,6 +125,7 @@ def recursive(grid: DataFrame, days: int = 7, keep_days: int = 60, **settings) -
     r = fit(training_set(rows, names, 1), names, **settings)
     w = Window.partitionBy(KEY).orderBy(F.desc("ts"))
     history = grid.where("value IS NOT NULL").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep_days).select(KEY, "ts", "value")
+    history = grid.sparkSession.createDataFrame(history.collect(), history.schema)  # keep_days rows a station
     origin, out = history.groupBy(KEY).agg(F.max("ts").alias("origin")), None
     for h in range(1, days + 1):
         step = r.predict(scoring_rows(features(history)[0])).select(KEY, (F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.col("pred").alias("value"))

@@ -49,15 +49,10 @@ def variables(spark, d):
     return forecast.best_variable(rows, tables.stations(spark).withColumn("is_tidal", F.col("river_mile") < 50))
 
 
-def small_grid(spark, d):
-    """Two years of four stations, enough to fit on."""
-    return grid(spark, d).where("station_id IN ('0', '1', '2', '3') AND ts BETWEEN timestamp_ntz'1998-01-01' AND timestamp_ntz'1999-12-31'")
-
-
 def gbt(spark, d):
-    rows, names = forecast.features(small_grid(spark, d))
-    known = forecast.training_set(rows, names, 1)
-    fitted = forecast.fit(known, names, trees=5, depth=3)
+    rows, names = forecast.features(grid(spark, d))
+    known = forecast.training_set(rows, names, 1).persist()
+    fitted = forecast.fit(known, names)
     return fitted.predict(known.where("NOT is_train")).groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("target"))), 6).alias("mae"))
 
 
@@ -136,8 +131,8 @@ QUERIES = {
     "best_variable": variables,
     "topk_importance": importance,
     "gbt_fit": gbt,
-    "forecast_direct": lambda s, d: forecast.direct(small_grid(s, d), (1, 7), trees=5, depth=3),
-    "forecast_recursive": lambda s, d: forecast.recursive(small_grid(s, d), 3, trees=5, depth=3),
+    "forecast_direct": lambda s, d: forecast.direct(grid(s, d)),
+    "forecast_recursive": lambda s, d: forecast.recursive(grid(s, d)),
     "json_parse": json_parse,
     "xml_regex_parse": xml_parse,
     "markup_attributes": page_attributes,

@@ -1,7 +1,9 @@
 """Queries and sources work on all of their input."""
 
 import duckdb
+import pytest
 
+from fluvia.operators import forecast
 from fluvia.plans import quality
 
 MORE = "/root/testdata/sf0.01"
@@ -20,3 +22,17 @@ def test_every_order_goes_through_markup(spark):
         FROM (SELECT *, floor(o_totalprice / 10) / 100 - 20 AS v FROM '{MORE}/orders.parquet') WHERE v > -50 AND v < 1000 GROUP BY 1, 2"""
     ).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_forecasts_take_every_station_and_the_defaults(spark, monkeypatch):
+    seen = {}
+    for name in ("direct", "recursive"):
+        monkeypatch.setattr(forecast, name, lambda *a, _n=name, **k: seen.update({_n: (a, k)}))
+        quality.QUERIES[f"forecast_{name}"](spark, MORE)
+    monkeypatch.setattr(forecast, "fit", lambda rows, names, **k: seen.update({"fit": ((rows,), k)}) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        quality.QUERIES["gbt_fit"](spark, MORE)
+    for (rows, *more), settings in seen.values():
+        assert (more, settings) == ([], {})
+        assert rows.where("value IS NOT NULL").select("station_id").distinct().count() == 14
+        assert rows.selectExpr("max(year(ts)) - min(year(ts))").first()[0] == 6
