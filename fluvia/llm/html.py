@@ -6,7 +6,7 @@ above a threshold (a share of the page's standard deviation) form clusters. Line
 (menus, headers, footers, forms, adverts and the like) count as 0 and are never kept. A page that marks its article
 keeps that element's lines: there the clusters only choose between several articles. Other pages
 keep their clusters and the lines outside banned elements that adjoin or lie between them, so that a
-heading or a brief paragraph is not lost.
+heading or a brief paragraph is not lost. Beyond a banned line the outer ones go on only in the same container.
 """
 
 from __future__ import annotations
@@ -42,22 +42,22 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, out, article) for each line of a page."""
+    """Collects (text, tags, out, article, container) for each line of a page; the container holds the line's block element, 0 being the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, out, article number (0: none)
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, out, article number (0: none), block, its container
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.text: list[str] = []
-        self.tags = self.articles = 0
+        self.tags = self.articles = self.blocks = 0
         self.count: Counter[str] = Counter()
 
     def _cut(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                _, out, article = self.open[-1] if self.open else ("", False, 0)
-                self.lines.append((text, self.tags, out, article))
+                _, out, article, _, container = self.open[-1] if self.open else ("", False, 0, 0, 0)
+                self.lines.append((text, self.tags, out, article, container))
                 self.tags = 0
             self.text = []
 
@@ -71,7 +71,10 @@ class _Lines(HTMLParser):
             self._cut()
         if tag in VOID:
             return
-        _, out, article = self.open[-1] if self.open else ("", False, 0)
+        _, out, article, block, container = self.open[-1] if self.open else ("", False, 0, 0, 0)
+        if tag in BLOCKS:
+            self.blocks += 1
+            block, container = 0 if tag in ("html", "body") else self.blocks, block
         if not out:
             out = tag in NEVER
             marks = {k: v for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")} if attrs else {}
@@ -82,7 +85,7 @@ class _Lines(HTMLParser):
             if not out and not article and (tag in ARTICLE or marks.get("role") in ("main", "article")):
                 self.articles += 1
                 article = self.articles
-        self.open.append((tag, out, article))
+        self.open.append((tag, out, article, block, container))
         self.count[tag] += 1
 
     def _pop(self) -> None:
@@ -129,12 +132,12 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, out, _ in lines])
+    ratios = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, out, *_ in lines])
     smoothed = smooth(ratios, sigma)
-    inside = np.array([not out for _, _, out, _ in lines])
+    inside = np.array([not out for _, _, out, *_ in lines])
     if not inside.any():
         return ""
-    article = np.array([a for _, _, _, a in lines])
+    article = np.array([a for _, _, _, a, _ in lines])
     threshold = share * float(ratios[inside].std())
     above = inside & (smoothed >= threshold)
     if (article[inside] > 0).any():
@@ -144,18 +147,19 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     else:
         keep = above.copy()
         at = np.flatnonzero(above)
-        for a, b in zip(at[:-1], at[1:], strict=True):  # what lies between two content lines of one region
-            if b - a > 1 and inside[a + 1 : b].all():
-                keep[a + 1 : b] = True
         if len(at):
-            first, last = at[0], at[-1]
-            while first > 0 and inside[first - 1]:
-                first -= 1
-            while last + 1 < len(lines) and inside[last + 1]:
-                last += 1
-            keep[first : at[0]] = True
-            keep[at[-1] + 1 : last + 1] = True
-    return " ".join(t for (t, _, _, _), k in zip(lines, keep.tolist(), strict=True) if k)
+            keep[at[0] : at[-1] + 1] = inside[at[0] : at[-1] + 1]  # what lies between content lines, adverts apart
+            for edge, step in ((at[0], -1), (at[-1], 1)):
+                over, i = False, edge + step
+                while 0 <= i < len(lines):
+                    if not inside[i]:
+                        over = True
+                    elif over and not 0 < lines[edge][4] == lines[i][4]:
+                        break  # beyond a banned line only the same container goes on
+                    else:
+                        keep[i] = True
+                    i += step
+    return " ".join(t for (t, *_), k in zip(lines, keep.tolist(), strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
