@@ -42,6 +42,18 @@ def read_tab(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").startswith("#") & F.col("value").rlike(r"\t")).where(~F.col("value").rlike(r"^\d+[sdn](\t\d+[sdn])*$"))
 
 
+def read_rdb(spark: SparkSession, path: str) -> DataFrame:
+    """(station_id, variable, ts, value) of daily tab texts: the agency_cd header of each file names the site, datetime and value columns; cells that are no numbers go."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.rtrim(F.regexp_replace("value", r"\r$", "")).alias("line")).where("line NOT LIKE '#%'")
+    heads = lines.where("line LIKE 'agency\\_cd%'").groupBy("file").agg(F.split(F.min("line"), "\t").alias("h"))
+    rows = lines.where(r"line NOT LIKE 'agency\_cd%' AND NOT line RLIKE '^[0-9]+[sdn](\\t[0-9]+[sdn])*$'").select("file", F.split("line", "\t").alias("c"))
+    at = lambda name: F.get("c", (F.array_position("h", name) - 1).cast("int"))
+    one = lambda v: F.struct(F.lit(v).alias("variable"), F.get("c", F.expr(f"CAST(array_position(transform(h, x -> endswith(x, '_{v}_00003')), true) - 1 AS int)")).alias("value"))
+    long = rows.join(F.broadcast(heads), "file").select(at("site_no").alias("station_id"), at("datetime").alias("_t"), F.explode(F.array(one("00060"), one("00065"))).alias("v"))
+    out = long.select("station_id", "v.variable", F.expr("try_cast(_t AS timestamp_ntz)").alias("ts"), F.expr("try_cast(trim(v.value) AS double)").alias("value"))
+    return out.where("ts IS NOT NULL AND value IS NOT NULL")
+
+
 def read_tide(spark: SparkSession, path: str) -> DataFrame:
     """(ts, value) of a tide CSV; bad cells become null and go."""
     rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)

@@ -5,6 +5,7 @@ import pytest
 
 from fluvia.operators import forecast
 from fluvia.plans import quality
+from fluvia.sources import formats
 
 MORE = "/root/testdata/sf0.01"
 
@@ -36,3 +37,12 @@ def test_forecasts_take_every_station_and_the_defaults(spark, monkeypatch):
         assert (more, settings) == ([], {})
         assert rows.where("value IS NOT NULL").select("station_id").distinct().count() == 14
         assert rows.selectExpr("max(year(ts)) - min(year(ts))").first()[0] == 6
+
+
+def test_tab_text_gives_readings(spark, tmp_path):
+    head = "agency_cd\tsite_no\tdatetime\t{}\n5s\t15s\t20d\t14n\t10s\t14n\n"
+    a, b = "1_00060_00003\t1_00060_00003_cd\t2_00065_00003", "9_00065_00003\t9_00065_00003_cd"
+    (tmp_path / "a.rdb").write_text("# note\n" + head.format(a) + "USGS\t0701\t2020-01-01\t5\tA\t1.5\nUSGS\t0701\t2020-01-02\tIce\tA\t\n")
+    (tmp_path / "b.rdb").write_text(head.format(b) + "USGS\t0702\t2020-01-01\t2.5\tA\n")
+    got = formats.read_rdb(spark, str(tmp_path / "*.rdb")).collect()
+    assert sorted((r.station_id, r.variable, str(r.ts)[:10], r.value) for r in got) == [("0701", "00060", "2020-01-01", 5.0), ("0701", "00065", "2020-01-01", 1.5), ("0702", "00065", "2020-01-01", 2.5)]
