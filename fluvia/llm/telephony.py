@@ -104,7 +104,9 @@ def to_wave(data: bytes, codec: str, rate: int = RATE, block: int = 1, bits: int
     head = struct.pack("<HHIIHH", TAGS[codec], 1, rate, rate * bits // 8, block, bits) + extra
     parts = b"fmt " + struct.pack("<I", len(head)) + head
     if codec != "pcm":
-        parts += b"fact" + struct.pack("<II", 4, len(data))
+        # samples in the clip: a byte each, but for ADPCM the block's head and two codes a byte after it
+        samples = len(data) // block * ((block - 4) * 2 + 1) if codec == "adpcm" else len(data)
+        parts += b"fact" + struct.pack("<II", 4, samples)
     parts += b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(parts)) + b"WAVE" + parts
 
@@ -184,7 +186,8 @@ def media_digest(docs: DataFrame) -> DataFrame:
     doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 of the data read back, media_bytes and
     media_sha256 of the clip. feature: samples, peak, mean square and zero crossings of the clip expanded
     and resampled to 16 kHz, of the same bytes as A-law, and of the same bytes as 64-byte ADPCM blocks.
-    Null texts are empty, so 64 zero bytes; equal texts give equal values; repeated rows come back each; other columns are ignored.
+    Null texts are empty, so 64 zero bytes; equal texts give equal values; repeated rows come back each; null ids stay;
+    other columns are ignored; an empty table gives no rows.
     """
 
     def make():
