@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +23,8 @@ from pyspark.sql import functions as F
 from .base import fold, map_arrow, table
 from .crf import Crf, Types, train
 
-#: Learning uses at most so many labelled documents, of at most so many characters, and so many sentences of each kind.
+#: Learning uses at most so many labelled documents, whole, and so many sentences of each kind.
 SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 20_000
 SAMPLE_SENTENCES = 3000
 FAINT = 0.1
 BUCKETS = 1 << 16
@@ -43,15 +43,25 @@ def _features(word: str) -> list[int]:
     return [zlib.crc32(n.encode()) % BUCKETS for n in names]
 
 
-def toxic_units(texts: list[set[str]], labels: list[int]) -> set[str]:
-    """Words and beginnings in at least three toxic documents, five times as often as in clean ones, with a likelihood ratio statistic of 25 or more."""
-    toxic = Counter(u for words, y in zip(texts, labels, strict=True) if y for w in words for u in _units(w))
-    toxic = {u: n for u, n in toxic.items() if n >= 3}
-    clean = Counter(u for words, y in zip(texts, labels, strict=True) if not y for w in words for u in _units(w) if u in toxic)
-    n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
+def toxic_units(texts: Iterable[set[str]], labels: list[int]) -> set[str]:
+    """Words and beginnings in at least three toxic documents, five times as often as in clean ones, with a likelihood ratio statistic of 25 or more.
+
+    A unit counts once for each document that holds it. None without both toxic and clean documents. texts is gone through twice.
+    """
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    if not n1 or not n0:
+        return set()
+    counts: list[Counter[str]] = [Counter(), Counter()]
+    for wanted in (1, 0):  # toxic documents first, so that of clean ones only units seen there are counted
+        for words, y in zip(texts, labels, strict=True):
+            if y == wanted:
+                units = {u for w in words for u in _units(w)}
+                counts[y].update(units if y else units & counts[1].keys())
+        if wanted:
+            counts[1] = Counter({u: n for u, n in counts[1].items() if n >= 3})
     found = set()
-    for unit, a in toxic.items():
-        b = clean[unit]
+    for unit, a in counts[1].items():
+        b = counts[0][unit]
         if a / n1 >= 5 * b / n0:
             p = (a + b) / (n1 + n0)
             part = lambda k, n: sum(x * np.log(x / e) for x, e in ((k, n * p), (n - k, n * (1 - p))) if x)
@@ -60,6 +70,16 @@ def toxic_units(texts: list[set[str]], labels: list[int]) -> set[str]:
     return found
 
 
+class _Words:
+    """The lower-cased words of each text, as a set made anew at each pass."""
+
+    def __init__(self, split: list[list[str]]):
+        self.split = split
+
+    def __iter__(self) -> Iterator[set[str]]:
+        return ({t.lower() for t in s if t not in _BREAKS} for s in self.split)
+
+
 def _sentences(tokens: list[str]) -> list[list[str]]:
     out: list[list[str]] = [[]]
     for t in tokens:
@@ -94,7 +114,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     """The model learned from (text, toxic) rows; None where no word tells them apart."""
     same: dict[str, str] = {}  # one string object for each different token
     split = [[same.setdefault(t, t) for t in _TOKEN.findall(x)] for x, _ in rows]
-    units = toxic_units([{t.lower() for t in s if t not in _BREAKS} for s in split], [y for _, y in rows])
+    units = toxic_units(_Words(split), [y for _, y in rows])
     if not units:
         return None
     positive, near, negative = [], [], []
@@ -154,15 +174,23 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, held_out) -> list[tuple[str, int]]:
-    """A bounded sample, in order of a hash of the id, of labelled rows that are not held out."""
-    ids = labels.where(F.col("toxic").isin(0, 1) & ~held_out).select("doc_id", F.col("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()  # at most SAMPLE_DOCS ids are broadcast
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))[: 2 * SAMPLE_DOCS]]
+    """(text, toxic) of at most ``SAMPLE_DOCS`` ids, in order of a hash of the id, with a label of 0 or 1 that are not held out.
+
+    Every id counts once: repeated labels give the greatest, repeated documents the least text. Ids without a document, null ids and null texts give none.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
+    ids = known.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # the ids are at most SAMPLE_DOCS; partial aggregation keeps one text an id in each task
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return [(r.text, r.y) for r in sorted(texts.where("text IS NOT NULL").collect(), key=lambda r: r.doc_id)]
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score, spans) for every row; null and empty texts score as texts without a toxic token do; all score 0 without a model."""
+    """(doc_id, score, spans) for every row; spans are the offending (start, end) offsets in code points.
+
+    Null and empty texts score as texts without a toxic token do; all score 0 without a model. Repeated rows come back
+    each with equal scores, null ids stay, other columns are ignored, an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
