@@ -1,15 +1,18 @@
 """Personal data by base patterns and a linear-chain conditional random field over word shapes.
 
 The base patterns always count. The field, trained from the small labelled table below, adds spans
-that the patterns miss (numbers without a plus, spelt-out addresses, identity numbers). A span
-holds a digit or an at sign, so only the stretches of text around those are decoded; a text without
-either needs no decoding. Added spans that touch a base span are dropped.
+that the patterns miss (numbers without a plus, addresses without a dot, identity numbers, cards that
+stand side by side). A sequence of the field is a sentence of the text. Every sentence is decoded whole but
+for those without a digit and an at sign: spans without either are never added (``_plausible``), so
+leaving them out changes nothing. Added spans that touch a base span are dropped.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
 
@@ -24,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone", "id")
 BASE_KINDS = KINDS[:4]
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 BUCKETS = 1 << 12
-CONTEXT = 6
+#: A sentence of more tokens goes on as a new sequence at its next word.
+SENTENCE = 1024
+_END = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _TRIGGER = re.compile(r"[0-9@]")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -41,6 +46,9 @@ His address is [[email:j_doe99@uni.example.edu]] and he has 3 dogs.
 Send it to [[email:sales-team@shop.example.net]].
 ask [[email:kim@lab]] about it
 mail [[email:lee+news@corp.example.co.uk]] now
+note to [[email:ben@desk]] please
+cc [[email:ops@hub]] and wait
+tell [[email:mary@localhost]] today
 und [[email:x@y.de]] schreiben
 The server at [[ip:10.0.0.1]] is down.
 Blocked [[ip:192.168.44.12]] and [[ip:203.0.113.9]] today
@@ -51,6 +59,8 @@ card [[card:5500000000000004]] was declined
 la tarjeta [[card:4012-8888-8888-1881]] de
 carte [[card:6011000990139424]] expire
 nummer [[card:3714 496353 98431]] heute
+both [[card:5500000000000004]] [[card:4111111111111111]] were used
+paid by [[card:4222222222222222]] [[card:4222222222222222]] twice
 number [[card:4222222222222222]] on file
 Call [[phone:+1 (212) 555-0187]] after five.
 Ring [[phone:+44 20 7946 0958]] or [[phone:+49 30 901820]].
@@ -61,6 +71,8 @@ mobile [[phone:07700 900123]] please
 appelez [[phone:01 42 68 53 00]] demain
 ruf [[phone:0171 5550123]] an
 Fax [[phone:(030) 555 01 77]], Zimmer 4
+Praxis: [[phone:0341 555 20 11]], Hof
+Verein [[phone:0711 555 64 02]], montags
 SSN [[id:078-05-1120]] on the form
 social security [[id:219-09-9999]] was given
 id [[id:536-22-1234]] is hers
@@ -117,7 +129,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if _TRIGGER.search(text):
         found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text):
-            d = _digits(m.group()) if m.end() - m.start() <= 40 else ""
+            d = _digits(m.group()) if m.end() - m.start() <= 37 else ""  # 19 digits with a separator between any two
             if 12 <= len(d) <= 19 and _luhn(d):
                 found.append((m.start(), 2, m.end()))
         if "+" in text:
@@ -131,7 +143,7 @@ def _shape(token: str) -> str:
         return token
     if token.isascii() and token.isdigit():
         return f"d{len(token) if len(token) < 12 else '12+'}"
-    return re.sub(r"(.)\1+", r"\1+", "".join("9" if c.isdigit() else "X" if c.isupper() else "x" for c in token[:24]))
+    return re.sub(r"(.)\1+", r"\1+", "".join("9" if c.isdigit() else "X" if c.isupper() else "x" for c in token))
 
 
 #: Words near a number that tell its kind; other words are known by shape alone.
@@ -193,37 +205,49 @@ def fit(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None, seed:
 
 
 def _plausible(kind: str, s: str) -> bool:
+    """What a span of the kind must hold besides its label; every kind needs a digit or an at sign."""
     n = len(_digits(s))
-    return {"email": "@" in s and len(s) >= 5, "ip": n >= 4 and s.count(".") == 3, "card": 12 <= n <= 19, "phone": 7 <= n <= 15, "id": n == 9}[kind]
+    return {"email": "@" in s and len(s) >= 5, "ip": n >= 4 and s.count(".") == 3, "card": 12 <= n <= 19 and _luhn(_digits(s)), "phone": 7 <= n <= 15, "id": n == 9}[kind]
 
 
-def _stretches(text: str) -> list[tuple[int, int]]:
-    """Places in text around digits and at signs, wide enough for ``CONTEXT`` words on either side, never through a word."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        if out and m.start() <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], m.end() + 48)
-        else:
-            out.append([max(0, m.start() - 48), m.end() + 48])
-    merged: list[list[int]] = []
-    for a, b in out:
-        b = min(b, len(text))
-        while a and a > (merged[-1][1] if merged else 0) and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
+def sentences(text: str, every: bool = False) -> Iterator[list[tuple[int, int]]]:
+    """(start, end) of the tokens of each sentence with a digit or at sign, or of ``every`` one.
+
+    A sentence ends at line breaks, and at space after a full stop, exclamation or question mark where a letter follows.
+    """
+    if not every and not _TRIGGER.search(text):
+        return
+    ends = [m.span() for m in _END.finditer(text)]
+    for a, b in zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)], strict=True):
+        if every or _TRIGGER.search(text, a, b):
+            run: list[tuple[int, int]] = []
+            for m in _TOKEN.finditer(text, a, b):
+                if len(run) >= SENTENCE and m.group().isalpha():
+                    yield run
+                    run = []
+                run.append(m.span())
+            if run:
+                yield run
+
+
+def _covered(base: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that base spans cover, apart and in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in base:
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
         else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged]
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 class Tagger:
     """Base and added spans of texts, decoded in one numpy batch a call."""
 
-    def __init__(self, crf: Crf):
-        self.crf, self.types = crf, Types(_features, most=50_000)
+    def __init__(self, crf: Crf, every: bool = False):
+        self.crf, self.types, self.every = crf, Types(_features, most=50_000), every
         self.emit = np.zeros((0, 3, LABELS))
 
     def spans(self, texts: list[str | None]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -234,11 +258,10 @@ class Tagger:
         base = [base_spans(t or "") for t in texts]
         places, lengths, owner = [], [], []
         for i, t in enumerate(texts):
-            for a, b in _stretches(t) if t else ():
-                if found := [(m.start(), m.end()) for m in _TOKEN.finditer(t, a, b)]:
-                    places += found
-                    lengths.append(len(found))
-                    owner += [i] * len(found)
+            for found in sentences(t, self.every) if t else ():
+                places += found
+                lengths.append(len(found))
+                owner += [i] * len(found)
         added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         if places:
             ids = np.array(self.types.ids([texts[i][a:b] for i, (a, b) in zip(owner, places, strict=True)]))
@@ -246,18 +269,21 @@ class Tagger:
                 self.emit = np.concatenate([self.emit, self.crf.of_types(np.array(new))])
             sizes = np.array(lengths)
             best = self.crf.best(self.crf.emissions(self.emit, ids, sizes), sizes)
-            for i, kind, a, b in self._runs(best, places, owner):
-                if _plausible(kind, texts[i][a:b]) and not any(a < y and x < b for _, x, y in base[i]):
+            covered = [_covered(b) for b in base]
+            for i, kind, a, b in self._runs(best, places, np.repeat(np.arange(len(sizes)), sizes), owner):
+                starts, ends = covered[i]
+                before = bisect_left(starts, b) - 1
+                if _plausible(kind, texts[i][a:b]) and (before < 0 or ends[before] <= a):
                     added[i].append((kind, a, b))
         return list(zip(base, added, strict=True))
 
     @staticmethod
-    def _runs(best: np.ndarray, places: list, owner: list):
-        """(text, kind, start, end) of each run of begin and inside labels."""
+    def _runs(best: np.ndarray, places: list, sequence: np.ndarray, owner: list):
+        """(text, kind, start, end) of each run of begin and inside labels of a sequence."""
         begins = np.flatnonzero(best % 2)
         for at in begins.tolist():
             kind, end = (best[at] - 1) // 2, at + 1
-            while end < len(best) and best[end] == 2 * kind + 2 and owner[end] == owner[at]:
+            while end < len(best) and best[end] == 2 * kind + 2 and sequence[end] == sequence[at]:
                 end += 1
             yield owner[at], KINDS[kind], places[at][0], places[end - 1][1]
 
@@ -266,7 +292,8 @@ def find_personal_data(docs: DataFrame, crf: Crf | None = None, keep_text: bool
     """(doc_id, base, added[, redacted]) for every row; spans in code points, end exclusive.
 
     Null texts are empty; ``redacted`` is null for them, else the text with each stretch of spans replaced by the first span's kind
-    in brackets. Repeated rows come back each; other columns are ignored.
+    in brackets. Repeated rows come back each, null ids stay, other columns are ignored, an empty table gives no rows. Base
+    spans of different kinds may overlap; added ones overlap none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf or fit())
 
