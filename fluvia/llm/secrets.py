@@ -2,9 +2,8 @@
 
 Every version of a text is a blob, addressed by its SHA-256. The ledger holds the (blob, rule
 version) pairs that were scanned, with their findings. A run scans only blobs that the ledger lacks
-for the rule version, each once however many paths carry it, and joins findings back to all paths.
-Only the ids of the unseen blobs' first paths are shuffled to find them; texts move once, by path id,
-so that a hot blob never gathers in one task.
+for the rule version, each once however many paths or repeated rows carry it, and joins findings back to all paths.
+Texts move once, by blob; copies are folded in each task before that, so a hot blob moves once a task.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import re
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql import functions as F
 
 from .base import map_arrow, table, written
@@ -84,20 +84,21 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scan ``versions`` (path_id, text): findings for every path, and the ledger rows to append.
+    """Scan ``versions`` (path_id, text): findings (path_id, base, more) for every row, and the ledger rows to append.
 
     A path may have several versions and repeated rows; null ids are kept. ledger: rows of earlier runs, as returned here; None for an empty one.
-    A blob that the ledger has for ``RULE_VERSION`` isn't scanned. Null texts are the empty blob.
+    A blob that the ledger has for ``RULE_VERSION`` isn't scanned. Null texts are the empty blob. Other columns are ignored;
+    an empty table gives no findings and no ledger rows.
     """
     hashed = versions.select("path_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"), "text")
     paths = written(hashed.select("path_id", "blob"), "paths")
-    first = paths.groupBy("blob").agg(F.min("path_id").alias("path_id"))
+    texts = hashed
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == RULE_VERSION)
-        first = first.join(known.select("blob"), "blob", "left_anti")
-    key = F.col("v.path_id").eqNullSafe(F.col("f.path_id")) & (F.col("v.blob") == F.col("f.blob"))
-    unseen = hashed.alias("v").join(first.alias("f"), key, "left_semi").select("blob", "text")
-    new = written(scan_blobs(unseen).dropDuplicates(["blob"]), "ledger")
+        unseen = written(paths.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"), "unseen")
+        texts = hashed.join(unseen, "blob", "left_semi")
+    # one text a blob, folded in each task before the shuffle: every unseen blob is scanned once
+    new = written(scan_blobs(texts.groupBy("blob").agg(F.any_value("text").alias("text"))), "ledger")
     all_rows = new if ledger is None else new.unionByName(known.select(new.columns))
     hits = all_rows.where("size(base) + size(more) > 0").select("blob", "base", "more")
     none = F.array().cast(FINDINGS)
@@ -105,6 +106,22 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFram
     return found, new
 
 
+def scan_with_ledger(versions: DataFrame, path: str) -> DataFrame:
+    """Findings as ``scan`` gives them, with the ledger kept at ``path``: read where it is there, and what was scanned now appended.
+
+    Two runs at once may both scan a blob; its rows are then equal, and one of them counts. A run that fails
+    before its append leaves the ledger as it was.
+    """
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.parquet(path).dropDuplicates(["blob", "rule_version"])
+    except AnalysisException:
+        ledger = None
+    found, new = scan(versions, ledger)
+    new.write.mode("append").parquet(path)
+    return found
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts, the hash of the base spans and the list of all spans, from ``found`` (path_id, base, more)."""
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
@@ -122,5 +139,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document; with ``fluvia.secrets.ledger`` set to a shared folder, the ledger there is used and kept."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path_id"), "text")
-    return digest(scan(docs)[0])
+    kept = spark.conf.get("fluvia.secrets.ledger", None)
+    return digest(scan_with_ledger(docs, kept) if kept else scan(docs)[0])
