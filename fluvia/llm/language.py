@@ -12,14 +12,13 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import fold, map_arrow, table
 
-#: Learning uses at most so many documents a language, and of each the first so many characters. Prediction reads whole texts.
+#: Learning uses at most so many documents a language, whole.
 SAMPLE_DOCS = 500
-SAMPLE_CHARS = 1500
 BUCKETS = 1 << 14
 AMBIGUOUS = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
@@ -88,7 +87,7 @@ class Model:
 
 def fit(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 60.0, decay: float = 1e-6) -> Model:
     """The model learned from (text, language) rows by gradient steps on the logistic loss of all bits at once."""
-    rows = [(t[:SAMPLE_CHARS], y) for t, y in rows if t and _LETTER.search(t)]
+    rows = [(t, y) for t, y in rows if t and _LETTER.search(t)]
     languages = sorted({y for _, y in rows})
     code = codewords(max(1, len(languages)))
     n_bits = code.shape[1]
@@ -119,19 +118,35 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 60.0, decay
 
 
 def labelled_sample(docs: DataFrame, held_out) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_DOCS`` prefixes a language, in order of a hash of the id, of rows that aren't held out."""
-    named = docs.where(F.col("lang").isNotNull() & ~held_out)
-    hashed = named.select("doc_id", F.col("lang").alias("y"), F.xxhash64("doc_id").alias("h"))
-    first = lambda rows, *keys: rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE_DOCS)
-    # first within 64 parts of each language, so that no task sees more than 64 samples' worth of a common one
-    ids = first(first(hashed, "y", F.pmod("h", F.lit(64))), "y")
-    texts = docs.select("doc_id", F.col("lang").alias("y"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(ids.select("doc_id", "y")), ["doc_id", "y"]).collect()  # at most SAMPLE_DOCS ids a language
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.text or ""))]
+    """(text, language) of at most ``SAMPLE_DOCS`` ids a language, in order of a hash of the id, of rows that aren't held out.
+
+    Every (id, language) counts once, with its least text; null ids, texts and languages give none. A language's rows are
+    first thinned by that hash to about 1.5 times what is wanted, so that neither a task nor the driver sees more of a
+    common one, however many rows it has.
+    """
+    named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    few = named.select("doc_id", "lang", place.alias("h")).join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("n") < 1.5 * SAMPLE_DOCS)
+    taken: dict[str, int] = {}
+    ids = []
+    for r in sorted(few.select("doc_id", "lang", "h").distinct().collect(), key=lambda r: (r.lang, r.h, r.doc_id)):
+        taken[r.lang] = taken.get(r.lang, 0) + 1
+        if taken[r.lang] <= SAMPLE_DOCS:
+            ids.append((r.doc_id, r.lang))
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(ids, "doc_id long, lang string")  # at most SAMPLE_DOCS ids a language
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return [(r.text, r.lang) for r in sorted(texts.where("text IS NOT NULL").collect(), key=lambda r: (r.doc_id, r.lang))]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) for every row; other columns are ignored, repeated rows come back each."""
+    """(doc_id, lang_pred, score, ambiguous) for every row.
+
+    Null texts and texts without a letter are ``und`` with score 0 and ambiguous, as all are without a learned language. Of
+    languages with equal losses the first by name wins, and the text is ambiguous. Repeated rows come back each with equal
+    results, null ids stay, other columns are ignored, an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
