@@ -5,16 +5,19 @@ coordinate. The Manhattan distance of two such points is at most the Hamming dis
 fingerprints, so points further apart than ``bits`` can be dropped unseen. Written in unary (00, 01,
 11) the point is again a 64-bit word, and the Manhattan distance is the bit count of an exclusive or.
 
-Grid: the 16 coordinates of each half are a cell. Of two points within Manhattan distance 3 one half
-is within distance 1, so each point looks into its own cell and into those one step up; the point
-below does the looking, which covers both directions. The join keeps pairs within the Manhattan
-bound and then checks the fingerprints themselves.
+Grid: the coordinates are cut into b blocks. Points within Manhattan distance 3 differ in at most three
+blocks, so they agree in all coordinates of some b - 3 of them: each such choice of blocks is a grid, its
+coordinates there are a point's cell, and points meet where they share a cell. The join keeps pairs within the
+Manhattan bound and then checks the fingerprints themselves. b grows with the number of different
+fingerprints (``blocks_for``), so that a cell holds a few of them whatever their number.
 
 Copies cost nothing here: the join sees each different fingerprint once.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,7 @@ from .base import discard, map_arrow, table, written
 
 SEED = 42
 SHINGLE = 3
+BITS = 3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOW_BITS = 0x5555555555555555
 
@@ -46,12 +50,12 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; null texts are empty."""
+    """(doc_id, version, fp) for every row; version is a hash of the text; null texts are empty."""
 
     def make():
-        return lambda cols: {"doc_id": cols["doc_id"], "fp": [fingerprint(t) for t in cols["text"]]}
+        return lambda cols: {"doc_id": cols["doc_id"], "version": cols["version"], "fp": [fingerprint(t) for t in cols["text"]]}
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("version")), make, "doc_id long, version long, fp long")
 
 
 def _unary(fp: str) -> str:
@@ -59,17 +63,29 @@ def _unary(fp: str) -> str:
     return f"(shiftleft(({fp} & {up}) & {_LOW_BITS}L, 1) | (({fp} | {up}) & {_LOW_BITS}L))"
 
 
-def near_links(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different fingerprints (column fp, distinct) at 3 or fewer differing bits."""
-    points = classes.select("fp", F.expr(_unary("fp")).alias("point"))
-    halves = points.select("fp", F.explode(F.expr("array(point & 4294967295L, shiftrightunsigned(point, 32) | 4294967296L)")).alias("cell"))
-    # one step up in coordinate i: 00 -> 01 -> 11; bit 32 of a cell tells the half
-    low, high = "(cell & shiftleft(1L, 2 * i))", "(cell & shiftleft(2L, 2 * i))"
-    up = f"CASE WHEN {low} = 0 THEN cell | shiftleft(1L, 2 * i) WHEN {high} = 0 THEN cell | shiftleft(2L, 2 * i) END"
-    looks = halves.select(F.col("fp").alias("x"), F.col("cell").alias("own"), F.explode(F.expr(f"filter(array_append(transform(sequence(0, 15), i -> {up}), cell), c -> c IS NOT NULL)")).alias("cell"))
-    near = F.expr(f"bit_count({_unary('x')} ^ {_unary('fp')}) <= 3 AND bit_count(x ^ fp) <= 3 AND (own <> c2 OR x < fp)")
-    pairs = looks.join(halves.withColumnRenamed("cell", "c2"), (F.col("cell") == F.col("c2")) & near)
-    return pairs.select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct()
+def blocks_for(n: int, most: float = 8.0) -> int:
+    """The least number of blocks (5 at least) with which a cell holds at most ``most`` of ``n`` random points on average.
+
+    A coordinate of two random bits (1/4, 1/2, 1/4) agrees with another's with probability 3/8.
+    """
+    blocks = 5
+    while n * 0.375 ** (32 * (blocks - BITS) / blocks) > most and blocks < 32:
+        blocks += 1
+    return blocks
+
+
+def near_links(classes: DataFrame, n: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of different fingerprints (column fp, distinct) at 3 or fewer differing bits; n is their number, counted if not given."""
+    blocks = blocks_for(classes.count() if n is None else n)
+    of = [i * blocks // 32 for i in range(32)]  # the block of each coordinate
+    masks = [sum(3 << 2 * i for i in range(32) if of[i] not in left_out) for left_out in combinations(range(blocks), BITS)]
+    grids = F.array(*(F.lit(m - (m >> 63 << 64)) for m in masks))
+    point = F.expr(_unary("fp"))
+    cells = classes.select("fp", F.posexplode(F.transform(grids, lambda m: m.bitwiseAND(point))).alias("grid", "cell"))
+    x, y = cells.alias("x"), cells.alias("y")
+    bound = f"bit_count({_unary('x.fp')} ^ {_unary('y.fp')}) <= {BITS} AND bit_count(x.fp ^ y.fp) <= {BITS}"
+    met = x.join(y, F.expr(f"x.grid = y.grid AND x.cell = y.cell AND x.fp < y.fp AND {bound}"))
+    return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def _marks(edges: DataFrame):
@@ -98,23 +114,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id), one row per input row; component_id is the smallest doc_id reachable by links of 3 bits or fewer.
+    """(doc_id, version, fp, root, component_id), one row per input row; component_id is the smallest doc_id reachable by links of 3 bits or fewer.
 
-    Null and empty texts have fingerprint 0 and link like any other. A null doc_id never becomes a component_id.
-    Repeated rows come back each. Other columns are ignored; an empty table gives no rows.
+    root, the smallest fingerprint of the component, names it even where two of them share their smallest doc_id (one id with several
+    texts); version is a hash of the text. Null and empty texts have fingerprint 0 and link like any other. A null doc_id
+    never becomes a component_id. Repeated rows come back each. Other columns are ignored; an empty table gives no rows.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
     roots = components(near_links(classes.select("fp")))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.col("root"))
-    whole = rooted.where("root IS NOT NULL").unionByName(
-        # the root itself is no node of the star edges
-        rooted.where("root IS NULL").join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").withColumn("root", F.col("fp"))
-    )
-    ids = whole.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    linked = whole.join(ids, "root").select("fp", "component_id")
-    named = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    named = written(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(named, "fp").select("doc_id", "version", "fp", "root", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
