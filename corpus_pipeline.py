@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last
 return the columns of documents. ``run`` writes each stage's rows as Parquet and rereads them.
 Null texts and texts without words pass the toxicity stage and are rejected by the language stage as
-having no language. Rows without a doc_id are never judged copies of others. An empty table gives no rows.
+having no language. Rows without a doc_id are never judged copies of others. Rows that share a doc_id but not their
+text are documents of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import language, pii, simhash, toxicity
-from fluvia.llm.base import fold, map_rows, table, written
+from fluvia.llm.base import discard, fold, map_rows, scratch, table, written
 from fluvia.llm.packing import pack
 
 
@@ -52,11 +53,12 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each near-duplicate group."""
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """Keeps one document of each near-duplicate group: that with the smallest doc_id, of several texts under it the one with the least hash."""
+    found = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("m")).select(F.col("m.doc_id").alias("__near_id"), F.col("m.version").alias("__near_version"))
+    versions = docs.withColumn("__near_version", F.xxhash64("text")).withColumn("__near_id", F.col("doc_id"))
+    kept = versions.join(first, ["__near_id", "__near_version"], "left_semi").dropDuplicates(["__near_id", "__near_version"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,7 +101,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, stays=True)
+        if before is not None:
+            discard(before)  # nothing reads the stage before any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
