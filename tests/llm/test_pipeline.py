@@ -1,7 +1,7 @@
 """Stages of the pipeline against brute force on small tables."""
 
 import corpus_pipeline
-from fluvia.llm import language, pii, simhash, toxicity
+from fluvia.llm import pii, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,5 +52,19 @@ def test_odd_rows(spark, odd):
         assert stage(spark, empty, SF).count() == 0
 
 
-def test_language_model_is_small():
-    assert language.SAMPLE_DOCS * language.SAMPLE_CHARS <= 1_000_000
+def test_no_text_is_lost_for_a_shared_id(spark, odd):
+    rows = [(1, "alpha beta gamma delta", "a"), (1, "completely other words are here now", "a"), (2, "alpha beta gamma delta", "b"), (1, "alpha beta gamma delta", "a"), (None, "alpha beta gamma delta", "c"), (None, "alpha beta gamma delta", "c")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert kept == [(0, "alpha beta gamma delta")] * 2 + [(1, "alpha beta gamma delta"), (1, "completely other words are here now")]
+
+
+def test_run_leaves_only_what_its_rows_need(spark):
+    import os
+
+    from fluvia.llm import base
+
+    folder = base.shared_dir(spark).removeprefix("file://") + "/fluvia"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"personal_data", "tokens"}
