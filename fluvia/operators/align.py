@@ -40,17 +40,35 @@ def by_time(keys: tuple[str, ...] = (KEY,)) -> Window:
     return Window.partitionBy(*keys).orderBy("ts")
 
 
-def blocks(grid: DataFrame, before: int, after: int = 0, unit_seconds: int = 86400, size: int = 4096) -> tuple[DataFrame, tuple[str, ...]]:
-    """Cuts each station's dense grid into runs of ``size`` steps that carry ``before`` and ``after`` steps of their neighbours.
+def step_of(unit_seconds: int = 86400) -> Column:
+    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / unit_seconds)
 
-    Windows of that reach can then be partitioned by (station, block), so one long record uses many tasks.
-    Drop the borrowed rows afterwards with ``own(...)``. Both reaches must be at most ``size``.
+
+def numbered(rows: DataFrame, keys: tuple[str, ...] = (KEY,), unit_seconds: int = 86400, size: int = 4096) -> DataFrame:
+    """rows with _i: the place of each among its key's rows in order of ts, from 0.
+
+    Rows are numbered inside stretches of ``size`` steps of time, and the stretches' counts add up to where each begins, so no
+    task holds a whole long key; a stretch has one row where ``size`` steps have ``size``.
     """
-    step = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / unit_seconds)
-    home, place = F.floor(step / size), F.pmod(step, F.lit(size))
-    into = F.array_compact(F.array(home, *([F.when(place >= size - before, home + 1)] if before else []), *([F.when(place < after, home - 1)] if after else [])))
+    cut = rows.withColumn("_stretch", F.floor(step_of(unit_seconds) / size))
+    inside = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy("ts")) - 1)
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_stretch").agg(F.count("*").alias("_c")).withColumn("_from", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return inside.join(starts, [*keys, "_stretch"]).withColumn("_i", F.col("_i") + F.col("_from")).drop("_stretch", "_from")
+
+
+def blocks(grid: DataFrame, before: int, after: int = 0, unit_seconds: int = 86400, size: int = 4096, keys: tuple[str, ...] = (KEY,), place: str | None = None) -> tuple[DataFrame, tuple[str, ...]]:
+    """Cuts each key's rows into runs of ``size`` steps that carry ``before`` and ``after`` steps of their neighbours.
+
+    A step is one of the dense grid's, or the column ``place`` (see ``numbered``). Windows of that reach can then be partitioned
+    by (keys, block), so one long record uses many tasks. Drop the borrowed rows afterwards with ``own(...)``. Both reaches
+    must be at most ``size``.
+    """
+    step = F.col(place) if place else step_of(unit_seconds)
+    home, inner = F.floor(step / size), F.pmod(step, F.lit(size))
+    into = F.array_compact(F.array(home, *([F.when(inner >= size - before, home + 1)] if before else []), *([F.when(inner < after, home - 1)] if after else [])))
     cut = grid.withColumn("_home", home).withColumn("_block", F.explode(into))
-    return cut, (KEY, "_block")
+    return cut, (*keys, "_block")
 
 
 def own(rows: DataFrame) -> DataFrame:
@@ -64,17 +82,25 @@ def ffill(grid: DataFrame, limit: int, unit_seconds: int = 86400) -> DataFrame:
     return own(cut.withColumn("value", F.last("value", ignorenulls=True).over(w)))
 
 
-def interpolate(grid: DataFrame, limit: int) -> DataFrame:
-    """Linear by position; a null is filled when at most ``limit`` steps after the last value. Tails stay flat, heads stay null."""
-    w = by_time()
-    at = F.row_number().over(w)
+def interpolate(grid: DataFrame, limit: int, unit_seconds: int = 86400, size: int = 4096) -> DataFrame:
+    """Linear by position on a dense grid; a null is filled when at most ``limit`` steps after the last value. Tails stay flat, heads stay null.
+
+    The last value lies at most ``limit`` steps back, so a block borrows that much; the next value may lie in a later block,
+    and comes from the first value of each.
+    """
+    steps = grid.withColumn("_i", step_of(unit_seconds))
+    cut, keys = blocks(steps, limit, size=size, place="_i")
+    w = by_time(keys)
     have = F.when(F.col("value").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("value").alias("v")))
-    past = F.last(have, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    past = F.last(have, ignorenulls=True).over(w.rowsBetween(-limit, 0))
     next_ = F.first(have, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = grid.withColumn("_i", at).withColumn("_p", past).withColumn("_n", next_)
+    firsts = steps.groupBy(KEY, F.floor(F.col("_i") / size).alias("_home")).agg(F.min(have).alias("_f"))
+    later = F.first("_f", ignorenulls=True).over(Window.partitionBy(KEY).orderBy("_home").rowsBetween(1, Window.unboundedFollowing))
+    ahead = firsts.select(KEY, "_home", later.alias("_later"))  # a row a block
+    rows = cut.withColumn("_p", past).withColumn("_n", next_).where("_home = _block").join(ahead, [KEY, "_home"]).withColumn("_n", F.coalesce("_n", "_later"))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("_i") - F.col("_p.i")) / (F.col("_n.i") - F.col("_p.i"))
     filled = F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("_i") - F.col("_p.i") <= limit, F.when(F.col("_n").isNull(), F.col("_p.v")).otherwise(line))
-    return rows.withColumn("value", filled).drop("_i", "_p", "_n")
+    return rows.withColumn("value", filled).select(grid.columns)
 
 
 def upsample(daily: DataFrame) -> DataFrame:
@@ -93,10 +119,23 @@ def hybrid(rows: DataFrame, stations: DataFrame, below_mile: float = 228.0) -> D
 
 
 def update(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old values overwritten by the non-null new ones of the same station and time."""
+    """Old values overwritten by the non-null new ones of the same station and time; times that only the new rows have are left out."""
     return old.join(new.select(KEY, "ts", F.col("value").alias("_new")), [KEY, "ts"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_new")
 
 
+def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(station_id, ts, value): all rows of both; where both have a station and time the new value counts, null or not."""
+    both = old.select(KEY, "ts", F.struct(F.lit(0).alias("n"), F.col("value").alias("v")).alias("x")).unionByName(new.select(KEY, "ts", F.struct(F.lit(1).alias("n"), F.col("value").alias("v")).alias("x")))
+    return both.groupBy(KEY, "ts").agg(F.max_by(F.col("x.v"), F.col("x.n")).alias("value"))
+
+
+def grid_step(rows: DataFrame) -> DataFrame:
+    """(station_id, steps_per_day): 24 where a station's first two rows are at most an hour apart, else 1 (so too for a single row)."""
+    first = rows.groupBy(KEY).agg(F.min("ts").alias("_a")).join(rows.select(KEY, F.col("ts").alias("_b")), KEY).where("_b > _a").groupBy(KEY, "_a").agg(F.min("_b").alias("_b"))
+    step = F.unix_seconds(F.col("_b").cast("timestamp")) - F.unix_seconds(F.col("_a").cast("timestamp"))
+    return rows.select(KEY).distinct().join(first, KEY, "left").select(KEY, F.when(step <= 3600, 24).otherwise(1).cast("bigint").alias("steps_per_day"))
+
+
 def complete(rows: DataFrame, features: list[str], share: float = 0.3) -> DataFrame:
     """Rows with more than ``share`` of their features present, and how many."""
     present = sum((F.col(f).isNotNull().cast("int") for f in features), F.lit(0))

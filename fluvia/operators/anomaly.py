@@ -51,31 +51,42 @@ def spike(rows: DataFrame, times: float = 5.0, include_current: bool = True) ->
     return _anomaly(hit, "spike", F.lit("critical"), F.concat(F.lit("changed by "), F.round("change", 2).cast("string")), F.col("previous"))
 
 
-def consistency_scores(rows: DataFrame, tail: int = 60, floor: float = 0.25) -> DataFrame:
-    """(station_id, ts, value, predicted, z): the last residual less the mean of the last ``tail``, over their robust sigma."""
-    last = _latest(rows.where("value IS NOT NULL AND predicted IS NOT NULL").withColumn("residual", F.col("value") - F.col("predicted")), tail)
+def _residuals(rows: DataFrame, days: int) -> DataFrame:
+    """rows of the network's last ``days`` days with their residual, numbered back from each station's latest."""
+    ends = rows.agg(F.max("ts").alias("_end"))  # one row
+    recent = rows.crossJoin(F.broadcast(ends)).where(F.col("ts") > F.col("_end") - F.make_interval(days=F.lit(days))).drop("_end")
+    return _latest(recent.withColumn("residual", F.col("value") - F.col("predicted")).where("residual IS NOT NULL"), days * 24)
+
+
+def consistency_scores(rows: DataFrame, days: int = 60, floor: float = 0.25, least: int = 5) -> DataFrame:
+    """(station_id, ts, value, predicted, z): the last residual less the mean of the last ``days`` days, over their robust sigma; ``least`` rows at least."""
+    last = _residuals(rows, days)
     sigma = robust_sigma(last, floor, column="residual").select(KEY, "sigma")
-    stats = last.groupBy(KEY).agg(F.avg("residual").alias("_m"), F.max(F.when(F.col("back") == 1, F.struct("ts", "value", "predicted", "residual"))).alias("l"))
-    return stats.join(sigma, KEY).select(KEY, "l.ts", "l.value", "l.predicted", ((F.col("l.residual") - F.col("_m")) / F.col("sigma")).alias("z"))
+    stats = last.groupBy(KEY).agg(F.count("*").alias("_n"), F.avg("residual").alias("_m"), F.max(F.when(F.col("back") == 1, F.struct("ts", "value", "predicted", "residual"))).alias("l"))
+    return stats.where(F.col("_n") >= least).join(sigma, KEY).select(KEY, "l.ts", "l.value", "l.predicted", ((F.col("l.residual") - F.col("_m")) / F.col("sigma")).alias("z"))
 
 
 def consistency(rows: DataFrame, warn: float = 3.0, critical: float = 5.0) -> DataFrame:
     hit = consistency_scores(rows).where(F.abs("z") > warn)
-    return _anomaly(hit, "inconsistent", F.when(F.abs("z") > critical, "critical").otherwise("warning"), F.concat(F.lit("z = "), F.round("z", 2).cast("string")), F.col("predicted"))
+    return _anomaly(hit, "outlier", F.when(F.abs("z") > critical, "critical").otherwise("warning"), F.concat(F.lit("z = "), F.round("z", 2).cast("string")), F.col("predicted"))
 
 
-def drift_shifts(rows: DataFrame, n: int = 14, floor: float = 0.25) -> DataFrame:
-    """(station_id, ts, value, shift, sigma): mean residual of the last n rows less that of the n before; 2n rows at least."""
-    last = _latest(rows.where("value IS NOT NULL AND predicted IS NOT NULL").withColumn("residual", F.col("value") - F.col("predicted")), 2 * n)
-    sigma = robust_sigma(last, floor, column="residual").select(KEY, "sigma")
+def drift_shifts(rows: DataFrame, n: int = 14, days: int = 60, floor: float = 0.25) -> DataFrame:
+    """(station_id, ts, value, shift, sigma): mean residual of the last n rows less that of the earlier ones of the last ``days`` days; 2n rows at least.
+
+    sigma is that of the earlier residuals alone, so that a shift doesn't dull its own test.
+    """
+    last = _residuals(rows, days)
+    sigma = robust_sigma(last.where(F.col("back") > n), floor, column="residual").select(KEY, "sigma")
     mean = lambda c: F.avg(F.when(c, F.col("residual")))
     both = last.groupBy(KEY).agg(F.count("*").alias("_n"), (mean(F.col("back") <= n) - mean(F.col("back") > n)).alias("shift"), F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
     return both.where(F.col("_n") >= 2 * n).join(sigma, KEY).select(KEY, "ts", "value", "shift", "sigma")
 
 
 def drift(rows: DataFrame, times: float = 2.0) -> DataFrame:
+    """Stations whose residuals have moved by more than ``times`` sigmas; the message gives the shift in sigmas."""
     hit = drift_shifts(rows).where(F.abs("shift") > times * F.col("sigma"))
-    return _anomaly(hit, "datum_drift", F.lit("warning"), F.concat(F.lit("shifted by "), F.round("shift", 2).cast("string")), F.col("value") - F.col("shift"))
+    return _anomaly(hit, "datum_drift", F.lit("warning"), F.concat(F.lit("shifted by "), F.round(F.col("shift") / F.col("sigma"), 2).cast("string"), F.lit(" sigma")), F.col("value") - F.col("shift"))
 
 
 def detect(raw: DataFrame, predicted: DataFrame) -> DataFrame:

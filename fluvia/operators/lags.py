@@ -6,24 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import adaptive_speed, half_even, travel_days
-from .align import KEY, interpolate
-from .stats import discharge_bins
+from .align import KEY, blocks, own
+from .network import pairs as network_pairs
+from .stats import BINS
 from .windows import detrend, extrema
 
 
 def xcorr(grid: DataFrame, pairs: DataFrame, most: int = 21, least_rows: int = 90) -> DataFrame:
-    """(up, dn, lag_days, r): the lag of 0 to ``most`` days with the best correlation of the detrended, gap-filled series.
+    """(up, dn, lag_days, r): the lag of 0 to ``most`` rows with the best correlation of the two series.
 
-    Pairs with fewer common rows get lag 0 and no r; a null correlation never wins; ties take the smaller lag.
+    A pair's series are their readings on common days, less their centred 90-row mean; lags count these rows. Pairs with
+    fewer common rows get lag 0 and no r; a null correlation never wins; ties take the smaller lag.
     """
-    series = detrend(interpolate(grid, 5).where("value IS NOT NULL")).select(KEY, "ts", "anomaly")
-    dense = grid.select(KEY, "ts").join(series, [KEY, "ts"], "left")
-    up = dense.toDF("up", "ts", "a").join(F.broadcast(pairs.select("up", "dn")), "up")
-    both = up.join(dense.toDF("dn", "ts", "b"), ["dn", "ts"])
-    w = Window.partitionBy("up", "dn").orderBy("ts")
-    lagged = both.select("up", "dn", "b", *(F.lag("a", k).over(w).alias(f"a{k}") for k in range(most + 1)))
-    common = F.count(F.when(F.col("a0").isNotNull() & F.col("b").isNotNull(), 1)).alias("n")
-    r = lagged.groupBy("up", "dn").agg(common, *(F.corr(f"a{k}", "b").alias(f"r{k}") for k in range(most + 1)))
+    live = grid.where("value IS NOT NULL").select(KEY, "ts", "value")
+    both = live.toDF("up", "ts", "a").join(F.broadcast(pairs.select("up", "dn")), "up").join(live.toDF("dn", "ts", "b"), ["dn", "ts"])
+    flat = detrend(both, keys=("up", "dn"), columns=("a", "b"))
+    cut, keys = blocks(flat, most, keys=("up", "dn"), place="_i")
+    w = Window.partitionBy(*keys).orderBy("_i")
+    lagged = own(cut.withColumns({f"a{k}": F.lag("a_anomaly", k).over(w) for k in range(most + 1)}))
+    r = lagged.groupBy("up", "dn").agg(F.count("*").alias("n"), *(F.corr(f"a{k}", "b_anomaly").alias(f"r{k}") for k in range(most + 1)))
     each = F.array(*(F.struct((-F.round(f"r{k}", 9)).alias("key"), F.lit(k).alias("lag_days"), F.col(f"r{k}").alias("r")) for k in range(most + 1)))
     best = F.array_min(F.filter(each, lambda x: x["r"].isNotNull() & ~F.isnan(x["r"])))
     known = pairs.select("up", "dn").join(r.select("up", "dn", "n", best.alias("best")), ["up", "dn"], "left").withColumn("_ok", F.coalesce(F.col("n") >= least_rows, F.lit(False)))
@@ -31,45 +32,64 @@ def xcorr(grid: DataFrame, pairs: DataFrame, most: int = 21, least_rows: int = 9
 
 
 def greedy_match(up: Column, dn: Column, window: int) -> Column:
-    """Lags of upstream extremum days (array) matched in order to the first later, unused downstream day within ``window``."""
-    step = lambda s, u: F.when(
-        F.exists(dn, lambda d: (d > u) & (d > s["last"]) & (d <= u + window)),
-        F.struct(
-            F.array_min(F.filter(dn, lambda d: (d > u) & (d > s["last"]) & (d <= u + window))).alias("last"),
-            F.array_append(s["found"], F.struct(u.alias("day"), (F.array_min(F.filter(dn, lambda d: (d > u) & (d > s["last"]) & (d <= u + window))) - u).alias("lag"))).alias("found"),
-        ),
-    ).otherwise(s)
+    """(day, lag) of upstream extremum days (array, in order): each takes the first unused downstream day from its own to ``window`` later.
+
+    A downstream day counts as used up to the last one taken, so matches never cross.
+    """
+
+    def free(s: Column, u: Column) -> Column:
+        return F.filter(dn, lambda d: (d >= u) & (d > s["last"]) & (d <= u + window))
+
+    def take(s: Column, u: Column) -> Column:
+        d = F.array_min(free(s, u))
+        return F.when(d.isNotNull(), F.struct(d.alias("last"), F.array_append(s["found"], F.struct(u.alias("day"), (d - u).alias("lag"))).alias("found"))).otherwise(s)
+
     start = F.struct(F.lit(-(1 << 40)).cast("bigint").alias("last"), F.array().cast("array<struct<day:bigint,lag:bigint>>").alias("found"))
-    return F.aggregate(up, start, step)["found"]
+    return F.aggregate(up, start, take)["found"]
 
 
-def matched_lags(grid: DataFrame, pairs: DataFrame, q: DataFrame | None = None, window: int = 30, least: int = 5, least_bin: int = 3, least_valid: int = 8) -> DataFrame:
-    """(up, dn, bin, lag_days): median lag of matched peaks and troughs, overall and by discharge quartile.
+def matched_lags(daily: DataFrame, pairs: DataFrame, q: DataFrame | None = None, window: int = 21, least: int = 5, least_bin: int = 3, least_valid: int = 8) -> DataFrame:
+    """(up, dn, bin, lag_days): median lag of matched extrema, overall and by quartile of the matched events' discharge.
 
-    Under ``least`` extrema on a side or matches, the cross-correlation lag; a bin under ``least_bin`` matches, or with under
-    ``least_valid`` matches of known discharge at all, takes the overall lag. Days are folded into arrays per station and kind:
-    some dozens a year.
+    Peaks and troughs form one list a station, matched in order within ``window`` days. Under ``least`` extrema on a side or matches, all bins
+    take the cross-correlation lag. An event's discharge is the mean within a day of it; with ``least_valid`` events of known discharge
+    their quartiles cut bins, closed on both sides; a bin of ``least_bin`` events takes their median, any other the cross-correlation lag.
+    Days are folded into arrays per station: some dozens a year.
     """
-    ext = extrema(grid).withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint"))
-    days = ext.groupBy(KEY, "kind").agg(F.array_sort(F.collect_list("day")).alias("days"))
-    sides = pairs.select("up", "dn").join(days.toDF("up", "kind", "up_days"), "up").join(days.toDF("dn", "kind", "dn_days"), ["dn", "kind"])
+    ext = extrema(daily).withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint"))
+    days = ext.groupBy(KEY).agg(F.array_sort(F.collect_list("day")).alias("days"))
+    sides = pairs.select("up", "dn").join(days.toDF("up", "up_days"), "up").join(days.toDF("dn", "dn_days"), "dn")
     enough = sides.where((F.size("up_days") >= least) & (F.size("dn_days") >= least))
     hits = enough.select("up", "dn", F.explode(greedy_match(F.col("up_days"), F.col("dn_days"), window)).alias("m")).select("up", "dn", "m.day", "m.lag")
     overall = hits.groupBy("up", "dn").agg(F.count("*").alias("n"), F.percentile("lag", 0.5).alias("med")).where(F.col("n") >= least)
-    fallback = xcorr(grid, pairs).select("up", "dn", F.col("lag_days").alias("_x"))
-    base = fallback.join(overall, ["up", "dn"], "left").withColumn("overall", F.coalesce(half_even(F.col("med")), F.col("_x")))
-    out = base.select("up", "dn", F.lit("overall").alias("bin"), F.col("overall").alias("lag_days"))
+    base = xcorr(daily, pairs).select("up", "dn", F.col("lag_days").alias("_x")).join(overall, ["up", "dn"], "left")
+    out = base.select("up", "dn", F.lit("overall").alias("bin"), F.coalesce(half_even(F.col("med")), F.col("_x")).alias("lag_days"))
+    every = base.select("up", "dn", "_x", F.explode(F.array(*map(F.lit, BINS))).alias("bin"))
     if q is None:
-        return out
-    dated = hits.join(overall.select("up", "dn"), ["up", "dn"], "left_semi").join(q.select(F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("day"), "q"), "day")
-    bins = F.broadcast(discharge_bins(q))
-    valid = dated.groupBy("up", "dn").agg(F.count("*").alias("_v")).where(F.col("_v") >= least_valid).select("up", "dn")
-    binned = dated.join(valid, ["up", "dn"], "left_semi").join(bins, F.col("q").between(F.col("q_lo"), F.col("q_hi"))).groupBy("up", "dn", "bin").agg(F.count("*").alias("n"), F.percentile("lag", 0.5).alias("med"))
-    every = base.crossJoin(F.broadcast(discharge_bins(q).select("bin"))).select("up", "dn", "bin", "overall")
-    per_bin = every.join(binned.where(F.col("n") >= least_bin), ["up", "dn", "bin"], "left").select("up", "dn", "bin", F.coalesce(half_even(F.col("med")), F.col("overall")).alias("lag_days"))
+        return out.unionByName(every.select("up", "dn", "bin", F.col("_x").alias("lag_days")))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    around = q.where("q IS NOT NULL").select(F.explode(F.array(day - 1, day, day + 1)).alias("day"), "q").groupBy("day").agg(F.avg("q").alias("q"))
+    dated = hits.join(overall.select("up", "dn"), ["up", "dn"], "left_semi").join(around, "day")
+    cuts = dated.groupBy("up", "dn").agg(F.count("*").alias("_v"), F.percentile("q", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("_c")).where(F.col("_v") >= least_valid)
+    bins = F.explode(F.array(*(F.struct(F.lit(b).alias("bin"), F.col("_c")[i].alias("lo"), F.col("_c")[i + 1].alias("hi")) for i, b in enumerate(BINS)))).alias("b")
+    cut = cuts.select("up", "dn", bins).select("up", "dn", "b.*")
+    binned = dated.join(F.broadcast(cut), ["up", "dn"]).where(F.col("q").between(F.col("lo"), F.col("hi")))
+    medians = binned.groupBy("up", "dn", "bin").agg(F.count("*").alias("n"), F.percentile("lag", 0.5).alias("med")).where(F.col("n") >= least_bin)
+    per_bin = every.join(medians, ["up", "dn", "bin"], "left").select("up", "dn", "bin", F.coalesce(half_even(F.col("med")), F.col("_x")).alias("lag_days"))
     return out.unionByName(per_bin)
 
 
+def best_covered(q: DataFrame) -> DataFrame:
+    """(ts, q) of the gauge with the most values, of equals the first by id: the discharge that conditions the lags."""
+    best = q.where("value IS NOT NULL").groupBy(KEY).count().orderBy(F.desc("count"), KEY).limit(1).select(KEY)
+    return q.join(F.broadcast(best), KEY, "left_semi").select("ts", F.col("value").alias("q"))
+
+
+def network_lags(daily: DataFrame, stations: DataFrame, discharge: DataFrame | None = None, following: int = 3, most_miles: float = 600.0) -> DataFrame:
+    """``matched_lags`` of each station with the next few downstream, conditioned on the best covered discharge gauge."""
+    return matched_lags(daily, network_pairs(stations, following, most_miles), None if discharge is None else best_covered(discharge))
+
+
 def adaptive_lags(pairs: DataFrame, q: DataFrame, reference: float | None = None, base: float = 100.0) -> DataFrame:
     """(up, dn, lags): the distinct travel times at the 10, 25, 50, 75 and 90 % discharges, and 1, in order."""
     points = F.array(*(F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)))

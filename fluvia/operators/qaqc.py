@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lerp, share_between
+from ..sources.scratch import discard, written
 from .align import KEY
 from .network import neighbours, spatial_prediction
 from .stats import robust_sigma
@@ -33,56 +34,59 @@ def spatial(stations: DataFrame) -> Predictor:
     return predict
 
 
-def iterate(grid: DataFrame, predict: Predictor, z: float = 3.5, rounds: int = 4, floor: float = 0.25, least: int = 120, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(station_id, ts, observed, predicted, residual, is_outlier, was_excluded, corrected) on the whole grid.
+def iterate(grid: DataFrame, predict: Predictor, z: float = 3.5, rounds: int = 4, floor: float = 0.25, least: int = 120) -> DataFrame:
+    """(station_id, ts, observed, predicted, residual, sigma, is_outlier, was_excluded, corrected) on the whole grid.
 
-    Each round predicts from the rows not flagged before, and flags residuals further than z robust sigmas from their median.
-    Flags add up to choose training rows; the last round alone decides is_outlier. Stops when no station's flags change, or a
-    station has under ``least`` training rows left. corrected is the prediction where flagged or missing. ``keep`` writes a
-    round's rows (to a table or a checkpoint) so that lineage stays short.
+    Each round predicts from a station's rows not flagged before, and flags residuals of more than z robust sigmas. Flags add up to
+    choose training rows; the station's last round alone decides is_outlier and sigma. Every station stops by itself: before a round
+    with under ``least`` training rows, or after one that flags nothing new. A station never predicted keeps its readings.
+    corrected is the prediction where flagged or missing. Each round is a written table, so lineage stays short.
     """
-    rows = grid.select(KEY, "ts", "value").withColumn("excluded", F.lit(False))
-    flagged_before = None
+    none = F.lit(None).cast("double")
+    rows = grid.select(KEY, "ts", "value").withColumns({"excluded": F.lit(False), "predicted": none, "sigma": none, "is_outlier": F.lit(False), "active": F.lit(True)})
+    before = None
     for _ in range(rounds):
-        guess = predict(rows.withColumn("training", F.col("value").isNotNull() & ~F.col("excluded")))
-        guess = guess.withColumn("residual", F.col("value") - F.col("predicted"))
-        spread = robust_sigma(guess.where("residual IS NOT NULL"), floor, column="residual").withColumnRenamed("median", "_med")
-        seen = guess.join(F.broadcast(spread), KEY, "left")
-        out = F.coalesce(F.abs(F.col("residual") - F.col("_med")) > z * F.col("sigma"), F.lit(False))
-        rows = seen.withColumn("is_outlier", out).withColumn("excluded", F.col("excluded") | out)
-        if keep is not None:
-            rows = keep(rows)
-            state = rows.groupBy(KEY).agg(F.sum(F.col("excluded").cast("int")).alias("f"), F.sum((F.col("value").isNotNull() & ~F.col("excluded")).cast("int")).alias("t")).orderBy(KEY).collect()  # a row a station
-            flagged = [r.f for r in state]
-            if flagged == flagged_before or min((r.t for r in state), default=0) < least:
-                break
-            flagged_before = flagged
-        last, rows = rows, rows.select(KEY, "ts", "value", "excluded")
-    corrected = F.when(F.col("is_outlier") | F.col("value").isNull(), F.col("predicted")).otherwise(F.col("value"))
-    return last.select(KEY, "ts", F.col("value").alias("observed"), "predicted", "residual", "is_outlier", F.col("excluded").alias("was_excluded"), corrected.alias("corrected"))
-
-
-def repair_gaps(result: DataFrame, stations: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """result with suspect and repaired: gap fills checked against the raw readings of both neighbours.
-
-    A fill outside the neighbours' range by more than ``tolerance`` is suspect and becomes the value between the two by river
-    mile. Only raw readings anchor a repair, so the order of stations doesn't matter; without both the fill stays.
+        ready = rows.groupBy(KEY).agg((F.first("active") & (F.count_if(F.col("value").isNotNull() & ~F.col("excluded")) >= least)).alias("ready"))
+        known = rows.join(F.broadcast(ready), KEY).withColumn("training", F.col("value").isNotNull() & ~F.col("excluded"))
+        guess = written(predict(known.drop("predicted")).select(KEY, "ts", "predicted"), "guess")
+        fresh = known.withColumnRenamed("predicted", "_old").join(guess, [KEY, "ts"]).withColumn("predicted", F.when(F.col("ready"), F.col("predicted")).otherwise(F.col("_old")))
+        gap = fresh.select(KEY, (F.col("value") - F.col("predicted")).alias("residual")).where("residual IS NOT NULL")
+        spread = robust_sigma(gap, floor, column="residual").select(KEY, F.col("sigma").alias("_sigma"))
+        seen = fresh.join(F.broadcast(spread), KEY, "left")
+        out = F.coalesce(F.abs(F.col("value") - F.col("predicted")) > z * F.col("_sigma"), F.lit(False))
+        seen = seen.withColumn("is_outlier", F.when(F.col("ready"), out).otherwise(F.col("is_outlier"))).withColumn("sigma", F.when(F.col("ready"), F.col("_sigma")).otherwise(F.col("sigma")))
+        seen = seen.withColumn("_new", F.col("ready") & F.col("is_outlier") & ~F.col("excluded"))
+        news = seen.groupBy(KEY).agg((F.first("ready") & F.bool_or("_new")).alias("_active"))
+        nxt = seen.join(F.broadcast(news), KEY).select(KEY, "ts", "value", (F.col("excluded") | F.col("_new")).alias("excluded"), "predicted", "sigma", "is_outlier", F.col("_active").alias("active"))
+        rows = written(nxt, "round")
+        discard(guess)
+        if before is not None:
+            discard(before)
+        before = rows
+        if rows.where("active").isEmpty():
+            break
+    corrected = F.when(F.col("is_outlier") | F.col("value").isNull(), F.coalesce("predicted", "value")).otherwise(F.col("value"))
+    return rows.select(KEY, "ts", F.col("value").alias("observed"), "predicted", (F.col("value") - F.col("predicted")).alias("residual"), "sigma", "is_outlier", F.col("excluded").alias("was_excluded"), corrected.alias("corrected"))
+
+
+def repair_gaps(result: DataFrame, stations: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """result with suspect and repaired: gap fills checked against the value between both neighbours by river mile.
+
+    A fill further than ``tolerance`` from it is suspect and becomes that value. Only neighbours with a reading of their own
+    at the time anchor a check (by their corrected value), so the order of stations doesn't matter; without both the fill stays.
     """
     n = neighbours(stations)
     miles = stations.select(KEY, "river_mile")
     place = n.join(miles.toDF("up", "up_mile"), "up", "left").join(miles.toDF("dn", "dn_mile"), "dn", "left")
-    raw = lambda s: result.select(F.col(KEY).alias(s), "ts", F.col("observed").alias(f"{s}_raw"))
-    rows = result.join(F.broadcast(place), KEY).join(raw("up"), ["up", "ts"], "left").join(raw("dn"), ["dn", "ts"], "left")
-    low, high = F.least("up_raw", "dn_raw"), F.greatest("up_raw", "dn_raw")
-    both = F.col("observed").isNull() & F.col("predicted").isNotNull() & F.col("up_raw").isNotNull() & F.col("dn_raw").isNotNull()
-    suspect = F.coalesce(both & ((F.col("predicted") > high + tolerance) | (F.col("predicted") < low - tolerance)), F.lit(False))
-    between = lerp(F.col("up_raw"), F.col("dn_raw"), share_between(F.col("river_mile"), F.col("up_mile"), F.col("dn_mile")))
+    anchor = lambda s: result.where("observed IS NOT NULL").select(F.col(KEY).alias(s), "ts", F.col("corrected").alias(f"{s}_value"))
+    rows = result.join(F.broadcast(place), KEY, "left").join(anchor("up"), ["up", "ts"], "left").join(anchor("dn"), ["dn", "ts"], "left")
+    between = lerp(F.col("up_value"), F.col("dn_value"), share_between(F.col("river_mile"), F.col("up_mile"), F.col("dn_mile")))
+    suspect = F.coalesce(F.col("observed").isNull() & (F.abs(F.col("corrected") - between) > tolerance), F.lit(False))
     return rows.select(*result.columns, suspect.alias("suspect"), F.when(suspect, between).otherwise(F.col("corrected")).alias("repaired"))
 
 
-def confidence(result: DataFrame, z: float = 1.96, floor: float = 0.25, default: float = 0.5) -> DataFrame:
-    """result with ci_lower and ci_upper on gap rows: the fill less and plus z sigmas of the station's residuals."""
-    sigma = robust_sigma(result.where("residual IS NOT NULL AND NOT is_outlier"), floor, column="residual").select(KEY, "sigma")
-    rows = result.join(F.broadcast(sigma), KEY, "left").withColumn("_w", z * F.coalesce("sigma", F.lit(default)))
+def confidence(result: DataFrame, z: float = 3.5, floor: float = 0.25, default: float = 0.5) -> DataFrame:
+    """result with ci_lower and ci_upper on gap rows: the fill less and plus z sigmas of all residuals of the station's last round."""
+    rows = result.withColumn("_w", z * F.greatest(F.coalesce("sigma", F.lit(default)), F.lit(floor)))
     gap = F.col("observed").isNull()
-    return rows.withColumn("ci_lower", F.when(gap, F.col("corrected") - F.col("_w"))).withColumn("ci_upper", F.when(gap, F.col("corrected") + F.col("_w"))).drop("_w", "sigma")
+    return rows.withColumn("ci_lower", F.when(gap, F.col("corrected") - F.col("_w"))).withColumn("ci_upper", F.when(gap, F.col("corrected") + F.col("_w"))).drop("_w")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .align import KEY
+from .align import KEY, interpolate
 
 SCALE = 1.4826
 
@@ -45,8 +45,17 @@ def discharge_bins(q: DataFrame) -> DataFrame:
     return cuts.select(F.explode(each).alias("b")).select("b.*")
 
 
+def fill_discharge(q: DataFrame, stage: DataFrame, limit: int = 7) -> DataFrame:
+    """(ts, q) on every day from the first to the last of ``stage``, gaps interpolated up to ``limit`` days after the last value."""
+    ends = stage.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    days = ends.select(F.lit("q").alias(KEY), F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("ts"))
+    grid = days.join(q.select("ts", F.col("q").alias("value")), "ts", "left").select(KEY, "ts", "value")
+    return interpolate(grid, limit).select("ts", F.col("value").alias("q"))
+
+
 def envelope(stage: DataFrame, q: DataFrame, least_station: int = 30, least_bin: int = 10) -> DataFrame:
-    """Percentiles of stage for each station and discharge bin; q has (ts, q)."""
+    """Percentiles of stage for each station and discharge bin; q has (ts, q) and is filled over gaps first."""
+    q = fill_discharge(q, stage)
     both = stage.where("value IS NOT NULL").join(q.where("q IS NOT NULL"), "ts")
     rows = both.join(F.broadcast(discharge_bins(q.where("q IS NOT NULL"))), F.col("q").between(F.col("q_lo"), F.col("q_hi")))
     enough = both.groupBy(KEY).count().where(F.col("count") >= least_station).select(KEY)
@@ -56,8 +65,8 @@ def envelope(stage: DataFrame, q: DataFrame, least_station: int = 30, least_bin:
 
 
 def limb(stage, p05, p50, p95, share: float = 0.2):
-    """rising above p50 + share of the p05-p95 range, falling below p50 less it, else normal; unknown where anything is missing."""
-    reach = share * (p95 - p05)
+    """rising above p50 + share of the p05-p95 range (0.05 at least), falling below p50 less it, else normal; unknown where anything is missing."""
+    reach = share * F.greatest(p95 - p05, F.lit(0.05))
     known = stage.isNotNull() & p05.isNotNull() & p50.isNotNull() & p95.isNotNull()
     return F.when(~known, "unknown").when(stage > p50 + reach, "rising").when(stage < p50 - reach, "falling").otherwise("normal")
 

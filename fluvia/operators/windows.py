@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import KEY, blocks, by_time, own
+from .align import KEY, blocks, by_time, numbered, own
 
 
 def lag_features(grid: DataFrame, lags: list[int], unit_seconds: int = 86400) -> DataFrame:
@@ -56,19 +56,22 @@ def shifted_mean(grid: DataFrame, n: int, shift: int, least: int = 1, unit_secon
     return own(cut.withColumn("mean_then", over_last(F.col("value"), "avg", n, least, w, shift)).withColumn("d_then", F.lag("value", shift).over(w) - F.lag("value", shift + 1).over(w)))
 
 
-def detrend(grid: DataFrame, n: int = 90, least: int = 30) -> DataFrame:
-    """Value less its centred mean over n rows (half before, half less one after); null becomes 0."""
-    frame = by_time().rowsBetween(-(n // 2), n // 2 - 1)
-    mean = F.when(F.count("value").over(frame) >= least, F.avg("value").over(frame))
-    return grid.withColumn("anomaly", F.coalesce(F.col("value") - mean, F.lit(0.0)))
+def detrend(rows: DataFrame, n: int = 90, least: int = 30, keys: tuple[str, ...] = (KEY,), columns: tuple[str, ...] = ("value",), size: int = 4096) -> DataFrame:
+    """rows with _i and <column>_anomaly: value less its centred mean over n rows by position (half before, half less one after); null becomes 0."""
+    cut, parts = blocks(numbered(rows, keys), n // 2, n // 2 - 1, size=size, keys=keys, place="_i")
+    frame = Window.partitionBy(*parts).orderBy("_i").rowsBetween(-(n // 2), n // 2 - 1)
+    mean = lambda c: F.when(F.count(c).over(frame) >= least, F.avg(c).over(frame))
+    return own(cut.withColumns({f"{c}_anomaly": F.coalesce(F.col(c) - mean(c), F.lit(0.0)) for c in columns}))
 
 
-def median_smooth(rows: DataFrame, order: str, keys: tuple[str, ...] = (), column: str = "value") -> DataFrame:
-    """Centred median of 9 (3 values at least), then centred mean of 7."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def median_smooth(rows: DataFrame, order: str, keys: tuple[str, ...] = (), column: str = "value", size: int = 4096) -> DataFrame:
+    """Centred median of 9 (3 values at least), then centred mean of 7; along ``order`` for each key, in blocks where that is ts."""
+    cut, parts = (blocks(numbered(rows, keys), 7, 7, size=size, keys=keys, place="_i")) if order == "ts" else (rows, keys)
+    w = Window.partitionBy(*parts).orderBy(order)
     guard = lambda c, f, frame: F.when(F.count(c).over(frame) >= 3, f.over(frame))
     med = guard(column, F.percentile(column, 0.5), w.rowsBetween(-4, 4))
-    return rows.withColumn("_m", med).withColumn("smooth", guard("_m", F.avg("_m"), w.rowsBetween(-3, 3))).drop("_m")
+    out = cut.withColumn("_m", med).withColumn("smooth", guard("_m", F.avg("_m"), w.rowsBetween(-3, 3))).drop("_m")
+    return own(out).drop("_i") if order == "ts" else out
 
 
 def decay_weights(rows: DataFrame, half_life: float = 365.0) -> DataFrame:
@@ -80,12 +83,11 @@ def decay_weights(rows: DataFrame, half_life: float = 365.0) -> DataFrame:
 
 def split_by_place(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """is_train for the first ``share`` of each station's rows."""
-    w = Window.partitionBy(KEY)
-    n = F.row_number().over(w.orderBy("ts"))
-    return rows.withColumn("is_train", n <= F.floor(F.count("*").over(w) * F.lit(share)))
+    sizes = rows.groupBy(KEY).agg(F.count("*").alias("_all"))
+    return numbered(rows).join(sizes, KEY).withColumn("is_train", F.col("_i") < F.floor(F.col("_all") * F.lit(share))).drop("_i", "_all")
 
 
-def extrema(rows: DataFrame, half: int = 15, share: float = 0.4, floor: float = 0.01) -> DataFrame:
+def extrema(rows: DataFrame, half: int = 15, share: float = 0.4, floor: float = 0.01, size: int = 4096) -> DataFrame:
     """Strict peaks and troughs among the non-null rows, counted by position.
 
     A peak is above all ``half`` rows on either side, and the whole window ranges over at least max(share * robust sigma, floor).
@@ -94,9 +96,10 @@ def extrema(rows: DataFrame, half: int = 15, share: float = 0.4, floor: float =
     from .stats import robust_sigma
 
     rows = rows.where("value IS NOT NULL")
-    w = by_time()
+    cut, parts = blocks(numbered(rows), half, half, size=size, place="_i")
+    w = Window.partitionBy(*parts).orderBy("_i")
     left, right, whole = w.rowsBetween(-half, -1), w.rowsBetween(1, half), w.rowsBetween(-half, half)
-    ranged = rows.join(F.broadcast(robust_sigma(rows, floor=0.25)), KEY)
+    ranged = cut.join(F.broadcast(robust_sigma(rows, floor=0.25)), KEY)
     seen = ranged.withColumns(
         {
             "_full": (F.count("value").over(left) == half) & (F.count("value").over(right) == half),
@@ -107,4 +110,4 @@ def extrema(rows: DataFrame, half: int = 15, share: float = 0.4, floor: float =
     )
     kind = F.when(F.col("value") > F.col("_above"), "peak").when(F.col("value") < F.col("_below"), "trough")
     wide = F.col("_range") >= F.greatest(F.lit(share) * F.col("sigma"), F.lit(floor))
-    return seen.where("_full").where(wide).withColumn("kind", kind).where("kind IS NOT NULL").select(KEY, "ts", "value", "kind")
+    return own(seen).where("_full").where(wide).withColumn("kind", kind).where("kind IS NOT NULL").select(KEY, "ts", "value", "kind")

@@ -58,7 +58,7 @@ def gbt(spark, d):
 
 def importance(spark, d):
     """Features by the size of their correlation with tomorrow's value, the first 15."""
-    rows, names = forecast.features(filled(spark, d).where("ts >= timestamp_ntz'1999-01-01'"))
+    rows, names = forecast.features(filled(spark, d))
     known = forecast.training_set(rows, names, 1).where("is_train")
     size = known.agg(*(F.abs(F.corr(n, "target")).alias(n) for n in names))
     return size.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.round(F.col(n), 6).alias("importance")) for n in names))).alias("x")).select("x.*").where("importance IS NOT NULL").orderBy(F.desc("importance"), "feature").limit(15)
@@ -141,26 +141,38 @@ QUERIES = {
 }
 
 _PRED = {"pred": "SELECT station_id, ts, value, avg(value) OVER (PARTITION BY station_id, dayofyear(ts)) AS predicted FROM daily"}
-_TAIL = "SELECT station_id, ts, value, predicted, value - predicted AS residual, row_number() OVER (PARTITION BY station_id ORDER BY ts DESC) AS back FROM pred QUALIFY back <= {n}"
-_LAST_SIGMA = {
-    "lm": "SELECT station_id, quantile_cont(residual, 0.5) AS m FROM tail GROUP BY 1",
-    "ls": "SELECT station_id, greatest(quantile_cont(abs(residual - m), 0.5) * 1.4826, 0.25) AS sigma FROM tail JOIN lm USING (station_id) GROUP BY 1",
-}
+_TAIL = "SELECT station_id, ts, value, predicted, value - predicted AS residual, row_number() OVER (PARTITION BY station_id ORDER BY ts DESC) AS back FROM pred WHERE ts > (SELECT max(ts) FROM pred) - INTERVAL 60 DAY"
+
+
+def _sigma_of_tail(part: str) -> dict[str, str]:
+    return {
+        "lm": f"SELECT station_id, quantile_cont(residual, 0.5) AS m FROM tail WHERE {part} GROUP BY 1",
+        "ls": f"SELECT station_id, greatest(quantile_cont(abs(residual - m), 0.5) * 1.4826, 0.25) AS sigma FROM tail JOIN lm USING (station_id) WHERE {part} GROUP BY 1",
+    }
+
+
 _SPIKE = """SELECT station_id, ts, value, previous, change, sigma FROM (SELECT *, CASE WHEN count(change) OVER f >= 7 THEN stddev_samp(change) OVER f END AS sigma, count(*) OVER (PARTITION BY station_id) AS n, row_number() OVER (PARTITION BY station_id ORDER BY ts DESC) AS back
     FROM (SELECT station_id, ts, value, lag(value) OVER w AS previous, abs(value - lag(value) OVER w) AS change FROM daily WINDOW w AS (PARTITION BY station_id ORDER BY ts)) WINDOW f AS (PARTITION BY station_id ORDER BY ts ROWS BETWEEN {a} AND {b})) WHERE back = 1 AND n >= 30"""
 
 
 def _round(name: str, source: str) -> dict[str, str]:
-    """One round of the climatology loop over ``source`` (station_id, ts, value, excluded)."""
+    """One round of the climatology loop over ``source`` (station_id, ts, value, excluded, active, and the last round's results)."""
     return {
-        f"{name}p": f"SELECT s.*, value - predicted AS residual FROM (SELECT *, avg(CASE WHEN NOT excluded THEN value END) OVER (PARTITION BY station_id, dayofyear(ts)) AS predicted FROM {source}) s",
-        f"{name}m": f"SELECT station_id, quantile_cont(residual, 0.5) AS med FROM {name}p GROUP BY 1",
-        f"{name}s": f"SELECT station_id, greatest(quantile_cont(abs(residual - med), 0.5) * 1.4826, 0.25) AS sigma, any_value(med) AS med FROM {name}p JOIN {name}m USING (station_id) WHERE residual IS NOT NULL GROUP BY 1",
-        name: f"SELECT station_id, ts, value, predicted, residual, coalesce(abs(residual - med) > 2.5 * sigma, FALSE) AS is_outlier, excluded OR coalesce(abs(residual - med) > 2.5 * sigma, FALSE) AS excluded FROM {name}p LEFT JOIN {name}s USING (station_id)",
+        f"{name}t": f"SELECT station_id, bool_or(active) AND count(*) FILTER (value IS NOT NULL AND NOT excluded) >= 120 AS ready FROM {source} GROUP BY 1",
+        f"{name}p": f"SELECT s.station_id, s.ts, s.value, s.excluded, ready, s.is_outlier AS old_out, s.sigma AS old_sigma, CASE WHEN ready THEN avg(CASE WHEN NOT excluded THEN value END) OVER (PARTITION BY s.station_id, dayofyear(ts)) ELSE s.predicted END AS predicted FROM {source} s JOIN {name}t USING (station_id)",
+        f"{name}m": f"SELECT station_id, quantile_cont(value - predicted, 0.5) AS med FROM {name}p GROUP BY 1",
+        f"{name}s": f"SELECT station_id, greatest(quantile_cont(abs(value - predicted - med), 0.5) * 1.4826, 0.25) AS sigma FROM {name}p JOIN {name}m USING (station_id) WHERE value IS NOT NULL AND predicted IS NOT NULL GROUP BY 1",
+        f"{name}o": f"SELECT p.*, CASE WHEN ready THEN s.sigma ELSE old_sigma END AS sigma, CASE WHEN ready THEN coalesce(abs(value - predicted) > 2.5 * s.sigma, FALSE) ELSE old_out END AS is_outlier FROM {name}p p LEFT JOIN {name}s s USING (station_id)",
+        name: f"SELECT station_id, ts, value, predicted, sigma, is_outlier, excluded OR (ready AND is_outlier) AS excluded, bool_or(ready AND is_outlier AND NOT excluded) OVER (PARTITION BY station_id) AS active FROM {name}o",
     }
 
 
-_LOOP = {"r0": "SELECT *, FALSE AS excluded FROM grid", **_round("r1", "r0"), "r1x": "SELECT station_id, ts, value, excluded FROM r1", **_round("r2", "r1x"), "res": "SELECT station_id, ts, value AS observed, predicted, residual, is_outlier, excluded AS was_excluded, CASE WHEN is_outlier OR value IS NULL THEN predicted ELSE value END AS corrected FROM r2"}
+_LOOP = {
+    "r0": "SELECT *, FALSE AS excluded, TRUE AS active, CAST(NULL AS DOUBLE) AS predicted, CAST(NULL AS DOUBLE) AS sigma, FALSE AS is_outlier FROM grid",
+    **_round("r1", "r0"),
+    **_round("r2", "r1"),
+    "res": "SELECT station_id, ts, value AS observed, predicted, value - predicted AS residual, sigma, is_outlier, excluded AS was_excluded, CASE WHEN is_outlier OR value IS NULL THEN coalesce(predicted, value) ELSE value END AS corrected FROM r2",
+}
 _PLACE = "SELECT *, lag(station_id) OVER w AS up, lag(river_mile) OVER w AS um, lead(station_id) OVER w AS dn, lead(river_mile) OVER w AS dm FROM stations WINDOW w AS (ORDER BY river_mile DESC)"
 _BETWEEN = "(u.{v} * (1 - (river_mile - um) / (dm - um)) + d.{v} * ((river_mile - um) / (dm - um)))"
 _FEATURES = (
@@ -178,27 +190,25 @@ SQL = {
     ),
     "spike": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('previous', 'previous')}, {r('change', 'change')}, {r('sigma', 'sigma')} FROM ({_SPIKE.format(a='27 PRECEDING', b='CURRENT ROW')})"),
     "spike_lagged_sigma": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('previous', 'previous')}, {r('change', 'change')}, {r('sigma', 'sigma')} FROM ({_SPIKE.format(a='28 PRECEDING', b='1 PRECEDING')})"),
-    "datum_drift": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)', 'shift')}, {r('any_value(sigma)', 'sigma')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28", **_PRED, tail=_TAIL.format(n=28), **_LAST_SIGMA),
-    "network_consistency": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('arg_max(predicted, ts)', 'predicted')}, {r('(arg_max(residual, ts) - avg(residual)) / any_value(sigma)', 'z')} FROM tail JOIN ls USING (station_id) GROUP BY 1", **_PRED, tail=_TAIL.format(n=60), **_LAST_SIGMA),
+    "datum_drift": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)', 'shift')}, {r('any_value(sigma)', 'sigma')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
+    "network_consistency": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('arg_max(predicted, ts)', 'predicted')}, {r('(arg_max(residual, ts) - avg(residual)) / any_value(sigma)', 'z')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 5", **_PRED, tail=_TAIL, **_sigma_of_tail("TRUE")),
     "stale_gapfill": sql(
         "grid",
         "SELECT station_id, CAST(any_value(lv) AS DATE) AS last_valid, CAST(count(*) FILTER (lv IS NULL OR ts > lv) AS BIGINT) AS n_missing, count(*) FILTER (lv IS NULL OR ts > lv) > 14 AS is_stale FROM (SELECT *, max(ts) FILTER (value IS NOT NULL) OVER (PARTITION BY station_id) AS lv FROM g) GROUP BY 1",
         g="SELECT station_id, ts, CASE WHEN date_diff('day', ts, max(ts) OVER ()) >= CASE WHEN CAST(station_id AS INT) % 4 = 0 THEN 20 WHEN CAST(station_id AS INT) % 2 = 1 THEN 10 ELSE 0 END THEN value END AS value FROM grid",
     ),
-    "iterative_qaqc": sql("grid", f"SELECT station_id, {DAY}, {r('observed', 'observed')}, {r('predicted', 'predicted')}, {r('residual', 'residual')}, is_outlier, was_excluded, {r('corrected', 'corrected')} FROM res", **_LOOP),
+    "iterative_qaqc": sql("grid", f"SELECT station_id, {DAY}, {r('observed', 'observed')}, {r('predicted', 'predicted')}, {r('residual', 'residual')}, {r('sigma', 'sigma')}, is_outlier, was_excluded, {r('corrected', 'corrected')} FROM res", **_LOOP),
     "spatial_prediction": sql("daily stations", f"SELECT o.station_id, CAST(o.ts AS DATE) AS day, {r('coalesce(' + _BETWEEN.format(v='value') + ', u.value, d.value)', 'predicted')} FROM daily o JOIN pl USING (station_id) LEFT JOIN daily u ON u.station_id = pl.up AND u.ts = o.ts LEFT JOIN daily d ON d.station_id = pl.dn AND d.ts = o.ts", pl=_PLACE),
     "gapfill_repair": sql(
         "grid stations",
         f"SELECT station_id, {DAY}, {r('predicted', 'predicted')}, suspect, {r('CASE WHEN suspect THEN between_ ELSE corrected END', 'repaired')} FROM x",
         **_LOOP, pl=_PLACE,
-        x=f"SELECT o.station_id, o.ts, o.predicted, o.corrected, {_BETWEEN.format(v='observed')} AS between_, coalesce(o.predicted > greatest(u.observed, d.observed) + 3 OR o.predicted < least(u.observed, d.observed) - 3, FALSE) AND u.observed IS NOT NULL AND d.observed IS NOT NULL AS suspect FROM res o JOIN pl USING (station_id) LEFT JOIN res u ON u.station_id = pl.up AND u.ts = o.ts LEFT JOIN res d ON d.station_id = pl.dn AND d.ts = o.ts WHERE o.observed IS NULL",
+        x=f"SELECT o.station_id, o.ts, o.predicted, o.corrected, {_BETWEEN.format(v='corrected')} AS between_, coalesce(abs(o.corrected - {_BETWEEN.format(v='corrected')}) > 5 AND u.observed IS NOT NULL AND d.observed IS NOT NULL, FALSE) AS suspect FROM res o JOIN pl USING (station_id) LEFT JOIN res u ON u.station_id = pl.up AND u.ts = o.ts LEFT JOIN res d ON d.station_id = pl.dn AND d.ts = o.ts WHERE o.observed IS NULL",
     ),
     "gapfill_ci": sql(
         "grid",
-        f"SELECT station_id, {DAY}, {r('corrected - 1.96 * coalesce(sigma, 0.5)', 'ci_lower', 9)}, {r('corrected + 1.96 * coalesce(sigma, 0.5)', 'ci_upper', 9)} FROM res LEFT JOIN cs USING (station_id) WHERE observed IS NULL",
+        f"SELECT station_id, {DAY}, {r('corrected - 3.5 * greatest(coalesce(sigma, 0.5), 0.25)', 'ci_lower', 9)}, {r('corrected + 3.5 * greatest(coalesce(sigma, 0.5), 0.25)', 'ci_upper', 9)} FROM res WHERE observed IS NULL",
         **_LOOP,
-        cm="SELECT station_id, quantile_cont(residual, 0.5) AS med FROM res WHERE residual IS NOT NULL AND NOT is_outlier GROUP BY 1",
-        cs="SELECT station_id, greatest(quantile_cont(abs(residual - med), 0.5) * 1.4826, 0.25) AS sigma FROM res JOIN cm USING (station_id) WHERE residual IS NOT NULL AND NOT is_outlier GROUP BY 1",
     ),
     "model_metrics": sql("grid", f"SELECT station_id, count(*) AS rows_total, {r('avg(abs(residual))', 'mae')}, {r('sqrt(avg(residual * residual))', 'rmse')}, CAST(count(*) FILTER (is_outlier) AS BIGINT) AS flagged_count, {r('avg(is_outlier::INT)', 'flagged_fraction')} FROM res WHERE residual IS NOT NULL GROUP BY 1", **_LOOP),
     "horizon_errors": sql("daily", f"SELECT station_id, h AS horizon, {r('quantile_cont(abs(value - predicted), 0.5) * sqrt(h)', 'error')} FROM t CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (7), (28)) v(h) WHERE NOT is_train GROUP BY station_id, h", **_PRED, t=f"SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY station_id) * 0.8) AS is_train FROM pred"),
@@ -206,12 +216,12 @@ SQL = {
     "topk_importance": sql(
         "filled",
         f"SELECT feature, {r('importance', 'importance')} FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({n}, target)) AS importance FROM known" for n in _NAMES) + ") WHERE importance IS NOT NULL AND NOT isnan(importance) ORDER BY 2 DESC, 1 LIMIT 15",
-        fx=f"SELECT station_id, ts, lead(value) OVER w AS target, {', '.join(_FEATURES)} FROM filled WHERE ts >= TIMESTAMP '1999-01-01' WINDOW w AS (PARTITION BY station_id ORDER BY ts)",
+        fx=f"SELECT station_id, ts, lead(value) OVER w AS target, {', '.join(_FEATURES)} FROM filled WINDOW w AS (PARTITION BY station_id ORDER BY ts)",
         kn="SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY station_id) AS n FROM fx WHERE target IS NOT NULL AND " + " + ".join(f"({n} IS NOT NULL)::INT" for n in _NAMES) + f" > 0.3 * {len(_NAMES)}",
         known="SELECT * FROM kn WHERE i <= floor(n * 0.8)",
     ),
-    "json_parse": f"SELECT event_type AS station_id, '00065' AS variable, date_trunc('hour', ts) AS hour, count(*) AS n, {r('avg(CAST(json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ') AS DOUBLE))', 'mean')} FROM events WHERE event_id < 5000 AND event_id % 97 <> 0 GROUP BY ALL",
-    "xml_regex_parse": "SELECT CAST(o_custkey % 7 AS VARCHAR) AS station_id, CAST(o_orderdate AS DATE) AS day, round(arg_min(v, o_orderkey), 2) AS value FROM (SELECT *, floor(o_totalprice / 10) / 100 - 20 AS v FROM orders WHERE o_orderkey < 3000) WHERE v > -50 AND v < 1000 GROUP BY 1, 2",
+    "json_parse": f"SELECT event_type AS station_id, '00065' AS variable, date_trunc('hour', ts) AS hour, count(*) AS n, {r('avg(CAST(json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ') AS DOUBLE))', 'mean')} FROM events WHERE event_id % 97 <> 0 GROUP BY ALL",
+    "xml_regex_parse": "SELECT CAST(o_custkey % 7 AS VARCHAR) AS station_id, CAST(o_orderdate AS DATE) AS day, round(arg_min(v, o_orderkey), 2) AS value FROM (SELECT *, floor(o_totalprice / 10) / 100 - 20 AS v FROM orders) WHERE v > -50 AND v < 1000 GROUP BY 1, 2",
     "markup_attributes": """SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, CAST(len(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS BIGINT) AS n_links FROM pages""",
     "archive_parse": """SELECT '0' || n || '220' AS station_id, 'f' || n || '.txt' AS file, 'NAVD88' AS target_datum, CASE k WHEN 0 THEN CAST('-1.' || n AS DOUBLE) ELSE -0.74 END AS factor_ft, CASE k WHEN 0 THEN DATE '2024-09-27' ELSE DATE '1988-06-14' END AS start_date, CASE k WHEN 1 THEN DATE '2017-11-29' END AS end_date, CASE k WHEN 0 THEN 'OPUS' ELSE '2009.55' END AS target_epoch, CASE k WHEN 0 THEN 'open | with a pipe' ELSE 'closed' END AS notes FROM range(1, 5) t(n) CROSS JOIN range(2) u(k)""",
     "network_summary": sql("daily stations", "SELECT tier, count(DISTINCT station_id) AS n_stations, count(value) AS n_values, min(river_mile) AS low_mile, max(river_mile) AS high_mile FROM stations LEFT JOIN daily USING (station_id) GROUP BY 1 ORDER BY 1"),

@@ -8,7 +8,7 @@ from ..functions import scalars
 from ..operators import features, lags, network, profile, stats
 from ..sources import tables
 from ..sources.tables import DATUM_ROWS
-from .base import W, daily, discharge, filled, grid, main_q, r, sql, tide, tidy
+from .base import W, daily, discharge, grid, main_q, r, sql, tide, tidy
 from .series import _ENV2, _guard
 
 DAY = "CAST(ts AS DATE) AS day"
@@ -45,7 +45,7 @@ def asof(spark, d):
 
 
 def around(spark, d):
-    events = daily(spark, d).where("station_id = '3' AND dayofmonth(ts) = 1").select("station_id", "ts")
+    events = daily(spark, d).where("dayofmonth(ts) = 1").select("station_id", "ts")
     return tidy(network.mean_around(events, main_q(spark, d)))
 
 
@@ -66,15 +66,15 @@ def proximity(spark, d):
 
 def neighbour(spark, d):
     near = network.pairs(tables.stations(spark)).select(F.col("dn").alias("station_id"), F.col("up").alias("neighbour_id"), F.greatest(F.bround(F.col("miles") / 20), F.lit(1)).cast("int").alias("lag_days"))
-    return tidy(network.lagged_neighbour(grid(spark, d).where(f"ts >= {HOT}"), near).select("station_id", "neighbour_id", "ts", "neighbour_value"))
+    return tidy(network.lagged_neighbour(grid(spark, d), near).select("station_id", "neighbour_id", "ts", "neighbour_value"))
 
 
 def gradient(spark, d):
-    """Neighbour less self, one and three days back, above and below."""
+    """Neighbour less self, one, two, three and five days back, above and below."""
     n = network.neighbours(tables.stations(spark))
     both = n.select("station_id", F.explode(F.array(F.struct(F.lit("up").alias("side"), F.col("up").alias("neighbour_id")), F.struct(F.lit("down").alias("side"), F.col("dn").alias("neighbour_id")))).alias("x")).select("station_id", "x.*").where("neighbour_id IS NOT NULL")
-    lagged = both.crossJoin(spark.createDataFrame([(1,), (3,)], "lag_days int"))
-    g = grid(spark, d).where(f"ts >= {HOT}")
+    lagged = both.crossJoin(F.broadcast(spark.createDataFrame([(1,), (2,), (3,), (5,)], "lag_days int")))
+    g = grid(spark, d)
     own = g.select("station_id", (F.col("ts")).alias("_t"), F.col("value").alias("own"))
     rows = network.lagged_neighbour(g, lagged).withColumn("_t", F.col("ts") - F.make_interval(days=F.col("lag_days"))).join(own, ["station_id", "_t"])
     return tidy(rows.select("station_id", "ts", "side", "lag_days", (F.col("neighbour_value") - F.col("own")).alias("gradient")))
@@ -82,9 +82,9 @@ def gradient(spark, d):
 
 def travel(spark, d):
     p = network.pairs(tables.stations(spark))
-    q = main_q(spark, d).where("ts >= timestamp_ntz'2001-06-01'")
+    q = main_q(spark, d)
     speed = scalars.adaptive_speed(F.col("q"), 72.0, 250000.0)
-    rows = p.join(q)
+    rows = q.crossJoin(F.broadcast(p))  # every day meets the pairs of the station dimension
     capped = scalars.half_even(scalars.clip(F.col("miles") / speed, 0.0, 30.0))
     return rows.select("up", "dn", F.col("ts").cast("date").alias("day"), scalars.travel_days(F.col("miles"), F.lit(100.0)).alias("fixed_days"), scalars.travel_days(F.col("miles"), speed).alias("adaptive_days"), capped.alias("expected_days"))
 
@@ -137,7 +137,8 @@ def utm_points(spark, d):
 
 
 def rating_pairs(spark, d):
-    rows = daily(spark, d).where("station_id IN ('0', '1', '2')").join(main_q(spark, d), "ts")
+    """Ranges of stage and discharge on common days, for every station."""
+    rows = daily(spark, d).join(main_q(spark, d), "ts")
     pad = 0.05 * (F.max("value") - F.min("value"))
     return tidy(rows.groupBy("station_id").agg(F.count("*").alias("n"), (F.min("value") - pad).alias("low"), (F.max("value") + pad).alias("high"), F.min("q").alias("q_lo"), F.max("q").alias("q_hi")))
 
@@ -164,7 +165,7 @@ def coverage(spark, d):
 
 
 def greedy(spark, d):
-    return lags.matched_lags(filled(spark, d), network.pairs(tables.stations(spark)), main_q(spark, d))
+    return lags.matched_lags(daily(spark, d), network.pairs(tables.stations(spark)), main_q(spark, d))
 
 
 QUERIES = {
@@ -186,6 +187,7 @@ QUERIES = {
     "adaptive_lags": adaptive,
     "xcorr_lag": lambda s, d: tidy(lags.xcorr(grid(s, d), network.pairs(tables.stations(s)))),
     "greedy_peak_match": greedy,
+    "network_lags": lambda s, d: lags.network_lags(daily(s, d), tables.stations(s), discharge(s, d)),
     "stage_query_station": lambda s, d: tidy(network.query_stage(grid(s, d), tables.stations(s), "5", "1998-01-01", "1999-12-31")),
     "stage_query_mile": lambda s, d: tidy(network.query_stage(grid(s, d), tables.stations(s), "105", "1998-01-01", "1999-12-31")),
     "profile_interpolate": stage_profile,
@@ -235,7 +237,7 @@ SQL = {
     ),
     "datum_convert": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('value + CASE WHEN CAST(station_id AS INT) % 5 <> 4 THEN CAST(station_id AS INT) * 0.25 - 1 ELSE 0 END', 'converted')} FROM daily"),
     "asof_nearest": sql("daily stations", f"SELECT station_id, CAST(t0 AS DATE) AS at_day, CAST(m.ts AS DATE) AS day, {r('m.value', 'value')} FROM near", **_DATES, near=_near("daily", "stations")),
-    "event_mean_discharge": sql("daily q0", f"SELECT station_id, CAST(e.ts AS DATE) AS day, {r('avg(q)', 'q_near')} FROM (SELECT station_id, ts FROM daily WHERE station_id = '3' AND day(ts) = 1) e LEFT JOIN q0 ON q0.ts BETWEEN e.ts - INTERVAL 1 DAY AND e.ts + INTERVAL 1 DAY GROUP BY 1, 2"),
+    "event_mean_discharge": sql("daily q0", f"SELECT station_id, CAST(e.ts AS DATE) AS day, {r('avg(q)', 'q_near')} FROM (SELECT station_id, ts FROM daily WHERE day(ts) = 1) e LEFT JOIN q0 ON q0.ts BETWEEN e.ts - INTERVAL 1 DAY AND e.ts + INTERVAL 1 DAY GROUP BY 1, 2"),
     "nearest_mile": sql(
         "line",
         "SELECT vec_id, arg_min(mile, {'d': power(l.lat - p.lat, 2) + power((l.lon - p.lon) * cos(radians(p.lat)), 2), 'm': mile}) AS mile FROM p CROSS JOIN line l GROUP BY 1",
@@ -248,29 +250,26 @@ SQL = {
     ),
     "proximity_join": sql("line stations", "SELECT mile, arg_min(station_id, {'d': abs(mile - river_mile), 's': station_id}) FILTER (abs(mile - river_mile) <= 2) AS gage_id, count(*) FILTER (abs(mile - river_mile) <= 2) > 0 AS is_gage FROM line CROSS JOIN stations GROUP BY 1"),
     "pair_enumeration": sql("pairs", "SELECT up, dn, miles FROM pairs"),
-    "neighbour_lag_join": sql("grid pairs", f"SELECT g.station_id, p.up AS neighbour_id, CAST(g.ts AS DATE) AS day, {r('n.value', 'neighbour_value')} FROM g JOIN pairs p ON p.dn = g.station_id LEFT JOIN g n ON n.station_id = p.up AND n.ts = g.ts - to_days(CAST(greatest(round_even(p.miles / 20, 0), 1) AS INT))", g="SELECT * FROM grid WHERE ts >= TIMESTAMP '1999-01-01'"),
+    "neighbour_lag_join": sql("grid pairs", f"SELECT g.station_id, p.up AS neighbour_id, CAST(g.ts AS DATE) AS day, {r('n.value', 'neighbour_value')} FROM g JOIN pairs p ON p.dn = g.station_id LEFT JOIN g n ON n.station_id = p.up AND n.ts = g.ts - to_days(CAST(greatest(round_even(p.miles / 20, 0), 1) AS INT))", g="SELECT * FROM grid"),
     "local_gradient": sql(
         "grid stations",
-        f"SELECT g.station_id, CAST(g.ts AS DATE) AS day, side, k AS lag_days, {r('n.value - o.value', 'gradient')} FROM g JOIN nb USING (station_id) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (3)) v(k) JOIN g o ON o.station_id = g.station_id AND o.ts = g.ts - to_days(CAST(k AS INT)) LEFT JOIN g n ON n.station_id = nb.other AND n.ts = g.ts - to_days(CAST(k AS INT))",
-        g="SELECT * FROM grid WHERE ts >= TIMESTAMP '1999-01-01'",
+        f"SELECT g.station_id, CAST(g.ts AS DATE) AS day, side, k AS lag_days, {r('n.value - o.value', 'gradient')} FROM g JOIN nb USING (station_id) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (2), (3), (5)) v(k) JOIN g o ON o.station_id = g.station_id AND o.ts = g.ts - to_days(CAST(k AS INT)) LEFT JOIN g n ON n.station_id = nb.other AND n.ts = g.ts - to_days(CAST(k AS INT))",
+        g="SELECT * FROM grid",
         nb=f"SELECT station_id, 'up' AS side, up AS other FROM ({_NEIGHBOURS}) WHERE up IS NOT NULL UNION ALL SELECT station_id, 'down', dn FROM ({_NEIGHBOURS}) WHERE dn IS NOT NULL",
     ),
-    "travel_time": sql("pairs q0", f"SELECT up, dn, {DAY}, CAST(greatest(1, round_even(miles / 100.0, 0)) AS BIGINT) AS fixed_days, CAST(greatest(1, round_even(miles / {_SPEED}, 0)) AS BIGINT) AS adaptive_days, CAST(round_even(least(greatest(miles / {_SPEED}, 0.0), 30.0), 0) AS BIGINT) AS expected_days FROM pairs CROSS JOIN q0 WHERE ts >= TIMESTAMP '2001-06-01'"),
+    "travel_time": sql("pairs q0", f"SELECT up, dn, {DAY}, CAST(greatest(1, round_even(miles / 100.0, 0)) AS BIGINT) AS fixed_days, CAST(greatest(1, round_even(miles / {_SPEED}, 0)) AS BIGINT) AS adaptive_days, CAST(round_even(least(greatest(miles / {_SPEED}, 0.0), 30.0), 0) AS BIGINT) AS expected_days FROM pairs CROSS JOIN q0"),
     "adaptive_lags": sql(
         "pairs q0",
         "SELECT up, dn, array_to_string(list_sort(list_distinct(list_append(list(CAST(greatest(1, round_even(miles / (15.0 * power(greatest(c / 250000.0, 0.01), 0.4)), 0)) AS BIGINT)), CAST(1 AS BIGINT)))), ',') AS lags FROM pairs CROSS JOIN (SELECT unnest(quantile_cont(q, [0.1, 0.25, 0.5, 0.75, 0.9])) AS c FROM q0) GROUP BY up, dn",
     ),
     "xcorr_lag": sql(
-        "grid pairs",
-        f"SELECT up, dn, CAST(CASE WHEN n >= 90 THEN coalesce(b.lag, 0) ELSE 0 END AS BIGINT) AS lag_days, {r('CASE WHEN n >= 90 THEN b.r END', 'r')} FROM pairs LEFT JOIN cm USING (up, dn) LEFT JOIN best USING (up, dn)",
-        n=f"SELECT *, row_number() OVER ({W}) AS i FROM grid",
-        p=f"""SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER a AS pi, last_value(value IGNORE NULLS) OVER a AS pv, first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ni, first_value(value IGNORE NULLS) OVER b AS nv
-            FROM n WINDOW a AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
-        f="SELECT station_id, ts, CASE WHEN value IS NOT NULL THEN value WHEN i - pi <= 5 THEN CASE WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END END AS value FROM p",
-        s=f"SELECT station_id, ts, coalesce(value - CASE WHEN count(value) OVER w >= 30 THEN avg(value) OVER w END, 0.0) AS x FROM f WHERE value IS NOT NULL WINDOW w AS ({W} ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING)",
-        cm="SELECT up, dn, count(*) AS n FROM pairs JOIN s a ON a.station_id = up JOIN s b ON b.station_id = dn AND a.ts = b.ts GROUP BY 1, 2",
-        c="SELECT up, dn, k AS lag, corr(a.x, b.x) AS r FROM pairs CROSS JOIN range(22) t(k) JOIN s a ON a.station_id = up JOIN s b ON b.station_id = dn AND b.ts = a.ts + to_days(CAST(k AS INT)) GROUP BY 1, 2, 3",
-        best="SELECT up, dn, arg_min({'lag': lag, 'r': r}, {'r': -round(r, 9), 'lag': lag}) AS b FROM c WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY 1, 2",
+        "daily pairs",
+        f"SELECT up, dn, CAST(CASE WHEN n >= 90 THEN coalesce(b.lag, 0) ELSE 0 END AS BIGINT) AS lag_days, {r('CASE WHEN n >= 90 THEN b.r END', 'r')} FROM pairs LEFT JOIN best USING (up, dn)",
+        m="SELECT up, dn, a.ts, a.value AS a, b.value AS b FROM pairs JOIN daily a ON a.station_id = up JOIN daily b ON b.station_id = dn AND b.ts = a.ts",
+        f="SELECT up, dn, ts, coalesce(a - CASE WHEN count(a) OVER w >= 30 THEN avg(a) OVER w END, 0.0) AS x, coalesce(b - CASE WHEN count(b) OVER w >= 30 THEN avg(b) OVER w END, 0.0) AS y FROM m WINDOW w AS (PARTITION BY up, dn ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING)",
+        g="SELECT up, dn, y, " + ", ".join(f"lag(x, {k}) OVER w AS x{k}" for k in range(22)) + " FROM f WINDOW w AS (PARTITION BY up, dn ORDER BY ts)",
+        c="SELECT up, dn, count(*) AS n, [" + ", ".join(f"{{'r': corr(x{k}, y), 'lag': {k}}}" for k in range(22)) + "] AS rs FROM g GROUP BY 1, 2",
+        best="SELECT up, dn, n, list_sort(list_transform(list_filter(rs, lambda z: z.r IS NOT NULL AND NOT isnan(z.r)), lambda z: {'k': -round(z.r, 9), 'lag': z.lag, 'r': z.r}))[1] AS b FROM c",
     ),
     "stage_query_station": sql("grid", f"SELECT {DAY}, {r('value', 'value')} FROM grid WHERE station_id = '5' AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31'"),
     "stage_query_mile": sql("grid", f"SELECT {DAY}, {r('max(value) FILTER (station_id = ' + chr(39) + '4' + chr(39) + ') * 0.75 + max(value) FILTER (station_id = ' + chr(39) + '5' + chr(39) + ') * 0.25', 'value')} FROM grid WHERE station_id IN ('4', '5') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' GROUP BY ts"),
@@ -288,7 +287,7 @@ SQL = {
     "reach_length": sql("line", f"SELECT mile, {r('2 * 3958.8 * asin(sqrt(power(sin(radians(lat - pl) / 2), 2) + cos(radians(pl)) * cos(radians(lat)) * power(sin(radians(lon - po) / 2), 2)))', 'reach_mi')} FROM (SELECT *, lag(lat) OVER (ORDER BY mile) AS pl, lag(lon) OVER (ORDER BY mile) AS po FROM line)"),
     "thalweg": f"WITH c AS ({_CELLS}), p AS ({_RASTER}) SELECT point_id, {r('quantile_cont(elev_ft, 0.05)', 'bed_elev_ft')} FROM p LEFT JOIN c ON abs(p.row - c.row) <= 15 AND abs(p.col - c.col) <= 15 GROUP BY 1",
     "transect_area": f"WITH c AS ({_CELLS}), p AS (SELECT point_id, CAST(round_even(row + k * 0.6, 0) AS INT) AS row, CAST(round_even(col + k * 0.8, 0) AS INT) AS col FROM ({_RASTER}) CROSS JOIN range(-10, 11) t(k)) SELECT point_id, {r('coalesce(sum(greatest(5.0 - elev_ft, 0.0) * 98.4), 0.0)', 'wet_area_ft2', 4)} FROM p LEFT JOIN c USING (row, col) GROUP BY 1",
-    "rating_pairs": sql("daily q0", f"SELECT station_id, count(*) AS n, {r('min(value) - 0.05 * (max(value) - min(value))', 'low')}, {r('max(value) + 0.05 * (max(value) - min(value))', 'high')}, {r('min(q)', 'q_lo')}, {r('max(q)', 'q_hi')} FROM daily JOIN q0 USING (ts) WHERE station_id IN ('0', '1', '2') GROUP BY 1"),
+    "rating_pairs": sql("daily q0", f"SELECT station_id, count(*) AS n, {r('min(value) - 0.05 * (max(value) - min(value))', 'low')}, {r('max(value) + 0.05 * (max(value) - min(value))', 'high')}, {r('min(q)', 'q_lo')}, {r('max(q)', 'q_hi')} FROM daily JOIN q0 USING (ts) GROUP BY 1"),
     "station_features": sql(
         "grid q tide stations",
         f"""SELECT f.station_id, CAST(f.ts AS DATE) AS day, {", ".join(r("f." + c, c, 5) for c in ("value", "lag1", "lag2", "lag3", "lag5", "lag7", "d1", "d3", "rate"))},

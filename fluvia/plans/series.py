@@ -69,10 +69,10 @@ def extrema_days(spark, d):
 
 
 def limbs(spark, d):
-    """Each station-day of 2000 against the envelope of its discharge bin; a boundary day takes the lower bin."""
+    """Each station-day against the envelope of its discharge bin; a boundary day takes the lower bin."""
     s, q = daily(spark, d), main_q(spark, d)
     env = stats.envelope(s, q)
-    rows = s.where("ts >= timestamp_ntz'2000-01-01'").join(q, "ts").join(F.broadcast(env), "station_id").where("q BETWEEN q_lo AND q_hi")
+    rows = s.join(q, "ts").join(F.broadcast(env), "station_id").where("q BETWEEN q_lo AND q_hi")
     one = rows.groupBy("station_id", "ts", "value").agg(F.min_by(F.struct("p05", "p50", "p95"), "q_lo").alias("e"))
     return tidy(one.select("station_id", "ts", stats.limb(F.col("value"), F.col("e.p05"), F.col("e.p50"), F.col("e.p95")).alias("limb")))
 
@@ -84,7 +84,7 @@ QUERIES = {
     "spine_reindex": lambda s, d: tidy(grid(s, d)),
     "ffill_limit": lambda s, d: tidy(filled(s, d)),
     "interpolate_limit": lambda s, d: tidy(align.interpolate(grid(s, d), 5)),
-    "upsample_hourly": lambda s, d: align.upsample(daily(s, d).where("ts >= timestamp_ntz'2001-06-01'")).groupBy("station_id").agg(F.count("*").alias("n_hours"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last_hour")),
+    "upsample_hourly": lambda s, d: align.upsample(daily(s, d)).groupBy("station_id").agg(F.count("*").alias("n_hours"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last_hour")),
     "hybrid_resolution": hybrid,
     "lag_features": lambda s, d: tidy(windows.lag_features(grid(s, d), [1, 2, 3, 5, 7])),
     "lead_targets": lambda s, d: tidy(windows.lead_targets(grid(s, d), [1, 2, 3, 5, 7, 10, 14, 21, 28])),
@@ -124,10 +124,19 @@ _ENV = {
     "cuts": "SELECT quantile_cont(q, [0.0, 0.25, 0.5, 0.75, 1.0]) AS c FROM q0",
     "bins": """SELECT ['low', 'medium_low', 'medium_high', 'high'][i] AS bin, i - 1 AS bin_order, c[i] AS q_lo, c[i + 1] AS q_hi FROM cuts, range(1, 5) t(i)""",
 }
-_ENV2 = _ENV | {
+#: Discharge on the stage's days, gaps interpolated by position up to 7 days after the last value, then bins of that.
+_QF = {
+    "qrow": "SELECT d.ts, q, row_number() OVER (ORDER BY d.ts) AS i FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM daily) d LEFT JOIN q0 ON q0.ts = d.ts",
+    "qp": """SELECT *, last_value(CASE WHEN q IS NOT NULL THEN i END IGNORE NULLS) OVER a AS pi, last_value(q IGNORE NULLS) OVER a AS pv, first_value(CASE WHEN q IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ni, first_value(q IGNORE NULLS) OVER b AS nv
+        FROM qrow WINDOW a AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    "qf": "SELECT ts, CASE WHEN q IS NOT NULL THEN q WHEN i - pi <= 7 THEN CASE WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END END AS q FROM qp",
+}
+_ENV2 = _QF | {
+    "cuts": "SELECT quantile_cont(q, [0.0, 0.25, 0.5, 0.75, 1.0]) AS c FROM qf",
+    "bins": _ENV["bins"],
     "env": """SELECT station_id, bin, q_lo, q_hi, count(value) AS n, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95
-        FROM daily JOIN q0 USING (ts) JOIN bins ON q BETWEEN q_lo AND q_hi
-        WHERE station_id IN (SELECT station_id FROM daily JOIN q0 USING (ts) GROUP BY 1 HAVING count(*) >= 30) GROUP BY ALL HAVING count(value) >= 10""",
+        FROM daily JOIN qf USING (ts) JOIN bins ON q BETWEEN q_lo AND q_hi
+        WHERE station_id IN (SELECT station_id FROM daily JOIN qf USING (ts) WHERE q IS NOT NULL GROUP BY 1 HAVING count(*) >= 30) GROUP BY ALL HAVING count(value) >= 10""",
 }
 _SIGMA = {
     "med": "SELECT station_id, quantile_cont(value, 0.5) AS median FROM {t} GROUP BY 1",
@@ -155,7 +164,7 @@ SQL = {
     "upsample_hourly": sql(
         "daily",
         f"SELECT station_id, count(*) AS n_hours, {r('avg(value)', 'mean')}, max(h) AS last_hour FROM (SELECT station_id, value, unnest(generate_series(ts, coalesce(nxt - INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS h FROM u) GROUP BY 1",
-        u=f"SELECT *, lead(ts) OVER ({W}) AS nxt FROM daily WHERE ts >= TIMESTAMP '2001-06-01'",
+        u=f"SELECT *, lead(ts) OVER ({W}) AS nxt FROM daily",
     ),
     "hybrid_resolution": sql(
         "",
@@ -192,9 +201,9 @@ SQL = {
     "stage_envelope": sql("daily q0", f"SELECT station_id, bin, {r('q_lo', 'q_lo')}, {r('q_hi', 'q_hi')}, n, " + ", ".join(r(p, p) for p in ("p05", "p25", "p50", "p75", "p95")) + " FROM env", **_ENV2),
     "limb_class": sql(
         "daily q0",
-        f"SELECT station_id, {DAY}, CASE WHEN value > e.p50 + 0.2 * (e.p95 - e.p05) THEN 'rising' WHEN value < e.p50 - 0.2 * (e.p95 - e.p05) THEN 'falling' ELSE 'normal' END AS limb FROM one",
+        f"SELECT station_id, {DAY}, CASE WHEN value > e.p50 + 0.2 * greatest(e.p95 - e.p05, 0.05) THEN 'rising' WHEN value < e.p50 - 0.2 * greatest(e.p95 - e.p05, 0.05) THEN 'falling' ELSE 'normal' END AS limb FROM one",
         **_ENV2,
-        one="SELECT station_id, ts, value, arg_min({'p05': p05, 'p50': p50, 'p95': p95}, q_lo) AS e FROM daily JOIN q0 USING (ts) JOIN env USING (station_id) WHERE ts >= TIMESTAMP '2000-01-01' AND q BETWEEN q_lo AND q_hi GROUP BY ALL",
+        one="SELECT station_id, ts, value, arg_min({'p05': p05, 'p50': p50, 'p95': p95}, q_lo) AS e FROM daily JOIN q0 USING (ts) JOIN env USING (station_id) WHERE q BETWEEN q_lo AND q_hi GROUP BY ALL",
     ),
     "priority_coalesce": sql("q", f"SELECT {DAY}, {r('arg_min(value, k)', 'value')}, arg_min(station_id, k) AS source FROM (SELECT *, CASE station_id WHEN '2' THEN 0 WHEN '0' THEN 1 ELSE 2 END AS k FROM q) GROUP BY ts"),
     "dedupe_keep_first": sql("clean", f"SELECT station_id, {DAY}, value, l_orderkey FROM clean QUALIFY row_number() OVER (PARTITION BY station_id, ts ORDER BY {TIE_SQL}) = 1"),

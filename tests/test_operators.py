@@ -87,6 +87,95 @@ def test_gap_repair(spark):
     assert r.repaired == 50.0 and not r.suspect
 
 
+def test_gap_repair_measures_from_the_value_between(spark):
+    r = repair(spark, 10.0, None, 40.0, 38.0)  # inside the neighbours' range, but 13 feet from the 25 between them
+    assert r.suspect and r.repaired == 25.0
+    r = repair(spark, 10.0, None, 40.0, 29.5)
+    assert not r.suspect and r.repaired == 29.5
+
+
+def fixed(by):
+    """A predictor that is off by ``by`` for every station; it sees which rows train."""
+
+    def predict(rows):
+        predict.trained.append({r.station_id: r.n for r in rows.where("training").groupBy("station_id").agg(F.count("*").alias("n")).collect()})
+        return rows.withColumn("predicted", F.when(F.col("ts").isNotNull(), F.coalesce("value", F.lit(0.0)) - by))
+
+    predict.trained = []
+    return predict
+
+
+def test_a_biased_predictor_flags_every_row(spark):
+    out = qaqc.iterate(frame(spark, [float(i % 5) for i in range(130)]), fixed(F.lit(3.0)))
+    assert {(r.is_outlier, r.residual, r.sigma) for r in out.collect()} == {(True, 3.0, 0.25)}
+    calm = qaqc.iterate(frame(spark, [float(i % 5) for i in range(130)]), fixed(F.lit(0.8)))
+    assert not any(r.is_outlier for r in calm.collect())  # 0.8 is under 3.5 times 0.25
+
+
+def test_every_station_stops_by_itself(spark):
+    long = frame(spark, [9.0 if i in (7, 8) else 0.0 for i in range(150)], "long")
+    short = frame(spark, [1.0] * 119, "short")
+    calm = frame(spark, [0.0] * 150, "calm")
+    predict = fixed(F.col("value") * F.lit(1.0))  # expects 0
+    out = {r.station_id: r for r in qaqc.iterate(long.unionByName(short).unionByName(calm), predict).groupBy("station_id").agg(F.count_if("is_outlier").alias("n"), F.count("predicted").alias("p"), F.max("corrected").alias("c")).collect()}
+    assert (out["long"].n, out["short"].n, out["calm"].n) == (2, 0, 0)
+    assert out["short"].p == 0 and out["short"].c == 1.0  # under 120 rows: never predicted, readings stay
+    assert len(predict.trained) == 2 and predict.trained[1]["long"] == 148  # a second round for the one that flagged, and no third
+
+
+def test_confidence_band_of_three_and_a_half_sigmas(spark):
+    rows = spark.createDataFrame([("a", DAY0, None, 10.0, 2.0), ("b", DAY0, None, 10.0, None), ("c", DAY0, 1.0, 1.0, 2.0)], "station_id string, ts timestamp_ntz, observed double, corrected double, sigma double")
+    got = {r.station_id: (r.ci_lower, r.ci_upper) for r in qaqc.confidence(rows).collect()}
+    assert got == {"a": (3.0, 17.0), "b": (8.25, 11.75), "c": (None, None)}
+
+
+def test_drift_against_all_earlier_rows_of_the_window(spark):
+    rows = [("a", DAY0 + dt.timedelta(days=i), 10.0 + (2.0 if i >= 86 else 0.0 if i >= 40 else 50.0), 10.0) for i in range(100)]
+    got = anomaly.drift_shifts(spark.createDataFrame(rows, "station_id string, ts timestamp_ntz, value double, predicted double")).first()
+    assert (got["shift"], got.sigma) == (2.0, 0.25)  # days 40 to 85 against the last 14; a sigma over both would be no less, but days before 40 don't count
+
+
+def test_matched_lags_take_peaks_and_troughs_together(spark):
+    wave = [10 * math.sin(2 * math.pi * i / 40) for i in range(460)]
+    grid = frame(spark, wave, "u").unionByName(frame(spark, [0.0] * 6 + wave[:-6], "d"))
+    pair = spark.createDataFrame([("u", "d", 20.0)], "up string, dn string, miles double")
+    q = grid.where("station_id = 'u'").select("ts", (F.col("value") + 100).alias("q"))
+    got = {r.bin: r.lag_days for r in lags.matched_lags(grid, pair, q).collect()}
+    assert got == dict.fromkeys(["overall", "low", "medium_low", "medium_high", "high"], 6)
+    assert lags.best_covered(grid.unionByName(frame(spark, [1.0] * 500, "z"))).count() == 500
+
+
+def test_an_event_may_match_on_its_own_day(spark):
+    row = spark.createDataFrame([([5, 30], [5, 52])], "u array<bigint>, d array<bigint>")
+    assert [x.lag for x in row.select(lags.greedy_match(F.col("u"), F.col("d"), 21).alias("m")).first().m] == [0]
+    row = spark.createDataFrame([([5, 30], [5, 51])], "u array<bigint>, d array<bigint>")
+    assert [x.lag for x in row.select(lags.greedy_match(F.col("u"), F.col("d"), 21).alias("m")).first().m] == [0, 21]
+
+
+def test_one_station_over_many_tasks_gives_equal_results(spark):
+    xs = [None if i % 13 in (4, 5) or 100 <= i < 210 else float((i * i) % 37) for i in range(500)]
+    grid = frame(spark, xs)
+    live = grid.where("value IS NOT NULL")
+    for small, whole in (
+        (align.interpolate(grid, 5, size=32), align.interpolate(grid, 5, size=1 << 20)),
+        (windows.extrema(grid, 3, size=16), windows.extrema(grid, 3, size=1 << 20)),
+        (windows.median_smooth(grid, "ts", ("station_id",), size=16), windows.median_smooth(grid, "ts", ("station_id",), size=1 << 20)),
+        (windows.detrend(live, size=64), windows.detrend(live, size=1 << 20)),
+        (align.numbered(live, size=16), live.withColumn("_i", F.row_number().over(align.by_time()) - 1)),
+    ):
+        a, b = (sorted(df.select(sorted(df.columns)).collect(), key=str) for df in (small, whole))
+        assert a == b and a
+
+
+def test_steps_merging_and_filled_discharge(spark):
+    hours = spark.createDataFrame([("h", DAY0 + dt.timedelta(hours=i), 1.0) for i in range(3)], SCHEMA)
+    assert {r.station_id: r.steps_per_day for r in align.grid_step(hours.unionByName(frame(spark, [1.0, 2.0])).unionByName(frame(spark, [1.0], "one"))).collect()} == {"h": 24, "a": 1, "one": 1}
+    old, new = frame(spark, [1.0, 2.0, 3.0]), frame(spark, [None, 5.0]).unionByName(frame(spark, [7.0], "new"))
+    assert values(align.merge(old, new)) == [None, 5.0, 3.0, 7.0]
+    q = frame(spark, [1.0, None, None, 4.0]).select("ts", F.col("value").alias("q"))
+    assert [r.q for r in stats.fill_discharge(q, frame(spark, [0.0] * 14)).orderBy("ts").collect()] == [1.0, 2.0, 3.0] + [4.0] * 8 + [None] * 3
+
+
 def test_spatial_spikes_go_one_at_a_time():
     rows = pd.DataFrame({"at": 0, "station_id": list("abc"), "river_mile": [30.0, 20.0, 10.0], "value": [10.0, 30.0, 8.0]})
     assert profile.remove_spikes(rows)["value"].tolist() == [10.0, 8.0]
