@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 FT_PER_M = 3.280839895
 FT_PER_MILE = 5280.0
 FT2_PER_ACRE = 43560.0
+FT2_PER_YD2 = 9.0
 EARTH_MILES = 3958.8
 
 
@@ -87,3 +88,16 @@ def safe_name(name: Column) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
+
+
+def pixel(east: Column, north: Column, left: float, top: float, size: float = 30.0) -> tuple[Column, Column]:
+    """Row and column of the raster cell at a place, from the raster's upper left corner, halves to even."""
+    return half_even((F.lit(top) - north) / size), half_even((east - F.lit(left)) / size)
+
+
+def feet(metres: Column) -> Column:
+    return metres * FT_PER_M
+
+
+def metres(feet_: Column) -> Column:
+    return feet_ / FT_PER_M

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import timedelta
 
+from pyspark.ml import Model
 from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import harmonics
+from ..functions.scalars import half_even, harmonics
 from .align import KEY, blocks, by_time, own
-from .windows import over_last, split_by_place
+from .windows import decay_weights, over_last, split_by_place
 
 LAGS = (1, 2, 3, 5, 7, 14, 21, 28)
 RATES = (1, 3, 7)
@@ -19,8 +21,54 @@ ROLLS = (7, 14, 28)
 HORIZONS = (1, 2, 3, 5, 7, 10, 14, 21, 28)
 
 
-def features(grid: DataFrame, lags=LAGS, rates=RATES, rolls=ROLLS) -> tuple[DataFrame, list[str]]:
-    """The grid with all features of its own series, in one sort: value now, lags, differences, rolling statistics, season."""
+COMPOSITE_LAGS = (1, 2, 3, 5, 7)
+GRADIENT_LAGS = (1, 2, 3)
+
+
+@dataclass
+class Network:
+    """What a station's features take from the others: stations (station_id, river_mile) and the composite discharge (ts, composite)."""
+
+    stations: DataFrame
+    composite: DataFrame
+    reach: int = 2
+    speed: float = 72.0
+
+    def slots(self) -> DataFrame:
+        """(station_id, other, slot, lag): the ``reach`` nearest stations up and down at the travel time between, and the nearest ones at each gradient lag."""
+        s = self.stations.where("river_mile IS NOT NULL").select(KEY, "river_mile")
+        both = s.crossJoin(F.broadcast(s.toDF("other", "_m"))).where(F.col(KEY) != F.col("other"))  # the station dimension with itself
+        gap = F.abs(F.col("_m") - F.col("river_mile"))
+        side = F.when((F.col("_m") > F.col("river_mile")) | (F.col("_m") == F.col("river_mile")) & (F.col("other") < F.col(KEY)), "up").otherwise("dn")
+        near = both.withColumn("side", side).withColumn("n", F.row_number().over(Window.partitionBy(KEY, "side").orderBy(gap, "other"))).where(F.col("n") <= self.reach)
+        travel = F.struct(F.concat("side", F.col("n").cast("string")).alias("slot"), F.greatest(F.lit(1), half_even(gap / self.speed)).cast("int").alias("lag"))
+        level = [F.when(F.col("n") == 1, F.struct(F.concat("side", F.lit(f"_g{k}")).alias("slot"), F.lit(k).alias("lag"))) for k in GRADIENT_LAGS]
+        return near.select(KEY, "other", F.explode(F.array_compact(F.array(travel, *level))).alias("x")).select(KEY, "other", "x.*")
+
+    def add(self, rows: DataFrame, grid: DataFrame) -> tuple[DataFrame, list[str]]:
+        """rows with the neighbours' values, changes and weekly means a travel time before, slopes to the nearest ones, and composite discharge.
+
+        Each neighbour's row is sent ahead to the station and day that read it, so all slots take one shuffle.
+        """
+        cut, keys = blocks(grid.select(KEY, "ts", "value"), 8)
+        w = by_time(keys)
+        live = own(cut.withColumns({"d1": F.col("value") - F.lag("value", 1).over(w), "mean7": over_last(F.col("value"), "avg", 7, 1, w)}))
+        sent = live.withColumnRenamed(KEY, "other").join(F.broadcast(self.slots()), "other")
+        sent = sent.withColumn("ts", F.col("ts") + F.make_interval(days=F.col("lag")))
+        sides = [f"{s}{n}" for s in ("up", "dn") for n in range(1, self.reach + 1)]
+        pick = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
+        wide = sent.groupBy(KEY, "ts").agg(*(pick(s, c).alias(f"{s}_{c}") for s in sides for c in ("value", "d1", "mean7")), *(pick(f"{s}_g{k}", "value").alias(f"_{s}_g{k}") for s in ("up", "dn") for k in GRADIENT_LAGS))
+        q = self.composite.select(F.explode(F.array(*(F.struct((F.col("ts") + F.make_interval(days=F.lit(k))).alias("ts"), F.lit(k).alias("k"), F.col("composite").alias("c")) for k in COMPOSITE_LAGS))).alias("x")).select("x.*")
+        q = q.groupBy("ts").agg(*(F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"q_lag{k}") for k in COMPOSITE_LAGS))
+        out = rows.join(wide, [KEY, "ts"], "left").join(q, "ts", "left")
+        # upstream less self and self less downstream: positive where the surface falls down the river
+        slopes = {f"slope_up{k}": F.col(f"_up_g{k}") - F.col(f"lag{k}") for k in GRADIENT_LAGS} | {f"slope_dn{k}": F.col(f"lag{k}") - F.col(f"_dn_g{k}") for k in GRADIENT_LAGS}
+        out = out.withColumns(slopes).drop(*(f"_{s}_g{k}" for s in ("up", "dn") for k in GRADIENT_LAGS))
+        return out, [*(f"{s}_{c}" for s in sides for c in ("value", "d1", "mean7")), *slopes, *(f"q_lag{k}" for k in COMPOSITE_LAGS)]
+
+
+def features(grid: DataFrame, network: Network | None = None, lags=LAGS, rates=RATES, rolls=ROLLS) -> tuple[DataFrame, list[str]]:
+    """The grid with all features of its own series, in one sort (value now, lags, differences, rolling statistics, season), and those of the network."""
     cut, keys = blocks(grid, max(*lags, *rates, *rolls))
     w = by_time(keys)
     v = F.col("value")
@@ -31,13 +79,18 @@ def features(grid: DataFrame, lags=LAGS, rates=RATES, rolls=ROLLS) -> tuple[Data
         least = max(1, int(0.3 * n))
         new |= {f"mean{n}": over_last(v, "avg", n, least, w), f"std{n}": over_last(v, "std", n, least, w)}
     new |= {k: c.cast("double") for k, c in harmonics(F.col("ts")).items()}
-    return own(cut.withColumns(new)), [*new]
+    rows, names = own(cut.withColumns(new)), [*new]
+    if network is None:
+        return rows, names
+    rows, more = network.add(rows, grid)
+    return rows, names + more
 
 
 def training_set(rows: DataFrame, names: list[str], horizon: int, steps_per_day: int = 1, share: float = 0.3) -> DataFrame:
     """rows with target (the value ``horizon`` days ahead) and is_train (the first 80 % of each station): a target and over ``share`` of the features are there."""
     present = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    ahead = rows.withColumn("target", F.lead("value", horizon * steps_per_day).over(by_time()))
+    cut, keys = blocks(rows, 0, horizon * steps_per_day, 86400 // steps_per_day)
+    ahead = own(cut.withColumn("target", F.lead("value", horizon * steps_per_day).over(by_time(keys))))
     return split_by_place(ahead.where(F.col("target").isNotNull() & (present > share * len(names))))
 
 
@@ -47,14 +100,31 @@ def scoring_rows(rows: DataFrame) -> DataFrame:
     return rows.where("value IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def scoring_row_at(rows: DataFrame, instant: Column) -> DataFrame:
+    """Each station's row at one instant, whatever is missing in it."""
+    return rows.where(F.col("ts") == instant)
+
+
+def make_regressor(kind: str = "boosted", **settings):
+    """The learner of that kind; an unknown kind falls back to a single tree. Settings: trees, depth, rate, seed."""
+    trees, depth, rate, seed = (settings.get(k, v) for k, v in (("trees", 20), ("depth", 5), ("rate", 0.1), ("seed", 1)))
+    common = {"featuresCol": "features", "labelCol": "target", "maxDepth": depth, "minInstancesPerNode": 20, "seed": seed}
+    if kind == "boosted":  # stops early once the held-out error no longer falls
+        return GBTRegressor(maxIter=trees, stepSize=rate, subsamplingRate=0.8, validationIndicatorCol="_held", validationTol=0.001, **common)
+    if kind == "forest":
+        return RandomForestRegressor(numTrees=trees, subsamplingRate=0.8, **common)
+    return DecisionTreeRegressor(**common)
+
+
 @dataclass
 class Regressor:
-    """Boosted trees over imputed features; each feature also has a flag that it was missing."""
+    """Trees over imputed features; each feature also has a flag that it was missing. variable names what they predict."""
 
     names: list[str]
     imputer: ImputerModel
-    model: GBTRegressionModel
+    model: Model
     mae: float
+    variable: str = "stage"
 
     def predict(self, rows: DataFrame) -> DataFrame:
         return self.model.transform(_vectors(self.imputer.transform(_flags(rows, self.names)), self.names)).drop("features", *(f"{n}_i" for n in self.names), *(f"{n}_missing" for n in self.names)).withColumnRenamed("prediction", "pred")
@@ -64,12 +134,18 @@ class Regressor:
         return sorted(zip(both, map(float, self.model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
 
     def save(self, path: str) -> None:
+        """Trees, medians and what describes them, for ``load``."""
         self.model.write().overwrite().save(f"{path}/trees")
         self.imputer.write().overwrite().save(f"{path}/imputer")
+        spark = self.imputer.surrogateDF.sparkSession
+        facts = (type(self.model).__name__, self.names, self.mae, self.variable)
+        spark.createDataFrame([facts], "kind string, names array<string>, mae double, variable string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
     @classmethod
-    def load(cls, path: str, names: list[str], mae: float) -> Regressor:
-        return cls(names, ImputerModel.load(f"{path}/imputer"), GBTRegressionModel.load(f"{path}/trees"), mae)
+    def load(cls, spark: SparkSession, path: str) -> Regressor:
+        about = spark.read.schema("kind string, names array<string>, mae double, variable string").json(f"{path}/about").first()
+        kind = {m.__name__: m for m in (GBTRegressionModel, RandomForestRegressionModel, DecisionTreeRegressionModel)}[about.kind]
+        return cls(list(about.names), ImputerModel.load(f"{path}/imputer"), kind.load(f"{path}/trees"), about.mae, about.variable)
 
 
 def _flags(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -80,34 +156,40 @@ def _vectors(rows: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[*(f"{n}_i" for n in names), *(f"{n}_missing" for n in names)], outputCol="features").transform(rows)
 
 
-def fit(rows: DataFrame, names: list[str], trees: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 1, weight: str | None = None) -> Regressor:
-    """Fits to the rows with is_train; medians come from these alone, and the error from the others."""
-    live = _flags(rows, names).persist()
+def fit(rows: DataFrame, names: list[str], kind: str = "boosted", weight: str | None = None, **settings) -> Regressor:
+    """Fits to the rows with is_train; medians come from these alone, and the error (and early stop) from the others.
+
+    Features that no training row has are left out, as those of neighbours at a river's ends.
+    """
+    seen = rows.where("is_train").agg(*(F.count(n).alias(n) for n in names)).first()
+    names = [n for n in names if seen[n]]
+    live = _flags(rows, names).withColumn("_held", ~F.col("is_train")).persist()
     train = live.where("is_train")
     imputer = Imputer(strategy="median", inputCols=names, outputCols=[f"{n}_i" for n in names], relativeError=0.001).fit(train)
-    trees_ = GBTRegressor(featuresCol="features", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=20, subsamplingRate=0.8, seed=seed)
+    learner = make_regressor(kind, **settings)
     if weight:
-        trees_ = trees_.setWeightCol(weight)
-    model = trees_.fit(_vectors(imputer.transform(train), names))
-    held = model.transform(_vectors(imputer.transform(live.where("NOT is_train")), names))
+        learner = learner.setWeightCol(weight)
+    known = _vectors(imputer.transform(live if kind == "boosted" else train), names)
+    model = learner.fit(known)
+    held = model.transform(_vectors(imputer.transform(live.where("_held")), names))
     mae = held.agg(F.avg(F.abs(F.col("prediction") - F.col("target")))).first()[0]
     live.unpersist()
     return Regressor(names, imputer, model, mae or 0.0)
 
 
-def direct(grid: DataFrame, horizons=HORIZONS, most_null: float = 0.3, **settings) -> DataFrame:
+def direct(grid: DataFrame, horizons=HORIZONS, most_null: float = 0.3, network: Network | None = None, **settings) -> DataFrame:
     """(station_id, origin, horizon, pred, lo, hi): one model a horizon over all stations; the band is the held-out error.
 
     A horizon with over ``most_null`` null targets is skipped.
     """
-    rows, names = features(grid)
+    rows, names = features(grid, network)
     rows, out = rows.persist(), None  # every horizon fits on them
     latest = scoring_rows(rows)
     latest = grid.sparkSession.createDataFrame(latest.collect(), latest.schema)  # one row a station
-    total = rows.count()
+    total = rows.where("value IS NOT NULL").count()
     for h in horizons:
         known = training_set(rows, names, h)
-        if known.count() < (1 - most_null) * total:
+        if known.where("value IS NOT NULL").count() < (1 - most_null) * total:
             continue
         r = fit(known, names, **settings)
         one = r.predict(latest).select(KEY, F.col("ts").alias("origin"), F.lit(h).alias("horizon"), "pred", (F.col("pred") - r.mae).alias("lo"), (F.col("pred") + r.mae).alias("hi"))
@@ -116,33 +198,49 @@ def direct(grid: DataFrame, horizons=HORIZONS, most_null: float = 0.3, **setting
     return out
 
 
-def recursive(grid: DataFrame, days: int = 7, keep_days: int = 60, **settings) -> DataFrame:
+def recursive(grid: DataFrame, days: int = 7, keep_days: int = 60, network: Network | None = None, **settings) -> DataFrame:
     """(station_id, origin, horizon, pred, lo, hi): a one-day model fed its own results; the band grows with the root of the horizon.
 
-    Only the last ``keep_days`` rows a station go through the loop.
+    All stations step together: each day's features read the neighbours' forecasts of the days before, and the last known
+    discharge goes on. Only the last ``keep_days`` days go through the loop.
     """
-    rows, names = features(grid)
+    rows, names = features(grid, network)
     r = fit(training_set(rows, names, 1), names, **settings)
-    w = Window.partitionBy(KEY).orderBy(F.desc("ts"))
-    history = grid.where("value IS NOT NULL").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep_days).select(KEY, "ts", "value")
-    history = grid.sparkSession.createDataFrame(history.collect(), history.schema)  # keep_days rows a station
-    origin, out = history.groupBy(KEY).agg(F.max("ts").alias("origin")), None
+    spark, end = grid.sparkSession, grid.where("value IS NOT NULL").agg(F.max("ts")).first()[0]
+    if end is None:
+        return spark.createDataFrame([], "station_id string, origin timestamp_ntz, horizon int, pred double, lo double, hi double")
+    recent = F.col("ts") > F.lit(end) - F.make_interval(days=F.lit(keep_days))
+    history = grid.where(recent & (F.col("ts") <= F.lit(end))).select(KEY, "ts", "value")
+    history = spark.createDataFrame(history.collect(), history.schema)  # keep_days rows a station
+    if network is not None:
+        q = network.composite.where(recent & (F.col("ts") <= F.lit(end))).select("ts", "composite").orderBy("ts").collect()  # keep_days rows
+        later = [(q[-1].ts + timedelta(days=d), q[-1].composite) for d in range(1, days + (end - q[-1].ts).days + 1)] if q else []
+        network = replace(network, composite=spark.createDataFrame([tuple(x) for x in q] + later, "ts timestamp_ntz, composite double"))
+    out: list[tuple] = []
     for h in range(1, days + 1):
-        step = r.predict(scoring_rows(features(history)[0])).select(KEY, (F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.col("pred").alias("value"))
-        step = history.sparkSession.createDataFrame(step.collect(), step.schema)  # one row a station, and it ends the loop's lineage
-        history = history.unionByName(step)
-        one = step.select(KEY, F.lit(h).alias("horizon"), F.col("value").alias("pred"))
-        out = one if out is None else out.unionByName(one)
-    band = F.lit(r.mae) * F.sqrt("horizon")
-    return out.join(origin, KEY).select(KEY, "origin", "horizon", "pred", (F.col("pred") - band).alias("lo"), (F.col("pred") + band).alias("hi"))
+        now = F.lit(end + timedelta(days=h - 1))
+        step = r.predict(scoring_row_at(features(history, network)[0], now)).select(KEY, "pred").collect()  # one row a station, and it ends the loop's lineage
+        history = history.unionByName(spark.createDataFrame([(x.station_id, end + timedelta(days=h), x.pred) for x in step], history.schema))
+        out += [(x.station_id, end, h, x.pred, x.pred - r.mae * h**0.5, x.pred + r.mae * h**0.5) for x in step]
+    return spark.createDataFrame(out, "station_id string, origin timestamp_ntz, horizon int, pred double, lo double, hi double")
 
 
-def by_tier(grid: DataFrame, stations: DataFrame, horizon: int = 1, least: int = 60, **settings) -> dict[int, Regressor]:
-    """One regressor a tier of stations, lowest tier first; tiers under ``least`` training rows are left out."""
-    rows, names = features(grid)
-    known = training_set(rows, names, horizon).join(F.broadcast(stations.select(KEY, "tier")), KEY)
+def by_tier(grid: DataFrame, stations: DataFrame, horizon: int = 1, least: int = 60, half_life: float = 365.0, network: Network | None = None, **settings) -> dict[int, Regressor]:
+    """One regressor a tier of stations, lowest tier first, recent rows weighing more; tiers under ``least`` training rows are left out."""
+    rows, names = features(grid, network)
+    known = decay_weights(training_set(rows, names, horizon), half_life).join(F.broadcast(stations.select(KEY, "tier")), KEY)
     sizes = {r["tier"]: r["count"] for r in known.where("is_train").groupBy("tier").count().collect()}  # a row a tier
-    return {t: fit(known.where(F.col("tier") == t), names, **settings) for t in sorted(sizes) if sizes[t] >= least}
+    return {t: fit(known.where(F.col("tier") == t), names, weight="weight", **settings) for t in sorted(sizes) if sizes[t] >= least}
+
+
+def tiered(grid: DataFrame, stations: DataFrame, models: dict[int, Regressor], horizon: int = 1, network: Network | None = None) -> DataFrame:
+    """(station_id, tier, origin, horizon, pred, lo, hi) of each station's latest row by its tier's regressor, in order of tier and then down the river."""
+    latest = scoring_rows(features(grid, network)[0]).join(F.broadcast(stations.select(KEY, "tier", "river_mile")), KEY).persist()
+    out = None
+    for t, r in models.items():
+        one = r.predict(latest.where(F.col("tier") == t)).select(KEY, "tier", "river_mile", F.col("ts").alias("origin"), F.lit(horizon).alias("horizon"), "pred", (F.col("pred") - r.mae).alias("lo"), (F.col("pred") + r.mae).alias("hi"))
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy("tier", F.desc("river_mile"), KEY).drop("river_mile") if out is not None else latest.sparkSession.createDataFrame([], "station_id string, tier int, origin timestamp_ntz, horizon int, pred double, lo double, hi double")
 
 
 def horizon_errors(residuals: DataFrame, horizons: list[int]) -> DataFrame:
@@ -159,10 +257,21 @@ def best_variable(rows: DataFrame, stations: DataFrame, least: int = 30) -> Data
     return stations.select(KEY, "is_tidal").join(seen, KEY, "left").select(KEY, picked.alias("variable"))
 
 
-def at_mile(forecast: DataFrame, stations: DataFrame, miles: DataFrame) -> DataFrame:
-    """(horizon, mile, pred, lo, hi): the forecast between the stations around each mile, the nearest one's outside."""
+def at_mile(forecast: DataFrame, stations: DataFrame, miles: DataFrame, river: str = "mississippi", near: float = 20.0) -> DataFrame:
+    """(horizon, mile, stage_pred, stage_lo, stage_hi, discharge_pred, discharge_lo, discharge_hi) at each mile.
+
+    forecast may name its variable (stage, tide, discharge; all stage without it), stations their river; only those whose river holds
+    ``river`` count. Stage and tide lie between the stations around the mile, the nearest one's outside; discharge is that of the first gauge up the river
+    nearer than ``near`` miles, null without one.
+    """
     from .network import at_miles
 
-    points = forecast.join(F.broadcast(stations.select(KEY, "river_mile")), KEY)
-    targets = forecast.select("horizon").distinct().crossJoin(F.broadcast(miles.select("mile")))
-    return at_miles(targets, points, "river_mile", ["pred", "lo", "hi"], ("horizon",))
+    main = stations.where(F.lower("river").contains(river)) if "river" in stations.columns else stations
+    rows = forecast if "variable" in forecast.columns else forecast.withColumn("variable", F.lit("stage"))
+    points = rows.join(F.broadcast(main.select(KEY, "river_mile")), KEY)
+    targets = rows.select("horizon").distinct().crossJoin(F.broadcast(miles.select("mile")))
+    level = at_miles(targets, points.where("variable <> 'discharge'"), "river_mile", ["pred", "lo", "hi"], ("horizon",))
+    q = points.where("variable = 'discharge'").select(F.col("horizon"), "river_mile", F.struct("pred", "lo", "hi").alias("x"))
+    close = targets.join(q, "horizon").where(F.abs(F.col("river_mile") - F.col("mile")) < near).groupBy("horizon", "mile").agg(F.min_by("x", "river_mile").alias("d"))
+    out = level.join(close, ["horizon", "mile"], "left")
+    return out.select("horizon", "mile", *(F.col(c).alias(f"stage_{c}") for c in ("pred", "lo", "hi")), *(F.col(f"d.{c}").alias(f"discharge_{c}") for c in ("pred", "lo", "hi")))

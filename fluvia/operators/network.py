@@ -74,10 +74,11 @@ def mile_to_point(miles: DataFrame, line: DataFrame) -> DataFrame:
 def at_miles(targets: DataFrame, controls: DataFrame, position: str, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Piecewise linear ``values`` of the controls (keys, position, values) at each target's ``mile``; flat beyond the ends.
 
-    One control gives a constant, none null. Controls of a key are the stations or points of one river, so they fold into one array.
+    One control gives a constant, none null. With keys, targets and controls of a key meet by a shuffled join; without, the
+    controls are one river's stations or points. Either way the controls of a key fold into one sorted array.
     """
     fold = controls.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("m"), *values))).alias("_c"))
-    rows = targets.join(F.broadcast(fold), list(keys), "left") if keys else targets.crossJoin(F.broadcast(fold))
+    rows = targets.join(fold, list(keys), "left") if keys else targets.crossJoin(F.broadcast(fold))  # without keys, one row: a river
     below = F.try_element_at(F.filter("_c", lambda c: c["m"] <= F.col("mile")), F.lit(-1))
     above = F.try_element_at(F.filter("_c", lambda c: c["m"] >= F.col("mile")), F.lit(1))
     rows = rows.withColumn("_lo", below).withColumn("_hi", above)
@@ -87,11 +88,11 @@ def at_miles(targets: DataFrame, controls: DataFrame, position: str, values: lis
 
 
 def within_miles(points: DataFrame, gages: DataFrame, miles: float = 2.0) -> DataFrame:
-    """The first gage (nearest, then by id) within the distance of each point's mile, by buckets of that distance."""
+    """points with the first gage down the river (highest mile, then by id) nearer than ``miles`` to each mile, by buckets of that distance."""
     left = points.select("mile").distinct().withColumn("_b", F.explode(F.array(*(F.floor(F.col("mile") / miles) + k for k in (-1, 0, 1)))))
     right = gages.select(F.col(KEY).alias("gage_id"), "river_mile", F.floor(F.col("river_mile") / miles).alias("_b"))
-    near = left.join(right, "_b").withColumn("_d", F.abs(F.col("mile") - F.col("river_mile"))).where(F.col("_d") <= miles)
-    best = near.groupBy("mile").agg(F.min_by("gage_id", F.struct("_d", "gage_id")).alias("gage_id"))
+    near = left.join(right, "_b").where(F.abs(F.col("mile") - F.col("river_mile")) < miles)
+    best = near.groupBy("mile").agg(F.min_by("gage_id", F.struct(-F.col("river_mile"), F.col("gage_id"))).alias("gage_id"))
     return points.join(best, "mile", "left").withColumn("is_gage", F.col("gage_id").isNotNull())
 
 
@@ -130,28 +131,46 @@ def spatial_prediction(rows: DataFrame, stations: DataFrame) -> DataFrame:
     return out.withColumn("predicted", F.coalesce(both, "up_value", "dn_value")).select(*rows.columns, "up_value", "dn_value", "predicted")
 
 
-def query_stage(rows: DataFrame, stations: DataFrame, target: str, start: str, end: str) -> DataFrame:
+SOURCES = {"raw": "observed", "corrected": "corrected", "predicted": "predicted"}
+
+
+def query_stage(rows: DataFrame, stations: DataFrame, target: str, start: str, end: str, offsets: DataFrame | None = None, src: str = "NAVD88", dst: str = "") -> DataFrame:
     """(ts, value) at a station or river mile in the closed interval of days.
 
     A target that names a station is that station; else it is a mile between the stations around it, null where either is missing;
-    a mile outside the network takes the nearest station. The filters reach the scan of ``rows``.
+    a mile outside the network takes the nearest station. With ``offsets`` (station_id, src, dst, offset_ft) and another frame ``dst``
+    the values are converted by the offset of the station, of two that of the lower one. The filters reach the scan of ``rows``.
     """
     inside = rows.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     known = {r.station_id: r.river_mile for r in stations.where("river_mile IS NOT NULL").select(KEY, "river_mile").collect()}  # the dimension
     if target in known:
-        return inside.where(F.col(KEY) == target).select("ts", "value")
-    try:
-        mile = float(target)
-    except ValueError:
-        raise KeyError(f"{target!r} is neither a mile nor one of the stations {sorted(known)}") from None
-    below = max(((m, s) for s, m in known.items() if m <= mile), default=None)
-    above = min(((m, s) for s, m in known.items() if m >= mile), default=None)
-    if below is None or above is None or below[1] == above[1]:
-        return inside.where(F.col(KEY) == (below or above)[1]).select("ts", "value")
-    share = 0.5 if above[0] == below[0] else (mile - below[0]) / (above[0] - below[0])
-    one = lambda s: F.max(F.when(F.col(KEY) == s, F.col("value")))
-    both = inside.where(F.col(KEY).isin(below[1], above[1])).groupBy("ts").agg(one(below[1]).alias("lo"), one(above[1]).alias("hi"))
-    return both.select("ts", lerp(F.col("lo"), F.col("hi"), F.lit(share)).alias("value"))
+        guide, found = target, inside.where(F.col(KEY) == target).select("ts", "value")
+    else:
+        try:
+            mile = float(target)
+        except ValueError:
+            raise KeyError(f"{target!r} is neither a mile nor one of the stations {sorted(known)}") from None
+        below = max(((m, s) for s, m in known.items() if m <= mile), default=None)
+        above = min(((m, s) for s, m in known.items() if m >= mile), default=None)
+        guide = (below or above)[1]
+        if below is None or above is None or below[1] == above[1]:
+            found = inside.where(F.col(KEY) == guide).select("ts", "value")
+        else:
+            share = 0.5 if above[0] == below[0] else (mile - below[0]) / (above[0] - below[0])
+            one = lambda s: F.max(F.when(F.col(KEY) == s, F.col("value")))
+            both = inside.where(F.col(KEY).isin(below[1], above[1])).groupBy("ts").agg(one(below[1]).alias("lo"), one(above[1]).alias("hi"))
+            found = both.select("ts", lerp(F.col("lo"), F.col("hi"), F.lit(share)).alias("value"))
+    src, dst = src.strip().upper(), dst.strip().upper()
+    if offsets is None or not dst or dst == src:
+        return found
+    return convert_datum(found.withColumn(KEY, F.lit(guide)), offsets, src, dst).select("ts", F.col("converted").alias("value"))
+
+
+def query_result(result: DataFrame, stations: DataFrame, target: str, start: str, end: str, source: str = "corrected", **frames) -> DataFrame:
+    """``query_stage`` on quality control's result: its raw, corrected or predicted values."""
+    if source not in SOURCES:
+        raise ValueError(f"source must be one of {', '.join(SOURCES)}")
+    return query_stage(result.select(KEY, "ts", F.col(SOURCES[source]).alias("value")), stations, target, start, end, **frames)
 
 
 def first_match(rows: DataFrame, key: Column, prefix: Column, order: Column, keys: list[str]) -> DataFrame:

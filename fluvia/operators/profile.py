@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FT2_PER_ACRE, FT_PER_MILE, bearing, haversine
+from ..functions.scalars import FT2_PER_ACRE, FT2_PER_YD2, FT_PER_MILE, bearing, haversine
 from .align import KEY
 from .network import asof_nearest, at_miles
 from .windows import median_smooth
@@ -58,11 +58,73 @@ def profile(points: DataFrame, miles: DataFrame) -> DataFrame:
     return at_miles(targets, points, "river_mile", ["value"], ("at",))
 
 
-def full_profile(points: DataFrame, line: DataFrame, bed: DataFrame) -> DataFrame:
-    """(at, mile, lat, lon, bearing_deg, bed_elev_ft, water_surface_ft, depth_ft); bed is (mile, bed_elev_ft), smoothed along the river."""
+def adjusted(points: DataFrame, text: str) -> DataFrame:
+    """points with manual offsets added; text names them as ``ID:OFFSET``, split by commas or spaces."""
+    pairs = [p.rsplit(":", 1) for p in text.replace(",", " ").split()]
+    if not pairs:
+        return points
+    offsets = points.sparkSession.createDataFrame([(i, float(x)) for i, x in pairs], "station_id string, _x double")
+    return points.join(F.broadcast(offsets), KEY, "left").withColumn("value", F.col("value") + F.coalesce("_x", F.lit(0.0))).drop("_x").select(points.columns)
+
+
+def reference_discharge(controls: DataFrame, gauge: str, mile: float = 228.0) -> DataFrame:
+    """(at, ref_id, ref_mile, ref_q): the gauge's own discharge at each date, else that of the gauge nearest to the mile; controls have values above 0 only."""
+    live = controls.where("value > 0")
+    rank = F.struct((F.col(KEY) != gauge).cast("int"), F.abs(F.col("river_mile") - mile), F.col("river_mile"))
+    return live.groupBy("at").agg(F.min_by(F.struct(KEY, "river_mile", "value"), rank).alias("r")).select("at", F.col("r.station_id").alias("ref_id"), F.col("r.river_mile").alias("ref_mile"), F.col("r.value").alias("ref_q"))
+
+
+def full_profile(points: DataFrame, line: DataFrame, bed: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """All columns of each date's profile, for every point of the line.
+
+    (at, mile, lat, lon, bearing_deg, bed_elev_ft, water_surface_ft, depth_ft, is_gage, gage_id, gage_stage_ft, gage_river_mile, wet_area_ft2,
+    reach_length_mi, cum_storage_af). bed is (mile, bed_elev_ft), smoothed along the river; depth is null where a part is missing. A gage lies nearer
+    than 2 miles. areas (at, mile, wet_area_ft2) come from transects; without them the plain formula gives the area.
+    """
     smooth = median_smooth(bed.withColumnRenamed("bed_elev_ft", "value"), "mile").select("mile", F.col("smooth").alias("bed_elev_ft"))
     surface = profile(points, line).withColumnRenamed("value", "water_surface_ft")
-    return surface.join(F.broadcast(bearings(line)), "mile").join(F.broadcast(smooth), "mile", "left").withColumn("depth_ft", F.greatest(F.col("water_surface_ft") - F.col("bed_elev_ft"), F.lit(0.0)))
+    rows = surface.join(F.broadcast(bearings(line)), "mile").join(F.broadcast(smooth), "mile", "left").withColumn("depth_ft", F.col("water_surface_ft") - F.col("bed_elev_ft"))
+    near = rows.select("at", "mile").join(points.select("at", F.col(KEY).alias("gage_id"), F.col("river_mile").alias("gage_river_mile"), F.col("value").alias("gage_stage_ft")), "at").where(F.abs(F.col("mile") - F.col("gage_river_mile")) < 2.0)
+    gage = near.groupBy("at", "mile").agg(F.min_by(F.struct("gage_id", "gage_river_mile", "gage_stage_ft"), F.struct(-F.col("gage_river_mile"), F.col("gage_id"))).alias("g"))
+    rows = rows.join(gage, ["at", "mile"], "left").select(*rows.columns, F.col("g").isNotNull().alias("is_gage"), "g.gage_id", "g.gage_stage_ft", "g.gage_river_mile")
+    if areas is None:
+        top = F.broadcast(line.agg(F.max("mile").alias("_top")))  # one row
+        rows = rows.crossJoin(top).withColumn("wet_area_ft2", plain_area(F.col("water_surface_ft"), F.col("mile"), F.greatest(F.col("_top"), F.lit(1.0)))).drop("_top")
+    else:
+        rows = rows.join(areas.select("at", "mile", "wet_area_ft2"), ["at", "mile"], "left")
+    return storage_along(rows)
+
+
+def storage_along(rows: DataFrame, keys: tuple[str, ...] = ("at",)) -> DataFrame:
+    """rows (keys, mile, lat, lon, wet_area_ft2) with reach_length_mi and cum_storage_af, summed down the river by great-circle reaches.
+
+    The last reach takes the length of the one before; a missing area counts as 0.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc("mile"))
+    ahead = haversine(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))
+    out = rows.withColumn("_r", ahead).withColumn("reach_length_mi", F.coalesce("_r", F.lag("_r").over(w), F.lit(0.0)))
+    slab = 0.5 * (F.coalesce("wet_area_ft2", F.lit(0.0)) + F.coalesce(F.lag("wet_area_ft2").over(w), F.lit(0.0))) * F.lag("_r").over(w) * FT_PER_MILE / FT2_PER_ACRE
+    return out.withColumn("_s", F.coalesce(slab, F.lit(0.0))).withColumn("cum_storage_af", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s", "_r")
+
+
+def envelope_areas(rows: DataFrame, envelope: DataFrame, q: DataFrame, most_mile: float = 302.0) -> DataFrame:
+    """(at, mile, p05_yd2, p50_yd2, p95_yd2): wet areas at the stages of the envelope, from the gages along the profile; dates with two gages at least.
+
+    rows is a full profile, q is (at, q). A gage counts once, by its first point down the river; a boundary takes the lower bin.
+    """
+    first = rows.where("is_gage").groupBy("at", "gage_id").agg(F.max("mile").alias("river_mile"))
+    bins = q.join(F.broadcast(envelope.withColumnRenamed(KEY, "gage_id")), F.col("q").between(F.col("q_lo"), F.col("q_hi")))
+    env = bins.groupBy("at", "gage_id").agg(F.min_by(F.struct("p05", "p50", "p95"), "q_lo").alias("e"))
+    area = lambda p: (plain_area(F.col(f"e.{p}"), F.col("river_mile"), most_mile) / FT2_PER_YD2).alias(f"{p}_yd2")
+    points = first.join(env, ["at", "gage_id"]).select("at", "river_mile", *map(area, ("p05", "p50", "p95")))
+    enough = points.groupBy("at").count().where(F.col("count") >= 2).select("at")
+    return at_miles(rows.select("at", "mile").join(enough, "at"), points, "river_mile", ["p05_yd2", "p50_yd2", "p95_yd2"], ("at",))
+
+
+def frame_limits(rows: DataFrame, columns: tuple[str, ...] = ("water_surface_ft", "bed_elev_ft"), pad: float = 0.05) -> DataFrame:
+    """(low, high) over all dates and columns, padded by a share of the range: one scale for every frame."""
+    ends = rows.agg(F.least(*(F.min(c) for c in columns)).alias("a"), F.greatest(*(F.max(c) for c in columns)).alias("b"))
+    return ends.select((F.col("a") - pad * (F.col("b") - F.col("a"))).alias("low"), (F.col("b") + pad * (F.col("b") - F.col("a"))).alias("high"))
 
 
 def bearings(line: DataFrame, reach: int = 2) -> DataFrame:
@@ -86,7 +148,7 @@ def storage(rows: DataFrame, keys: tuple[str, ...] = ("at",)) -> DataFrame:
     return rows.withColumn("_s", F.coalesce(slab, F.lit(0.0))).withColumn("cum_storage_af", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def plain_area(surface: Column, mile: Column, most_mile: float) -> Column:
+def plain_area(surface: Column, mile: Column, most_mile: float | Column) -> Column:
     """Wet area without a raster: a width of 2200 to 4500 feet by mile, a depth of 0.4 of the surface."""
     return (2200.0 + 2300.0 * mile / most_mile) * F.greatest(0.4 * surface, F.lit(0.0))
 

@@ -17,6 +17,18 @@ def robust_sigma(rows: DataFrame, floor: float = 0.25, keys: tuple[str, ...] = (
     return gone.groupBy(*keys).agg(F.first("median").alias("median"), F.greatest(F.percentile("_d", 0.5) * SCALE, F.lit(floor)).alias("sigma"))
 
 
+def sigma_or_std(rows: DataFrame, keys: tuple[str, ...] = (KEY,), column: str = "value") -> DataFrame:
+    """(keys, sigma): 1.4826 times the median absolute deviation; where that is 0 or missing, the population's standard deviation."""
+    mad = robust_sigma(rows, 0.0, keys, column).select(*keys, F.col("sigma").alias("_s"))
+    std = rows.groupBy(*keys).agg(F.stddev_pop(column).alias("_p"))
+    return std.join(mad, list(keys), "left").select(*keys, F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.col("_p")).alias("sigma"))
+
+
+def latest_dates(rows: DataFrame, n: int = 10) -> DataFrame:
+    """(ts): the ``n`` most recent instants, latest first."""
+    return rows.select("ts").distinct().orderBy(F.desc("ts")).limit(n)
+
+
 def quantiles(rows: DataFrame, points: list[float], names: list[str], keys: tuple[str, ...] = (KEY,), column: str = "value") -> DataFrame:
     q = F.percentile(column, F.array(*map(F.lit, points)))
     return rows.groupBy(*keys).agg(q.alias("_q"), F.count(column).alias("n")).select(*keys, "n", *(F.col("_q")[i].alias(n) for i, n in enumerate(names)))

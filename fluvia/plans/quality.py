@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import align, anomaly, forecast, qaqc, stats, windows
-from ..operators.network import spatial_prediction
+from ..operators.network import query_result, spatial_prediction
 from ..sources import formats, tables
 from .base import W, clean, daily, discharge, filled, grid, r, sql, tidy
 
@@ -35,6 +35,11 @@ def rounded_tail(spark, d, step: float = 20.0):
     return daily(spark, d).withColumn("value", F.floor(F.col("value") / step) * step)
 
 
+def datum_offsets(spark):
+    """From NGVD29 to NAVD88 for most stations."""
+    return spark.range(14).where("id % 5 <> 4").select(F.col("id").cast("string").alias("station_id"), F.lit("NGVD29").alias("src"), F.lit("NAVD88").alias("dst"), (F.col("id") * 0.25 + 2).alias("offset_ft"))
+
+
 def metrics(spark, d):
     return tidy(stats.errors(result(spark, d).where("residual IS NOT NULL")))
 
@@ -56,6 +61,23 @@ def gbt(spark, d):
     return fitted.predict(known.where("NOT is_train")).groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("target"))), 6).alias("mae"))
 
 
+def river_network(spark, d):
+    return forecast.Network(tables.stations(spark), stats.composite(discharge(spark, d)))
+
+
+def tier_forecast(spark, d):
+    """Tomorrow at every station by the regressor of its tier, which reads the neighbours."""
+    g, s, n = grid(spark, d), tables.stations(spark), river_network(spark, d)
+    return forecast.tiered(g, s, forecast.by_tier(g, s, network=n), network=n)
+
+
+def model_importance(spark, d):
+    """The 15 features that a day-ahead regressor over the network uses most."""
+    rows, names = forecast.features(grid(spark, d), river_network(spark, d))
+    ranked = forecast.fit(forecast.training_set(rows, names, 1), names).importance()[:15]
+    return spark.createDataFrame(ranked, "feature string, importance double")
+
+
 def importance(spark, d):
     """Features by the size of their correlation with tomorrow's value, the first 15."""
     rows, names = forecast.features(filled(spark, d))
@@ -125,14 +147,17 @@ QUERIES = {
     "iterative_qaqc": lambda s, d: tidy(result(s, d)),
     "spatial_prediction": lambda s, d: tidy(spatial_prediction(daily(s, d), tables.stations(s)).select("station_id", "ts", "predicted")),
     "gapfill_repair": lambda s, d: tidy(qaqc.repair_gaps(result(s, d), tables.stations(s)).where("observed IS NULL").select("station_id", "ts", "predicted", "suspect", "repaired")),
+    "stage_query_corrected": lambda s, d: tidy(query_result(result(s, d), tables.stations(s), "125", "1998-01-01", "1999-12-31", "corrected", offsets=datum_offsets(s), src="NGVD29", dst="NAVD88")),
     "gapfill_ci": lambda s, d: tidy(qaqc.confidence(result(s, d)).where("observed IS NULL").select("station_id", "ts", "ci_lower", "ci_upper"), 9),
     "model_metrics": metrics,
     "horizon_errors": residual_errors,
     "best_variable": variables,
     "topk_importance": importance,
     "gbt_fit": gbt,
-    "forecast_direct": lambda s, d: forecast.direct(grid(s, d)),
-    "forecast_recursive": lambda s, d: forecast.recursive(grid(s, d)),
+    "model_importance": model_importance,
+    "forecast_direct": lambda s, d: forecast.direct(grid(s, d), network=river_network(s, d)),
+    "forecast_recursive": lambda s, d: forecast.recursive(grid(s, d), network=river_network(s, d)),
+    "forecast_tiered": tier_forecast,
     "json_parse": json_parse,
     "xml_regex_parse": xml_parse,
     "markup_attributes": page_attributes,
@@ -205,6 +230,9 @@ SQL = {
         **_LOOP, pl=_PLACE,
         x=f"SELECT o.station_id, o.ts, o.predicted, o.corrected, {_BETWEEN.format(v='corrected')} AS between_, coalesce(abs(o.corrected - {_BETWEEN.format(v='corrected')}) > 5 AND u.observed IS NOT NULL AND d.observed IS NOT NULL, FALSE) AS suspect FROM res o JOIN pl USING (station_id) LEFT JOIN res u ON u.station_id = pl.up AND u.ts = o.ts LEFT JOIN res d ON d.station_id = pl.dn AND d.ts = o.ts WHERE o.observed IS NULL",
     ),
+    "stage_query_corrected": sql(
+        "grid", f"SELECT {DAY}, {r('max(corrected) FILTER (station_id = ' + chr(39) + '5' + chr(39) + ') * 0.75 + max(corrected) FILTER (station_id = ' + chr(39) + '6' + chr(39) + ') * 0.25 + 3.25', 'value')} FROM res WHERE station_id IN ('5', '6') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' GROUP BY ts", **_LOOP
+    ),
     "gapfill_ci": sql(
         "grid",
         f"SELECT station_id, {DAY}, {r('corrected - 3.5 * greatest(coalesce(sigma, 0.5), 0.25)', 'ci_lower', 9)}, {r('corrected + 3.5 * greatest(coalesce(sigma, 0.5), 0.25)', 'ci_upper', 9)} FROM res WHERE observed IS NULL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import features, lags, network, profile, stats
+from ..operators import features, forecast, lags, network, profile, stats
 from ..sources import tables
 from ..sources.tables import DATUM_ROWS
 from .base import W, daily, discharge, grid, main_q, r, sql, tide, tidy
@@ -70,14 +70,14 @@ def neighbour(spark, d):
 
 
 def gradient(spark, d):
-    """Neighbour less self, one, two, three and five days back, above and below."""
+    """Upstream less self and self less downstream, one, two, three and five days back."""
     n = network.neighbours(tables.stations(spark))
     both = n.select("station_id", F.explode(F.array(F.struct(F.lit("up").alias("side"), F.col("up").alias("neighbour_id")), F.struct(F.lit("down").alias("side"), F.col("dn").alias("neighbour_id")))).alias("x")).select("station_id", "x.*").where("neighbour_id IS NOT NULL")
     lagged = both.crossJoin(F.broadcast(spark.createDataFrame([(1,), (2,), (3,), (5,)], "lag_days int")))
     g = grid(spark, d)
     own = g.select("station_id", (F.col("ts")).alias("_t"), F.col("value").alias("own"))
     rows = network.lagged_neighbour(g, lagged).withColumn("_t", F.col("ts") - F.make_interval(days=F.col("lag_days"))).join(own, ["station_id", "_t"])
-    return tidy(rows.select("station_id", "ts", "side", "lag_days", (F.col("neighbour_value") - F.col("own")).alias("gradient")))
+    return tidy(rows.select("station_id", "ts", "side", "lag_days", (F.when(F.col("side") == "up", F.col("neighbour_value") - F.col("own")).otherwise(F.col("own") - F.col("neighbour_value"))).alias("gradient")))
 
 
 def travel(spark, d):
@@ -112,10 +112,33 @@ def spatial_spikes(spark, d):
     return profile.without_spikes(points(spark, d)).select(F.col("at").cast("date").alias("at_day"), "station_id", "river_mile", F.round("value", 6).alias("value"))
 
 
-def whole_profile(spark, d):
+PROFILE_DIGITS = {"lat": 6, "lon": 6, "bearing_deg": 6, "bed_elev_ft": 8, "water_surface_ft": 8, "depth_ft": 8, "gage_stage_ft": 8, "gage_river_mile": 5, "wet_area_ft2": 3, "reach_length_mi": 6, "cum_storage_af": 2}
+
+
+def built_profile(spark, d):
     bed = tables.centreline(spark).select("mile", F.round(-30 + 10 * F.sin(F.col("mile") / 7), 6).alias("bed_elev_ft"))
-    out = profile.full_profile(points(spark, d), tables.centreline(spark), bed)
-    return out.select(F.col("at").cast("date").alias("at_day"), "mile", *(F.round(c, 5).alias(c) for c in ("bearing_deg", "bed_elev_ft", "water_surface_ft", "depth_ft")))
+    return profile.full_profile(points(spark, d), tables.centreline(spark), bed)
+
+
+def whole_profile(spark, d):
+    return built_profile(spark, d).select(F.col("at").cast("date").alias("at_day"), "mile", "is_gage", "gage_id", *(F.round(c, n).alias(c) for c, n in PROFILE_DIGITS.items()))
+
+
+def date_discharge(spark, d):
+    """(at, q) of gauge 0, the nearest within a week."""
+    return network.asof_nearest(dates(spark).withColumn("station_id", F.lit("0")), discharge(spark, d)).select("at", F.col("value").alias("q"))
+
+
+def areas(spark, d):
+    out = profile.envelope_areas(built_profile(spark, d), stats.envelope(daily(spark, d), main_q(spark, d)), date_discharge(spark, d))
+    return out.select(F.col("at").cast("date").alias("at_day"), "mile", *(F.round(c, 3).alias(c) for c in ("p05_yd2", "p50_yd2", "p95_yd2")))
+
+
+def reference_q(spark, d):
+    """The discharge of gauge 1 at each date; gauge 1 has none in odd months, then that of the gauge nearest to mile 228."""
+    gauges = spark.createDataFrame([("0", 30.0), ("1", 150.0), ("2", 260.0)], "station_id string, river_mile double")
+    near = profile.controls(discharge(spark, d), gauges, dates(spark)).where("station_id <> '1' OR month(at) % 2 = 0")
+    return profile.reference_discharge(near, "1").select(F.col("at").cast("date").alias("at_day"), "ref_id", "ref_mile", F.round("ref_q", 6).alias("ref_q"))
 
 
 def cells(spark):
@@ -147,14 +170,35 @@ def feature_table(spark, d):
     return tidy(features.station_features(grid(spark, d), tables.stations(spark), stats.composite(discharge(spark, d)), stats.mean_and_spread(tide(spark, d), "3", "4")), 5, tide_then=12)
 
 
+def network_features(spark, d):
+    """Number, mean and range of each feature of each station: all others, at the lags of the travel times."""
+    q = discharge(spark, d)
+    sea = stats.mean_and_spread(tide(spark, d), "3", "4")
+    base = tide(spark, d).select(F.concat(F.lit("wl_"), "station_id").alias("name"), "ts", "value").unionByName(sea.select(F.lit("gulf_mean").alias("name"), "ts", F.col("mean").alias("value"))).unionByName(sea.select(F.lit("gulf_spread").alias("name"), "ts", F.col("spread").alias("value")))
+    rows = features.all_features(grid(spark, d), tables.stations(spark), q.select(F.concat(F.lit("q_"), "station_id").alias("name"), "ts", "value"), stats.composite(q), base)
+    return rows.groupBy("station_id", "feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.round(F.min("value"), 5).alias("low"), F.round(F.max("value"), 5).alias("high"))
+
+
+def station_river(spark):
+    """The stations with their river: the uppermost is a tributary's."""
+    return tables.stations(spark).withColumn("river", F.when(F.col("station_id") == "13", "ohio").otherwise("lower mississippi"))
+
+
+def mile_forecast(spark, d):
+    """The first nine days of readings taken as forecasts, at every seventh mile; gauges 2 and 9 give discharge."""
+    first = grid(spark, d).agg(F.min("ts").alias("a"))
+    rows = daily(spark, d).crossJoin(F.broadcast(first)).withColumn("horizon", (F.datediff("ts", "a") + 1).cast("bigint")).where("horizon <= 9")
+    made = rows.select("station_id", "horizon", F.col("value").alias("pred"), (F.col("value") - 1).alias("lo"), (F.col("value") + 1).alias("hi"), F.when(F.col("station_id").isin("2", "9"), "discharge").otherwise("stage").alias("variable"))
+    return tidy(forecast.at_mile(made, station_river(spark), spark.range(45).select((F.col("id") * 7.0).alias("mile"))))
+
+
 def envelopes(spark, d):
     return tidy(profile.envelope_profile(stats.envelope(daily(spark, d), main_q(spark, d)), tables.stations(spark), every_ten(spark)))
 
 
 def checked_points(spark, d):
     """Controls of each date that stay under the envelope; the margin is -3 so that some go."""
-    q = network.asof_nearest(dates(spark).withColumn("station_id", F.lit("0")), discharge(spark, d)).select("at", F.col("value").alias("q"))
-    kept = profile.within_envelope(points(spark, d), stats.envelope(daily(spark, d), main_q(spark, d)), q, -3.0)
+    kept = profile.within_envelope(points(spark, d), stats.envelope(daily(spark, d), main_q(spark, d)), date_discharge(spark, d), -3.0)
     return kept.select(F.col("at").cast("date").alias("at_day"), "station_id", F.round("value", 6).alias("value"))
 
 
@@ -170,6 +214,8 @@ def greedy(spark, d):
 
 QUERIES = {
     "station_features": feature_table,
+    "network_features": network_features,
+    "forecast_at_mile": mile_forecast,
     "envelope_profile": envelopes,
     "envelope_exceedance": checked_points,
     "station_coverage": coverage,
@@ -195,6 +241,8 @@ QUERIES = {
     "storage_trapezoid": storage,
     "spike_removal_iterative": spatial_spikes,
     "full_profile": whole_profile,
+    "envelope_areas": areas,
+    "reference_discharge": reference_q,
     "river_bearing": lambda s, d: profile.bearings(tables.centreline(s)).select("mile", F.round("bearing_deg", 6).alias("bearing_deg")),
     "reach_length": lambda s, d: profile.reach_lengths(tables.centreline(s)).select("mile", F.round("reach_mi", 6).alias("reach_mi")),
     "utm_projection": utm_points,
@@ -227,6 +275,18 @@ _RASTER = "SELECT i AS point_id, CAST(i * 9 + 5 AS INT) AS row, CAST(i * 7 % 60
 _CONTROLS = _DATES | {"near": _near("daily", "stations"), "ctl": "SELECT t0, river_mile, m.value AS v FROM near"}
 _NEIGHBOURS = "SELECT station_id, lag(station_id) OVER (ORDER BY river_mile DESC) AS up, lead(station_id) OVER (ORDER BY river_mile DESC) AS dn FROM stations"
 
+_FULL = _CONTROLS | {
+    "pb": "SELECT t0, l.mile, max({'m': river_mile, 'v': v}) FILTER (river_mile <= l.mile) AS lo, min({'m': river_mile, 'v': v}) FILTER (river_mile >= l.mile) AS hi FROM ctl CROSS JOIN line l GROUP BY 1, 2",
+    "ws": "SELECT t0, mile, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL OR lo.m = hi.m THEN lo.v ELSE lo.v * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.v * (mile - lo.m) / (hi.m - lo.m) END AS water_surface_ft FROM pb",
+    "bm": "SELECT mile, CASE WHEN count(*) OVER a >= 3 THEN quantile_cont(round(-30 + 10 * sin(mile / 7), 6), 0.5) OVER a END AS m FROM line WINDOW a AS (ORDER BY mile ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)",
+    "bd": "SELECT mile, CASE WHEN count(m) OVER b >= 3 THEN avg(m) OVER b END AS bed_elev_ft FROM bm WINDOW b AS (ORDER BY mile ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)",
+    "br": f"SELECT mile, lat, lon, {_BEAR_DEG} AS bearing_deg FROM ({_BEAR})",
+    "ga": "SELECT t0, l.mile, arg_min({'i': station_id, 'm': river_mile, 'v': m.value}, {'o': -river_mile, 'i': station_id}) AS g FROM near CROSS JOIN line l WHERE abs(l.mile - river_mile) < 2 GROUP BY 1, 2",
+    "al": "SELECT t0, ws.mile, lat, lon, bearing_deg, bed_elev_ft, water_surface_ft, water_surface_ft - bed_elev_ft AS depth_ft, g IS NOT NULL AS is_gage, g.i AS gage_id, g.v AS gage_stage_ft, g.m AS gage_river_mile, (2200.0 + 2300.0 * ws.mile / 300.0) * greatest(0.4 * water_surface_ft, 0.0) AS wet_area_ft2 FROM ws JOIN br USING (mile) JOIN bd USING (mile) LEFT JOIN ga USING (t0, mile)",
+    "rl": "SELECT *, 2 * 3958.8 * asin(sqrt(power(sin(radians(lead(lat) OVER w - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lead(lat) OVER w)) * power(sin(radians(lead(lon) OVER w - lon) / 2), 2))) AS ahead, lag(wet_area_ft2) OVER w AS area0 FROM al WINDOW w AS (PARTITION BY t0 ORDER BY mile DESC)",
+    "fin": "SELECT *, coalesce(ahead, lag(ahead) OVER w, 0.0) AS reach_length_mi, sum(coalesce(slab, 0.0)) OVER (PARTITION BY t0 ORDER BY mile DESC ROWS UNBOUNDED PRECEDING) AS cum_storage_af FROM (SELECT *, 0.5 * (wet_area_ft2 + area0) * lag(ahead) OVER (PARTITION BY t0 ORDER BY mile DESC) * 5280.0 / 43560.0 AS slab FROM rl) WINDOW w AS (PARTITION BY t0 ORDER BY mile DESC)",
+}
+
 SQL = {
     "datum_interval_join": sql(
         "daily",
@@ -248,12 +308,12 @@ SQL = {
         f"SELECT mile, {r('CASE WHEN lo IS NULL THEN hi.lat WHEN hi IS NULL THEN lo.lat WHEN lo.m = hi.m THEN lo.lat ELSE lo.lat + (hi.lat - lo.lat) * (mile - lo.m) / (hi.m - lo.m) END', 'lat', 8)}, {r('CASE WHEN lo IS NULL THEN hi.lon WHEN hi IS NULL THEN lo.lon WHEN lo.m = hi.m THEN lo.lon ELSE lo.lon + (hi.lon - lo.lon) * (mile - lo.m) / (hi.m - lo.m) END', 'lon', 8)} FROM b",
         b="SELECT t.mile, max({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile <= t.mile) AS lo, min({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile >= t.mile) AS hi FROM (SELECT CAST(i - 5 AS DOUBLE) AS mile FROM range(320) x(i)) t CROSS JOIN line l GROUP BY 1",
     ),
-    "proximity_join": sql("line stations", "SELECT mile, arg_min(station_id, {'d': abs(mile - river_mile), 's': station_id}) FILTER (abs(mile - river_mile) <= 2) AS gage_id, count(*) FILTER (abs(mile - river_mile) <= 2) > 0 AS is_gage FROM line CROSS JOIN stations GROUP BY 1"),
+    "proximity_join": sql("line stations", "SELECT mile, arg_min(station_id, {'m': -river_mile, 's': station_id}) FILTER (abs(mile - river_mile) < 2) AS gage_id, count(*) FILTER (abs(mile - river_mile) < 2) > 0 AS is_gage FROM line CROSS JOIN stations GROUP BY 1"),
     "pair_enumeration": sql("pairs", "SELECT up, dn, miles FROM pairs"),
     "neighbour_lag_join": sql("grid pairs", f"SELECT g.station_id, p.up AS neighbour_id, CAST(g.ts AS DATE) AS day, {r('n.value', 'neighbour_value')} FROM g JOIN pairs p ON p.dn = g.station_id LEFT JOIN g n ON n.station_id = p.up AND n.ts = g.ts - to_days(CAST(greatest(round_even(p.miles / 20, 0), 1) AS INT))", g="SELECT * FROM grid"),
     "local_gradient": sql(
         "grid stations",
-        f"SELECT g.station_id, CAST(g.ts AS DATE) AS day, side, k AS lag_days, {r('n.value - o.value', 'gradient')} FROM g JOIN nb USING (station_id) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (2), (3), (5)) v(k) JOIN g o ON o.station_id = g.station_id AND o.ts = g.ts - to_days(CAST(k AS INT)) LEFT JOIN g n ON n.station_id = nb.other AND n.ts = g.ts - to_days(CAST(k AS INT))",
+        f"SELECT g.station_id, CAST(g.ts AS DATE) AS day, side, k AS lag_days, {r('CASE side WHEN \'up\' THEN n.value - o.value ELSE o.value - n.value END', 'gradient')} FROM g JOIN nb USING (station_id) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (2), (3), (5)) v(k) JOIN g o ON o.station_id = g.station_id AND o.ts = g.ts - to_days(CAST(k AS INT)) LEFT JOIN g n ON n.station_id = nb.other AND n.ts = g.ts - to_days(CAST(k AS INT))",
         g="SELECT * FROM grid",
         nb=f"SELECT station_id, 'up' AS side, up AS other FROM ({_NEIGHBOURS}) WHERE up IS NOT NULL UNION ALL SELECT station_id, 'down', dn FROM ({_NEIGHBOURS}) WHERE dn IS NOT NULL",
     ),
@@ -275,6 +335,29 @@ SQL = {
     "stage_query_mile": sql("grid", f"SELECT {DAY}, {r('max(value) FILTER (station_id = ' + chr(39) + '4' + chr(39) + ') * 0.75 + max(value) FILTER (station_id = ' + chr(39) + '5' + chr(39) + ') * 0.25', 'value')} FROM grid WHERE station_id IN ('4', '5') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' GROUP BY ts"),
     "profile_interpolate": sql("daily stations", f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('value', 'value')} FROM ({_profile('ctl', 'value')})", **_CONTROLS),
     "spatial_q_profile": sql("q", f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('q', 'q', 6)} FROM ({_profile('ctl', 'q')})", **_DATES, g="SELECT * FROM (VALUES ('0', 30.0), ('1', 150.0), ('2', 260.0)) v(station_id, river_mile)", near=_near("q", "g"), ctl="SELECT t0, CAST(river_mile AS DOUBLE) AS river_mile, m.value AS v FROM near"),
+    "full_profile": sql(
+        "daily stations line",
+        "SELECT CAST(t0 AS DATE) AS at_day, mile, is_gage, gage_id, " + ", ".join(r(c, c, n) for c, n in PROFILE_DIGITS.items()) + " FROM fin",
+        **_FULL,
+    ),
+    "envelope_areas": sql(
+        "daily q0 q stations line",
+        "SELECT CAST(t0 AS DATE) AS at_day, mile, " + ", ".join(r(f"CASE WHEN lo IS NULL THEN hi.{p} WHEN hi IS NULL OR lo.m = hi.m THEN lo.{p} ELSE lo.{p} * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.{p} * (mile - lo.m) / (hi.m - lo.m) END", f"{p}_yd2", 3) for p in ("p05", "p50", "p95")) + " FROM pa",
+        **(_FULL | _ENV2),
+        g="SELECT '0' AS station_id, 0.0 AS river_mile",
+        qn=_near("q", "g"),
+        gg="SELECT t0, gage_id, max(mile) AS m FROM fin WHERE is_gage GROUP BY 1, 2",
+        ev="SELECT t0, e.station_id AS gage_id, arg_min({'p05': p05, 'p50': p50, 'p95': p95}, q_lo) AS e FROM qn JOIN env e ON qn.m.value BETWEEN q_lo AND q_hi GROUP BY 1, 2",
+        pt="SELECT t0, m, " + ", ".join(f"(2200.0 + 2300.0 * m / 302.0) * greatest(0.4 * e.{p}, 0.0) / 9.0 AS {p}" for p in ("p05", "p50", "p95")) + " FROM gg JOIN ev USING (t0, gage_id) QUALIFY count(*) OVER (PARTITION BY t0) >= 2",
+        pa="SELECT t0, l.mile, max({'m': m, 'p05': p05, 'p50': p50, 'p95': p95}) FILTER (m <= l.mile) AS lo, min({'m': m, 'p05': p05, 'p50': p50, 'p95': p95}) FILTER (m >= l.mile) AS hi FROM pt CROSS JOIN line l GROUP BY 1, 2",
+    ),
+    "reference_discharge": sql(
+        "q",
+        f"SELECT CAST(t0 AS DATE) AS at_day, x.station_id AS ref_id, x.river_mile AS ref_mile, {r('x.v', 'ref_q')} FROM (SELECT t0, arg_min({{'station_id': station_id, 'river_mile': river_mile, 'v': m.value}}, {{'o': (station_id <> '1')::INT, 'd': abs(river_mile - 228), 'm': river_mile}}) AS x FROM near WHERE m.value > 0 AND (station_id <> '1' OR month(t0) % 2 = 0) GROUP BY 1)",
+        **_DATES,
+        g="SELECT station_id, CAST(river_mile AS DOUBLE) AS river_mile FROM (VALUES ('0', 30.0), ('1', 150.0), ('2', 260.0)) v(station_id, river_mile)",
+        near=_near("q", "g"),
+    ),
     "storage_trapezoid": sql(
         "daily stations",
         f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('a', 'wet_area_ft2', 4)}, {r('sum(s) OVER (PARTITION BY t0 ORDER BY mile ROWS UNBOUNDED PRECEDING)', 'cum_storage_af', 3)} FROM sl",
@@ -304,6 +387,31 @@ SQL = {
         cq="SELECT ts, avg(value / greatest(m, 1.0)) AS composite FROM q JOIN (SELECT station_id, quantile_cont(value, 0.5) AS m FROM q GROUP BY 1) USING (station_id) GROUP BY 1",
         tq="SELECT ts, avg(value) AS mean FROM tide GROUP BY 1",
     ),
+    "network_features": sql(
+        "grid q tide stations",
+        f"SELECT station_id, feature, count(*) AS n, {r('avg(value)', 'mean', 5)}, {r('min(value)', 'low', 5)}, {r('max(value)', 'high', 5)} FROM everything SEMI JOIN grid USING (station_id, ts) WHERE value IS NOT NULL GROUP BY 1, 2",
+        cq="SELECT ts, avg(value / greatest(m, 1.0)) AS composite FROM q JOIN (SELECT station_id, quantile_cont(value, 0.5) AS m FROM q GROUP BY 1) USING (station_id) GROUP BY 1",
+        g0=f"SELECT *, value - lag(value) OVER ({W}) AS d1, value - lag(value, 3) OVER ({W}) AS d3 FROM grid",
+        g1=f"SELECT *, {_guard('avg', 7, 3, 0, 'd1')} AS mean7 FROM g0",
+        pr="SELECT a.station_id, b.station_id AS other, abs(a.river_mile - b.river_mile) AS dist, CAST(greatest(0, round_even(abs(a.river_mile - b.river_mile) / 72.0, 0)) AS INT) AS c, CAST(greatest(0, round_even(abs(a.river_mile - b.river_mile) / (72.0 * 1.4), 0)) AS INT) AS f, CAST(greatest(0, round_even(abs(a.river_mile - b.river_mile) / (72.0 * 0.6), 0)) AS INT) AS s FROM stations a JOIN stations b ON a.station_id <> b.station_id",
+        lg="SELECT DISTINCT station_id, other, greatest(k, 0) AS k FROM (SELECT station_id, other, unnest([f, c - 1, c, c + 1, s]) AS k FROM pr)",
+        nb="SELECT station_id, 'up' AS side, lag(station_id) OVER (ORDER BY river_mile DESC) AS other FROM stations UNION ALL SELECT station_id, 'dn', lead(station_id) OVER (ORDER BY river_mile DESC) FROM stations",
+        base="SELECT 'wl_' || station_id AS name, ts, value FROM tide UNION ALL SELECT 'gulf_mean', ts, avg(value) FROM tide GROUP BY ts UNION ALL SELECT 'gulf_spread', ts, max(value) FILTER (station_id = '3') - max(value) FILTER (station_id = '4') FROM tide GROUP BY ts UNION ALL SELECT 'composite', ts, composite FROM cq UNION ALL SELECT DISTINCT 'doy_sin', ts, sin(2 * pi() * dayofyear(ts) / 365.25) FROM grid UNION ALL SELECT DISTINCT 'doy_cos', ts, cos(2 * pi() * dayofyear(ts) / 365.25) FROM grid",
+        everything=" UNION ALL ".join([f"SELECT station_id, ts, 'own_lag{k}' AS feature, lag(value, {k}) OVER ({W}) AS value FROM grid" for k in features.SELF_LAGS])
+        + """ UNION ALL SELECT station_id, ts, 'own_d1', d1 FROM g1 UNION ALL SELECT station_id, ts, 'own_d3', d3 FROM g1 UNION ALL SELECT station_id, ts, 'own_d1_mean7', mean7 FROM g1
+            UNION ALL SELECT lg.station_id, ts + to_days(k), 'net_' || other || '_lag' || k, value FROM g1 JOIN lg ON lg.other = g1.station_id
+            UNION ALL SELECT pr.station_id, ts + to_days(c), 'net_' || other || '_d1', d1 FROM g1 JOIN pr ON pr.other = g1.station_id
+            UNION ALL SELECT station_id, ts, 'net_' || other || '_expected', round_even(least(greatest(dist / (72.0 * power(greatest(composite, 0.05), 0.4)), 0.0), 30.0), 0) FROM cq CROSS JOIN pr
+            UNION ALL SELECT nb.station_id, a.ts + to_days(k), 'slope_' || side || k, CASE side WHEN 'up' THEN b.value - a.value ELSE a.value - b.value END FROM nb JOIN grid a USING (station_id) JOIN grid b ON b.station_id = nb.other AND b.ts = a.ts CROSS JOIN (VALUES (1), (2), (3), (5)) v(k)
+            UNION ALL SELECT s.station_id, ts + to_days(k), 'q_' || q.station_id || '_lag' || k, value FROM q CROSS JOIN (VALUES (0), (1), (2), (3), (5), (7)) v(k) CROSS JOIN stations s
+            UNION ALL SELECT s.station_id, ts + to_days(k), name || '_lag' || k, value FROM base CROSS JOIN (VALUES (0), (1), (2), (3)) v(k) CROSS JOIN stations s""",
+    ),
+    "forecast_at_mile": sql(
+        "grid stations",
+        "SELECT horizon, mile, " + ", ".join(r(f"CASE WHEN lo IS NULL THEN hi.{p} WHEN hi IS NULL OR lo.m = hi.m THEN lo.{p} ELSE lo.{p} * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.{p} * (mile - lo.m) / (hi.m - lo.m) END", f"stage_{n}") for p, n in (("p", "pred"), ("l", "lo"), ("h", "hi"))) + ", " + ", ".join(r(f"d.{p}", f"discharge_{n}") for p, n in (("p", "pred"), ("l", "lo"), ("h", "hi"))) + " FROM b",
+        f="SELECT CAST(date_diff('day', (SELECT min(ts) FROM grid), ts) + 1 AS BIGINT) AS horizon, station_id, river_mile AS m, value AS p, value - 1 AS l, value + 1 AS h FROM daily JOIN stations USING (station_id) WHERE ts < (SELECT min(ts) FROM grid) + INTERVAL 9 DAY",
+        b="SELECT horizon, mile, max({'m': m, 'p': p, 'l': l, 'h': h}) FILTER (m <= mile AND station_id NOT IN ('2', '9', '13')) AS lo, min({'m': m, 'p': p, 'l': l, 'h': h}) FILTER (m >= mile AND station_id NOT IN ('2', '9', '13')) AS hi, min({'m': m, 'p': p, 'l': l, 'h': h}) FILTER (abs(m - mile) < 20 AND station_id IN ('2', '9')) AS d FROM f CROSS JOIN (SELECT CAST(i * 7 AS DOUBLE) AS mile FROM range(45) t(i)) GROUP BY 1, 2",
+    ),
     "envelope_profile": sql(
         "daily q0 stations",
         "SELECT bin, mile, " + ", ".join(r(f"CASE WHEN lo IS NULL THEN hi.{p} WHEN hi IS NULL OR lo.m = hi.m THEN lo.{p} ELSE lo.{p} * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.{p} * (mile - lo.m) / (hi.m - lo.m) END", p) for p in ("p05", "p50", "p95")) + " FROM b",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import align, stats, windows
-from ..sources import tables
+from ..sources import store, tables
 from .base import W, clean, daily, discharge, filled, grid, main_q, r, sql, tide, tidy
 
 TIE_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -77,7 +77,25 @@ def limbs(spark, d):
     return tidy(one.select("station_id", "ts", stats.limb(F.col("value"), F.col("e.p05"), F.col("e.p50"), F.col("e.p95")).alias("limb")))
 
 
+def merged(spark, d):
+    """Readings of the even stations doubled and a year later too, over the old ones."""
+    new = daily(spark, d).where("CAST(station_id AS int) % 2 = 0").withColumn("value", F.col("value") * 2)
+    return tidy(align.merge(daily(spark, d), new.unionByName(new.withColumn("ts", F.col("ts") + F.expr("interval 3650 day")))))
+
+
+def history(spark, d):
+    """Discharge of gauge 2, else 0, else 1, and stage of station 9, else 4, for every day of 1992 to 2001."""
+    rows = discharge(spark, d).withColumn("variable", F.lit("discharge")).unionByName(daily(spark, d).where("station_id IN ('4', '9')").withColumn("variable", F.lit("stage")))
+    rank = spark.createDataFrame([("2", "Upper", 0), ("0", "Middle", 1), ("1", "Lower", 2), ("9", "Ninth", 3), ("4", "Fourth", 4)], "station_id string, name string, rank int")
+    return tidy(store.coalesced_history(rows, rank, "1992-01-01", "2001-12-31"))
+
+
 QUERIES = {
+    "merge_overwrite": merged,
+    "bulk_history": history,
+    "sigma_or_std": lambda s, d: tidy(stats.sigma_or_std(daily(s, d).withColumn("value", F.when(F.col("station_id") == "3", F.when(F.dayofmonth("ts") == 1, 9.0).otherwise(5.0)).otherwise(F.col("value"))))),
+    "latest_dates": lambda s, d: stats.latest_dates(daily(s, d)).select(F.col("ts").cast("date").alias("day")),
+    "grid_step": lambda s, d: align.grid_step(align.resample(tables.hourly_readings(s, d), "hour").unionByName(daily(s, d))),
     "daily_resample": lambda s, d: tidy(daily(s, d)),
     "hourly_resample": lambda s, d: align.resample(tables.hourly_readings(s, d), "hour").select("station_id", F.col("ts").alias("hour"), F.round("value", 6).alias("value")),
     "sentinel_filter": sentinel_filter,
@@ -149,6 +167,28 @@ def sigma_of(table: str) -> dict[str, str]:
 
 
 SQL = {
+    "merge_overwrite": sql(
+        "daily",
+        f"SELECT station_id, {DAY}, {r('coalesce(n.value, o.value)', 'value')} FROM daily o FULL JOIN n USING (station_id, ts)",
+        n="SELECT station_id, ts, value * 2 AS value FROM daily WHERE CAST(station_id AS INT) % 2 = 0 UNION ALL SELECT station_id, ts + INTERVAL 3650 DAY, value * 2 FROM daily WHERE CAST(station_id AS INT) % 2 = 0",
+    ),
+    "bulk_history": sql(
+        "daily q",
+        f"SELECT CAST(t.d AS DATE) AS date, {r('a.v', 'discharge')}, a.n AS source_gage, {r('b.v', 'stage')}, b.n AS stage_source FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS d) t LEFT JOIN qa ON qa.ts = t.d LEFT JOIN sa ON sa.ts = t.d",
+        qa="SELECT ts, arg_min({'v': value, 'n': CASE station_id WHEN '2' THEN 'Upper' WHEN '0' THEN 'Middle' ELSE 'Lower' END}, CASE station_id WHEN '2' THEN 0 WHEN '0' THEN 1 ELSE 2 END) AS a FROM q GROUP BY 1",
+        sa="SELECT ts, arg_min({'v': value, 'n': CASE station_id WHEN '9' THEN 'Ninth' ELSE 'Fourth' END}, CASE station_id WHEN '9' THEN 0 ELSE 1 END) AS b FROM daily WHERE station_id IN ('4', '9') GROUP BY 1",
+    ),
+    "sigma_or_std": sql(
+        "daily",
+        f"SELECT station_id, {r('CASE WHEN s > 0 THEN s ELSE p END', 'sigma')} FROM (SELECT station_id, 1.4826 * quantile_cont(abs(value - m), 0.5) AS s, stddev_pop(value) AS p FROM v JOIN (SELECT station_id, quantile_cont(value, 0.5) AS m FROM v GROUP BY 1) USING (station_id) GROUP BY 1)",
+        v="SELECT station_id, ts, CASE WHEN station_id = '3' THEN CASE WHEN day(ts) = 1 THEN 9.0 ELSE 5.0 END ELSE value END AS value FROM daily",
+    ),
+    "latest_dates": sql("daily", f"SELECT DISTINCT {DAY} FROM daily ORDER BY 1 DESC LIMIT 10"),
+    "grid_step": sql(
+        "daily",
+        "SELECT station_id, CASE WHEN max(ts) - min(ts) <= INTERVAL 1 HOUR AND count(*) > 1 THEN CAST(24 AS BIGINT) ELSE 1 END AS steps_per_day FROM (SELECT DISTINCT station_id, ts FROM u QUALIFY dense_rank() OVER (PARTITION BY station_id ORDER BY ts) <= 2) GROUP BY 1",
+        u="SELECT station_id, ts FROM daily UNION ALL SELECT event_type, date_trunc('hour', ts) FROM events",
+    ),
     "daily_resample": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')} FROM daily"),
     "hourly_resample": f"SELECT event_type AS station_id, date_trunc('hour', ts) AS hour, {r('avg(value)', 'value')} FROM events GROUP BY 1, 2",
     "sentinel_filter": sql("raw", f"SELECT station_id, CAST(count(*) FILTER (value > -50 AND value < 1000) AS BIGINT) AS n_kept, CAST(count(*) FILTER (NOT (value > -50 AND value < 1000)) AS BIGINT) AS n_dropped, {r('avg(value) FILTER (value > -50 AND value < 1000)', 'mean_kept')} FROM raw GROUP BY 1"),

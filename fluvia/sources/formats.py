@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import safe_name
+
 JSON_SERIES = "value struct<timeSeries: array<struct<sourceInfo: struct<siteCode: array<struct<value: string>>>, variable: struct<variableCode: array<struct<value: string>>>, values: array<struct<value: array<struct<value: string, dateTime: string>>>>>>>"
 RECORD = ("cal_datum", "target_datum", "factor_ft", "start_date", "end_date", "target_epoch", "notes")
 
@@ -14,12 +16,44 @@ def local_time(text):
     return F.expr(f"try_cast(substr({text}, 1, 19) AS timestamp_ntz)")
 
 
-def json_series(rows: DataFrame, column: str = "body", sentinel: float = -999999.0) -> DataFrame:
-    """(station_id, variable, ts, value) from service JSON: first value block, sentinel and bad numbers dropped."""
-    s = rows.select(F.explode(F.from_json(column, JSON_SERIES)["value"]["timeSeries"]).alias("s"))
-    v = s.select(F.col("s.sourceInfo.siteCode")[0]["value"].alias("station_id"), F.col("s.variable.variableCode")[0]["value"].alias("variable"), F.explode(F.col("s.values")[0]["value"]).alias("v"))
-    out = v.select("station_id", "variable", local_time("v.dateTime").alias("ts"), F.expr("try_cast(v.value AS double)").alias("value"))
-    return out.where(F.col("ts").isNotNull() & (F.col("value") > sentinel))
+def _json_values(rows: DataFrame, column: str, first_block: bool) -> DataFrame:
+    """(ord, station_id, variable, ts, value) of service JSON; ord is the body's (column ``ord``, where there is one) and the place in it."""
+    order = F.col("ord") if "ord" in rows.columns else F.lit(0)
+    s = rows.select(order.alias("o"), F.posexplode(F.from_json(column, JSON_SERIES)["value"]["timeSeries"]).alias("i", "s"))
+    values = F.col("s.values")[0]["value"] if first_block else F.flatten(F.transform("s.values", lambda x: x["value"]))
+    v = s.select("o", "i", F.col("s.sourceInfo.siteCode")[0]["value"].alias("station_id"), F.col("s.variable.variableCode")[0]["value"].alias("variable"), F.posexplode(values).alias("j", "v"))
+    out = v.select(F.struct("o", "i", "j").alias("ord"), "station_id", "variable", local_time("v.dateTime").alias("ts"), F.expr("try_cast(v.value AS double)").alias("value"))
+    return out.where("ts IS NOT NULL AND value IS NOT NULL")
+
+
+def json_series(rows: DataFrame, column: str = "body", sentinel: float = -999999.0, keep_last: bool = False) -> DataFrame:
+    """(station_id, variable, ts, value) from service JSON: first value block, sentinel and bad numbers dropped.
+
+    With ``keep_last`` of several readings of an instant the last counts, in order of the bodies' ``ord`` and of place.
+    """
+    out = _json_values(rows, column, True).where(F.col("value") > sentinel)
+    if keep_last:
+        out = out.groupBy("station_id", "variable", "ts").agg(F.max_by("value", "ord").alias("value"))
+    return out.select("station_id", "variable", "ts", "value")
+
+
+def discharge_series(rows: DataFrame, column: str = "body", unit: str = "day", sentinel: float = -9999.0) -> DataFrame:
+    """(station_id, ts, value): mean of all value blocks' readings above the sentinel for each day or hour."""
+    live = _json_values(rows, column, False).where(F.col("value") > sentinel)
+    return live.groupBy("station_id", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("value"))
+
+
+def tide_json(rows: DataFrame, column: str = "body", unit: str = "day") -> DataFrame:
+    """(station_id, ts, value): daily (or hourly) mean water level from (station_id, body[, ord]).
+
+    Of several readings of an instant the last counts; cells that are no numbers and bodies without data (errors) go.
+    """
+    order = F.col("ord") if "ord" in rows.columns else F.lit(0)
+    data = F.from_json(column, "data array<struct<t: string, v: string>>")["data"]
+    v = rows.select("station_id", order.alias("o"), F.posexplode(data).alias("i", "d"))
+    live = v.select("station_id", "o", "i", F.expr("try_cast(d.t AS timestamp_ntz)").alias("ts"), F.expr("try_cast(trim(d.v) AS double)").alias("value")).where("ts IS NOT NULL AND value IS NOT NULL")
+    one = live.groupBy("station_id", "ts").agg(F.max_by("value", F.struct("o", "i")).alias("value"))
+    return one.groupBy("station_id", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("value"))
 
 
 def xml_series(rows: DataFrame, column: str = "body", low: float = -50.0, high: float = 1000.0) -> DataFrame:
@@ -33,13 +67,26 @@ def xml_series(rows: DataFrame, column: str = "body", low: float = -50.0, high:
     return out.groupBy(*keys, "ts").agg(F.min_by("value", "_i").alias("value"))
 
 
+def read_xml(spark: SparkSession, path: str, element: str = "value") -> DataFrame:
+    """(ts, value) of the elements with a dateTime attribute, by Spark's XML reader; attributes and text that don't parse become null or go.
+
+    A text that is no XML, or has no such element, gives no rows here; ``spark.read.text`` keeps it raw.
+    """
+    rows = spark.read.format("xml").option("rowTag", element).option("ignoreNamespace", True).schema("_dateTime string, _VALUE string").load(path)
+    return rows.select(local_time("_dateTime").alias("ts"), F.expr("try_cast(trim(_VALUE) AS double)").alias("value")).where("ts IS NOT NULL")
+
+
 def latitude(column: str):
-    return F.expr(f"try_cast(regexp_extract({column}, '(?i)<latitude>([^<]+)', 1) AS double)")
+    return F.expr(f"try_cast(regexp_extract({column}, '(?i)<latitude>([^<]+)</latitude>', 1) AS double)")
+
+
+def longitude(column: str):
+    return F.expr(f"try_cast(regexp_extract({column}, '(?i)<longitude>([^<]+)</longitude>', 1) AS double)")
 
 
-def read_tab(spark: SparkSession, path: str) -> DataFrame:
-    """(line) of a commented tab text without comments and format lines."""
-    return spark.read.text(path).where(~F.col("value").startswith("#") & F.col("value").rlike(r"\t")).where(~F.col("value").rlike(r"^\d+[sdn](\t\d+[sdn])*$"))
+def locations(rows: DataFrame, column: str = "body") -> DataFrame:
+    """(station_id, lat, lon) of site descriptions that give both."""
+    return rows.select("station_id", latitude(column).alias("lat"), longitude(column).alias("lon")).where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
 def read_rdb(spark: SparkSession, path: str) -> DataFrame:
@@ -54,15 +101,16 @@ def read_rdb(spark: SparkSession, path: str) -> DataFrame:
     return out.where("ts IS NOT NULL AND value IS NOT NULL")
 
 
-def read_tide(spark: SparkSession, path: str) -> DataFrame:
-    """(ts, value) of a tide CSV; bad cells become null and go."""
+def read_tide(spark: SparkSession, path: str, unit: str | None = None, low: float = -50.0, high: float = 100.0) -> DataFrame:
+    """(ts, value) of a tide CSV inside the bounds, its mean a day or hour with ``unit``; bad cells go, a file without the columns gives no rows."""
     rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     v = [c for c in rows.columns if "water level" in c.lower()]
     t = [c for c in rows.columns if "date" in c.lower()]
     if not v or not t:
         return spark.createDataFrame([], "ts timestamp_ntz, value double")
     out = rows.select(F.expr(f"try_cast(trim(`{t[0]}`) AS timestamp_ntz)").alias("ts"), F.expr(f"try_cast(trim(`{v[0]}`) AS double)").alias("value"))
-    return out.where((F.col("value") > -50) & (F.col("value") < 100) & F.col("ts").isNotNull())
+    out = out.where((F.col("value") > low) & (F.col("value") < high) & F.col("ts").isNotNull())
+    return out if unit is None else out.groupBy(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("value"))
 
 
 def read_cached_series(spark: SparkSession, path: str) -> DataFrame:
@@ -115,14 +163,37 @@ def section_epoch(lines: DataFrame) -> DataFrame:
     return lines.withColumn("target_epoch", F.last(found, ignorenulls=True).over(w))
 
 
-def write_datum_archive(rows: DataFrame, path: str) -> None:
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RECORD))
-    rows.select(text.alias("value")).write.mode("overwrite").text(path)
+def archive_or_sheet(archived: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The archive's records of each document, and those parsed from its sheet for documents without an archive.
+
+    Both have a column doc, the document's name without its ending.
+    """
+    return archived.unionByName(parsed.join(archived.select("doc").distinct(), "doc", "left_anti"))
+
+
+def inventory(spark: SparkSession, folder: str, ending: str = "pdf") -> DataFrame:
+    """(station_id, files): the documents below a folder by the first five digits of their name, else under "unmatched"; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ending}").load(folder).select("path")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    code = F.coalesce(F.nullif(F.regexp_extract(name, r"(\d{5})", 1), F.lit("")), F.lit("unmatched"))
+    return files.groupBy(code.alias("station_id")).agg(F.array_sort(F.collect_list(name)).alias("files"))
+
+
+def clean_raster(cells: DataFrame, nodata: float = -9999.0, low: float = -100.0, high: float = 1600.0) -> DataFrame:
+    """cells (row, col, elev_ft) with null for the nodata value and elevations outside the bounds."""
+    z = F.col("elev_ft")
+    return cells.withColumn("elev_ft", F.when((z != nodata) & (z >= low) & (z <= high), z))
+
+
+def read_pixels(points: DataFrame, cells: DataFrame, height: int, width: int) -> DataFrame:
+    """points (row, col) with elev_ft of their cell; null outside the raster and where the cell has none."""
+    inside = F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)
+    return points.join(cells.select("row", "col", "elev_ft"), ["row", "col"], "left").withColumn("elev_ft", F.when(inside, F.col("elev_ft")))
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """One folder a station: a finished station survives a later failure."""
-    rows.write.mode("overwrite").partitionBy("station_id").parquet(path)
+def write_results(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One folder a station, named by its id without odd characters; the rows keep the id as it is, so zeros in front survive reading."""
+    rows.withColumn("station", safe_name(F.col("station_id"))).write.mode(mode).partitionBy("station").parquet(path)
 
 
 def wide(rows: DataFrame, station_ids: list[str], prefix: str = "stage_") -> DataFrame:

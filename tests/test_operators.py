@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fluvia.functions import scalars
-from fluvia.operators import align, anomaly, forecast, lags, network, profile, qaqc, stats, windows
+from fluvia.operators import align, anomaly, features, forecast, lags, network, profile, qaqc, stats, windows
 from fluvia.sources import formats, tables
 
 DAY0 = dt.datetime(2020, 1, 1)
@@ -262,8 +262,6 @@ def test_lag_undoes_lead(spark, xs):
 def test_text_sources(spark, tmp_path):
     (tmp_path / "tide.csv").write_text("Date Time, Water Level, Sigma\n2020-01-01 00:00,1.5,0\n2020-01-01 01:00,-99,0\nbad,2,0\n")
     assert [r.value for r in formats.read_tide(spark, str(tmp_path / "tide.csv")).collect()] == [1.5]
-    (tmp_path / "a.rdb").write_text("# comment\nagency\tsite\n5s\t15s\nUSGS\t0702\n")
-    assert formats.read_tab(spark, str(tmp_path / "a.rdb")).count() == 2
     (tmp_path / "list.csv").write_text("station\n01080\n01120\n")
     assert sorted(r.station_id for r in formats.read_station_list(spark, str(tmp_path / "list.csv")).collect()) == ["01080", "01120"]
     (tmp_path / "usgs_q_07010000_x.csv").write_text("date,value\n2020-01-01,4.5\n")
@@ -286,6 +284,90 @@ def test_regressor_survives_missing_features_and_saving(spark, tmp_path):
     fitted = forecast.fit(known, names, trees=3, depth=3)
     assert fitted.mae < 6
     fitted.save(str(tmp_path / "m"))
-    again = forecast.Regressor.load(str(tmp_path / "m"), names, fitted.mae)
+    again = forecast.Regressor.load(spark, str(tmp_path / "m"))
+    assert (again.names, again.mae, again.variable) == (names, fitted.mae, "stage")
     one, two = (sorted((str(r.ts), r.pred) for r in f.predict(known).collect()) for f in (fitted, again))
     assert one == two and fitted.importance()[0][1] > 0
+
+
+def river(spark, n=200):
+    """Three stations down a river; what happens at the first reaches the second two and the third four days later."""
+    wave = [math.sin(i / 7) * 5 + math.sin(i / 17) * 3 + (i * i % 11) / 5 for i in range(n + 4)]
+    grid = None
+    for k, s in enumerate("abc"):
+        one = frame(spark, wave[4 - 2 * k : 4 - 2 * k + n], s)
+        grid = one if grid is None else grid.unionByName(one)
+    stations = spark.createDataFrame([("a", 300.0, 0, "mississippi"), ("b", 156.0, 1, "mississippi"), ("c", 12.0, 1, "Lower Mississippi"), ("o", 160.0, 2, "ohio")], "station_id string, river_mile double, tier int, river string")
+    q = grid.where("station_id = 'a'").select("ts", (F.col("value") / 10 + 2).alias("composite"))
+    return grid, stations, forecast.Network(stations.where("station_id <> 'o'"), q)
+
+
+def test_slots_read_the_neighbours_a_travel_time_before(spark):
+    grid, _, network = river(spark)
+    rows, names = forecast.features(grid, network)
+    at = {(r.station_id, (r.ts - DAY0).days): r for r in rows.collect()}
+    b, a = at["b", 50], lambda i: at["a", i]
+    assert b.up1_value == a(48).now and b.up1_d1 == pytest.approx(a(48).now - a(47).now)  # 144 miles at 72 a day
+    assert b.slope_up1 == pytest.approx(a(49).now - at["b", 49].now) and b.slope_dn3 == pytest.approx(at["b", 47].now - at["c", 47].now)
+    assert b.q_lag7 == pytest.approx(a(43).now / 10 + 2) and at["c", 50].up2_value == a(46).now and at["a", 50].up1_value is None
+    assert set(names) <= set(rows.columns) and len(at) == 600
+
+
+def test_forecasts_of_a_network(spark):
+    grid, stations, network = river(spark)
+    one = forecast.direct(grid, (1, 2), network=network, trees=4, depth=4).collect()
+    assert sorted((r.station_id, r.horizon) for r in one) == [(s, h) for s in "abc" for h in (1, 2)]
+    assert all(r.lo <= r.pred <= r.hi and (r.origin - DAY0).days == 199 for r in one)
+    steps = forecast.recursive(grid, 3, network=network, trees=4, depth=4).collect()
+    assert sorted((r.station_id, r.horizon) for r in steps) == [(s, h) for s in "abc" for h in (1, 2, 3)]
+    width = {r.horizon: r.hi - r.lo for r in steps}
+    assert width[3] == pytest.approx(width[1] * 3**0.5)
+    models = forecast.by_tier(grid, stations, network=network, trees=3, depth=3)
+    out = forecast.tiered(grid, stations, models, network=network).collect()
+    assert list(models) == [0, 1] and [(r.station_id, r.tier) for r in out] == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_learners_by_kind(spark):
+    grid, _, _ = river(spark)
+    rows, names = forecast.features(grid)
+    known = forecast.training_set(rows, names, 1)
+    for kind in ("boosted", "forest", "no such kind"):
+        fitted = forecast.fit(known, names, kind, trees=3, depth=3)
+        assert fitted.mae < 4 and fitted.predict(known).where("pred IS NULL").count() == 0
+
+
+def test_forecast_at_a_mile(spark):
+    _, stations, _ = river(spark)
+    made = [("a", 1, "stage", 30.0), ("b", 1, "stage", 10.0), ("o", 1, "stage", 999.0), ("c", 1, "discharge", 5.0)]
+    table = spark.createDataFrame([(s, h, v, p, p - 1, p + 1) for s, h, v, p in made], "station_id string, horizon int, variable string, pred double, lo double, hi double")
+    miles = spark.createDataFrame([(228.0,), (20.0,), (32.0,), (400.0,)], "mile double")
+    got = {r.mile: (r.stage_pred, r.discharge_pred) for r in forecast.at_mile(table, stations, miles).collect()}
+    assert got == {228.0: (20.0, None), 20.0: (10.0, 5.0), 32.0: (10.0, None), 400.0: (30.0, None)}  # 20 miles off is too far for discharge
+
+
+def test_stage_query_by_source_and_frame(spark):
+    stations = spark.createDataFrame([("lo", 100.0), ("hi", 120.0)], "station_id string, river_mile double")
+    result = spark.createDataFrame([("lo", DAY0, 1.0, 2.0, 3.0), ("hi", DAY0, 5.0, 6.0, 7.0)], "station_id string, ts timestamp_ntz, observed double, corrected double, predicted double")
+    offsets = spark.createDataFrame([("lo", "NAVD88", "NGVD29", 0.5)], "station_id string, src string, dst string, offset_ft double")
+    ask = lambda t, s="corrected", **k: [r.value for r in network.query_result(result, stations, t, "2020-01-01", "2020-01-01", s, **k).collect()]
+    assert [ask("lo", s) for s in ("raw", "corrected", "predicted")] == [[1.0], [2.0], [3.0]]
+    assert ask("110", "raw") == [3.0] and ask("110", offsets=offsets, dst=" ngvd29 ") == [4.5] and ask("hi", offsets=offsets, dst="NGVD29") == [6.0]
+    assert ask("lo", offsets=offsets, dst="NAVD88") == [2.0]
+    with pytest.raises(ValueError):
+        ask("lo", "best")
+
+
+def test_profile_adjustments_and_reference(spark):
+    points = spark.createDataFrame([(1, "a", 300.0, 10.0), (1, "b", 200.0, 5.0)], "at int, station_id string, river_mile double, value double")
+    assert sorted(r.value for r in profile.adjusted(points, "a:-1.5, z:9").collect()) == [5.0, 8.5] and profile.adjusted(points, "").count() == 2
+    assert profile.reference_discharge(points, "a").first().ref_id == "a" and profile.reference_discharge(points, "x").first().ref_id == "b"
+    limits = profile.frame_limits(spark.createDataFrame([(1.0, -3.0), (7.0, None)], "water_surface_ft double, bed_elev_ft double")).first()
+    assert (limits.low, limits.high) == (-3.5, 7.5)
+
+
+def test_lags_of_all_pairs(spark):
+    stations = spark.createDataFrame([("u", 344.0), ("d", 200.0)], "station_id string, river_mile double")
+    got = {r.station_id: (r.other, r.center, list(r.lags)) for r in features.pair_lags(stations).collect()}
+    assert got["d"] == ("u", 2, [1, 2, 3]) and got["u"] == ("d", 2, [1, 2, 3])  # 144 miles: 1.4, 2 and 3.3 days
+    table = spark.createDataFrame([("u", "d", "overall", 5), ("u", "d", "low", 8), ("u", "d", "high", 3)], "up string, dn string, bin string, lag_days bigint")
+    assert {r.station_id: list(r.lags) for r in features.pair_lags(stations, table).collect()} == {"d": [3, 4, 5, 6, 8], "u": [3, 4, 5, 6, 8]}
