@@ -2,8 +2,8 @@
 
 A bounded sample gives a mean, principal axes and a learned rotation; the signs of the rotated
 coordinates are a vector's binary code. A code is split into substrings, and each is indexed: sorted
-with its postings. A code within Hamming distance r of a query's is within r / m, rounded down, in
-at least one of the m substrings, so probing every indexed substring that near retrieves every code
+with its postings. A code within Hamming distance r = m s + a of a query's (m substrings, a < m) is within s in one of the
+first a + 1 substrings or within s - 1 in one of the others, so probing every indexed substring that near retrieves every code
 within r; the vectors retrieved are ranked by their distance in double precision. The radius is the
 least one that finds ``RECALL`` of the true neighbours inside the sample, where neighbours are further
 apart than in the whole; a query with too few codes in its radius widens it until it has enough.
@@ -27,10 +27,11 @@ from .base import table, written
 SAMPLE = 8000
 SAMPLE_QUERIES = 400
 BITS = 128
-SUBSTRINGS = 8
-RECALL = 0.985
-SHARD = 16_384
-BLOCK = 4096
+SUBSTRINGS = 4
+RECALL = 0.95
+#: Entries of a shard and queries of a block: a cell of both is what one task holds. Every entry is sent once a block, every query once a shard.
+SHARD = 65_536
+BLOCK = 65_536
 
 
 @dataclass
@@ -40,9 +41,9 @@ class Coder:
     radius: int
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """(rows, substrings) uint16 parts of the binary codes."""
+        """(rows, substrings) uint32 parts of the binary codes."""
         bits = ((x - self.mean) @ self.axes > 0).astype(np.uint8)
-        return np.packbits(bits, axis=1, bitorder="little").view("<u2")
+        return np.packbits(bits, axis=1, bitorder="little").view(f"<u{BITS // SUBSTRINGS // 8}")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,7 +67,7 @@ def learn(x: np.ndarray, k: int = 10, seed: int = 1) -> Coder:
         blocks.append(v @ r)
     coder = Coder(mean, np.concatenate(blocks, 1)[:, :BITS], BITS)
     q = rng.permutation(len(x))[:SAMPLE_QUERIES]
-    near = ((x[q][:, None] - x[None]) ** 2).sum(2) if len(x) * len(q) * d < 2e7 else (x[q] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[q] @ x.T
+    near = (z[q] ** 2).sum(1)[:, None] + (z**2).sum(1)[None] - 2 * z[q] @ z.T
     near[np.arange(len(q)), q] = np.inf
     k = min(k, len(x) - 1)
     if k > 0:
@@ -88,21 +89,31 @@ class Index:
             values, first = np.unique(self.codes[order, i], return_index=True)
             self.parts.append((values, np.append(first, len(order)), order))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes are within ``radius`` of ``code``: all of them, by the pigeonhole principle."""
-        hit = np.zeros(len(self.x), bool)
+    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows with a substring as near to that of ``code`` as the pigeonhole principle asks for ``radius``."""
+        hit, (near, spare) = np.zeros(len(self.x), bool), divmod(radius, len(self.parts))
         for i, (values, first, order) in enumerate(self.parts):
-            probe = np.flatnonzero(np.bitwise_count(values ^ code[i]) <= radius // len(self.parts))
+            most = near if i <= spare else near - 1
+            probe = np.flatnonzero(np.bitwise_count(values ^ code[i]) <= most) if most >= 0 else np.zeros(0, int)
             sizes = first[probe + 1] - first[probe]
             if len(probe):
                 at = np.repeat(first[probe] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                 hit[order[at]] = True
-        rows = np.flatnonzero(hit)
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes are within ``radius`` of ``code``: all of them."""
+        rows = self.probe(code, radius)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int16) <= radius]
 
+    def shares(self, queries: np.ndarray) -> tuple[float, float]:
+        """Mean share of the rows that probing reaches, and that are ranked by distance, for these queries."""
+        codes, r = self.coder.codes(queries), self.coder.radius
+        return tuple(float(np.mean([len(f(c, r)) for c in codes])) / max(1, len(self.x)) for f in (self.probe, self.within))
+
     def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and squared distances of the ``k`` nearest found and any as near as the last."""
-        radius, code, bits = self.coder.radius, self.coder.codes(q[None])[0], 16 * len(self.parts)
+        radius, code, bits = self.coder.radius, self.coder.codes(q[None])[0], BITS
         rows = self.within(code, radius)
         while len(rows) < min(k, len(self.x)) and radius < bits:
             radius += 8
@@ -127,7 +138,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, dimensions: int | None = N
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row with ``is_query``, among all other rows.
 
     Ties go to the smaller vec_id; score is the Euclidean distance. Vectors that are null, zero, of another length than the
-    commonest or hold null or non-finite components take no part. Repeated ids count as one row each.
+    commonest or hold null or non-finite components take no part. Repeated ids count as one row each; other columns are
+    ignored; an empty table, or one without queries, gives no rows.
     """
     spark = vectors.sparkSession
     if dimensions is None:

@@ -78,3 +78,16 @@ def test_probing_finds_every_code_in_the_radius():
     for r in (10, 30, 50):
         far = ann.distances(index.codes[:5], index.codes)
         assert all(set(index.within(index.codes[i], r)) == set(np.flatnonzero(far[i] <= r)) for i in range(5))
+
+
+def test_probing_prunes_where_vectors_have_near_neighbours():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 64))
+    x = np.repeat(centres, 30, 0) + rng.normal(size=(6000, 64)) * 0.08
+    coder = ann.learn(x[rng.permutation(len(x))[:3000]])
+    probed, ranked = ann.Index(coder, x).shares(x[:50])
+    assert probed < 0.1 and ranked < 0.02
+    # without structure no radius that finds the neighbours is narrow: most codes are probed, few are ranked
+    y = rng.normal(size=(6000, 64))
+    probed, ranked = ann.Index(ann.learn(y[:3000]), y).shares(y[:50])
+    assert ranked < 0.3 < probed < 0.9
