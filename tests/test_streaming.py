@@ -36,3 +36,13 @@ def test_live_flatlines(spark, tmp_path):
     stream = spark.readStream.schema("station_id string, ts timestamp_ntz, value double").parquet(str(tmp_path / "f"))
     got = sorted(r.n for r in drain(spark, live.live_flatlines(stream), "flats").collect())
     assert got == [5, 6]
+
+
+def test_runs_go_on_from_batch_to_batch(spark, tmp_path):
+    for k, xs in enumerate(([1, 1], [1, 1, 1, 2], [2, 2, 2, 2, 3])):
+        at = sum(map(len, ([1, 1], [1, 1, 1, 2])[:k]))
+        rows = spark.createDataFrame([("a", at + i, float(x)) for i, x in enumerate(xs)], "station_id string, n int, value double")
+        rows.selectExpr("station_id", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, n) AS ts", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+    stream = spark.readStream.schema("station_id string, ts timestamp_ntz, value double").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "f"))
+    got = sorted((r.value, r.n) for r in drain(spark, live.live_flatlines(stream), "runs").collect())
+    assert got == [(1.0, 5), (2.0, 5)]
