@@ -77,9 +77,9 @@ def travel_days(miles: Column, speed: Column) -> Column:
 
 
 def adaptive_speed(q: Column, base: float = 100.0, reference: float | None = None, power: float = 0.4) -> Column:
-    """Miles a day for a discharge: base times (q / reference) to the power; q is already a ratio without a reference."""
-    ratio = q if reference is None else q / reference
-    return base * F.pow(F.greatest(ratio, F.lit(0.01)), power)
+    """Miles a day for a discharge (0.05 at least): base times (q / reference) to the power; q is already a ratio without a reference."""
+    safe = F.greatest(q, F.lit(0.05))
+    return base * F.pow(safe if reference is None else safe / reference, power)
 
 
 def safe_name(name: Column) -> Column:

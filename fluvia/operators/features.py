@@ -40,7 +40,7 @@ def station_features(grid: DataFrame, stations: DataFrame, composite: DataFrame,
         rows = rows.withColumn(f"{side}_step", F.col(f"{side}_then") - F.col(f"{side}_before")).withColumn(f"{side}_slope", F.col(f"{side}_day") - F.col("lag1")).drop(f"{side}_before", f"{side}_day")
     day = lambda df, c, name: df.select((F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.col(c).alias(name))
     rows = rows.join(day(composite, "composite", "q_then"), "ts", "left").join(day(tide, "mean", "tide_then"), "ts", "left")
-    days = clip(F.col("up_miles") / (speed * F.pow(F.greatest("q_then", F.lit(0.01)), F.lit(0.4))), 0.0, 30.0)
+    days = clip(F.col("up_miles") / (speed * F.pow(F.greatest("q_then", F.lit(0.05)), F.lit(0.4))), 0.0, 30.0)
     rows = rows.withColumn("expected_days", F.when(F.col("q_then").isNotNull(), half_even(days)))
     return rows.withColumns(harmonics(F.col("ts"))).drop("up", "dn", "up_lag", "dn_lag", "up_miles")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import adaptive_speed, half_even, travel_days
+from ..functions.scalars import adaptive_speed, half_even
 from .align import KEY, blocks, own
 from .network import pairs as network_pairs
 from .stats import BINS
@@ -90,10 +90,15 @@ def network_lags(daily: DataFrame, stations: DataFrame, discharge: DataFrame | N
     return matched_lags(daily, network_pairs(stations, following, most_miles), None if discharge is None else best_covered(discharge))
 
 
-def adaptive_lags(pairs: DataFrame, q: DataFrame, reference: float | None = None, base: float = 100.0) -> DataFrame:
-    """(up, dn, lags): the distinct travel times at the 10, 25, 50, 75 and 90 % discharges, and 1, in order."""
+def adaptive_lags(pairs: DataFrame, q: DataFrame, reference: float | None = None, base: float = 72.0) -> DataFrame:
+    """(up, dn, lags): the distinct whole days at the 10, 25, 50, 75 and 90 % quantiles of the travel time, and 3 and 7 days after the median, in order.
+
+    Without any discharge: the travel time at the base speed, at 1.4 and 0.6 of it, and those offsets. Pairs at one place: 1, 2 and 3 days.
+    """
     points = F.array(*(F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)))
-    cuts = q.where("q IS NOT NULL").agg(F.percentile("q", points).alias("_c"))
-    rows = pairs.crossJoin(F.broadcast(cuts))
-    days = F.transform("_c", lambda c: travel_days(F.col("miles"), adaptive_speed(c, base, reference)))
-    return rows.select("up", "dn", F.array_sort(F.array_distinct(F.array_append(days, F.lit(1).cast("bigint")))).alias("lags"))
+    slowness = q.where("q IS NOT NULL").withColumn("_s", 1 / adaptive_speed(F.col("q"), base, reference))
+    rows = pairs.crossJoin(F.broadcast(slowness.agg(F.percentile("_s", points).alias("_c"))))  # one row
+    times = F.coalesce(F.transform("_c", lambda c: F.col("miles") * c), F.array(*(F.col("miles") / (base * f) for f in (1.4, 1.4, 1.0, 0.6, 0.6))))
+    days = F.transform(times, lambda t: F.greatest(F.lit(1), half_even(t)).cast("bigint"))
+    lags = F.array_sort(F.array_distinct(F.concat(days, F.array(F.element_at(days, 3) + 3, F.element_at(days, 3) + 7))))
+    return rows.select("up", "dn", F.when(F.col("miles") <= 0, F.array(*(F.lit(k).cast("bigint") for k in (1, 2, 3)))).otherwise(lags).alias("lags"))

@@ -84,8 +84,8 @@ def limb(stage, p05, p50, p95, share: float = 0.2):
 
 
 def errors(rows: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
-    """(keys, rows_total, mae, rmse, flagged_count, flagged_fraction) from residual and is_outlier."""
+    """(keys, rows_total, rows_train_final, mae, rmse, sigma, flagged_count, flagged_fraction) from residual, sigma and is_outlier."""
     return rows.groupBy(*keys).agg(
-        F.count("*").alias("rows_total"), F.avg(F.abs("residual")).alias("mae"), F.sqrt(F.avg(F.pow("residual", F.lit(2.0)))).alias("rmse"),
-        F.sum(F.col("is_outlier").cast("bigint")).alias("flagged_count"), F.avg(F.col("is_outlier").cast("double")).alias("flagged_fraction"),
+        F.count("*").alias("rows_total"), F.count_if(~F.col("is_outlier")).alias("rows_train_final"), F.avg(F.abs("residual")).alias("mae"), F.sqrt(F.avg(F.pow("residual", F.lit(2.0)))).alias("rmse"),
+        F.max("sigma").alias("sigma"), F.count_if("is_outlier").alias("flagged_count"), F.avg(F.col("is_outlier").cast("double")).alias("flagged_fraction"),
     )

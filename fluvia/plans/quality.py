@@ -238,7 +238,7 @@ SQL = {
         f"SELECT station_id, {DAY}, {r('corrected - 3.5 * greatest(coalesce(sigma, 0.5), 0.25)', 'ci_lower', 9)}, {r('corrected + 3.5 * greatest(coalesce(sigma, 0.5), 0.25)', 'ci_upper', 9)} FROM res WHERE observed IS NULL",
         **_LOOP,
     ),
-    "model_metrics": sql("grid", f"SELECT station_id, count(*) AS rows_total, {r('avg(abs(residual))', 'mae')}, {r('sqrt(avg(residual * residual))', 'rmse')}, CAST(count(*) FILTER (is_outlier) AS BIGINT) AS flagged_count, {r('avg(is_outlier::INT)', 'flagged_fraction')} FROM res WHERE residual IS NOT NULL GROUP BY 1", **_LOOP),
+    "model_metrics": sql("grid", f"SELECT station_id, count(*) AS rows_total, count(*) FILTER (NOT is_outlier) AS rows_train_final, {r('max(sigma)', 'sigma')}, {r('avg(abs(residual))', 'mae')}, {r('sqrt(avg(residual * residual))', 'rmse')}, CAST(count(*) FILTER (is_outlier) AS BIGINT) AS flagged_count, {r('avg(is_outlier::INT)', 'flagged_fraction')} FROM res WHERE residual IS NOT NULL GROUP BY 1", **_LOOP),
     "horizon_errors": sql("daily", f"SELECT station_id, h AS horizon, {r('quantile_cont(abs(value - predicted), 0.5) * sqrt(h)', 'error')} FROM t CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (7), (28)) v(h) WHERE NOT is_train GROUP BY station_id, h", **_PRED, t=f"SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY station_id) * 0.8) AS is_train FROM pred"),
     "best_variable": sql("daily q stations", "SELECT station_id, CASE WHEN river_mile < 50 THEN 'tide' WHEN CAST(station_id AS INT) < 6 AND s > 30 THEN 'stage' WHEN q > 30 THEN 'discharge' ELSE 'stage' END AS variable FROM stations LEFT JOIN (SELECT station_id, count(*) AS s FROM daily GROUP BY 1) USING (station_id) LEFT JOIN (SELECT CAST(CAST(station_id AS INT) + 6 AS VARCHAR) AS station_id, count(*) AS q FROM q GROUP BY 1) USING (station_id)"),
     "topk_importance": sql(

@@ -269,7 +269,7 @@ def _profile(controls: str, value: str) -> str:
 _BEAR = """SELECT mile, lat, lon, first_value(lat) OVER a AS lat1, first_value(lon) OVER a AS lon1, last_value(lat) OVER b AS lat2, last_value(lon) OVER b AS lon2
     FROM line WINDOW a AS (ORDER BY mile ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), b AS (ORDER BY mile ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"""
 _BEAR_DEG = "(degrees(atan2((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), lat2 - lat1)) + 360.0) % 360.0"
-_SPEED = "(72.0 * power(greatest(q / 250000.0, 0.01), 0.4))"
+_SPEED = "(72.0 * power(greatest(q, 0.05) / 250000.0, 0.4))"
 _CELLS = "SELECT CAST(i // 60 AS INT) AS row, CAST(i % 60 AS INT) AS col, round(sin(i * 0.37) * 20 - i % 60, 6) AS elev_ft FROM range(12000) t(i)"
 _RASTER = "SELECT i AS point_id, CAST(i * 9 + 5 AS INT) AS row, CAST(i * 7 % 60 AS INT) AS col FROM range(20) t(i)"
 _CONTROLS = _DATES | {"near": _near("daily", "stations"), "ctl": "SELECT t0, river_mile, m.value AS v FROM near"}
@@ -320,7 +320,8 @@ SQL = {
     "travel_time": sql("pairs q0", f"SELECT up, dn, {DAY}, CAST(greatest(1, round_even(miles / 100.0, 0)) AS BIGINT) AS fixed_days, CAST(greatest(1, round_even(miles / {_SPEED}, 0)) AS BIGINT) AS adaptive_days, CAST(round_even(least(greatest(miles / {_SPEED}, 0.0), 30.0), 0) AS BIGINT) AS expected_days FROM pairs CROSS JOIN q0"),
     "adaptive_lags": sql(
         "pairs q0",
-        "SELECT up, dn, array_to_string(list_sort(list_distinct(list_append(list(CAST(greatest(1, round_even(miles / (15.0 * power(greatest(c / 250000.0, 0.01), 0.4)), 0)) AS BIGINT)), CAST(1 AS BIGINT)))), ',') AS lags FROM pairs CROSS JOIN (SELECT unnest(quantile_cont(q, [0.1, 0.25, 0.5, 0.75, 0.9])) AS c FROM q0) GROUP BY up, dn",
+        "SELECT up, dn, array_to_string(list_sort(list_distinct(list_concat(d, [d[3] + 3, d[3] + 7]))), ',') AS lags FROM (SELECT up, dn, list_transform(c, lambda x: CAST(greatest(1, round_even(miles * x, 0)) AS BIGINT)) AS d FROM pairs CROSS JOIN cuts)",
+        cuts="SELECT quantile_cont(1 / (15.0 * power(greatest(q, 0.05) / 250000.0, 0.4)), [0.1, 0.25, 0.5, 0.75, 0.9]) AS c FROM q0",
     ),
     "xcorr_lag": sql(
         "daily pairs",
@@ -375,7 +376,7 @@ SQL = {
         "grid q tide stations",
         f"""SELECT f.station_id, CAST(f.ts AS DATE) AS day, {", ".join(r("f." + c, c, 5) for c in ("value", "lag1", "lag2", "lag3", "lag5", "lag7", "d1", "d3", "rate"))},
             {", ".join(r(f"{a}.value", f"{s}_then", 5) + ", " + r(f"{a}.value - {b}.value", f"{s}_step", 5) + ", " + r(f"{c}.value - f.lag1", f"{s}_slope", 5) for s, a, b, c in (("up", "u1", "u2", "u3"), ("dn", "d1", "d2", "d3")))},
-            {r("cq.composite", "q_then", 5)}, {r("tq.mean", "tide_then", 12)}, CASE WHEN cq.composite IS NOT NULL AND pl.um IS NOT NULL THEN CAST(round_even(least(greatest(abs(pl.um - pl.river_mile) / (72.0 * power(greatest(cq.composite, 0.01), 0.4)), 0.0), 30.0), 0) AS BIGINT) END AS expected_days,
+            {r("cq.composite", "q_then", 5)}, {r("tq.mean", "tide_then", 12)}, CASE WHEN cq.composite IS NOT NULL AND pl.um IS NOT NULL THEN CAST(round_even(least(greatest(abs(pl.um - pl.river_mile) / (72.0 * power(greatest(cq.composite, 0.05), 0.4)), 0.0), 30.0), 0) AS BIGINT) END AS expected_days,
             {", ".join(r(f"{g}({2 * k} * pi() * dayofyear(f.ts) / 365.25)", f"{g}{k}", 5) for k in (1, 2) for g in ("sin", "cos"))}, month(f.ts) AS month
             FROM f JOIN pl USING (station_id)
             LEFT JOIN grid u1 ON u1.station_id = pl.up AND u1.ts = f.ts - INTERVAL 1 DAY LEFT JOIN grid u2 ON u2.station_id = pl.up AND u2.ts = f.ts - INTERVAL 2 DAY LEFT JOIN grid u3 ON u3.station_id = pl.up AND u3.ts = f.ts - INTERVAL 1 DAY

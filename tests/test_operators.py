@@ -371,3 +371,11 @@ def test_lags_of_all_pairs(spark):
     assert got["d"] == ("u", 2, [1, 2, 3]) and got["u"] == ("d", 2, [1, 2, 3])  # 144 miles: 1.4, 2 and 3.3 days
     table = spark.createDataFrame([("u", "d", "overall", 5), ("u", "d", "low", 8), ("u", "d", "high", 3)], "up string, dn string, bin string, lag_days bigint")
     assert {r.station_id: list(r.lags) for r in features.pair_lags(stations, table).collect()} == {"d": [3, 4, 5, 6, 8], "u": [3, 4, 5, 6, 8]}
+
+
+def test_adaptive_lags(spark):
+    pairs = spark.createDataFrame([("a", "b", 144.0), ("c", "d", 0.0)], "up string, dn string, miles double")
+    q = spark.createDataFrame([(1.0,), (1.0,), (32.0,), (None,)], "q double")  # ratios: 72 miles a day, and four times that
+    ask = lambda d: {r.up: list(r.lags) for r in lags.adaptive_lags(pairs, d).collect()}
+    assert ask(q) == {"a": [1, 2, 5, 9], "c": [1, 2, 3]}  # quantiles 0.8, 1.25, 2, 2, 2 days; 5 and 9 after the median
+    assert ask(q.limit(0)) == {"a": [1, 2, 3, 5, 9], "c": [1, 2, 3]}  # 1.4, 2 and 3.3 days
