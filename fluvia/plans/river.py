@@ -185,9 +185,9 @@ def station_river(spark):
 
 
 def mile_forecast(spark, d):
-    """The first nine days of readings taken as forecasts, at every seventh mile; gauges 2 and 9 give discharge."""
+    """Each day's readings taken as the forecast of that many days ahead, at every seventh mile; gauges 2 and 9 give discharge."""
     first = grid(spark, d).agg(F.min("ts").alias("a"))
-    rows = daily(spark, d).crossJoin(F.broadcast(first)).withColumn("horizon", (F.datediff("ts", "a") + 1).cast("bigint")).where("horizon <= 9")
+    rows = daily(spark, d).crossJoin(F.broadcast(first)).withColumn("horizon", (F.datediff("ts", "a") + 1).cast("bigint"))
     made = rows.select("station_id", "horizon", F.col("value").alias("pred"), (F.col("value") - 1).alias("lo"), (F.col("value") + 1).alias("hi"), F.when(F.col("station_id").isin("2", "9"), "discharge").otherwise("stage").alias("variable"))
     return tidy(forecast.at_mile(made, station_river(spark), spark.range(45).select((F.col("id") * 7.0).alias("mile"))))
 
@@ -410,7 +410,7 @@ SQL = {
     "forecast_at_mile": sql(
         "grid stations",
         "SELECT horizon, mile, " + ", ".join(r(f"CASE WHEN lo IS NULL THEN hi.{p} WHEN hi IS NULL OR lo.m = hi.m THEN lo.{p} ELSE lo.{p} * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.{p} * (mile - lo.m) / (hi.m - lo.m) END", f"stage_{n}") for p, n in (("p", "pred"), ("l", "lo"), ("h", "hi"))) + ", " + ", ".join(r(f"d.{p}", f"discharge_{n}") for p, n in (("p", "pred"), ("l", "lo"), ("h", "hi"))) + " FROM b",
-        f="SELECT CAST(date_diff('day', (SELECT min(ts) FROM grid), ts) + 1 AS BIGINT) AS horizon, station_id, river_mile AS m, value AS p, value - 1 AS l, value + 1 AS h FROM daily JOIN stations USING (station_id) WHERE ts < (SELECT min(ts) FROM grid) + INTERVAL 9 DAY",
+        f="SELECT CAST(date_diff('day', (SELECT min(ts) FROM grid), ts) + 1 AS BIGINT) AS horizon, station_id, river_mile AS m, value AS p, value - 1 AS l, value + 1 AS h FROM daily JOIN stations USING (station_id)",
         b="SELECT horizon, mile, max({'m': m, 'p': p, 'l': l, 'h': h}) FILTER (m <= mile AND station_id NOT IN ('2', '9', '13')) AS lo, min({'m': m, 'p': p, 'l': l, 'h': h}) FILTER (m >= mile AND station_id NOT IN ('2', '9', '13')) AS hi, min({'m': m, 'p': p, 'l': l, 'h': h}) FILTER (abs(m - mile) < 20 AND station_id IN ('2', '9')) AS d FROM f CROSS JOIN (SELECT CAST(i * 7 AS DOUBLE) AS mile FROM range(45) t(i)) GROUP BY 1, 2",
     ),
     "envelope_profile": sql(
