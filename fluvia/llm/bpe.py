@@ -155,7 +155,8 @@ class ChunkEncoder:
 def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, keep: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep``, ids and the decoded text.
 
-    Null and empty texts have no tokens. Repeated rows give repeated results; other columns are ignored.
+    Null and empty texts have no tokens. Repeated rows give repeated results, null ids stay, other columns are ignored, an
+    empty table gives no rows.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
 

@@ -14,7 +14,7 @@ import numpy as np
 
 
 class Types:
-    """Numbers token types and holds their hashed features; the oldest go when ``most`` is reached."""
+    """Numbers token types and holds their hashed features; whoever keeps one clears it when it holds over ``most`` (memory only: types are numbered afresh)."""
 
     def __init__(self, features: Callable[[str], list[int]], breaks: str = "", most: int = 200_000):
         self.features, self.most, self.breaks = features, most, breaks
