@@ -108,7 +108,7 @@ def scoring_row_at(rows: DataFrame, instant: Column) -> DataFrame:
 def make_regressor(kind: str = "boosted", **settings):
     """The learner of that kind; an unknown kind falls back to a single tree. Settings: trees, depth, rate, seed."""
     trees, depth, rate, seed = (settings.get(k, v) for k, v in (("trees", 20), ("depth", 5), ("rate", 0.1), ("seed", 1)))
-    common = {"featuresCol": "features", "labelCol": "target", "maxDepth": depth, "minInstancesPerNode": 20, "seed": seed}
+    common = {"featuresCol": "features", "labelCol": "target", "maxDepth": depth, "minInstancesPerNode": 20, "seed": seed, "maxMemoryInMB": 1024}
     if kind == "boosted":  # stops early once the held-out error no longer falls
         return GBTRegressor(maxIter=trees, stepSize=rate, subsamplingRate=0.8, validationIndicatorCol="_held", validationTol=0.001, **common)
     if kind == "forest":
@@ -161,9 +161,10 @@ def fit(rows: DataFrame, names: list[str], kind: str = "boosted", weight: str |
 
     Features that no training row has are left out, as those of neighbours at a river's ends.
     """
-    seen = rows.where("is_train").agg(*(F.count(n).alias(n) for n in names)).first()
+    kept = rows.withColumn("_held", ~F.col("is_train")).persist()
+    seen = kept.where("is_train").agg(*(F.count(n).alias(n) for n in names)).first()
     names = [n for n in names if seen[n]]
-    live = _flags(rows, names).withColumn("_held", ~F.col("is_train")).persist()
+    live = _flags(kept, names)
     train = live.where("is_train")
     imputer = Imputer(strategy="median", inputCols=names, outputCols=[f"{n}_i" for n in names], relativeError=0.001).fit(train)
     learner = make_regressor(kind, **settings)
@@ -173,7 +174,7 @@ def fit(rows: DataFrame, names: list[str], kind: str = "boosted", weight: str |
     model = learner.fit(known)
     held = model.transform(_vectors(imputer.transform(live.where("_held")), names))
     mae = held.agg(F.avg(F.abs(F.col("prediction") - F.col("target")))).first()[0]
-    live.unpersist()
+    kept.unpersist()
     return Regressor(names, imputer, model, mae or 0.0)
 
 
@@ -228,9 +229,11 @@ def recursive(grid: DataFrame, days: int = 7, keep_days: int = 60, network: Netw
 def by_tier(grid: DataFrame, stations: DataFrame, horizon: int = 1, least: int = 60, half_life: float = 365.0, network: Network | None = None, **settings) -> dict[int, Regressor]:
     """One regressor a tier of stations, lowest tier first, recent rows weighing more; tiers under ``least`` training rows are left out."""
     rows, names = features(grid, network)
-    known = decay_weights(training_set(rows, names, horizon), half_life).join(F.broadcast(stations.select(KEY, "tier")), KEY)
+    known = decay_weights(training_set(rows, names, horizon), half_life).join(F.broadcast(stations.select(KEY, "tier")), KEY).persist()
     sizes = {r["tier"]: r["count"] for r in known.where("is_train").groupBy("tier").count().collect()}  # a row a tier
-    return {t: fit(known.where(F.col("tier") == t), names, weight="weight", **settings) for t in sorted(sizes) if sizes[t] >= least}
+    models = {t: fit(known.where(F.col("tier") == t), names, weight="weight", **settings) for t in sorted(sizes) if sizes[t] >= least}
+    known.unpersist()
+    return models
 
 
 def tiered(grid: DataFrame, stations: DataFrame, models: dict[int, Regressor], horizon: int = 1, network: Network | None = None) -> DataFrame:
