@@ -70,12 +70,18 @@ def xml_series(rows: DataFrame, column: str = "body", low: float = -50.0, high:
 def read_xml(spark: SparkSession, path: str, element: str = "value") -> DataFrame:
     """(ts, value) of the elements with a dateTime attribute, by Spark's XML reader; attributes and text that don't parse become null or go.
 
-    A text that is no XML, or has no such element, gives no rows here; ``spark.read.text`` keeps it raw.
+    A text that is no XML, or has no such element, gives no rows here.
     """
     rows = spark.read.format("xml").option("rowTag", element).option("ignoreNamespace", True).schema("_dateTime string, _VALUE string").load(path)
     return rows.select(local_time("_dateTime").alias("ts"), F.expr("try_cast(trim(_VALUE) AS double)").alias("value")).where("ts IS NOT NULL")
 
 
+def read_xml_or_text(spark: SparkSession, path: str) -> DataFrame:
+    """The readings of an XML answer, or its raw lines (value string) where it has none: other methods' answers and errors."""
+    rows = read_xml(spark, path)
+    return spark.read.text(path) if rows.isEmpty() else rows
+
+
 def latitude(column: str):
     return F.expr(f"try_cast(regexp_extract({column}, '(?i)<latitude>([^<]+)</latitude>', 1) AS double)")
 

@@ -1,6 +1,7 @@
 """Sources from text and sinks: every written form is read back."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from fluvia.functions import scalars
+from fluvia.operators import network
 from fluvia.sources import formats, scratch, store
 
 DAY0 = dt.datetime(2020, 1, 1)
@@ -133,6 +135,8 @@ def test_xml_by_spark_and_site_descriptions(spark, tmp_path):
     assert rows(formats.read_xml(spark, str(tmp_path / "a.xml")), "ts", "value") == [(DAY0, 1.5), (day(1), None)]
     (tmp_path / "b.xml").write_text("plain words, no markup")
     assert formats.read_xml(spark, str(tmp_path / "b.xml")).count() == 0
+    assert formats.read_xml_or_text(spark, str(tmp_path / "a.xml")).columns == ["ts", "value"]
+    assert [r.value for r in formats.read_xml_or_text(spark, str(tmp_path / "b.xml")).collect()] == ["plain words, no markup"]
     sites = spark.createDataFrame([("1", "<s><Latitude>30.5</Latitude><longitude>-90.25</longitude></s>"), ("2", "<latitude>x</latitude><longitude>1</longitude>"), ("3", "")], "station_id string, body string")
     assert rows(formats.locations(sites), "station_id", "lat", "lon") == [("1", 30.5, -90.25)]
 
@@ -164,3 +168,10 @@ def test_scratch_tables_go_when_the_block_ends(spark):
     with pytest.raises(Exception, match="(?i)not.?exist|FAILED_READ"):
         gone.selectExpr("sum(id)").collect()
     scratch.discard(kept)
+
+
+def test_names_keys_and_prefixes(spark):
+    row = spark.createDataFrame([("a b/1", "x", "y")], "n string, p string, q string").select(scalars.safe_name(F.col("n")).alias("n"), scalars.cache_key(F.col("p"), F.col("q")).alias("k")).first()
+    assert (row.n, row.k) == ("a_b_1", hashlib.md5(b"x|y").hexdigest())
+    ids = spark.createDataFrame([("07374000", "0737", 2), ("07374000", "07374", 1), ("99", "07", 0)], "id string, prefix string, ord int")
+    assert rows(network.first_match(ids, F.col("id"), F.col("prefix"), F.col("ord"), ["id"]), "id", "matched") == [("07374000", "07374")]
