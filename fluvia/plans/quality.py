@@ -217,6 +217,21 @@ SQL = {
     "spike_lagged_sigma": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('previous', 'previous')}, {r('change', 'change')}, {r('sigma', 'sigma')} FROM ({_SPIKE.format(a='28 PRECEDING', b='1 PRECEDING')})"),
     "datum_drift": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)', 'shift')}, {r('any_value(sigma)', 'sigma')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
     "network_consistency": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('arg_max(predicted, ts)', 'predicted')}, {r('(arg_max(residual, ts) - avg(residual)) / any_value(sigma)', 'z')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 5", **_PRED, tail=_TAIL, **_sigma_of_tail("TRUE")),
+    "anomaly_report": sql(
+        "daily",
+        "SELECT flag_type, severity, count(*) AS n FROM found GROUP BY 1, 2",
+        **_PRED,
+        tail=_TAIL,
+        **_sigma_of_tail("TRUE"),
+        lm2=_sigma_of_tail("back > 14")["lm"],
+        ls2=_sigma_of_tail("back > 14")["ls"].replace("JOIN lm ", "JOIN lm2 "),
+        fl="SELECT station_id, ts, floor(value / 60) * 60.0 AS value FROM daily",
+        t="SELECT station_id, value, row_number() OVER (PARTITION BY station_id ORDER BY ts DESC) AS back FROM fl QUALIFY back <= 10",
+        found="SELECT 'flatline' AS flag_type, 'warning' AS severity FROM (SELECT station_id, coalesce(min(back) FILTER (value <> v) - 1, count(*)) AS n FROM (SELECT *, first_value(value) OVER (PARTITION BY station_id ORDER BY back) AS v FROM t) GROUP BY 1) WHERE n >= 5"
+        + f" UNION ALL SELECT 'spike', 'critical' FROM ({_SPIKE.format(a='27 PRECEDING', b='CURRENT ROW').replace('FROM daily', 'FROM fl')}) WHERE sigma > 0 AND change > 5 * sigma"
+        + " UNION ALL SELECT 'outlier', CASE WHEN abs(z) > 5 THEN 'critical' ELSE 'warning' END FROM (SELECT station_id, (arg_max(residual, ts) - avg(residual)) / any_value(sigma) AS z FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 5) WHERE abs(z) > 3"
+        + " UNION ALL SELECT 'datum_drift', 'warning' FROM (SELECT station_id, avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14) AS shift, any_value(sigma) AS sigma FROM tail JOIN ls2 USING (station_id) GROUP BY 1 HAVING count(*) >= 28) WHERE abs(shift) > 2 * sigma",
+    ),
     "stale_gapfill": sql(
         "grid",
         "SELECT station_id, CAST(any_value(lv) AS DATE) AS last_valid, CAST(count(*) FILTER (lv IS NULL OR ts > lv) AS BIGINT) AS n_missing, count(*) FILTER (lv IS NULL OR ts > lv) > 14 AS is_stale FROM (SELECT *, max(ts) FILTER (value IS NOT NULL) OVER (PARTITION BY station_id) AS lv FROM g) GROUP BY 1",

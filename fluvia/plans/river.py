@@ -9,7 +9,7 @@ from ..operators import features, forecast, lags, network, profile, stats
 from ..sources import tables
 from ..sources.tables import DATUM_ROWS
 from .base import W, daily, discharge, grid, main_q, r, sql, tide, tidy
-from .series import _ENV2, _guard
+from .series import _ENV2, _guard, sigma_of
 
 DAY = "CAST(ts AS DATE) AS day"
 HOT = "timestamp_ntz'1999-01-01'"
@@ -275,6 +275,35 @@ _RASTER = "SELECT i AS point_id, CAST(i * 9 + 5 AS INT) AS row, CAST(i * 7 % 60
 _CONTROLS = _DATES | {"near": _near("daily", "stations"), "ctl": "SELECT t0, river_mile, m.value AS v FROM near"}
 _NEIGHBOURS = "SELECT station_id, lag(station_id) OVER (ORDER BY river_mile DESC) AS up, lead(station_id) OVER (ORDER BY river_mile DESC) AS dn FROM stations"
 
+_XC = {
+    "m": "SELECT up, dn, a.ts, a.value AS a, b.value AS b FROM pairs JOIN daily a ON a.station_id = up JOIN daily b ON b.station_id = dn AND b.ts = a.ts",
+    "f": "SELECT up, dn, ts, coalesce(a - CASE WHEN count(a) OVER w >= 30 THEN avg(a) OVER w END, 0.0) AS x, coalesce(b - CASE WHEN count(b) OVER w >= 30 THEN avg(b) OVER w END, 0.0) AS y FROM m WINDOW w AS (PARTITION BY up, dn ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING)",
+    "g": "SELECT up, dn, y, " + ", ".join(f"lag(x, {k}) OVER w AS x{k}" for k in range(22)) + " FROM f WINDOW w AS (PARTITION BY up, dn ORDER BY ts)",
+    "c": "SELECT up, dn, count(*) AS n, [" + ", ".join(f"{{'r': corr(x{k}, y), 'lag': {k}}}" for k in range(22)) + "] AS rs FROM g GROUP BY 1, 2",
+    "best": "SELECT up, dn, n, list_sort(list_transform(list_filter(rs, lambda z: z.r IS NOT NULL AND NOT isnan(z.r)), lambda z: {'k': -round(z.r, 9), 'lag': z.lag, 'r': z.r}))[1] AS b FROM c",
+    "xc": "SELECT up, dn, CAST(CASE WHEN n >= 90 THEN coalesce(b.lag, 0) ELSE 0 END AS BIGINT) AS lag_days, CASE WHEN n >= 90 THEN b.r END AS r FROM pairs LEFT JOIN best USING (up, dn)",
+}
+
+
+def _matched(needs: str, discharge_: str) -> str:
+    """Extrema of both stations walked through in order, one upstream event a step; medians overall and by quartile of the events' discharge."""
+    body = """SELECT up, dn, 'overall' AS bin, CAST(coalesce(round_even(med, 0), lag_days) AS BIGINT) AS lag_days FROM xc LEFT JOIN al USING (up, dn)
+        UNION ALL SELECT up, dn, bin, CAST(coalesce(round_even(bm, 0), lag_days) AS BIGINT) FROM xc CROSS JOIN (VALUES ('low'), ('medium_low'), ('medium_high'), ('high')) v(bin) LEFT JOIN bn USING (up, dn, bin)"""
+    parts = _XC | sigma_of("daily") | {
+        "e": f"""SELECT station_id, ts, value, count(*) OVER l AS nl, count(*) OVER r AS nr, greatest(max(value) OVER l, max(value) OVER r) AS above, least(min(value) OVER l, min(value) OVER r) AS below, max(value) OVER a - min(value) OVER a AS rng
+            FROM daily WINDOW l AS ({W} ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), r AS ({W} ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING), a AS ({W} ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)""",
+        "ev": "SELECT station_id, d, row_number() OVER (PARTITION BY station_id ORDER BY d) AS i, count(*) OVER (PARTITION BY station_id) AS n FROM (SELECT station_id, date_diff('day', TIMESTAMP '1970-01-01', ts) AS d FROM e JOIN sig USING (station_id) WHERE nl = 15 AND nr = 15 AND rng >= greatest(0.4 * sigma, 0.01) AND (value > above OR value < below))",
+        "walk": """SELECT up, dn, CAST(0 AS BIGINT) AS i, CAST(-999999 AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS day, CAST(NULL AS BIGINT) AS lag FROM pairs WHERE up IN (SELECT station_id FROM ev WHERE n >= 5) AND dn IN (SELECT station_id FROM ev WHERE n >= 5)
+            UNION ALL SELECT up, dn, i + 1, coalesce(hit, taken), CASE WHEN hit IS NOT NULL THEN u END, hit - u FROM (SELECT w.up, w.dn, w.i, w.taken, any_value(o.d) AS u, min(x.d) AS hit FROM walk w JOIN ev o ON o.station_id = w.up AND o.i = w.i + 1 LEFT JOIN ev x ON x.station_id = w.dn AND x.d >= o.d AND x.d <= o.d + 21 AND x.d > w.taken GROUP BY w.up, w.dn, w.i, w.taken)""",
+        "al": "SELECT up, dn, quantile_cont(lag, 0.5) AS med FROM walk WHERE lag IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5",
+        "dq": discharge_,
+        "dated": "SELECT up, dn, day, any_value(lag) AS lag, avg(q) AS q FROM walk JOIN al USING (up, dn) JOIN dq ON date_diff('day', TIMESTAMP '1970-01-01', dq.ts) BETWEEN day - 1 AND day + 1 WHERE lag IS NOT NULL GROUP BY 1, 2, 3",
+        "ct": "SELECT up, dn, quantile_cont(q, [0.0, 0.25, 0.5, 0.75, 1.0]) AS c FROM dated GROUP BY 1, 2 HAVING count(*) >= 8",
+        "bn": "SELECT up, dn, ['low', 'medium_low', 'medium_high', 'high'][k] AS bin, quantile_cont(lag, 0.5) AS bm FROM dated JOIN ct USING (up, dn) CROSS JOIN range(1, 5) t(k) WHERE q BETWEEN c[k] AND c[k + 1] GROUP BY 1, 2, 3 HAVING count(*) >= 3",
+    }
+    return sql(needs, body, **parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _FULL = _CONTROLS | {
     "pb": "SELECT t0, l.mile, max({'m': river_mile, 'v': v}) FILTER (river_mile <= l.mile) AS lo, min({'m': river_mile, 'v': v}) FILTER (river_mile >= l.mile) AS hi FROM ctl CROSS JOIN line l GROUP BY 1, 2",
     "ws": "SELECT t0, mile, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL OR lo.m = hi.m THEN lo.v ELSE lo.v * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.v * (mile - lo.m) / (hi.m - lo.m) END AS water_surface_ft FROM pb",
@@ -323,15 +352,9 @@ SQL = {
         "SELECT up, dn, array_to_string(list_sort(list_distinct(list_concat(d, [d[3] + 3, d[3] + 7]))), ',') AS lags FROM (SELECT up, dn, list_transform(c, lambda x: CAST(greatest(1, round_even(miles * x, 0)) AS BIGINT)) AS d FROM pairs CROSS JOIN cuts)",
         cuts="SELECT quantile_cont(1 / (15.0 * power(greatest(q, 0.05) / 250000.0, 0.4)), [0.1, 0.25, 0.5, 0.75, 0.9]) AS c FROM q0",
     ),
-    "xcorr_lag": sql(
-        "daily pairs",
-        f"SELECT up, dn, CAST(CASE WHEN n >= 90 THEN coalesce(b.lag, 0) ELSE 0 END AS BIGINT) AS lag_days, {r('CASE WHEN n >= 90 THEN b.r END', 'r')} FROM pairs LEFT JOIN best USING (up, dn)",
-        m="SELECT up, dn, a.ts, a.value AS a, b.value AS b FROM pairs JOIN daily a ON a.station_id = up JOIN daily b ON b.station_id = dn AND b.ts = a.ts",
-        f="SELECT up, dn, ts, coalesce(a - CASE WHEN count(a) OVER w >= 30 THEN avg(a) OVER w END, 0.0) AS x, coalesce(b - CASE WHEN count(b) OVER w >= 30 THEN avg(b) OVER w END, 0.0) AS y FROM m WINDOW w AS (PARTITION BY up, dn ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING)",
-        g="SELECT up, dn, y, " + ", ".join(f"lag(x, {k}) OVER w AS x{k}" for k in range(22)) + " FROM f WINDOW w AS (PARTITION BY up, dn ORDER BY ts)",
-        c="SELECT up, dn, count(*) AS n, [" + ", ".join(f"{{'r': corr(x{k}, y), 'lag': {k}}}" for k in range(22)) + "] AS rs FROM g GROUP BY 1, 2",
-        best="SELECT up, dn, n, list_sort(list_transform(list_filter(rs, lambda z: z.r IS NOT NULL AND NOT isnan(z.r)), lambda z: {'k': -round(z.r, 9), 'lag': z.lag, 'r': z.r}))[1] AS b FROM c",
-    ),
+    "xcorr_lag": sql("daily pairs", f"SELECT up, dn, lag_days, {r('r', 'r')} FROM xc", **_XC),
+    "greedy_peak_match": _matched("daily pairs q0", "SELECT ts, q FROM q0"),
+    "network_lags": _matched("daily pairs q", "SELECT ts, value AS q FROM q WHERE station_id = (SELECT station_id FROM q GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"),
     "stage_query_station": sql("grid", f"SELECT {DAY}, {r('value', 'value')} FROM grid WHERE station_id = '5' AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31'"),
     "stage_query_mile": sql("grid", f"SELECT {DAY}, {r('max(value) FILTER (station_id = ' + chr(39) + '4' + chr(39) + ') * 0.75 + max(value) FILTER (station_id = ' + chr(39) + '5' + chr(39) + ') * 0.25', 'value')} FROM grid WHERE station_id IN ('4', '5') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' GROUP BY ts"),
     "profile_interpolate": sql("daily stations", f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('value', 'value')} FROM ({_profile('ctl', 'value')})", **_CONTROLS),
@@ -367,6 +390,14 @@ SQL = {
         ar="SELECT t0, mile, (2200.0 + 2300.0 * mile / 300.0) * greatest(0.4 * value, 0.0) AS a FROM pr",
         sl="SELECT *, coalesce(0.5 * (a + lag(a) OVER w) * (mile - lag(mile) OVER w) * 5280.0 / 43560.0, 0.0) AS s FROM ar WINDOW w AS (PARTITION BY t0 ORDER BY mile)",
     ),
+    "utm_projection": sql(
+        "line",
+        "SELECT mile, round(east, 3) AS easting, round(north, 3) AS northing, CAST(round_even(east / 30, 0) AS BIGINT) AS px_col FROM utm",
+        k="SELECT mile, radians(lat) AS phi, radians(lon + 93.0) AS dl, CAST(0.00669437999014 AS DOUBLE) AS e2, CAST(0.00669437999014 AS DOUBLE) / (1 - 0.00669437999014) AS ep FROM line",
+        tc="SELECT *, 6378137.0 / sqrt(1 - e2 * sin(phi) * sin(phi)) AS n, tan(phi) * tan(phi) AS t, ep * cos(phi) * cos(phi) AS c, dl * cos(phi) AS a FROM k",
+        arc="SELECT *, 6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * phi - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * phi) + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * phi) - 35 * e2 * e2 * e2 / 3072 * sin(6 * phi)) AS m FROM tc",
+        utm="SELECT mile, 0.9996 * n * (a + (1 - t + c) * power(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * power(a, 5) / 120) + 500000.0 AS east, 0.9996 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * power(a, 6) / 720)) AS north FROM arc",
+    ),
     "river_bearing": sql("line", f"SELECT mile, {r(_BEAR_DEG, 'bearing_deg')} FROM ({_BEAR})"),
     "reach_length": sql("line", f"SELECT mile, {r('2 * 3958.8 * asin(sqrt(power(sin(radians(lat - pl) / 2), 2) + cos(radians(pl)) * cos(radians(lat)) * power(sin(radians(lon - po) / 2), 2)))', 'reach_mi')} FROM (SELECT *, lag(lat) OVER (ORDER BY mile) AS pl, lag(lon) OVER (ORDER BY mile) AS po FROM line)"),
     "thalweg": f"WITH c AS ({_CELLS}), p AS ({_RASTER}) SELECT point_id, {r('quantile_cont(elev_ft, 0.05)', 'bed_elev_ft')} FROM p LEFT JOIN c ON abs(p.row - c.row) <= 15 AND abs(p.col - c.col) <= 15 GROUP BY 1",
