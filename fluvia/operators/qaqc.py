@@ -43,8 +43,8 @@ def iterate(grid: DataFrame, predict: Predictor, z: float = 3.5, rounds: int = 4
     corrected is the prediction where flagged or missing. Each round is a written table, so lineage stays short.
     """
     none = F.lit(None).cast("double")
-    rows = grid.select(KEY, "ts", "value").withColumns({"excluded": F.lit(False), "predicted": none, "sigma": none, "is_outlier": F.lit(False), "active": F.lit(True)})
-    before = None
+    start = grid.select(KEY, "ts", "value").withColumns({"excluded": F.lit(False), "predicted": none, "sigma": none, "is_outlier": F.lit(False), "active": F.lit(True)})
+    before = rows = written(start, "round")  # each round reads it several times
     for _ in range(rounds):
         ready = rows.groupBy(KEY).agg((F.first("active") & (F.count_if(F.col("value").isNotNull() & ~F.col("excluded")) >= least)).alias("ready"))
         known = rows.join(F.broadcast(ready), KEY).withColumn("training", F.col("value").isNotNull() & ~F.col("excluded"))
@@ -60,8 +60,7 @@ def iterate(grid: DataFrame, predict: Predictor, z: float = 3.5, rounds: int = 4
         nxt = seen.join(F.broadcast(news), KEY).select(KEY, "ts", "value", (F.col("excluded") | F.col("_new")).alias("excluded"), "predicted", "sigma", "is_outlier", F.col("_active").alias("active"))
         rows = written(nxt, "round")
         discard(guess)
-        if before is not None:
-            discard(before)
+        discard(before)
         before = rows
         if rows.where("active").isEmpty():
             break
