@@ -16,6 +16,7 @@ from .pii import op7_pii
 from .html import op8_html
 from .ann import op2_ann
 from .packing import op10_packing
+from .dialogue import op11_dialogue
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,4 +31,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
+        "op11_dialogue": op11_dialogue,
     }

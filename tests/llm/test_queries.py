@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_html": "page_id bigint, url string, text string, n_chars bigint",
     "op9_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op10_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op11_dialogue": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
@@ -31,8 +32,9 @@ def test_contract(spark, name):
     want = [tuple(c.split()) for c in COLUMNS[name].split(", ")]
     assert out.dtypes[: len(want)] == want
     rows = out.collect()
-    table = {"op8_html": "pages", "op2_ann": "embeddings"}.get(name, "documents")
-    n = spark.read.parquet(os.path.join(SF, f"{table}.parquet")).count()
+    table = {"op8_html": "pages", "op2_ann": "embeddings", "op11_dialogue": "conversations"}.get(name, "documents")
+    read = spark.read.parquet(os.path.join(SF, f"{table}.parquet"))
+    n = read.select("conv_id").distinct().count() if table == "conversations" else read.count()
     if name == "op2_ann":
         assert sorted((r.query_id, r["rank"]) for r in rows) == sorted({(r.query_id, k) for r in rows for k in range(1, 11)})
         assert all(r.query_id % 100 == 0 and r.vec_id != r.query_id for r in rows)
