@@ -16,7 +16,10 @@ from .pii import op7_pii
 from .html import op8_html
 from .ann import op2_ann
 from .packing import op10_packing
+from .collocation import op13_collocations
+from .collocation import SQL as COLLOCATIONS
 from .dialogue import op11_dialogue
+from .pieces import op12_pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,4 +35,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
         "op11_dialogue": op11_dialogue,
+        "op12_pieces": op12_pieces,
+        "op13_collocations": op13_collocations,
     }
+
+
+def sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that SQL can express."""
+    return {"op13_collocations": COLLOCATIONS}

@@ -19,6 +19,8 @@ COLUMNS = {
     "op9_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op10_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op11_dialogue": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op12_pieces": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
 
 
@@ -38,6 +40,8 @@ def test_contract(spark, name):
     if name == "op2_ann":
         assert sorted((r.query_id, r["rank"]) for r in rows) == sorted({(r.query_id, k) for r in rows for k in range(1, 11)})
         assert all(r.query_id % 100 == 0 and r.vec_id != r.query_id for r in rows)
+    elif name == "op13_collocations":
+        assert sorted((r.lang, r["rank"]) for r in rows) == sorted((x, k) for x in {r.lang for r in rows} for k in range(1, sum(r.lang == x for r in rows) + 1))
     elif name == "op10_packing":
         assert len({r.doc_id for r in rows}) == n
     else:
