@@ -72,21 +72,21 @@ def consistency(rows: DataFrame, warn: float = 3.0, critical: float = 5.0) -> Da
 
 
 def drift_shifts(rows: DataFrame, n: int = 14, days: int = 60, floor: float = 0.25) -> DataFrame:
-    """(station_id, ts, value, shift, sigma): mean residual of the last n rows less that of the earlier ones of the last ``days`` days; 2n rows at least.
+    """(station_id, ts, value, shift, sigma): value is the mean residual of the last n rows, shift it less that of the earlier ones of the last ``days`` days; 2n rows at least.
 
     sigma is that of the earlier residuals alone, so that a shift doesn't dull its own test.
     """
     last = _residuals(rows, days)
     sigma = robust_sigma(last.where(F.col("back") > n), floor, column="residual").select(KEY, "sigma")
     mean = lambda c: F.avg(F.when(c, F.col("residual")))
-    both = last.groupBy(KEY).agg(F.count("*").alias("_n"), (mean(F.col("back") <= n) - mean(F.col("back") > n)).alias("shift"), F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+    both = last.groupBy(KEY).agg(F.count("*").alias("_n"), (mean(F.col("back") <= n) - mean(F.col("back") > n)).alias("shift"), F.max("ts").alias("ts"), mean(F.col("back") <= n).alias("value"))
     return both.where(F.col("_n") >= 2 * n).join(sigma, KEY).select(KEY, "ts", "value", "shift", "sigma")
 
 
 def drift(rows: DataFrame, times: float = 2.0) -> DataFrame:
-    """Stations whose residuals have moved by more than ``times`` sigmas; the message gives the shift in sigmas."""
+    """Stations whose residuals have moved by more than ``times`` sigmas; value is the mean of the last ones, expected 0, and the message gives the shift in sigmas."""
     hit = drift_shifts(rows).where(F.abs("shift") > times * F.col("sigma"))
-    return _anomaly(hit, "datum_drift", F.lit("warning"), F.concat(F.lit("shifted by "), F.round(F.col("shift") / F.col("sigma"), 2).cast("string"), F.lit(" sigma")), F.col("value") - F.col("shift"))
+    return _anomaly(hit, "datum_drift", F.lit("warning"), F.concat(F.lit("shifted by "), F.round(F.col("shift") / F.col("sigma"), 2).cast("string"), F.lit(" sigma")), F.lit(0.0))
 
 
 def detect(raw: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, harmonics
-from .align import KEY, blocks, by_time, own
+from ..sources.scratch import discard, written
+from .align import KEY, blocks, by_time, numbered, own
+from .boosting import Boosted, Settings
+from .boosting import fit as fit_all
+from .quantile import median, slim
 from .windows import decay_weights, over_last, split_by_place
 
 LAGS = (1, 2, 3, 5, 7, 14, 21, 28)
@@ -178,77 +182,105 @@ def fit(rows: DataFrame, names: list[str], kind: str = "boosted", weight: str |
     return Regressor(names, imputer, model, mae or 0.0)
 
 
-def direct(grid: DataFrame, horizons=HORIZONS, most_null: float = 0.3, network: Network | None = None, **settings) -> DataFrame:
-    """(station_id, origin, horizon, pred, lo, hi): one model a horizon over all stations; the band is the held-out error.
+def gauge_targets(rows: DataFrame, names: list[str], horizons, steps_per_day: int = 1, share: float = 0.3, most_null: float = 1.0, least: int = 0) -> DataFrame:
+    """rows with target_<h> and part_<h> for each horizon: 1 in the first 80 % of a station's rows with that target, 0 in the others.
 
-    A horizon with over ``most_null`` null targets is skipped.
+    Rows with ``share`` of their features or less have no part, nor has a station where over ``most_null`` of the readings lack the
+    target or under ``least`` rows train. A missing target leaves its row out.
     """
-    rows, names = features(grid, network)
-    rows, out = rows.persist(), None  # every horizon fits on them
-    latest = scoring_rows(rows)
-    latest = grid.sparkSession.createDataFrame(latest.collect(), latest.schema)  # one row a station
-    total = rows.where("value IS NOT NULL").count()
+    present = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+    reach = max(horizons) * steps_per_day
+    cut, keys = blocks(rows, 0, reach, 86400 // steps_per_day)
+    w = by_time(keys)
+    ahead = own(cut.withColumns({f"target_{h}": F.lead("value", h * steps_per_day).over(w) for h in horizons}).withColumn("_ok", present > share * len(names)))
+    ahead = written(ahead, "targets")
+    each = F.array(*(F.when(F.col(f"target_{h}").isNotNull() & F.col("_ok"), F.lit(h)) for h in horizons))
+    known = ahead.select(KEY, "ts", F.explode(F.array_compact(each)).alias("_h"))
+    sizes = known.groupBy(KEY, "_h").agg(F.count("*").alias("_n"))
+    placed = numbered(known, (KEY, "_h"), 86400 // steps_per_day).join(F.broadcast(sizes), [KEY, "_h"])  # a row a station and horizon
+    first_held = placed.groupBy(KEY, "_h").agg(F.first("_n").alias("_n"), F.min(F.when(F.col("_i") >= F.floor(F.col("_n") * 0.8), F.col("ts"))).alias("_from"))
+    total = ahead.groupBy(KEY).agg(F.count("value").alias("_total"), *(F.count(F.when(F.col("value").isNotNull(), F.col(f"target_{h}"))).alias(f"_t{h}") for h in horizons))
+    pick = lambda h, c: F.max(F.when(F.col("_h") == h, F.col(c)))
+    ends = first_held.groupBy(KEY).agg(*(pick(h, c).alias(f"{c}{h}") for h in horizons for c in ("_from", "_n")))
+    out = ahead.join(F.broadcast(total.join(ends, KEY)), KEY)
+    part = {}
     for h in horizons:
-        known = training_set(rows, names, h)
-        if known.where("value IS NOT NULL").count() < (1 - most_null) * total:
-            continue
-        r = fit(known, names, **settings)
-        one = r.predict(latest).select(KEY, F.col("ts").alias("origin"), F.lit(h).alias("horizon"), "pred", (F.col("pred") - r.mae).alias("lo"), (F.col("pred") + r.mae).alias("hi"))
-        out = one if out is None else out.unionByName(one)
-    rows.unpersist()
-    return out
+        enough = (F.col(f"_t{h}") >= (1 - most_null) * F.col("_total")) & (F.floor(F.col(f"_n{h}") * 0.8) >= least)
+        trains = F.col(f"_from{h}").isNull() | (F.col("ts") < F.col(f"_from{h}"))
+        part[f"part_{h}"] = F.when(F.col("_ok") & F.col(f"target_{h}").isNotNull() & enough, trains.cast("int"))
+    return out.withColumns(part).select(*rows.columns, *(f"target_{h}" for h in horizons), *part)
+
+
+def gauge_models(grid: DataFrame, horizons=(1,), network: Network | None = None, most_null: float = 1.0, least: int = 0, half_life: float | None = None, **settings) -> tuple[Boosted, DataFrame]:
+    """A boosted model for every station and horizon, all fitted at once, and the feature rows they read. With ``half_life`` recent rows weigh more."""
+    rows, names = features(grid, network)
+    known = gauge_targets(rows, names, horizons, most_null=most_null, least=least)
+    if half_life is not None:
+        known = decay_weights(known, half_life)
+    known = written(known, "training")
+    weight = "weight" if half_life is not None else None
+    return fit_all(known, names, [f"target_{h}" for h in horizons], [f"part_{h}" for h in horizons], weight, Settings(**settings)), known
+
+
+def _banded(models: Boosted, rows: DataFrame) -> DataFrame:
+    """(station_id, origin, horizon, pred, lo, hi); the band is the model's held-out error."""
+    h = F.substring_index("target", "_", -1).cast("int")
+    return models.predict(rows).select(KEY, F.col("ts").alias("origin"), h.alias("horizon"), "pred", (F.col("pred") - F.col("mae")).alias("lo"), (F.col("pred") + F.col("mae")).alias("hi"))
+
+
+def direct(grid: DataFrame, horizons=HORIZONS, most_null: float = 0.3, network: Network | None = None, **settings) -> DataFrame:
+    """(station_id, origin, horizon, pred, lo, hi): a model for each station and horizon, each from the station's latest row.
+
+    A horizon for which over ``most_null`` of a station's targets are missing is left out there.
+    """
+    models, rows = gauge_models(grid, horizons, network, most_null, **settings)
+    return _banded(models, scoring_rows(rows.select(grid.columns + models.names)))
 
 
 def recursive(grid: DataFrame, days: int = 7, keep_days: int = 60, network: Network | None = None, **settings) -> DataFrame:
-    """(station_id, origin, horizon, pred, lo, hi): a one-day model fed its own results; the band grows with the root of the horizon.
+    """(station_id, origin, horizon, pred, lo, hi): each station's one-day model fed its own results; the band grows with the root of the horizon.
 
     All stations step together: each day's features read the neighbours' forecasts of the days before, and the last known
-    discharge goes on. Only the last ``keep_days`` days go through the loop.
+    discharge goes on. The last ``keep_days`` days and the forecasts so far are a written table, which each day reads and
+    adds to, so no rows pass the driver and the lineage is one day long.
     """
-    rows, names = features(grid, network)
-    r = fit(training_set(rows, names, 1), names, **settings)
+    models, _ = gauge_models(grid, (1,), network, **settings)
     spark, end = grid.sparkSession, grid.where("value IS NOT NULL").agg(F.max("ts")).first()[0]
     if end is None:
         return spark.createDataFrame([], "station_id string, origin timestamp_ntz, horizon int, pred double, lo double, hi double")
-    recent = F.col("ts") > F.lit(end) - F.make_interval(days=F.lit(keep_days))
-    history = grid.where(recent & (F.col("ts") <= F.lit(end))).select(KEY, "ts", "value")
-    history = spark.createDataFrame(history.collect(), history.schema)  # keep_days rows a station
+    recent = (F.col("ts") > F.lit(end) - F.make_interval(days=F.lit(keep_days))) & (F.col("ts") <= F.lit(end))
+    state = written(grid.where(recent).select(KEY, "ts", "value", F.lit(None).cast("double").alias("mae")), "history")
     if network is not None:
-        q = network.composite.where(recent & (F.col("ts") <= F.lit(end))).select("ts", "composite").orderBy("ts").collect()  # keep_days rows
-        later = [(q[-1].ts + timedelta(days=d), q[-1].composite) for d in range(1, days + (end - q[-1].ts).days + 1)] if q else []
-        network = replace(network, composite=spark.createDataFrame([tuple(x) for x in q] + later, "ts timestamp_ntz, composite double"))
-    out: list[tuple] = []
+        q = network.composite.where(recent).select("ts", "composite")
+        last = q.agg(F.max(F.struct("ts", "composite")).alias("x"))  # one row
+        later = last.select(F.explode(F.sequence(F.col("x.ts") + F.expr("interval 1 day"), F.lit(end + timedelta(days=days)), F.expr("interval 1 day"))).alias("ts"), F.col("x.composite").alias("composite"))
+        network = replace(network, composite=written(q.unionByName(later.where("composite IS NOT NULL")), "composite"))
     for h in range(1, days + 1):
         now = F.lit(end + timedelta(days=h - 1))
-        step = r.predict(scoring_row_at(features(history, network)[0], now)).select(KEY, "pred").collect()  # one row a station, and it ends the loop's lineage
-        history = history.unionByName(spark.createDataFrame([(x.station_id, end + timedelta(days=h), x.pred) for x in step], history.schema))
-        out += [(x.station_id, end, h, x.pred, x.pred - r.mae * h**0.5, x.pred + r.mae * h**0.5) for x in step]
-    return spark.createDataFrame(out, "station_id string, origin timestamp_ntz, horizon int, pred double, lo double, hi double")
-
+        rows = scoring_row_at(features(state.select(KEY, "ts", "value"), network)[0], now)
+        step = models.predict(rows).select(KEY, (F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.col("pred").alias("value"), "mae")
+        before, state = state, written(state.unionByName(step), "history")
+        discard(before)
+    horizon = F.datediff("ts", F.lit(end)).cast("int")
+    made = state.where(F.col("ts") > F.lit(end)).withColumn("horizon", horizon).withColumn("_w", F.col("mae") * F.sqrt(horizon))
+    return made.select(KEY, F.lit(end).cast("timestamp_ntz").alias("origin"), "horizon", F.col("value").alias("pred"), (F.col("value") - F.col("_w")).alias("lo"), (F.col("value") + F.col("_w")).alias("hi"))
 
-def by_tier(grid: DataFrame, stations: DataFrame, horizon: int = 1, least: int = 60, half_life: float = 365.0, network: Network | None = None, **settings) -> dict[int, Regressor]:
-    """One regressor a tier of stations, lowest tier first, recent rows weighing more; tiers under ``least`` training rows are left out."""
-    rows, names = features(grid, network)
-    known = decay_weights(training_set(rows, names, horizon), half_life).join(F.broadcast(stations.select(KEY, "tier")), KEY).persist()
-    sizes = {r["tier"]: r["count"] for r in known.where("is_train").groupBy("tier").count().collect()}  # a row a tier
-    models = {t: fit(known.where(F.col("tier") == t), names, weight="weight", **settings) for t in sorted(sizes) if sizes[t] >= least}
-    known.unpersist()
-    return models
 
+def tiered(grid: DataFrame, stations: DataFrame, horizon: int = 1, least: int = 60, half_life: float = 365.0, network: Network | None = None, **settings) -> DataFrame:
+    """(station_id, tier, origin, horizon, pred, lo, hi) of each station's latest row by its own model, recent rows weighing more; in order of tier and then down the river.
 
-def tiered(grid: DataFrame, stations: DataFrame, models: dict[int, Regressor], horizon: int = 1, network: Network | None = None) -> DataFrame:
-    """(station_id, tier, origin, horizon, pred, lo, hi) of each station's latest row by its tier's regressor, in order of tier and then down the river."""
-    latest = scoring_rows(features(grid, network)[0]).join(F.broadcast(stations.select(KEY, "tier", "river_mile")), KEY).persist()
-    out = None
-    for t, r in models.items():
-        one = r.predict(latest.where(F.col("tier") == t)).select(KEY, "tier", "river_mile", F.col("ts").alias("origin"), F.lit(horizon).alias("horizon"), "pred", (F.col("pred") - r.mae).alias("lo"), (F.col("pred") + r.mae).alias("hi"))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy("tier", F.desc("river_mile"), KEY).drop("river_mile") if out is not None else latest.sparkSession.createDataFrame([], "station_id string, tier int, origin timestamp_ntz, horizon int, pred double, lo double, hi double")
+    Stations under ``least`` training rows have no model and no row.
+    """
+    models, rows = gauge_models(grid, (horizon,), network, least=least, half_life=half_life, **settings)
+    made = _banded(models, scoring_rows(rows.select(grid.columns + models.names)))
+    place = stations.select(KEY, "tier", "river_mile")
+    return made.join(F.broadcast(place), KEY).orderBy("tier", F.desc("river_mile"), KEY).select(KEY, "tier", "origin", "horizon", "pred", "lo", "hi")
 
 
 def horizon_errors(residuals: DataFrame, horizons: list[int]) -> DataFrame:
     """(station_id, horizon, error): median absolute residual of the held-out rows times the root of the horizon."""
-    base = residuals.where("NOT is_train").groupBy(KEY).agg(F.percentile(F.abs("residual"), 0.5).alias("_e"))
+    held = slim(residuals.where("NOT is_train").withColumn("_r", F.abs("residual")), (KEY,), "_r")
+    base = median(held, (KEY,), "_r").withColumnRenamed("median", "_e")
     return base.select(KEY, F.explode(F.array(*(F.lit(h).cast("bigint") for h in horizons))).alias("horizon"), "_e").withColumn("error", F.col("_e") * F.sqrt("horizon")).drop("_e")
 
 

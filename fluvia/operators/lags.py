@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import adaptive_speed, half_even
+from ..sources.scratch import written
 from .align import KEY, blocks, own
 from .network import pairs as network_pairs
+from .quantile import select, slim
 from .stats import BINS
 from .windows import detrend, extrema
 
@@ -31,21 +37,43 @@ def xcorr(grid: DataFrame, pairs: DataFrame, most: int = 21, least_rows: int = 9
     return known.select("up", "dn", F.when(F.col("_ok"), F.coalesce("best.lag_days", F.lit(0))).otherwise(0).cast("bigint").alias("lag_days"), F.when(F.col("_ok"), F.col("best.r")).alias("r"))
 
 
-def greedy_match(up: Column, dn: Column, window: int) -> Column:
-    """(day, lag) of upstream extremum days (array, in order): each takes the first unused downstream day from its own to ``window`` later.
+def match_events(events: DataFrame, pairs: DataFrame, window: int = 21, stretch: int = 4096) -> DataFrame:
+    """(up, dn, day, lag): each upstream event (station_id, day) with the earliest downstream event from its day to ``window`` days after that no earlier one took.
 
-    A downstream day counts as used up to the last one taken, so matches never cross.
+    The events of a pair are one line of days, cut where nothing happens for longer than ``window``: no match crosses such a
+    gap, so the segments are walked apart, in order of days, each event once. Gaps are found inside stretches of days whose
+    counts add up. Waiting upstream events are those of the last ``window`` days.
     """
-
-    def free(s: Column, u: Column) -> Column:
-        return F.filter(dn, lambda d: (d >= u) & (d > s["last"]) & (d <= u + window))
-
-    def take(s: Column, u: Column) -> Column:
-        d = F.array_min(free(s, u))
-        return F.when(d.isNotNull(), F.struct(d.alias("last"), F.array_append(s["found"], F.struct(u.alias("day"), (d - u).alias("lag"))).alias("found"))).otherwise(s)
-
-    start = F.struct(F.lit(-(1 << 40)).cast("bigint").alias("last"), F.array().cast("array<struct<day:bigint,lag:bigint>>").alias("found"))
-    return F.aggregate(up, start, take)["found"]
+    up = pairs.select("up", "dn").join(events.toDF("up", "day"), "up").withColumn("side", F.lit(0))
+    dn = pairs.select("up", "dn").join(events.toDF("dn", "day"), "dn").withColumn("side", F.lit(1))
+    cut = up.unionByName(dn).withColumn("_s", F.floor(F.col("day") / stretch))
+    inside, across = Window.partitionBy("up", "dn", "_s").orderBy("day", "side"), Window.partitionBy("up", "dn").orderBy("_s")
+    far = lambda gap: F.when(gap > window, 1).otherwise(0)
+    cut = cut.withColumn("_g", far(F.col("day") - F.lag("day").over(inside))).withColumn("_k", F.sum("_g").over(inside))
+    ends = cut.groupBy("up", "dn", "_s").agg(F.min("day").alias("_a"), F.max("day").alias("_b"), F.sum("_g").alias("_n"))  # a row a stretch
+    ends = ends.withColumn("_j", far(F.col("_a") - F.lag("_b").over(across)) + F.coalesce(F.lag("_n").over(across), F.lit(0)))
+    starts = ends.select("up", "dn", "_s", F.sum("_j").over(across).alias("_from"))
+    parts = cut.join(starts, ["up", "dn", "_s"]).select("up", "dn", (F.col("_from") + F.col("_k")).alias("part"), "day", "side")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting = None, deque()
+        for batch in batches:
+            out: list[tuple] = []
+            for *new, day, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if new != key:
+                    key, waiting = new, deque()
+                if side == 0:
+                    waiting.append(day)
+                    continue
+                while waiting and waiting[0] < day - window:
+                    waiting.popleft()
+                if waiting:
+                    u = waiting.popleft()
+                    out.append((key[0], key[1], u, day - u))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["up", "dn", "day", "lag"])
+
+    return parts.repartition("up", "dn", "part").sortWithinPartitions("up", "dn", "part", "day", "side").mapInArrow(walk, "up string, dn string, day long, lag long")
 
 
 def matched_lags(daily: DataFrame, pairs: DataFrame, q: DataFrame | None = None, window: int = 21, least: int = 5, least_bin: int = 3, least_valid: int = 8) -> DataFrame:
@@ -54,13 +82,13 @@ def matched_lags(daily: DataFrame, pairs: DataFrame, q: DataFrame | None = None,
     Peaks and troughs form one list a station, matched in order within ``window`` days. Under ``least`` extrema on a side or matches, all bins
     take the cross-correlation lag. An event's discharge is the mean within a day of it; with ``least_valid`` events of known discharge
     their quartiles cut bins, closed on both sides; a bin of ``least_bin`` events takes their median, any other the cross-correlation lag.
-    Days are folded into arrays per station: some dozens a year.
+    The readings, the events and the matches are written tables.
     """
-    ext = extrema(daily).withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint"))
-    days = ext.groupBy(KEY).agg(F.array_sort(F.collect_list("day")).alias("days"))
-    sides = pairs.select("up", "dn").join(days.toDF("up", "up_days"), "up").join(days.toDF("dn", "dn_days"), "dn")
-    enough = sides.where((F.size("up_days") >= least) & (F.size("dn_days") >= least))
-    hits = enough.select("up", "dn", F.explode(greedy_match(F.col("up_days"), F.col("dn_days"), window)).alias("m")).select("up", "dn", "m.day", "m.lag")
+    daily = written(daily.where("value IS NOT NULL").select(KEY, "ts", "value"), "readings")
+    events = written(extrema(daily).select(KEY, F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("day")), "events")
+    many = events.groupBy(KEY).count().where(F.col("count") >= least).select(KEY)
+    enough = pairs.select("up", "dn").join(many.toDF("up"), "up", "left_semi").join(many.toDF("dn"), "dn", "left_semi")
+    hits = written(match_events(events, enough, window), "matches")
     overall = hits.groupBy("up", "dn").agg(F.count("*").alias("n"), F.percentile("lag", 0.5).alias("med")).where(F.col("n") >= least)
     base = xcorr(daily, pairs).select("up", "dn", F.col("lag_days").alias("_x")).join(overall, ["up", "dn"], "left")
     out = base.select("up", "dn", F.lit("overall").alias("bin"), F.coalesce(half_even(F.col("med")), F.col("_x")).alias("lag_days"))
@@ -95,9 +123,9 @@ def adaptive_lags(pairs: DataFrame, q: DataFrame, reference: float | None = None
 
     Without any discharge: the travel time at the base speed, at 1.4 and 0.6 of it, and those offsets. Pairs at one place: 1, 2 and 3 days.
     """
-    points = F.array(*(F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)))
     slowness = q.where("q IS NOT NULL").withColumn("_s", 1 / adaptive_speed(F.col("q"), base, reference))
-    rows = pairs.crossJoin(F.broadcast(slowness.agg(F.percentile("_s", points).alias("_c"))))  # one row
+    cuts = select(slim(slowness, (), "_s"), (), "_s", [0.1, 0.25, 0.5, 0.75, 0.9])
+    rows = pairs.crossJoin(F.broadcast(cuts.select(F.col("q").alias("_c"))))  # one row
     times = F.coalesce(F.transform("_c", lambda c: F.col("miles") * c), F.array(*(F.col("miles") / (base * f) for f in (1.4, 1.4, 1.0, 0.6, 0.6))))
     days = F.transform(times, lambda t: F.greatest(F.lit(1), half_even(t)).cast("bigint"))
     lags = F.array_sort(F.array_distinct(F.concat(days, F.array(F.element_at(days, 3) + 3, F.element_at(days, 3) + 7))))

@@ -48,6 +48,38 @@ def asof_nearest(probes: DataFrame, rows: DataFrame, days: int = 7) -> DataFrame
     return best.select(KEY, "at", F.col("m.ts").alias("ts"), F.col("m.value").alias("value"))
 
 
+def nearest_instant(dates: DataFrame, rows: DataFrame, days: int = 7) -> DataFrame:
+    """(at, ts): for each date the nearest instant at which the network has rows, whole days apart at most ``days``; ties take the earlier one.
+
+    The instants of all stations count, with a value or not. Both sides are keyed by buckets as wide as the tolerance.
+    """
+    size = (days + 1) * 86400
+    sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    left = dates.select("at").distinct().withColumn("_b", F.explode(F.array(*(F.floor(sec("at") / size) + k for k in (-1, 0, 1)))))
+    right = rows.select("ts", F.floor(sec("ts") / size).alias("_b")).distinct()
+    apart = sec("ts") - sec("at")
+    near = left.join(right, "_b").where(F.abs(F.floor(apart / 86400)) <= days)
+    return near.groupBy("at").agg(F.min_by("ts", F.struct(F.abs(apart), F.col("ts"))).alias("ts"))
+
+
+def nearest_reading(dates: DataFrame, rows: DataFrame, stretch: int = 1 << 24) -> DataFrame:
+    """(station_id, at, ts, value): for each station and date the nearest row at any distance, null values too; ties take the earlier one.
+
+    A date meets the rows of its own stretch of time (about half a year), and of every other stretch only the first and the
+    last row.
+    """
+    sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    at = dates.select("at").distinct()
+    cut = rows.select(KEY, "ts", "value", F.floor(sec("ts") / stretch).alias("_s"))
+    one = F.struct("ts", "value")
+    ends = cut.groupBy(KEY, "_s").agg(F.array(F.min(one), F.max(one)).alias("_e")).groupBy(KEY).agg(F.flatten(F.collect_list("_e")).alias("_e"))
+    close = lambda x: F.struct(F.abs(sec("at") - F.unix_seconds(x["ts"].cast("timestamp"))).alias("gap"), x["ts"].alias("ts"), x["value"].alias("value"))
+    far = at.crossJoin(ends).select(KEY, "at", F.array_min(F.transform("_e", close)).alias("x"))  # dates meet the station dimension
+    near = at.withColumn("_s", F.floor(sec("at") / stretch)).join(cut, "_s").select(KEY, "at", close(one).alias("x"))
+    best = far.unionByName(near).groupBy(KEY, "at").agg(F.min("x").alias("x"))
+    return best.select(KEY, "at", "x.ts", "x.value")
+
+
 def mean_around(events: DataFrame, q: DataFrame, days: int = 1) -> DataFrame:
     """Mean of q (ts, q) within ``days`` of each event's day."""
     shifted = events.withColumn("_d", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("_t", F.col("ts") + F.make_interval(days=F.col("_d")))
@@ -137,19 +169,22 @@ SOURCES = {"raw": "observed", "corrected": "corrected", "predicted": "predicted"
 def query_stage(rows: DataFrame, stations: DataFrame, target: str, start: str, end: str, offsets: DataFrame | None = None, src: str = "NAVD88", dst: str = "") -> DataFrame:
     """(ts, value) at a station or river mile in the closed interval of days.
 
-    A target that names a station is that station; else it is a mile between the stations around it, null where either is missing;
+    A target that names a station, with or without a mile, is that station; else it is a mile between the stations around it, null where either is missing;
     a mile outside the network takes the nearest station. With ``offsets`` (station_id, src, dst, offset_ft) and another frame ``dst``
     the values are converted by the offset of the station, of two that of the lower one. The filters reach the scan of ``rows``.
     """
     inside = rows.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
-    known = {r.station_id: r.river_mile for r in stations.where("river_mile IS NOT NULL").select(KEY, "river_mile").collect()}  # the dimension
-    if target in known:
+    listed = {r.station_id: r.river_mile for r in stations.select(KEY, "river_mile").collect()}  # the dimension
+    known = {s: m for s, m in listed.items() if m is not None}
+    if target in listed:
         guide, found = target, inside.where(F.col(KEY) == target).select("ts", "value")
     else:
         try:
             mile = float(target)
         except ValueError:
-            raise KeyError(f"{target!r} is neither a mile nor one of the stations {sorted(known)}") from None
+            raise KeyError(f"{target!r} is neither a mile nor one of the stations {sorted(listed)}") from None
+        if not known:
+            raise KeyError(f"no station has a mile to compare {target!r} with")
         below = max(((m, s) for s, m in known.items() if m <= mile), default=None)
         above = min(((m, s) for s, m in known.items() if m >= mile), default=None)
         guide = (below or above)[1]

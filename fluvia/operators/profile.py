@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import FT2_PER_ACRE, FT2_PER_YD2, FT_PER_MILE, bearing, haversine
 from .align import KEY
-from .network import asof_nearest, at_miles
+from .network import at_miles, nearest_instant, nearest_reading
 from .windows import median_smooth
 
 
 def controls(stage: DataFrame, stations: DataFrame, dates: DataFrame, days: int = 7) -> DataFrame:
-    """(at, station_id, river_mile, value): each station's stage nearest to each date, within ``days``."""
-    probes = stations.select(KEY, "river_mile").crossJoin(F.broadcast(dates.select("at")))
-    return asof_nearest(probes.select(KEY, "at"), stage, days).join(F.broadcast(stations.select(KEY, "river_mile")), KEY).select("at", KEY, "river_mile", "value")
+    """(at, station_id, river_mile, value): the stages of the network's instant nearest to each date, within ``days``.
+
+    Stations without a value at that instant are left out, whatever they have on other days.
+    """
+    live = stage.where("value IS NOT NULL").select(KEY, "ts", "value")
+    return nearest_instant(dates, stage, days).join(live, "ts").join(F.broadcast(stations.select(KEY, "river_mile")), KEY).select("at", KEY, "river_mile", "value")
+
+
+def discharge_controls(discharge: DataFrame, gauges: DataFrame, dates: DataFrame) -> DataFrame:
+    """(at, station_id, river_mile, value): each gauge's reading nearest to each date, at any distance; gauges whose reading isn't above 0 are left out."""
+    own = discharge.join(F.broadcast(gauges.select(KEY, "river_mile")), KEY)
+    near = nearest_reading(dates, own).where("value > 0")
+    return near.join(F.broadcast(gauges.select(KEY, "river_mile")), KEY).select("at", KEY, "river_mile", "value")
 
 
 def remove_spikes(rows: pd.DataFrame, most_feet: float = 5.0) -> pd.DataFrame:
@@ -68,10 +78,12 @@ def adjusted(points: DataFrame, text: str) -> DataFrame:
 
 
 def reference_discharge(controls: DataFrame, gauge: str, mile: float = 228.0) -> DataFrame:
-    """(at, ref_id, ref_mile, ref_q): the gauge's own discharge at each date, else that of the gauge nearest to the mile; controls have values above 0 only."""
+    """(at, ref_id, ref_mile, ref_q): the gauge's own discharge at each date, said to be at the mile, else that of the gauge nearest to the mile and that gauge's mile; controls have values above 0 only."""
     live = controls.where("value > 0")
     rank = F.struct((F.col(KEY) != gauge).cast("int"), F.abs(F.col("river_mile") - mile), F.col("river_mile"))
-    return live.groupBy("at").agg(F.min_by(F.struct(KEY, "river_mile", "value"), rank).alias("r")).select("at", F.col("r.station_id").alias("ref_id"), F.col("r.river_mile").alias("ref_mile"), F.col("r.value").alias("ref_q"))
+    return live.groupBy("at").agg(F.min_by(F.struct(KEY, "river_mile", "value"), rank).alias("r")).select(
+        "at", F.col("r.station_id").alias("ref_id"), F.when(F.col("r.station_id") == gauge, F.lit(mile)).otherwise(F.col("r.river_mile")).alias("ref_mile"), F.col("r.value").alias("ref_q")
+    )
 
 
 def full_profile(points: DataFrame, line: DataFrame, bed: DataFrame, areas: DataFrame | None = None) -> DataFrame:
@@ -79,7 +91,7 @@ def full_profile(points: DataFrame, line: DataFrame, bed: DataFrame, areas: Data
 
     (at, mile, lat, lon, bearing_deg, bed_elev_ft, water_surface_ft, depth_ft, is_gage, gage_id, gage_stage_ft, gage_river_mile, wet_area_ft2,
     reach_length_mi, cum_storage_af). bed is (mile, bed_elev_ft), smoothed along the river; depth is null where a part is missing. A gage lies nearer
-    than 2 miles. areas (at, mile, wet_area_ft2) come from transects; without them the plain formula gives the area.
+    than 2 miles. areas (at, mile, wet_area_ft2) come from transects, at all points or some, and are filled in between; without them the plain formula gives the area.
     """
     smooth = median_smooth(bed.withColumnRenamed("bed_elev_ft", "value"), "mile").select("mile", F.col("smooth").alias("bed_elev_ft"))
     surface = profile(points, line).withColumnRenamed("value", "water_surface_ft")
@@ -91,10 +103,25 @@ def full_profile(points: DataFrame, line: DataFrame, bed: DataFrame, areas: Data
         top = F.broadcast(line.agg(F.max("mile").alias("_top")))  # one row
         rows = rows.crossJoin(top).withColumn("wet_area_ft2", plain_area(F.col("water_surface_ft"), F.col("mile"), F.greatest(F.col("_top"), F.lit(1.0)))).drop("_top")
     else:
-        rows = rows.join(areas.select("at", "mile", "wet_area_ft2"), ["at", "mile"], "left")
+        rows = fill_by_place(rows.join(areas.select("at", "mile", "wet_area_ft2"), ["at", "mile"], "left"), "wet_area_ft2")
     return storage_along(rows)
 
 
+def fill_by_place(rows: DataFrame, column: str, keys: tuple[str, ...] = ("at",)) -> DataFrame:
+    """rows with the nulls of the column filled between the known rows of a key, linear by their place along the mile and flat beyond the ends.
+
+    A key with fewer than two known rows stays as it is. A key has as many rows as the profile has points.
+    """
+    along = Window.partitionBy(*keys).orderBy(F.desc("mile"))
+    known = F.when(F.col(column).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(column).alias("v")))
+    back = F.last(known, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(known, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    out = rows.withColumn("_i", F.row_number().over(along)).withColumn("_n", F.count(column).over(Window.partitionBy(*keys))).withColumn("_a", back).withColumn("_b", ahead)
+    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
+    filled = F.when(F.col("_n") > 1, F.when(F.col("_a.i") == F.col("_b.i"), F.col("_a.v")).otherwise(F.coalesce(line, F.col("_a.v"), F.col("_b.v")))).otherwise(F.col(column))
+    return out.withColumn(column, filled).select(rows.columns)
+
+
 def storage_along(rows: DataFrame, keys: tuple[str, ...] = ("at",)) -> DataFrame:
     """rows (keys, mile, lat, lon, wet_area_ft2) with reach_length_mi and cum_storage_af, summed down the river by great-circle reaches.
 
@@ -107,16 +134,18 @@ def storage_along(rows: DataFrame, keys: tuple[str, ...] = ("at",)) -> DataFrame
     return out.withColumn("_s", F.coalesce(slab, F.lit(0.0))).withColumn("cum_storage_af", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s", "_r")
 
 
-def envelope_areas(rows: DataFrame, envelope: DataFrame, q: DataFrame, most_mile: float = 302.0) -> DataFrame:
+def envelope_areas(rows: DataFrame, envelope: DataFrame, q: DataFrame) -> DataFrame:
     """(at, mile, p05_yd2, p50_yd2, p95_yd2): wet areas at the stages of the envelope, from the gages along the profile; dates with two gages at least.
 
     rows is a full profile, q is (at, q). A gage counts once, by its first point down the river; a boundary takes the lower bin.
+    The width grows towards the profile's own highest mile.
     """
     first = rows.where("is_gage").groupBy("at", "gage_id").agg(F.max("mile").alias("river_mile"))
     bins = q.join(F.broadcast(envelope.withColumnRenamed(KEY, "gage_id")), F.col("q").between(F.col("q_lo"), F.col("q_hi")))
     env = bins.groupBy("at", "gage_id").agg(F.min_by(F.struct("p05", "p50", "p95"), "q_lo").alias("e"))
-    area = lambda p: (plain_area(F.col(f"e.{p}"), F.col("river_mile"), most_mile) / FT2_PER_YD2).alias(f"{p}_yd2")
-    points = first.join(env, ["at", "gage_id"]).select("at", "river_mile", *map(area, ("p05", "p50", "p95")))
+    top = rows.groupBy("at").agg(F.greatest(F.max("mile"), F.lit(1.0)).alias("_top"))
+    area = lambda p: (plain_area(F.col(f"e.{p}"), F.col("river_mile"), F.col("_top")) / FT2_PER_YD2).alias(f"{p}_yd2")
+    points = first.join(env, ["at", "gage_id"]).join(top, "at").select("at", "river_mile", *map(area, ("p05", "p50", "p95")))
     enough = points.groupBy("at").count().where(F.col("count") >= 2).select("at")
     return at_miles(rows.select("at", "mile").join(enough, "at"), points, "river_mile", ["p05_yd2", "p50_yd2", "p95_yd2"], ("at",))
 

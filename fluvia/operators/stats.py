@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .align import KEY, interpolate
+from .quantile import median, select, slim
 
 SCALE = 1.4826
 
 
 def robust_sigma(rows: DataFrame, floor: float = 0.25, keys: tuple[str, ...] = (KEY,), column: str = "value") -> DataFrame:
-    """(keys, median, sigma): 1.4826 times the median absolute deviation, at least ``floor``; two exact passes."""
-    med = rows.groupBy(*keys).agg(F.percentile(column, 0.5).alias("median"))
-    gone = rows.join(F.broadcast(med), list(keys)).withColumn("_d", F.abs(F.col(column) - F.col("median")))
-    return gone.groupBy(*keys).agg(F.first("median").alias("median"), F.greatest(F.percentile("_d", 0.5) * SCALE, F.lit(floor)).alias("sigma"))
+    """(keys, median, sigma): 1.4826 times the median absolute deviation, at least ``floor``; exact. Keys without values have no row."""
+    values = slim(rows, keys, column)
+    med = written(median(values, keys, column), "medians")
+    gone = values.join(F.broadcast(med), list(keys)).select(*keys, F.abs(F.col(column) - F.col("median")).alias("_d"))
+    mad = median(gone, keys, "_d").withColumnRenamed("median", "_m")
+    return med.join(mad, list(keys)).select(*keys, "median", F.greatest(F.col("_m") * SCALE, F.lit(floor)).alias("sigma"))
 
 
 def sigma_or_std(rows: DataFrame, keys: tuple[str, ...] = (KEY,), column: str = "value") -> DataFrame:
@@ -30,13 +34,15 @@ def latest_dates(rows: DataFrame, n: int = 10) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, points: list[float], names: list[str], keys: tuple[str, ...] = (KEY,), column: str = "value") -> DataFrame:
-    q = F.percentile(column, F.array(*map(F.lit, points)))
-    return rows.groupBy(*keys).agg(q.alias("_q"), F.count(column).alias("n")).select(*keys, "n", *(F.col("_q")[i].alias(n) for i, n in enumerate(names)))
+    """(keys, n, names): exact quantiles and the count of values; keys without values have no row."""
+    found = select(slim(rows, keys, column), keys, column, points)
+    return found.select(*keys, "n", *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
 
 
 def composite(rows: DataFrame) -> DataFrame:
     """(ts, composite): mean over gauges of the value over the gauge's median, the median at least 1."""
-    med = rows.groupBy(KEY).agg(F.percentile("value", 0.5).alias("_m"))
+    rows = written(rows.select(KEY, "ts", "value"), "gauges")
+    med = median(rows, (KEY,), "value").withColumnRenamed("median", "_m")
     scaled = rows.join(F.broadcast(med), KEY).withColumn("_r", F.col("value") / F.greatest("_m", F.lit(1.0)))
     return scaled.groupBy("ts").agg(F.avg("_r").alias("composite"))
 
@@ -52,7 +58,7 @@ BINS = ("low", "medium_low", "medium_high", "high")
 
 def discharge_bins(q: DataFrame) -> DataFrame:
     """(bin, bin_order, q_lo, q_hi): quartile bins of column q, closed on both sides."""
-    cuts = q.agg(F.percentile("q", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("c"))
+    cuts = select(slim(q, (), "q"), (), "q", [0.0, 0.25, 0.5, 0.75, 1.0]).select(F.col("q").alias("c"))
     each = F.array(*(F.struct(F.lit(n).alias("bin"), F.lit(i).cast("bigint").alias("bin_order"), F.col("c")[i].alias("q_lo"), F.col("c")[i + 1].alias("q_hi")) for i, n in enumerate(BINS)))
     return cuts.select(F.explode(each).alias("b")).select("b.*")
 
@@ -67,9 +73,10 @@ def fill_discharge(q: DataFrame, stage: DataFrame, limit: int = 7) -> DataFrame:
 
 def envelope(stage: DataFrame, q: DataFrame, least_station: int = 30, least_bin: int = 10) -> DataFrame:
     """Percentiles of stage for each station and discharge bin; q has (ts, q) and is filled over gaps first."""
-    q = fill_discharge(q, stage)
-    both = stage.where("value IS NOT NULL").join(q.where("q IS NOT NULL"), "ts")
-    rows = both.join(F.broadcast(discharge_bins(q.where("q IS NOT NULL"))), F.col("q").between(F.col("q_lo"), F.col("q_hi")))
+    stage = written(stage.where("value IS NOT NULL").select(KEY, "ts", "value"), "stage")
+    q = written(fill_discharge(q, stage).where("q IS NOT NULL"), "discharge")
+    both = stage.join(q, "ts")
+    rows = both.join(F.broadcast(discharge_bins(q)), F.col("q").between(F.col("q_lo"), F.col("q_hi")))
     enough = both.groupBy(KEY).count().where(F.col("count") >= least_station).select(KEY)
     names = ["p05", "p25", "p50", "p75", "p95"]
     out = quantiles(rows.join(F.broadcast(enough), KEY, "left_semi"), [0.05, 0.25, 0.5, 0.75, 0.95], names, (KEY, "bin", "q_lo", "q_hi"))

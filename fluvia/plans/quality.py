@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, anomaly, forecast, qaqc, stats, windows
+from ..operators import align, anomaly, features, forecast, qaqc, stats, windows
 from ..operators.network import query_result, spatial_prediction
 from ..sources import formats, tables
-from .base import W, clean, daily, discharge, filled, grid, r, sql, tidy
+from .base import W, clean, daily, discharge, filled, grid, r, sql, tide, tidy
 
 DAY = "CAST(ts AS DATE) AS day"
 
@@ -40,6 +41,11 @@ def datum_offsets(spark):
     return spark.range(14).where("id % 5 <> 4").select(F.col("id").cast("string").alias("station_id"), F.lit("NGVD29").alias("src"), F.lit("NAVD88").alias("dst"), (F.col("id") * 0.25 + 2).alias("offset_ft"))
 
 
+def drift_flags(spark, d):
+    """The drift flags themselves, at half a sigma so that some stations have one."""
+    return tidy(anomaly.drift(predicted(spark, d), 0.5).select("station_id", "flag_type", "severity", F.col("ts"), "value", "expected"))
+
+
 def metrics(spark, d):
     return tidy(stats.errors(result(spark, d).where("residual IS NOT NULL")))
 
@@ -55,10 +61,10 @@ def variables(spark, d):
 
 
 def gbt(spark, d):
-    rows, names = forecast.features(grid(spark, d))
-    known = forecast.training_set(rows, names, 1).persist()
-    fitted = forecast.fit(known, names)
-    return fitted.predict(known.where("NOT is_train")).groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("target"))), 6).alias("mae"))
+    """Held-out rows and error of every station's own day-ahead model."""
+    models, known = forecast.gauge_models(grid(spark, d))
+    made = models.predict(known.where("part_1 = 0")).join(known.select("station_id", "ts", "target_1"), ["station_id", "ts"])
+    return made.groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("target_1"))), 6).alias("mae"))
 
 
 def river_network(spark, d):
@@ -66,16 +72,22 @@ def river_network(spark, d):
 
 
 def tier_forecast(spark, d):
-    """Tomorrow at every station by the regressor of its tier, which reads the neighbours."""
-    g, s, n = grid(spark, d), tables.stations(spark), river_network(spark, d)
-    return forecast.tiered(g, s, forecast.by_tier(g, s, network=n), network=n)
+    """Tomorrow at every station by its own model, which reads the neighbours, tier by tier."""
+    return forecast.tiered(grid(spark, d), tables.stations(spark), network=river_network(spark, d))
 
 
 def model_importance(spark, d):
-    """The 15 features that a day-ahead regressor over the network uses most."""
-    rows, names = forecast.features(grid(spark, d), river_network(spark, d))
-    ranked = forecast.fit(forecast.training_set(rows, names, 1), names).importance()[:15]
-    return spark.createDataFrame(ranked, "feature string, importance double")
+    """The 15 features that each station's day-ahead model asks for most."""
+    used = forecast.gauge_models(grid(spark, d), network=river_network(spark, d))[0].importance()
+    ranked = used.withColumn("rank", F.row_number().over(Window.partitionBy("station_id").orderBy(F.desc("splits"), "feature")).cast("bigint"))
+    return ranked.where("rank <= 15").select("station_id", "rank", "feature", "splits")
+
+
+def tree_result(spark, d):
+    """Two rounds of quality control by every station's own trees over its feature table."""
+    g = grid(spark, d)
+    table = features.station_features(g, tables.stations(spark), stats.composite(discharge(spark, d)), stats.mean_and_spread(tide(spark, d), "3", "4"))
+    return tidy(qaqc.iterate(g, qaqc.by_trees(table), rounds=2))
 
 
 def importance(spark, d):
@@ -141,6 +153,7 @@ QUERIES = {
     "spike": lambda s, d: tidy(anomaly.spikes(daily(s, d))),
     "spike_lagged_sigma": lambda s, d: tidy(anomaly.spikes(daily(s, d), include_current=False)),
     "datum_drift": lambda s, d: tidy(anomaly.drift_shifts(predicted(s, d))),
+    "drift_flags": drift_flags,
     "network_consistency": lambda s, d: tidy(anomaly.consistency_scores(predicted(s, d))),
     "anomaly_report": lambda s, d: anomaly.detect(rounded_tail(s, d, 60.0), predicted(s, d)).groupBy("flag_type", "severity").agg(F.count("*").alias("n")),
     "stale_gapfill": lambda s, d: anomaly.stale(ends_missing(s, d)).select("station_id", F.col("last_valid").cast("date").alias("last_valid"), "n_missing", "is_stale"),
@@ -154,6 +167,7 @@ QUERIES = {
     "best_variable": variables,
     "topk_importance": importance,
     "gbt_fit": gbt,
+    "qaqc_trees": tree_result,
     "model_importance": model_importance,
     "forecast_direct": lambda s, d: forecast.direct(grid(s, d), network=river_network(s, d)),
     "forecast_recursive": lambda s, d: forecast.recursive(grid(s, d), network=river_network(s, d)),
@@ -215,7 +229,8 @@ SQL = {
     ),
     "spike": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('previous', 'previous')}, {r('change', 'change')}, {r('sigma', 'sigma')} FROM ({_SPIKE.format(a='27 PRECEDING', b='CURRENT ROW')})"),
     "spike_lagged_sigma": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('previous', 'previous')}, {r('change', 'change')}, {r('sigma', 'sigma')} FROM ({_SPIKE.format(a='28 PRECEDING', b='1 PRECEDING')})"),
-    "datum_drift": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)', 'shift')}, {r('any_value(sigma)', 'sigma')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
+    "datum_drift": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('avg(residual) FILTER (back <= 14)', 'value')}, {r('avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)', 'shift')}, {r('any_value(sigma)', 'sigma')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
+    "drift_flags": sql("daily", f"SELECT station_id, 'datum_drift' AS flag_type, 'warning' AS severity, CAST(max(ts) AS DATE) AS day, {r('avg(residual) FILTER (back <= 14)', 'value')}, CAST(0 AS DOUBLE) AS expected FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28 AND abs(avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)) > 0.5 * any_value(sigma)", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
     "network_consistency": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('arg_max(predicted, ts)', 'predicted')}, {r('(arg_max(residual, ts) - avg(residual)) / any_value(sigma)', 'z')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 5", **_PRED, tail=_TAIL, **_sigma_of_tail("TRUE")),
     "anomaly_report": sql(
         "daily",

@@ -93,9 +93,18 @@ def adaptive(spark, d):
     return lags.adaptive_lags(network.pairs(tables.stations(spark)), main_q(spark, d), 250000.0, 15.0).select("up", "dn", F.concat_ws(",", F.transform("lags", lambda x: x.cast("string"))).alias("lags"))
 
 
+def gauges(spark):
+    return spark.createDataFrame([("0", 30.0), ("1", 150.0), ("2", 260.0)], "station_id string, river_mile double")
+
+
+def sparse_discharge(spark, d):
+    """Discharge of which gauge 1 has odd months only, gauge 2 nothing from May 1998 to June 1999, and every 15th of March isn't above 0."""
+    gone = (F.col("station_id") == "1") & (F.month("ts") % 2 == 0) | (F.col("station_id") == "2") & F.col("ts").between(F.lit("1998-05-01").cast("timestamp_ntz"), F.lit("1999-06-30").cast("timestamp_ntz"))
+    return discharge(spark, d).where(~gone).withColumn("value", F.when((F.month("ts") == 3) & (F.dayofmonth("ts") == 15), -F.col("value")).otherwise(F.col("value")))
+
+
 def spatial_q(spark, d):
-    gauges = spark.createDataFrame([("0", 30.0), ("1", 150.0), ("2", 260.0)], "station_id string, river_mile double")
-    near = profile.controls(discharge(spark, d).where("value > 0"), gauges, dates(spark))
+    near = profile.discharge_controls(sparse_discharge(spark, d), gauges(spark), dates(spark))
     return profile.profile(near, every_ten(spark)).select(F.col("at").cast("date").alias("at_day"), "mile", F.round("value", 6).alias("q"))
 
 
@@ -125,8 +134,8 @@ def whole_profile(spark, d):
 
 
 def date_discharge(spark, d):
-    """(at, q) of gauge 0, the nearest within a week."""
-    return network.asof_nearest(dates(spark).withColumn("station_id", F.lit("0")), discharge(spark, d)).select("at", F.col("value").alias("q"))
+    """(at, q) of gauge 0, the nearest reading."""
+    return network.nearest_reading(dates(spark), discharge(spark, d).where("station_id = '0'")).select("at", F.col("value").alias("q"))
 
 
 def areas(spark, d):
@@ -135,10 +144,8 @@ def areas(spark, d):
 
 
 def reference_q(spark, d):
-    """The discharge of gauge 1 at each date; gauge 1 has none in odd months, then that of the gauge nearest to mile 228."""
-    gauges = spark.createDataFrame([("0", 30.0), ("1", 150.0), ("2", 260.0)], "station_id string, river_mile double")
-    near = profile.controls(discharge(spark, d), gauges, dates(spark)).where("station_id <> '1' OR month(at) % 2 = 0")
-    return profile.reference_discharge(near, "1").select(F.col("at").cast("date").alias("at_day"), "ref_id", "ref_mile", F.round("ref_q", 6).alias("ref_q"))
+    """The discharge of gauge 1 at each date, or where its reading isn't above 0 that of the gauge nearest to mile 228."""
+    return profile.reference_discharge(profile.discharge_controls(sparse_discharge(spark, d), gauges(spark), dates(spark)), "1").select(F.col("at").cast("date").alias("at_day"), "ref_id", "ref_mile", F.round("ref_q", 6).alias("ref_q"))
 
 
 def cells(spark):
@@ -260,6 +267,20 @@ def _near(table: str, stations: str) -> str:
         WHERE value IS NOT NULL AND abs(epoch(ts) - epoch(t0)) <= 7 * 86400 GROUP BY ALL"""
 
 
+def _at_date(table: str, stations: str) -> str:
+    """The stations' values at the one instant of the table nearest to each date."""
+    return f"""SELECT t0, station_id, river_mile, {{'ts': ts, 'value': value}} AS m FROM (SELECT t0, arg_min(ts, {{'g': abs(epoch(ts) - epoch(t0)), 'ts': ts}}) AS ts FROM dates CROSS JOIN (SELECT DISTINCT ts FROM {table}) GROUP BY 1) n
+        JOIN {table} USING (ts) JOIN {stations} USING (station_id) WHERE value IS NOT NULL AND abs(floor((epoch(ts) - epoch(t0)) / 86400)) <= 7"""
+
+
+def _nearest(table: str, stations: str) -> str:
+    """Each station's reading nearest to each date, at any distance."""
+    return f"SELECT t0, station_id, river_mile, arg_min({{'ts': ts, 'value': value}}, {{'g': abs(epoch(ts) - epoch(t0)), 'ts': ts}}) AS m FROM dates CROSS JOIN {stations} JOIN {table} USING (station_id) GROUP BY ALL"
+
+
+_SPARSE = "SELECT station_id, ts, CASE WHEN month(ts) = 3 AND day(ts) = 15 THEN -value ELSE value END AS value FROM q WHERE NOT (station_id = '1' AND month(ts) % 2 = 0) AND NOT (station_id = '2' AND ts BETWEEN TIMESTAMP '1998-05-01' AND TIMESTAMP '1999-06-30')"
+
+
 def _profile(controls: str, value: str) -> str:
     """Piecewise linear value t0 every tenth mile of the controls (t0, river_mile, v)."""
     return f"""SELECT t0, mile, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL THEN lo.v WHEN lo.m = hi.m THEN lo.v ELSE lo.v * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.v * (mile - lo.m) / (hi.m - lo.m) END AS {value}
@@ -272,7 +293,7 @@ _BEAR_DEG = "(degrees(atan2((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), lat
 _SPEED = "(72.0 * power(greatest(q, 0.05) / 250000.0, 0.4))"
 _CELLS = "SELECT CAST(i // 60 AS INT) AS row, CAST(i % 60 AS INT) AS col, round(sin(i * 0.37) * 20 - i % 60, 6) AS elev_ft FROM range(12000) t(i)"
 _RASTER = "SELECT i AS point_id, CAST(i * 9 + 5 AS INT) AS row, CAST(i * 7 % 60 AS INT) AS col FROM range(20) t(i)"
-_CONTROLS = _DATES | {"near": _near("daily", "stations"), "ctl": "SELECT t0, river_mile, m.value AS v FROM near"}
+_CONTROLS = _DATES | {"near": _at_date("daily", "stations"), "ctl": "SELECT t0, river_mile, m.value AS v FROM near"}
 _NEIGHBOURS = "SELECT station_id, lag(station_id) OVER (ORDER BY river_mile DESC) AS up, lead(station_id) OVER (ORDER BY river_mile DESC) AS dn FROM stations"
 
 _XC = {
@@ -358,7 +379,7 @@ SQL = {
     "stage_query_station": sql("grid", f"SELECT {DAY}, {r('value', 'value')} FROM grid WHERE station_id = '5' AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31'"),
     "stage_query_mile": sql("grid", f"SELECT {DAY}, {r('max(value) FILTER (station_id = ' + chr(39) + '4' + chr(39) + ') * 0.75 + max(value) FILTER (station_id = ' + chr(39) + '5' + chr(39) + ') * 0.25', 'value')} FROM grid WHERE station_id IN ('4', '5') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' GROUP BY ts"),
     "profile_interpolate": sql("daily stations", f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('value', 'value')} FROM ({_profile('ctl', 'value')})", **_CONTROLS),
-    "spatial_q_profile": sql("q", f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('q', 'q', 6)} FROM ({_profile('ctl', 'q')})", **_DATES, g="SELECT * FROM (VALUES ('0', 30.0), ('1', 150.0), ('2', 260.0)) v(station_id, river_mile)", near=_near("q", "g"), ctl="SELECT t0, CAST(river_mile AS DOUBLE) AS river_mile, m.value AS v FROM near"),
+    "spatial_q_profile": sql("q", f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('q', 'q', 6)} FROM ({_profile('ctl', 'q')})", **_DATES, g="SELECT * FROM (VALUES ('0', 30.0), ('1', 150.0), ('2', 260.0)) v(station_id, river_mile)", sq=_SPARSE, near=_nearest("sq", "g"), ctl="SELECT t0, CAST(river_mile AS DOUBLE) AS river_mile, m.value AS v FROM near WHERE m.value > 0"),
     "full_profile": sql(
         "daily stations line",
         "SELECT CAST(t0 AS DATE) AS at_day, mile, is_gage, gage_id, " + ", ".join(r(c, c, n) for c, n in PROFILE_DIGITS.items()) + " FROM fin",
@@ -369,18 +390,19 @@ SQL = {
         "SELECT CAST(t0 AS DATE) AS at_day, mile, " + ", ".join(r(f"CASE WHEN lo IS NULL THEN hi.{p} WHEN hi IS NULL OR lo.m = hi.m THEN lo.{p} ELSE lo.{p} * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.{p} * (mile - lo.m) / (hi.m - lo.m) END", f"{p}_yd2", 3) for p in ("p05", "p50", "p95")) + " FROM pa",
         **(_FULL | _ENV2),
         g="SELECT '0' AS station_id, 0.0 AS river_mile",
-        qn=_near("q", "g"),
+        qn=_nearest("q", "g"),
         gg="SELECT t0, gage_id, max(mile) AS m FROM fin WHERE is_gage GROUP BY 1, 2",
         ev="SELECT t0, e.station_id AS gage_id, arg_min({'p05': p05, 'p50': p50, 'p95': p95}, q_lo) AS e FROM qn JOIN env e ON qn.m.value BETWEEN q_lo AND q_hi GROUP BY 1, 2",
-        pt="SELECT t0, m, " + ", ".join(f"(2200.0 + 2300.0 * m / 302.0) * greatest(0.4 * e.{p}, 0.0) / 9.0 AS {p}" for p in ("p05", "p50", "p95")) + " FROM gg JOIN ev USING (t0, gage_id) QUALIFY count(*) OVER (PARTITION BY t0) >= 2",
+        pt="SELECT t0, m, " + ", ".join(f"(2200.0 + 2300.0 * m / 300.0) * greatest(0.4 * e.{p}, 0.0) / 9.0 AS {p}" for p in ("p05", "p50", "p95")) + " FROM gg JOIN ev USING (t0, gage_id) QUALIFY count(*) OVER (PARTITION BY t0) >= 2",
         pa="SELECT t0, l.mile, max({'m': m, 'p05': p05, 'p50': p50, 'p95': p95}) FILTER (m <= l.mile) AS lo, min({'m': m, 'p05': p05, 'p50': p50, 'p95': p95}) FILTER (m >= l.mile) AS hi FROM pt CROSS JOIN line l GROUP BY 1, 2",
     ),
     "reference_discharge": sql(
         "q",
-        f"SELECT CAST(t0 AS DATE) AS at_day, x.station_id AS ref_id, x.river_mile AS ref_mile, {r('x.v', 'ref_q')} FROM (SELECT t0, arg_min({{'station_id': station_id, 'river_mile': river_mile, 'v': m.value}}, {{'o': (station_id <> '1')::INT, 'd': abs(river_mile - 228), 'm': river_mile}}) AS x FROM near WHERE m.value > 0 AND (station_id <> '1' OR month(t0) % 2 = 0) GROUP BY 1)",
+        f"SELECT CAST(t0 AS DATE) AS at_day, x.station_id AS ref_id, CASE WHEN x.station_id = '1' THEN CAST(228 AS DOUBLE) ELSE x.river_mile END AS ref_mile, {r('x.v', 'ref_q')} FROM (SELECT t0, arg_min({{'station_id': station_id, 'river_mile': river_mile, 'v': m.value}}, {{'o': (station_id <> '1')::INT, 'd': abs(river_mile - 228), 'm': river_mile}}) AS x FROM near WHERE m.value > 0 GROUP BY 1)",
         **_DATES,
         g="SELECT station_id, CAST(river_mile AS DOUBLE) AS river_mile FROM (VALUES ('0', 30.0), ('1', 150.0), ('2', 260.0)) v(station_id, river_mile)",
-        near=_near("q", "g"),
+        sq=_SPARSE,
+        near=_nearest("sq", "g"),
     ),
     "storage_trapezoid": sql(
         "daily stations",
@@ -455,9 +477,9 @@ SQL = {
         "daily q0 q stations",
         f"SELECT CAST(t0 AS DATE) AS at_day, station_id, {r('m.value', 'value')} FROM near LEFT JOIN top USING (t0, station_id) WHERE top IS NULL OR m.value <= top - 3",
         **_ENV2, **_DATES,
-        near=_near("daily", "stations"),
+        near=_at_date("daily", "stations"),
         g="SELECT '0' AS station_id, 0.0 AS river_mile",
-        qn=_near("q", "g"),
+        qn=_nearest("q", "g"),
         top="SELECT t0, e.station_id, arg_min(p95, q_lo) AS top FROM qn JOIN env e ON qn.m.value BETWEEN q_lo AND q_hi GROUP BY 1, 2",
     ),
     "station_coverage": sql("daily stations", "SELECT station_id, river_mile, station_id IN (SELECT station_id FROM daily WHERE ts = TIMESTAMP '1999-01-01') AS has_data FROM stations"),

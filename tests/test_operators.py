@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fluvia.functions import scalars
@@ -145,11 +146,15 @@ def test_matched_lags_take_peaks_and_troughs_together(spark):
     assert lags.best_covered(grid.unionByName(frame(spark, [1.0] * 500, "z"))).count() == 500
 
 
+def matched(spark, up, dn, window=21, **settings):
+    events = spark.createDataFrame([("u", d) for d in up] + [("d", d) for d in dn], "station_id string, day long")
+    pair = spark.createDataFrame([("u", "d")], "up string, dn string")
+    return sorted((r.day, r.lag) for r in lags.match_events(events, pair, window, **settings).collect())
+
+
 def test_an_event_may_match_on_its_own_day(spark):
-    row = spark.createDataFrame([([5, 30], [5, 52])], "u array<bigint>, d array<bigint>")
-    assert [x.lag for x in row.select(lags.greedy_match(F.col("u"), F.col("d"), 21).alias("m")).first().m] == [0]
-    row = spark.createDataFrame([([5, 30], [5, 51])], "u array<bigint>, d array<bigint>")
-    assert [x.lag for x in row.select(lags.greedy_match(F.col("u"), F.col("d"), 21).alias("m")).first().m] == [0, 21]
+    assert matched(spark, [5, 30], [5, 52]) == [(5, 0)]
+    assert matched(spark, [5, 30], [5, 51]) == [(5, 0), (30, 21)]
 
 
 def test_one_station_over_many_tasks_gives_equal_results(spark):
@@ -207,9 +212,22 @@ def test_trapezoid(spark):
 
 
 def test_greedy_match(spark):
-    row = spark.createDataFrame([([1, 2, 5, 9], [2, 3, 8, 10])], "u array<bigint>, d array<bigint>")
-    found = row.select(lags.greedy_match(F.col("u"), F.col("d"), 4).alias("m")).first().m
-    assert [x.lag for x in found] == [1, 1, 3, 1]
+    assert [x for _, x in matched(spark, [1, 2, 5, 9], [2, 3, 8, 10], 4)] == [1, 1, 3, 1]
+
+
+def test_matching_in_segments_equals_one_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    for stretch, spread in ((4096, 9000), (50, 4000), (7, 900)):
+        up, dn = (sorted(rng.sample(range(-spread // 2, spread // 2), 150)) for _ in range(2))
+        want, last = [], -(10**9)
+        for u in up:
+            free = [d for d in dn if u <= d <= u + 21 and d > last]
+            if free:
+                last = free[0]
+                want.append((u, last - u))
+        assert matched(spark, up, dn, stretch=stretch) == want
 
 
 def test_correlation_finds_the_shift(spark):
@@ -322,9 +340,33 @@ def test_forecasts_of_a_network(spark):
     assert sorted((r.station_id, r.horizon) for r in steps) == [(s, h) for s in "abc" for h in (1, 2, 3)]
     width = {r.horizon: r.hi - r.lo for r in steps}
     assert width[3] == pytest.approx(width[1] * 3**0.5)
-    models = forecast.by_tier(grid, stations, network=network, trees=3, depth=3)
-    out = forecast.tiered(grid, stations, models, network=network).collect()
-    assert list(models) == [0, 1] and [(r.station_id, r.tier) for r in out] == [("a", 0), ("b", 1), ("c", 1)]
+    out = forecast.tiered(grid, stations, network=network, trees=3, depth=3).collect()
+    assert [(r.station_id, r.tier) for r in out] == [("a", 0), ("b", 1), ("c", 1)]
+    assert forecast.tiered(grid.where("station_id <> 'c' OR ts < '2020-03-01'"), stations, network=network, trees=3, depth=3, least=100).select("station_id").collect() == [("a",), ("b",)]
+
+
+def test_parts_of_the_training_rows(spark):
+    grid, _, _ = river(spark)
+    holes = grid.withColumn("value", F.when((F.col("station_id") == "c") & (F.dayofmonth("ts") < 12), None).otherwise(F.col("value")))
+    rows, names = forecast.features(holes)
+    got = forecast.gauge_targets(rows, names, (1, 3), most_null=0.3, least=10)
+    for h in (1, 3):
+        old = {(r.station_id, r.ts): (r.target, int(r.is_train)) for r in forecast.training_set(rows, names, h).collect()}
+        new = {(r.station_id, r.ts): (r[f"target_{h}"], r[f"part_{h}"]) for r in got.where(f"part_{h} IS NOT NULL").collect()}
+        assert new == {k: v for k, v in old.items()}
+    c = forecast.gauge_targets(rows, names, (1,), most_null=0.01).where("station_id = 'c'")
+    assert c.where("part_1 IS NOT NULL").count() == 0
+
+
+def test_quality_control_by_trees(spark):
+    grid, stations, _ = river(spark, 400)
+    day = F.datediff("ts", F.lit(DAY0))
+    odd = grid.withColumn("value", F.when((F.col("station_id") == "b") & (day == 150), F.col("value") + 60).when((F.col("station_id") == "c") & (day > 60), None).otherwise(F.col("value")))
+    table = odd.withColumn("x", F.col("value") * 0 + F.sin(day / 7) * 5).select("station_id", "ts", "x", F.lag("value", 1).over(Window.partitionBy("station_id").orderBy("ts")).alias("y"))
+    out = {(r.station_id, (r.ts - DAY0).days): r for r in qaqc.iterate(odd, qaqc.by_trees(table, ("x", "y"), trees=20), rounds=3).collect()}
+    assert out["b", 150].is_outlier and out["b", 150].corrected < 30 and not out["b", 149].is_outlier
+    assert out["c", 20].predicted is None and out["c", 20].corrected == out["c", 20].observed  # 60 rows are too few to begin
+    assert out["a", 300].sigma >= 0.25
 
 
 def test_learners_by_kind(spark):
@@ -379,3 +421,55 @@ def test_adaptive_lags(spark):
     ask = lambda d: {r.up: list(r.lags) for r in lags.adaptive_lags(pairs, d).collect()}
     assert ask(q) == {"a": [1, 2, 5, 9], "c": [1, 2, 3]}  # quantiles 0.8, 1.25, 2, 2, 2 days; 5 and 9 after the median
     assert ask(q.limit(0)) == {"a": [1, 2, 3, 5, 9], "c": [1, 2, 3]}  # 1.4, 2 and 3.3 days
+
+
+def test_a_station_without_a_mile_is_no_mile(spark):
+    stations = spark.createDataFrame([("01120", None), ("01160", 1100.0)], "station_id string, river_mile double")
+    rows = frame(spark, [7.0], "01120").unionByName(frame(spark, [20.0], "01160"))
+    ask = lambda target: [r.value for r in network.query_stage(rows, stations, target, "2020-01-01", "2020-01-02").collect()]
+    assert ask("01120") == [7.0] and ask("1120") == [20.0]
+    with pytest.raises(KeyError):
+        network.query_stage(rows, stations.where("river_mile IS NULL"), "5", "2020-01-01", "2020-01-02")
+
+
+def test_stage_at_a_date_is_that_of_one_instant_of_the_network(spark):
+    rows = frame(spark, [1.0, 2.0, None, 4.0], "A").unionByName(frame(spark, [5.0], "B"))
+    stations = spark.createDataFrame([("A", 10.0), ("B", 20.0)], "station_id string, river_mile double")
+    at = lambda *days: spark.createDataFrame([(DAY0 + dt.timedelta(days=d),) for d in days], "at timestamp_ntz")
+    ask = lambda d: sorted((r.station_id, r.value) for r in profile.controls(rows, stations, at(d)).collect())
+    assert ask(0) == [("A", 1.0), ("B", 5.0)]
+    assert ask(3) == [("A", 4.0)]  # B has no value that day, and its earlier one doesn't count
+    assert ask(2) == []  # an instant without any value is still the nearest
+    assert ask(10) == [("A", 4.0)] and ask(11) == []
+    assert ask(-7.5) == [("A", 1.0), ("B", 5.0)] and ask(-8) == []  # whole days, counted towards the past
+
+
+def test_discharge_at_a_date_at_any_distance(spark):
+    rows = frame(spark, [5.0, -1.0, 8.0], "g").unionByName(frame(spark, [None, 3.0], "h"))
+    gauges = spark.createDataFrame([("g", 300.0), ("h", 100.0), ("none", 5.0)], "station_id string, river_mile double")
+    dates = spark.createDataFrame([(DAY0 + dt.timedelta(days=d),) for d in (-3000, 0, 1, 4000)], "at timestamp_ntz")
+    got = profile.discharge_controls(rows, gauges, dates)
+    assert sorted(((r.at - DAY0).days, r.station_id, r.value) for r in got.collect()) == [(-3000, "g", 5.0), (0, "g", 5.0), (1, "h", 3.0), (4000, "g", 8.0), (4000, "h", 3.0)]
+    ref = {(r.at - DAY0).days: (r.ref_id, r.ref_mile, r.ref_q) for r in profile.reference_discharge(got, "h").collect()}
+    assert ref == {-3000: ("g", 300.0, 5.0), 0: ("g", 300.0, 5.0), 1: ("h", 228.0, 3.0), 4000: ("h", 228.0, 3.0)}
+    whole = network.nearest_reading(dates, rows.where("value > 0"), stretch=86400)  # a stretch a day
+    assert {(r.station_id, (r.at - DAY0).days): r.value for r in whole.collect()} == {("g", -3000): 5.0, ("g", 0): 5.0, ("g", 1): 5.0, ("g", 4000): 8.0, **{("h", d): 3.0 for d in (-3000, 0, 1, 4000)}}
+
+
+def test_areas_between_gages_are_filled_by_place(spark):
+    rows = spark.createDataFrame([(1, m, 30.0, -90.0 - m / 100, a) for m, a in ((40.0, None), (30.0, 100000.0), (29.0, None), (5.0, 300000.0), (0.0, None))] + [(2, m, 30.0, -90.0, a) for m, a in ((2.0, 7.0), (1.0, None))], "at int, mile double, lat double, lon double, wet_area_ft2 double")
+    got = {(r["at"], r.mile): r.wet_area_ft2 for r in profile.fill_by_place(rows, "wet_area_ft2").collect()}
+    assert got == {(1, 40.0): 1e5, (1, 30.0): 1e5, (1, 29.0): 2e5, (1, 5.0): 3e5, (1, 0.0): 3e5, (2, 2.0): 7.0, (2, 1.0): None}
+
+
+def test_envelope_areas_widen_to_the_top_of_the_profile(spark):
+    rows = spark.createDataFrame([(1, m, g is not None, g) for m, g in ((200.0, "x"), (100.0, None), (50.0, "y"))], "at int, mile double, is_gage boolean, gage_id string")
+    env = spark.createDataFrame([(g, 0.0, 9.0, 10.0, 10.0, 10.0) for g in "xy"], "station_id string, q_lo double, q_hi double, p05 double, p50 double, p95 double")
+    got = {r.mile: r.p50_yd2 for r in profile.envelope_areas(rows, env, spark.createDataFrame([(1, 5.0)], "at int, q double")).collect()}
+    assert got[200.0] == pytest.approx(4.0 * 4500 / 9) and got[50.0] == pytest.approx(4.0 * (2200 + 575) / 9)
+
+
+def test_drift_reports_the_mean_of_the_last_residuals(spark):
+    rows = [("a", DAY0 + dt.timedelta(days=i), 10.0 + 3.0 * (i >= 46), 10.0) for i in range(60)]
+    flag = anomaly.drift(spark.createDataFrame(rows, "station_id string, ts timestamp_ntz, value double, predicted double")).first()
+    assert (flag.value, flag.expected, flag.flag_type) == (3.0, 0.0, "datum_drift")

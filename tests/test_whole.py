@@ -30,7 +30,7 @@ def test_forecasts_take_every_station_and_the_defaults(spark, monkeypatch):
     for name in ("direct", "recursive"):
         monkeypatch.setattr(forecast, name, lambda *a, _n=name, **k: seen.update({_n: (a, k)}))
         quality.QUERIES[f"forecast_{name}"](spark, MORE)
-    monkeypatch.setattr(forecast, "fit", lambda rows, names, **k: seen.update({"fit": ((rows,), k)}) or 1 / 0)
+    monkeypatch.setattr(forecast, "gauge_models", lambda *a, **k: seen.update({"fit": (a, k)}) or 1 / 0)
     with pytest.raises(ZeroDivisionError):
         quality.QUERIES["gbt_fit"](spark, MORE)
     for (rows, *more), settings in seen.values():
