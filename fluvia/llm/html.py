@@ -58,6 +58,34 @@ class _Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.count: Counter[str] = Counter()
+        # from where on the rest holds no angle bracket, and no end of a comment: no text is searched twice in vain
+        self.last_bracket = self.endless = 1 << 60
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section of an unknown kind is a comment up to the next angle bracket, as in browsers."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 if end >= 0 else -1
+
+    def goahead(self, end: bool) -> None:
+        self.last_bracket, self.endless = self.rawdata.rfind(">"), 1 << 60  # places count from the rest's beginning
+        super().goahead(end)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if i >= self.endless:
+            return -1
+        at = super().parse_comment(i, report)
+        if at < 0:
+            self.endless = i
+        return at
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if i < self.last_bracket else -1
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if i < self.last_bracket else -1
 
     def _cut(self) -> None:
         if self.text:
@@ -152,21 +180,28 @@ def _is_out(blocks: list, spared: set[int]) -> list[bool]:
     return out
 
 
-def region(blocks: list, mass: list, sizes: list) -> int:
-    """The block that holds the clusters: down from the page while one container inside holds enough of them."""
+def region(blocks: list, mass: list, sizes: list) -> list[int]:
+    """The block that holds the clusters: down from the page while one container inside holds enough of them; where blocks marked as
+    articles lie side by side, all that hold half as much as the heaviest."""
     heaviest: dict[int, int] = {}
+    articles: dict[int, list[int]] = {}
     for b in range(1, len(blocks)):
         if blocks[b][1] in CONTAINERS or blocks[b][3]:
             up = blocks[b][0]
             if up not in heaviest or mass[b] > mass[heaviest[up]]:
                 heaviest[up] = b
+            if blocks[b][3]:
+                articles.setdefault(up, []).append(b)
     at = 0
     while (b := heaviest.get(at)) is not None:
+        peers = [c for c in articles.get(at, ()) if mass[c] and 2 * mass[c] >= mass[b]] if blocks[b][3] else []
+        if len(peers) > 1 and sum(mass[c] for c in peers) >= HOLDS_MARKED * mass[at]:
+            return peers
         enough = HOLDS_MARKED if blocks[b][3] else HOLDS
         if not mass[b] or mass[b] < enough * mass[at] or sizes[b] < 2 and not blocks[b][3]:
             break  # a container of one line is a paragraph
         at = b
-    return at
+    return [at]
 
 
 def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
@@ -194,15 +229,15 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
         sizes[b] += not out[b]
     mass, sizes = _upward(live, blocks), _upward(sizes, blocks)
     chosen = region(blocks, mass, sizes)
-    if not mass[chosen]:
+    if not mass[chosen[0]]:
         return ""
     # the block just under the region that each block lies in; 0 outside of it
     under = [0] * len(blocks)
     for b in range(1, len(blocks)):
-        under[b] = b if blocks[b][0] == chosen else under[blocks[b][0]]
-    inside = [(b == chosen or under[b] > 0) and not out[b] for _, _, b in lines]
+        under[b] = b if blocks[b][0] in chosen else under[blocks[b][0]]
+    inside = [(b in chosen or under[b] > 0) and not out[b] for _, _, b in lines]
     hits = [i for i, (a, k) in enumerate(zip(above, inside, strict=True)) if a and k]
-    whole = blocks[chosen][3]
+    whole = blocks[chosen[0]][3]
 
     def kept(i: int) -> bool:
         top = under[lines[i][2]]
@@ -214,7 +249,8 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row.
 
-    A null or empty html gives an empty text with 0 characters; null ids and urls stay; repeated rows come back each, in
+    Marked sections of unknown kinds and comments without an end are no text; what else is malformed is read as the standard
+    library reads it. A null or empty html gives an empty text with 0 characters; null ids and urls stay; repeated rows come back each, in
     no order; an empty table gives no rows; other columns are ignored, whatever their names.
     """
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +60,19 @@ def more_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         s = m.group()
         if re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s) and _entropy(s) >= ENTROPY:
             found.append(("entropy", m.start(), m.end()))
-    taken = [(a, b) for _, a, b in base]
+    starts, ends = [], []  # stretches already taken, apart and in order
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out: list[tuple[str, int, int]] = []
     for kind, a, b in found:
-        if not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        at = bisect_left(starts, b)
+        if not at or ends[at - 1] <= a:
+            starts.insert(at, a)
+            ends.insert(at, b)
             out.append((kind, a, b))
     return out
 

@@ -1,6 +1,9 @@
 """Pages whose region the clusters choose: without article markup, with misleading names, cut by adverts; and odd rows."""
 
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fluvia.llm import html
@@ -48,3 +51,28 @@ def test_rows_of_any_kind(spark):
     n = len(main_text(PLAIN))
     assert got == sorted([(1, "u", n), (1, "u", n), (2, None, 0), (0, "v", 0), (3, "w", 5 * 60_000 - 1)], key=str)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+TEXT = "A sentence of the article that is long enough to stand out. " * 6
+
+
+@pytest.mark.parametrize("piece", ["<![foo bar]>", "<![foo[bar]]>", "<![>", "<![CDATA[x]]>", "<!foo>", "<!-- x", "<![if IE]>", "<![endif]-->"])
+def test_odd_sections_are_no_text_and_no_error(piece):
+    assert TEXT.strip() in html.main_text(f"<article><p>{TEXT}</p><p>{TEXT}</p></article>{piece}")
+    html.main_text(f"{piece}<p>{TEXT}</p>")
+    html.main_text(piece)
+
+
+@pytest.mark.parametrize("piece", ["<!--", "</", "<![", "<!", "<a "])
+def test_what_never_ends_is_read_once(piece):
+    began = time.perf_counter()
+    html.main_text(f"<article><p>{TEXT}</p></article>" + piece * (80_000 // len(piece)))
+    assert time.perf_counter() - began < 5
+
+
+def test_articles_side_by_side_all_stay():
+    two = "".join(f"<article><h2>Part {k}</h2><p>{TEXT}</p></article>" for k in "ab")
+    text = html.main_text(f"<body><nav><a>Home</a></nav>{two}<footer>end</footer></body>")
+    assert text == " ".join(f"Part {k} {TEXT.strip()}" for k in "ab")
+    teaser = f"<body><article><p>{TEXT}</p><p>{TEXT}</p></article><article><p>Short teaser.</p></article></body>"
+    assert html.main_text(teaser) == f"{TEXT.strip()} {TEXT.strip()}"
