@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, half_even, harmonics, travel_days
-from .align import KEY, blocks, by_time, own
+from .align import KEY, blocks, by_time, grid_step, own
 from .network import neighbours
 from .windows import over_last
 
@@ -112,6 +112,26 @@ def all_features(grid: DataFrame, stations: DataFrame, q: DataFrame, composite:
     return parts.where("value IS NOT NULL").join(grid.select(KEY, "ts"), [KEY, "ts"], "left_semi")
 
 
+def interval_features(rows: DataFrame, lags: tuple[int, ...] = OWN_LAGS, rolls: tuple[int, ...] = (7, 28), leads: tuple[int, ...] = (), share: float = 0.3, size: int = 4096) -> DataFrame:
+    """rows (station_id, ts, value) with steps_per_day and, in days whatever a station's step: lag<k>, d<k>, mean<n>, std<n> and lead<k>.
+
+    Frames are intervals of time, so stations read by the hour and by the day share one plan, and a missing row is a missing value. A
+    rolling figure needs ``share`` of the rows that n days have at the station's step. Stations are cut into blocks of ``size`` hours
+    that borrow the reach.
+    """
+    paced = rows.select(KEY, "ts", "value").join(F.broadcast(grid_step(rows)), KEY).withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))  # a row a station
+    before, after = 24 * max([0, *lags, *rolls]), 24 * max([0, *leads])
+    cut, keys = blocks(paced, before, after, 3600, max(size, before, after))
+    frame = lambda a, b: Window.partitionBy(*keys).orderBy("_sec").rangeBetween(a, b)
+    at = lambda days: F.max("value").over(frame(days * 86400, days * 86400))
+    new = {f"lag{k}": at(-k) for k in lags} | {f"d{k}": F.col("value") - at(-k) for k in lags} | {f"lead{k}": at(k) for k in leads}
+    for n in rolls:
+        w = frame(1 - n * 86400, 0)
+        enough = F.count("value").over(w) >= F.greatest(F.lit(1), F.floor(share * n * F.col("steps_per_day")))
+        new |= {f"mean{n}": F.when(enough, F.avg("value").over(w)), f"std{n}": F.when(enough, F.stddev_samp("value").over(w))}
+    return own(cut.withColumns(new)).drop("_sec")
+
+
 def one_station(features: DataFrame, station: str, names: list[str]) -> DataFrame:
     """(ts, one column a name): the wide feature table of one station, as a learner reads it."""
     return features.where(F.col(KEY) == station).groupBy("ts").pivot("feature", names).agg(F.first("value"))

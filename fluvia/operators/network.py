@@ -99,8 +99,8 @@ def nearest_mile(points: DataFrame, line: DataFrame) -> DataFrame:
 
 
 def mile_to_point(miles: DataFrame, line: DataFrame) -> DataFrame:
-    """(mile, lat, lon) between the centreline points around each mile, flat beyond the ends."""
-    return at_miles(miles.select("mile"), line, "mile", ["lat", "lon"])
+    """miles with lat and lon between the centreline points around each mile, flat beyond the ends."""
+    return at_miles(miles, line, "mile", ["lat", "lon"])
 
 
 def at_miles(targets: DataFrame, controls: DataFrame, position: str, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FT2_PER_ACRE, FT2_PER_YD2, FT_PER_MILE, bearing, haversine
+from ..functions.scalars import FT2_PER_ACRE, FT2_PER_YD2, FT_PER_M, FT_PER_MILE, bearing, haversine, pixel, utm
 from .align import KEY
 from .network import at_miles, nearest_instant, nearest_reading
 from .windows import median_smooth
@@ -156,17 +156,17 @@ def frame_limits(rows: DataFrame, columns: tuple[str, ...] = ("water_surface_ft"
     return ends.select((F.col("a") - pad * (F.col("b") - F.col("a"))).alias("low"), (F.col("b") + pad * (F.col("b") - F.col("a"))).alias("high"))
 
 
-def bearings(line: DataFrame, reach: int = 2) -> DataFrame:
-    """line with bearing_deg from the point ``reach`` before to the one ``reach`` after, as near as the ends allow."""
-    w = Window.orderBy("mile")  # the centreline dimension
+def bearings(line: DataFrame, reach: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """line with bearing_deg from the point ``reach`` before to the one ``reach`` after, as near as the ends allow; keys tell rivers apart."""
+    w = Window.partitionBy(*keys).orderBy("mile")  # without keys the centreline dimension
     back = F.first(F.struct("lat", "lon")).over(w.rowsBetween(-reach, 0))
     ahead = F.last(F.struct("lat", "lon")).over(w.rowsBetween(0, reach))
     return line.withColumn("_a", back).withColumn("_b", ahead).withColumn("bearing_deg", bearing(F.col("_a.lat"), F.col("_a.lon"), F.col("_b.lat"), F.col("_b.lon"))).drop("_a", "_b")
 
 
-def reach_lengths(line: DataFrame) -> DataFrame:
-    """line with reach_mi: great-circle miles from the point before, null at the first."""
-    w = Window.orderBy("mile")  # the centreline dimension
+def reach_lengths(line: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """line with reach_mi: great-circle miles from the point before, null at the first; keys tell rivers apart."""
+    w = Window.partitionBy(*keys).orderBy("mile")  # without keys the centreline dimension
     return line.withColumn("reach_mi", haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")))
 
 
@@ -182,6 +182,34 @@ def plain_area(surface: Column, mile: Column, most_mile: float | Column) -> Colu
     return (2200.0 + 2300.0 * mile / most_mile) * F.greatest(0.4 * surface, F.lit(0.0))
 
 
+def on_raster(points: DataFrame, left: float, top: float, size: float = 30.0, central: float = -93.0) -> DataFrame:
+    """points (lat, lon) with east and north in metres and the row and col of their raster cell; left and top are the raster's corner."""
+    east, north = utm(F.col("lat"), F.col("lon"), central)
+    row, col = pixel(F.col("east"), F.col("north"), left, top, size)
+    return points.withColumns({"east": east, "north": north}).withColumns({"row": row.cast("int"), "col": col.cast("int")})
+
+
+def sampled_thalweg(points: DataFrame, cells: DataFrame, left: float, top: float, buffer_m: float = 450.0, size: float = 30.0) -> DataFrame:
+    """points (point_id, lat, lon) with bed_elev_ft: the 5 % quantile of the raster within ``buffer_m`` (a cell at least) on either side; null without any cell."""
+    placed = on_raster(points, left, top, size).drop("east", "north")
+    return thalweg(placed, cells.where("elev_ft IS NOT NULL"), max(1, int(buffer_m / size))).drop("row", "col")
+
+
+def sampled_area(points: DataFrame, cells: DataFrame, left: float, top: float, half_width_m: float = 900.0, step_m: float = 30.0, size: float = 30.0) -> DataFrame:
+    """points (point_id, lat, lon, bearing_deg, surface_ft) with wet_area_ft2: depths summed along the line across the bearing, a step's width each.
+
+    Cells outside the raster or without elevation count nothing; without a surface there is no area. Each point goes to the cells it needs.
+    """
+    steps = int(2 * half_width_m / step_m + 1e-9)
+    across = F.radians(F.col("bearing_deg") + 90.0)
+    at = on_raster(points, left, top, size).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("_off", F.col("_k") * F.lit(step_m) - half_width_m)
+    row, col = pixel(F.col("east") + F.sin(across) * F.col("_off"), F.col("north") + F.cos(across) * F.col("_off"), left, top, size)
+    at = at.select("point_id", "surface_ft", row.cast("int").alias("row"), col.cast("int").alias("col"))
+    wet = F.greatest(F.col("surface_ft") - F.col("elev_ft"), F.lit(0.0)) * (step_m * FT_PER_M)
+    areas = at.join(cells.select("row", "col", "elev_ft"), ["row", "col"], "left").groupBy("point_id").agg(F.sum(F.coalesce(wet, F.lit(0.0))).alias("wet_area_ft2"))
+    return points.join(areas, "point_id").withColumn("wet_area_ft2", F.when(F.col("surface_ft").isNotNull(), F.col("wet_area_ft2")))
+
+
 def thalweg(points: DataFrame, cells: DataFrame, reach: int = 15) -> DataFrame:
     """points (point_id, row, col) with bed_elev_ft: the 5 % quantile of the raster cells within ``reach`` on either side.
 

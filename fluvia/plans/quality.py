@@ -43,7 +43,7 @@ def datum_offsets(spark):
 
 def drift_flags(spark, d):
     """The drift flags themselves, at half a sigma so that some stations have one."""
-    return tidy(anomaly.drift(predicted(spark, d), 0.5).select("station_id", "flag_type", "severity", F.col("ts"), "value", "expected"))
+    return tidy(anomaly.drift(predicted(spark, d), 0.5).select("station_id", "flag_type", "severity", F.col("date_detected").alias("day"), "value", "expected"))
 
 
 def metrics(spark, d):
@@ -123,18 +123,25 @@ def xml_parse(spark, d):
     return rows.select("station_id", F.col("ts").cast("date").alias("day"), F.round("value", 2).alias("value"))
 
 
-ARCHIVE = """# Archive
-# USACE Code  : 0{n}220
-# cal_datum|target_datum|factor_ft|start_date|end_date|target_epoch|notes
-NGVD29|NAVD88|-1.{n}|2024-09-27T00:00:00||OPUS|open | with a pipe
-NGVD29|NAVD88|-0.74|1988-06-14T00:00:00|2017-11-29T00:00:00|2009.55|closed
-GAGE|NGVD29|oops|1975-09-19T00:00:00|1984-10-05T00:00:00|NO EPOCH|dropped
-"""
+HEAD = "# Archive\n# USACE Code  : {}\n# cal_datum|target_datum|factor_ft|start_date|end_date|target_epoch|notes\n"
+
+
+def archives(spark, d):
+    """Orders of each customer group and year as a datum archive; every 13th line has no number for its factor."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    cells = (
+        F.lit("NGVD29"), F.when(k % 5 == 0, "NAVD88 (2009.55)").otherwise("NAVD88"), F.when(k % 13 == 0, "oops").otherwise(F.concat((k % 97 - 48).cast("string"), F.lit(".25"))),
+        stamp(day), F.when(k % 3 == 0, "").otherwise(stamp(day + F.expr("interval 30 days"))), F.when(k % 2 == 0, "2009.55").otherwise("OPUS"), F.concat(F.lit("open | with a pipe "), k.cast("string")),
+    )
+    code = F.format_string("0%02d20", F.col("o_custkey") % 50)
+    one = tables.read(spark, d, "orders").groupBy(code.alias("code"), F.year(day).alias("y")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *cells))), "\n").alias("body"))
+    head = F.concat(F.lit(HEAD.split("{}")[0]), F.col("code"), F.lit(HEAD.split("{}")[1]))
+    return one.select(F.concat(F.lit("f"), "code", F.lit("-"), F.col("y").cast("string"), F.lit(".txt")).alias("file"), F.concat(head, "body").alias("value"))
 
 
 def archive_parse(spark, d):
-    files = spark.createDataFrame([(f"f{n}.txt", ARCHIVE.format(n=n)) for n in range(1, 5)], "file string, value string")
-    return formats.parse_datum_archive(files).select("station_id", "file", "target_datum", "factor_ft", "start_date", "end_date", "target_epoch", "notes")
+    return formats.parse_datum_archive(archives(spark, d)).select("station_id", "file", "target_datum", "factor_ft", "start_date", "end_date", "target_epoch", "notes")
 
 
 def page_attributes(spark, d):
@@ -281,6 +288,7 @@ SQL = {
     "json_parse": f"SELECT event_type AS station_id, '00065' AS variable, date_trunc('hour', ts) AS hour, count(*) AS n, {r('avg(CAST(json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ') AS DOUBLE))', 'mean')} FROM events WHERE event_id % 97 <> 0 GROUP BY ALL",
     "xml_regex_parse": "SELECT CAST(o_custkey % 7 AS VARCHAR) AS station_id, CAST(o_orderdate AS DATE) AS day, round(arg_min(v, o_orderkey), 2) AS value FROM (SELECT *, floor(o_totalprice / 10) / 100 - 20 AS v FROM orders) WHERE v > -50 AND v < 1000 GROUP BY 1, 2",
     "markup_attributes": """SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, CAST(len(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS BIGINT) AS n_links FROM pages""",
-    "archive_parse": """SELECT '0' || n || '220' AS station_id, 'f' || n || '.txt' AS file, 'NAVD88' AS target_datum, CASE k WHEN 0 THEN CAST('-1.' || n AS DOUBLE) ELSE -0.74 END AS factor_ft, CASE k WHEN 0 THEN DATE '2024-09-27' ELSE DATE '1988-06-14' END AS start_date, CASE k WHEN 1 THEN DATE '2017-11-29' END AS end_date, CASE k WHEN 0 THEN 'OPUS' ELSE '2009.55' END AS target_epoch, CASE k WHEN 0 THEN 'open | with a pipe' ELSE 'closed' END AS notes FROM range(1, 5) t(n) CROSS JOIN range(2) u(k)""",
+    "archive_parse": """SELECT '0' || lpad(CAST(o_custkey % 50 AS VARCHAR), 2, '0') || '20' AS station_id, 'f0' || lpad(CAST(o_custkey % 50 AS VARCHAR), 2, '0') || '20-' || year(o_orderdate) || '.txt' AS file, CASE WHEN o_orderkey % 5 = 0 THEN 'NAVD88 (2009.55)' ELSE 'NAVD88' END AS target_datum,
+        CAST((o_orderkey % 97 - 48) || '.25' AS DOUBLE) AS factor_ft, CAST(o_orderdate AS DATE) AS start_date, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate + INTERVAL 30 DAY AS DATE) END AS end_date, CASE WHEN o_orderkey % 2 = 0 THEN '2009.55' ELSE 'OPUS' END AS target_epoch, 'open | with a pipe ' || o_orderkey AS notes FROM orders WHERE o_orderkey % 13 <> 0""",
     "network_summary": sql("daily stations", "SELECT tier, count(DISTINCT station_id) AS n_stations, count(value) AS n_values, min(river_mile) AS low_mile, max(river_mile) AS high_mile FROM stations LEFT JOIN daily USING (station_id) GROUP BY 1 ORDER BY 1"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import features, forecast, lags, network, profile, stats
+from ..operators import align, features, forecast, lags, network, profile, stats
 from ..sources import tables
 from ..sources.tables import DATUM_ROWS
 from .base import W, daily, discharge, grid, main_q, r, sql, tide, tidy
@@ -55,13 +55,30 @@ def nearest(spark, d):
     return network.nearest_mile(probes, tables.centreline(spark)).select("vec_id", "mile")
 
 
+def places(spark, d, spread: float = 2.0):
+    """A place on earth for each vector, by its first elements; and a mile, a bearing and a stage by others."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    rows = tables.read(spark, d, "embeddings").where("size(embedding) >= 5")
+    return rows.select("vec_id", (30 + spread * e(0)).alias("lat"), (-91 + spread * e(1)).alias("lon"), F.round(160 + 400 * e(2), 1).alias("mile"), (360 * e(3)).alias("bearing_deg"), (20 + 40 * e(4)).alias("surface_ft"))
+
+
 def bracket(spark, d):
-    miles = spark.range(320).select((F.col("id") * 1.0 - 5).alias("mile"))
-    return tidy(network.mile_to_point(miles, tables.centreline(spark)), 8)
+    return tidy(network.mile_to_point(places(spark, d).select("vec_id", "mile"), tables.centreline(spark)), 8)
 
 
 def proximity(spark, d):
-    return network.within_miles(tables.centreline(spark).select("mile"), tables.stations(spark), 2.0)
+    return network.within_miles(places(spark, d).select("vec_id", "mile"), tables.stations(spark), 2.0)
+
+
+def pair_list(spark, d):
+    """Pairs of the stations that have a reading on the first day of 1999."""
+    there = daily(spark, d).where(f"ts = {HOT}")
+    return network.pairs(tables.stations(spark).join(there, "station_id", "left_semi"))
+
+
+def rivers(spark, d):
+    """Five rivers, whose points are vectors in order of their number."""
+    return places(spark, d).select((F.col("vec_id") % 5).alias("river"), F.col("vec_id").cast("double").alias("mile"), "lat", "lon")
 
 
 def neighbour(spark, d):
@@ -148,22 +165,26 @@ def reference_q(spark, d):
     return profile.reference_discharge(profile.discharge_controls(sparse_discharge(spark, d), gauges(spark), dates(spark)), "1").select(F.col("at").cast("date").alias("at_day"), "ref_id", "ref_mile", F.round("ref_q", 6).alias("ref_q"))
 
 
-def cells(spark):
-    return spark.range(200 * 60).select((F.col("id") / 60).cast("int").alias("row"), (F.col("id") % 60).cast("int").alias("col"), F.round(F.sin(F.col("id") * 0.37) * 20 - F.col("id") % 60, 6).alias("elev_ft"))
+LEFT, TOP = 689300.0, 3324000.0
+
 
+def cells(spark, d):
+    """A raster of 240 by 240 cells of 30 metres: mean prices of line items dealt to cells."""
+    rows = tables.read(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 240).cast("int").alias("row"), (F.col("l_partkey") % 240).cast("int").alias("col"))
+    return rows.agg((F.avg("l_extendedprice") / 1000 - 20).alias("elev_ft"))
 
-def raster_points(spark):
-    return spark.range(20).select(F.col("id").alias("point_id"), (F.col("id") * 9 + 5).cast("int").alias("row"), (F.col("id") * 7 % 60).cast("int").alias("col"))
+
+def raster_points(spark, d):
+    return places(spark, d, 0.05).withColumnRenamed("vec_id", "point_id")
 
 
 def transects(spark, d):
-    t = raster_points(spark).withColumns({"surface_ft": F.lit(5.0), "d_row": F.lit(0.6), "d_col": F.lit(0.8)})
-    return profile.transect_area(t, cells(spark)).select("point_id", F.round("wet_area_ft2", 4).alias("wet_area_ft2"))
+    return profile.sampled_area(raster_points(spark, d), cells(spark, d), LEFT, TOP).select("point_id", F.round("wet_area_ft2", 3).alias("wet_area_ft2"))
 
 
 def utm_points(spark, d):
     e, n = scalars.utm(F.col("lat"), F.col("lon"))
-    return tables.centreline(spark).select("mile", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"), F.bround(e / 30).cast("bigint").alias("px_col"))
+    return places(spark, d).select("vec_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"), F.bround(e / 30).cast("bigint").alias("px_col"))
 
 
 def rating_pairs(spark, d):
@@ -177,6 +198,12 @@ def feature_table(spark, d):
     return tidy(features.station_features(grid(spark, d), tables.stations(spark), stats.composite(discharge(spark, d)), stats.mean_and_spread(tide(spark, d), "3", "4")), 5, tide_then=12)
 
 
+def mixed_steps(spark, d):
+    """Features in days of stations read by the day and of others read by the hour, in one plan."""
+    hourly = align.reindex(align.resample(tables.hourly_readings(spark, d), "hour"), "hour")
+    return tidy(features.interval_features(grid(spark, d).unionByName(hourly), (1, 7), (7,), (1,)).withColumnRenamed("ts", "at"), 5)
+
+
 def network_features(spark, d):
     """Number, mean and range of each feature of each station: all others, at the lags of the travel times."""
     q = discharge(spark, d)
@@ -222,6 +249,7 @@ def greedy(spark, d):
 QUERIES = {
     "station_features": feature_table,
     "network_features": network_features,
+    "mixed_step_features": mixed_steps,
     "forecast_at_mile": mile_forecast,
     "envelope_profile": envelopes,
     "envelope_exceedance": checked_points,
@@ -233,7 +261,7 @@ QUERIES = {
     "nearest_mile": nearest,
     "bracket_interpolate": bracket,
     "proximity_join": proximity,
-    "pair_enumeration": lambda s, d: network.pairs(tables.stations(s)),
+    "pair_enumeration": pair_list,
     "neighbour_lag_join": neighbour,
     "local_gradient": gradient,
     "travel_time": travel,
@@ -250,10 +278,10 @@ QUERIES = {
     "full_profile": whole_profile,
     "envelope_areas": areas,
     "reference_discharge": reference_q,
-    "river_bearing": lambda s, d: profile.bearings(tables.centreline(s)).select("mile", F.round("bearing_deg", 6).alias("bearing_deg")),
-    "reach_length": lambda s, d: profile.reach_lengths(tables.centreline(s)).select("mile", F.round("reach_mi", 6).alias("reach_mi")),
+    "river_bearing": lambda s, d: profile.bearings(rivers(s, d), keys=("river",)).select("river", "mile", F.round("bearing_deg", 6).alias("bearing_deg")),
+    "reach_length": lambda s, d: profile.reach_lengths(rivers(s, d), ("river",)).select("river", "mile", F.round("reach_mi", 6).alias("reach_mi")),
     "utm_projection": utm_points,
-    "thalweg": lambda s, d: profile.thalweg(raster_points(s), cells(s)).select("point_id", F.round("bed_elev_ft", 6).alias("bed_elev_ft")),
+    "thalweg": lambda s, d: profile.sampled_thalweg(raster_points(s, d), cells(s, d), LEFT, TOP).select("point_id", F.round("bed_elev_ft", 6).alias("bed_elev_ft")),
     "transect_area": transects,
     "rating_pairs": rating_pairs,
 }
@@ -287,12 +315,39 @@ def _profile(controls: str, value: str) -> str:
         FROM (SELECT t0, mile, max({{'m': river_mile, 'v': v}}) FILTER (river_mile <= mile) AS lo, min({{'m': river_mile, 'v': v}}) FILTER (river_mile >= mile) AS hi FROM {controls} CROSS JOIN (SELECT CAST(i * 10 AS DOUBLE) AS mile FROM range(31) t(i)) GROUP BY ALL)"""
 
 
-_BEAR = """SELECT mile, lat, lon, first_value(lat) OVER a AS lat1, first_value(lon) OVER a AS lon1, last_value(lat) OVER b AS lat2, last_value(lon) OVER b AS lon2
-    FROM line WINDOW a AS (ORDER BY mile ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), b AS (ORDER BY mile ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"""
+def _bear(line: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""SELECT {by + ', ' if by else ''}mile, lat, lon, first_value(lat) OVER a AS lat1, first_value(lon) OVER a AS lon1, last_value(lat) OVER b AS lat2, last_value(lon) OVER b AS lon2
+        FROM {line} WINDOW a AS ({part}ORDER BY mile ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), b AS ({part}ORDER BY mile ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"""
+
+
 _BEAR_DEG = "(degrees(atan2((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), lat2 - lat1)) + 360.0) % 360.0"
 _SPEED = "(72.0 * power(greatest(q, 0.05) / 250000.0, 0.4))"
-_CELLS = "SELECT CAST(i // 60 AS INT) AS row, CAST(i % 60 AS INT) AS col, round(sin(i * 0.37) * 20 - i % 60, 6) AS elev_ft FROM range(12000) t(i)"
-_RASTER = "SELECT i AS point_id, CAST(i * 9 + 5 AS INT) AS row, CAST(i * 7 % 60 AS INT) AS col FROM range(20) t(i)"
+def _places(spread: float = 2.0) -> str:
+    e = [f"CAST(embedding[{i}] AS DOUBLE)" for i in range(1, 6)]
+    return f"SELECT vec_id, 30 + CAST({spread} AS DOUBLE) * {e[0]} AS lat, -91 + CAST({spread} AS DOUBLE) * {e[1]} AS lon, round(160 + 400 * {e[2]}, 1) AS mile, 360 * {e[3]} AS bearing_deg, 20 + 40 * {e[4]} AS surface_ft FROM embeddings WHERE len(embedding) >= 5"
+
+
+_RIVERS = f"SELECT vec_id % 5 AS river, CAST(vec_id AS DOUBLE) AS mile, lat, lon FROM ({_places()})"
+_CELLS = "SELECT CAST(l_orderkey % 240 AS INT) AS row, CAST(l_partkey % 240 AS INT) AS col, avg(l_extendedprice) / 1000 - 20 AS elev_ft FROM lineitem GROUP BY 1, 2"
+
+
+def _utm(points: str) -> dict[str, str]:
+    """utm (vec_id, east, north and the points' other columns) of points with lat and lon."""
+    e2 = "CAST(0.00669437999014 AS DOUBLE)"
+    return {
+        "pt": points,
+        "k": f"SELECT *, radians(lat) AS phi, radians(lon + 93.0) AS dl, {e2} AS e2, {e2} / (1 - {e2}) AS ep FROM pt",
+        "tc": "SELECT *, 6378137.0 / sqrt(1 - e2 * sin(phi) * sin(phi)) AS n, tan(phi) * tan(phi) AS t, ep * cos(phi) * cos(phi) AS c, dl * cos(phi) AS a FROM k",
+        "arc": "SELECT *, 6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * phi - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * phi) + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * phi) - 35 * e2 * e2 * e2 / 3072 * sin(6 * phi)) AS m FROM tc",
+        "utm": "SELECT vec_id, bearing_deg, surface_ft, 0.9996 * n * (a + (1 - t + c) * power(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * power(a, 5) / 120) + 500000.0 AS east, 0.9996 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * power(a, 6) / 720)) AS north FROM arc",
+    }
+
+
+def _cell(east: str, north: str) -> str:
+    return f"CAST(round_even(({TOP} - ({north})) / 30, 0) AS INT) AS row, CAST(round_even(({east} - {LEFT}) / 30, 0) AS INT) AS col"
+
+
 _CONTROLS = _DATES | {"near": _at_date("daily", "stations"), "ctl": "SELECT t0, river_mile, m.value AS v FROM near"}
 _NEIGHBOURS = "SELECT station_id, lag(station_id) OVER (ORDER BY river_mile DESC) AS up, lead(station_id) OVER (ORDER BY river_mile DESC) AS dn FROM stations"
 
@@ -330,7 +385,7 @@ _FULL = _CONTROLS | {
     "ws": "SELECT t0, mile, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL OR lo.m = hi.m THEN lo.v ELSE lo.v * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.v * (mile - lo.m) / (hi.m - lo.m) END AS water_surface_ft FROM pb",
     "bm": "SELECT mile, CASE WHEN count(*) OVER a >= 3 THEN quantile_cont(round(-30 + 10 * sin(mile / 7), 6), 0.5) OVER a END AS m FROM line WINDOW a AS (ORDER BY mile ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)",
     "bd": "SELECT mile, CASE WHEN count(m) OVER b >= 3 THEN avg(m) OVER b END AS bed_elev_ft FROM bm WINDOW b AS (ORDER BY mile ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)",
-    "br": f"SELECT mile, lat, lon, {_BEAR_DEG} AS bearing_deg FROM ({_BEAR})",
+    "br": f"SELECT mile, lat, lon, {_BEAR_DEG} AS bearing_deg FROM ({_bear('line')})",
     "ga": "SELECT t0, l.mile, arg_min({'i': station_id, 'm': river_mile, 'v': m.value}, {'o': -river_mile, 'i': station_id}) AS g FROM near CROSS JOIN line l WHERE abs(l.mile - river_mile) < 2 GROUP BY 1, 2",
     "al": "SELECT t0, ws.mile, lat, lon, bearing_deg, bed_elev_ft, water_surface_ft, water_surface_ft - bed_elev_ft AS depth_ft, g IS NOT NULL AS is_gage, g.i AS gage_id, g.v AS gage_stage_ft, g.m AS gage_river_mile, (2200.0 + 2300.0 * ws.mile / 300.0) * greatest(0.4 * water_surface_ft, 0.0) AS wet_area_ft2 FROM ws JOIN br USING (mile) JOIN bd USING (mile) LEFT JOIN ga USING (t0, mile)",
     "rl": "SELECT *, 2 * 3958.8 * asin(sqrt(power(sin(radians(lead(lat) OVER w - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lead(lat) OVER w)) * power(sin(radians(lead(lon) OVER w - lon) / 2), 2))) AS ahead, lag(wet_area_ft2) OVER w AS area0 FROM al WINDOW w AS (PARTITION BY t0 ORDER BY mile DESC)",
@@ -355,11 +410,15 @@ SQL = {
     ),
     "bracket_interpolate": sql(
         "line",
-        f"SELECT mile, {r('CASE WHEN lo IS NULL THEN hi.lat WHEN hi IS NULL THEN lo.lat WHEN lo.m = hi.m THEN lo.lat ELSE lo.lat + (hi.lat - lo.lat) * (mile - lo.m) / (hi.m - lo.m) END', 'lat', 8)}, {r('CASE WHEN lo IS NULL THEN hi.lon WHEN hi IS NULL THEN lo.lon WHEN lo.m = hi.m THEN lo.lon ELSE lo.lon + (hi.lon - lo.lon) * (mile - lo.m) / (hi.m - lo.m) END', 'lon', 8)} FROM b",
-        b="SELECT t.mile, max({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile <= t.mile) AS lo, min({'m': l.mile, 'lat': lat, 'lon': lon}) FILTER (l.mile >= t.mile) AS hi FROM (SELECT CAST(i - 5 AS DOUBLE) AS mile FROM range(320) x(i)) t CROSS JOIN line l GROUP BY 1",
+        f"SELECT vec_id, mile, {r('CASE WHEN lo IS NULL THEN hi.lat WHEN hi IS NULL THEN lo.lat WHEN lo.m = hi.m THEN lo.lat ELSE lo.lat + (hi.lat - lo.lat) * (mile - lo.m) / (hi.m - lo.m) END', 'lat', 8)}, {r('CASE WHEN lo IS NULL THEN hi.lon WHEN hi IS NULL THEN lo.lon WHEN lo.m = hi.m THEN lo.lon ELSE lo.lon + (hi.lon - lo.lon) * (mile - lo.m) / (hi.m - lo.m) END', 'lon', 8)} FROM b",
+        b=f"SELECT vec_id, t.mile, max({{'m': l.mile, 'lat': l.lat, 'lon': l.lon}}) FILTER (l.mile <= t.mile) AS lo, min({{'m': l.mile, 'lat': l.lat, 'lon': l.lon}}) FILTER (l.mile >= t.mile) AS hi FROM ({_places()}) t CROSS JOIN line l GROUP BY 1, 2",
+    ),
+    "proximity_join": sql("stations", f"SELECT vec_id, mile, arg_min(station_id, {{'m': -river_mile, 's': station_id}}) FILTER (abs(mile - river_mile) < 2) AS gage_id, count(*) FILTER (abs(mile - river_mile) < 2) > 0 AS is_gage FROM ({_places()}) CROSS JOIN stations GROUP BY 1, 2"),
+    "pair_enumeration": sql(
+        "daily stations",
+        "SELECT a.station_id AS up, b.station_id AS dn, a.river_mile - b.river_mile AS miles FROM s a JOIN s b ON b.n > a.n AND b.n <= a.n + 3 AND a.river_mile - b.river_mile <= 600",
+        s="SELECT *, row_number() OVER (ORDER BY river_mile DESC, station_id) AS n FROM stations SEMI JOIN (SELECT * FROM daily WHERE ts = TIMESTAMP '1999-01-01') USING (station_id)",
     ),
-    "proximity_join": sql("line stations", "SELECT mile, arg_min(station_id, {'m': -river_mile, 's': station_id}) FILTER (abs(mile - river_mile) < 2) AS gage_id, count(*) FILTER (abs(mile - river_mile) < 2) > 0 AS is_gage FROM line CROSS JOIN stations GROUP BY 1"),
-    "pair_enumeration": sql("pairs", "SELECT up, dn, miles FROM pairs"),
     "neighbour_lag_join": sql("grid pairs", f"SELECT g.station_id, p.up AS neighbour_id, CAST(g.ts AS DATE) AS day, {r('n.value', 'neighbour_value')} FROM g JOIN pairs p ON p.dn = g.station_id LEFT JOIN g n ON n.station_id = p.up AND n.ts = g.ts - to_days(CAST(greatest(round_even(p.miles / 20, 0), 1) AS INT))", g="SELECT * FROM grid"),
     "local_gradient": sql(
         "grid stations",
@@ -412,18 +471,17 @@ SQL = {
         ar="SELECT t0, mile, (2200.0 + 2300.0 * mile / 300.0) * greatest(0.4 * value, 0.0) AS a FROM pr",
         sl="SELECT *, coalesce(0.5 * (a + lag(a) OVER w) * (mile - lag(mile) OVER w) * 5280.0 / 43560.0, 0.0) AS s FROM ar WINDOW w AS (PARTITION BY t0 ORDER BY mile)",
     ),
-    "utm_projection": sql(
-        "line",
-        "SELECT mile, round(east, 3) AS easting, round(north, 3) AS northing, CAST(round_even(east / 30, 0) AS BIGINT) AS px_col FROM utm",
-        k="SELECT mile, radians(lat) AS phi, radians(lon + 93.0) AS dl, CAST(0.00669437999014 AS DOUBLE) AS e2, CAST(0.00669437999014 AS DOUBLE) / (1 - 0.00669437999014) AS ep FROM line",
-        tc="SELECT *, 6378137.0 / sqrt(1 - e2 * sin(phi) * sin(phi)) AS n, tan(phi) * tan(phi) AS t, ep * cos(phi) * cos(phi) AS c, dl * cos(phi) AS a FROM k",
-        arc="SELECT *, 6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * phi - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * phi) + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * phi) - 35 * e2 * e2 * e2 / 3072 * sin(6 * phi)) AS m FROM tc",
-        utm="SELECT mile, 0.9996 * n * (a + (1 - t + c) * power(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * power(a, 5) / 120) + 500000.0 AS east, 0.9996 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * power(a, 6) / 720)) AS north FROM arc",
+    "utm_projection": sql("", "SELECT vec_id, round(east, 3) AS easting, round(north, 3) AS northing, CAST(round_even(east / 30, 0) AS BIGINT) AS px_col FROM utm", **_utm(_places())),
+    "river_bearing": f"SELECT river, mile, {r(_BEAR_DEG, 'bearing_deg')} FROM ({_bear(f'({_RIVERS})', 'river')})",
+    "reach_length": f"SELECT river, mile, {r('2 * 3958.8 * asin(sqrt(power(sin(radians(lat - pl) / 2), 2) + cos(radians(pl)) * cos(radians(lat)) * power(sin(radians(lon - po) / 2), 2)))', 'reach_mi')} FROM (SELECT *, lag(lat) OVER w AS pl, lag(lon) OVER w AS po FROM ({_RIVERS}) WINDOW w AS (PARTITION BY river ORDER BY mile))",
+    "thalweg": sql("", f"SELECT vec_id AS point_id, {r('quantile_cont(elev_ft, 0.05)', 'bed_elev_ft')} FROM p LEFT JOIN c ON abs(p.row - c.row) <= 15 AND abs(p.col - c.col) <= 15 GROUP BY 1", **_utm(_places(0.05)), p=f"SELECT vec_id, {_cell('east', 'north')} FROM utm", c=_CELLS),
+    "transect_area": sql(
+        "",
+        f"SELECT vec_id AS point_id, {r('sum(coalesce(greatest(surface_ft - elev_ft, 0.0), 0.0) * (30 * 3.280839895))', 'wet_area_ft2', 3)} FROM p LEFT JOIN c USING (row, col) GROUP BY 1",
+        **_utm(_places(0.05)),
+        p=f"SELECT vec_id, surface_ft, {_cell('east + sin(radians(bearing_deg + 90)) * (30 * k - 900)', 'north + cos(radians(bearing_deg + 90)) * (30 * k - 900)')} FROM utm CROSS JOIN range(61) t(k)",
+        c=_CELLS,
     ),
-    "river_bearing": sql("line", f"SELECT mile, {r(_BEAR_DEG, 'bearing_deg')} FROM ({_BEAR})"),
-    "reach_length": sql("line", f"SELECT mile, {r('2 * 3958.8 * asin(sqrt(power(sin(radians(lat - pl) / 2), 2) + cos(radians(pl)) * cos(radians(lat)) * power(sin(radians(lon - po) / 2), 2)))', 'reach_mi')} FROM (SELECT *, lag(lat) OVER (ORDER BY mile) AS pl, lag(lon) OVER (ORDER BY mile) AS po FROM line)"),
-    "thalweg": f"WITH c AS ({_CELLS}), p AS ({_RASTER}) SELECT point_id, {r('quantile_cont(elev_ft, 0.05)', 'bed_elev_ft')} FROM p LEFT JOIN c ON abs(p.row - c.row) <= 15 AND abs(p.col - c.col) <= 15 GROUP BY 1",
-    "transect_area": f"WITH c AS ({_CELLS}), p AS (SELECT point_id, CAST(round_even(row + k * 0.6, 0) AS INT) AS row, CAST(round_even(col + k * 0.8, 0) AS INT) AS col FROM ({_RASTER}) CROSS JOIN range(-10, 11) t(k)) SELECT point_id, {r('coalesce(sum(greatest(5.0 - elev_ft, 0.0) * 98.4), 0.0)', 'wet_area_ft2', 4)} FROM p LEFT JOIN c USING (row, col) GROUP BY 1",
     "rating_pairs": sql("daily q0", f"SELECT station_id, count(*) AS n, {r('min(value) - 0.05 * (max(value) - min(value))', 'low')}, {r('max(value) + 0.05 * (max(value) - min(value))', 'high')}, {r('min(q)', 'q_lo')}, {r('max(q)', 'q_hi')} FROM daily JOIN q0 USING (ts) GROUP BY 1"),
     "station_features": sql(
         "grid q tide stations",
@@ -441,6 +499,16 @@ SQL = {
         cq="SELECT ts, avg(value / greatest(m, 1.0)) AS composite FROM q JOIN (SELECT station_id, quantile_cont(value, 0.5) AS m FROM q GROUP BY 1) USING (station_id) GROUP BY 1",
         tq="SELECT ts, avg(value) AS mean FROM tide GROUP BY 1",
     ),
+    "mixed_step_features": sql(
+        "grid",
+        f"""SELECT station_id, ts AS "at", {r('value', 'value', 5)}, steps_per_day, {', '.join(r(f'max(value) OVER l{k}', f'lag{k}', 5) + ', ' + r(f'value - max(value) OVER l{k}', f'd{k}', 5) for k in (1, 7))}, {r('max(value) OVER a1', 'lead1', 5)},
+            {', '.join(r(f'CASE WHEN count(value) OVER w >= greatest(1, floor(0.3 * 7 * steps_per_day)) THEN {f}(value) OVER w END', n, 5) for f, n in (('avg', 'mean7'), ('stddev_samp', 'std7')))}
+            FROM m WINDOW l1 AS ({W} RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), l7 AS ({W} RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING),
+            a1 AS ({W} RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 1 DAY FOLLOWING), w AS ({W} RANGE BETWEEN INTERVAL 604799 SECOND PRECEDING AND CURRENT ROW)""",
+        h="SELECT event_type AS station_id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY ALL",
+        hg="SELECT station_id, CAST(ts AS TIMESTAMP) AS ts, value FROM (SELECT DISTINCT station_id FROM h) CROSS JOIN (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h) LEFT JOIN h USING (station_id, ts)",
+        m="SELECT *, CAST(1 AS BIGINT) AS steps_per_day FROM grid UNION ALL SELECT *, CAST(24 AS BIGINT) FROM hg",
+    ),
     "network_features": sql(
         "grid q tide stations",
         f"SELECT station_id, feature, count(*) AS n, {r('avg(value)', 'mean', 5)}, {r('min(value)', 'low', 5)}, {r('max(value)', 'high', 5)} FROM everything SEMI JOIN grid USING (station_id, ts) WHERE value IS NOT NULL GROUP BY 1, 2",

@@ -473,3 +473,17 @@ def test_drift_reports_the_mean_of_the_last_residuals(spark):
     rows = [("a", DAY0 + dt.timedelta(days=i), 10.0 + 3.0 * (i >= 46), 10.0) for i in range(60)]
     flag = anomaly.drift(spark.createDataFrame(rows, "station_id string, ts timestamp_ntz, value double, predicted double")).first()
     assert (flag.value, flag.expected, flag.flag_type) == (3.0, 0.0, "datum_drift")
+
+
+def test_hourly_features_equal_daily_ones_at_midnight(spark):
+    level = [float((i * i) % 17) if i % 9 else None for i in range(90)]
+    daily = frame(spark, level, "d")
+    hours = spark.createDataFrame([("h", DAY0 + dt.timedelta(days=i, hours=-k), v) for i, v in enumerate(level) for k in range(24)], SCHEMA)  # the day's value up to its midnight
+    for size in (4096, 700):
+        rows = features.interval_features(daily.unionByName(hours), (1, 3), (7, 28), (2,), size=size).where("ts >= '2020-02-05' AND hour(ts) = 0").orderBy("ts")
+        d, h = ([r.asDict() for r in rows.where(F.col("station_id") == s).collect()] for s in "dh")
+        assert len(d) == len(h) == 55 and {r["steps_per_day"] for r in d} == {1} and {r["steps_per_day"] for r in h} == {24}
+        for a, b in zip(d, h, strict=True):
+            same = ["value", "lag1", "lag3", "d1", "d3", "lead2", "mean7", "mean28"]
+            assert [a[c] for c in same] == pytest.approx([b[c] for c in same])
+    assert rows.count() == 110
