@@ -104,10 +104,15 @@ def interpolate(grid: DataFrame, limit: int, unit_seconds: int = 86400, size: in
 
 
 def upsample(daily: DataFrame) -> DataFrame:
-    """Hourly rows from each station's first to its last daily instant, each with the latest daily value."""
-    w = by_time()
-    until = F.coalesce(F.lead("ts").over(w) - F.expr("interval 1 hour"), F.col("ts"))
-    return daily.withColumn("_to", until).select(KEY, F.explode(F.expr("sequence(ts, _to, interval 1 hour)")).alias("ts"), "value")
+    """Hourly rows from each station's first to its last daily instant, each with the latest daily value.
+
+    The next instant is that of the same stretch of time or the first of a later one, so a station uses many tasks.
+    """
+    cut = daily.select(KEY, "ts", "value", F.floor(step_of() / 4096).alias("_s"))
+    firsts = cut.groupBy(KEY, "_s").agg(F.min("ts").alias("_f")).select(KEY, "_s", F.lead("_f").over(Window.partitionBy(KEY).orderBy("_s")).alias("_later"))  # a row a stretch
+    ahead = F.coalesce(F.lead("ts").over(by_time((KEY, "_s"))), F.col("_later"))
+    until = F.coalesce(ahead - F.expr("interval 1 hour"), F.col("ts"))
+    return cut.join(firsts, [KEY, "_s"]).withColumn("_to", until).select(KEY, F.explode(F.expr("sequence(ts, _to, interval 1 hour)")).alias("ts"), "value")
 
 
 def hybrid(rows: DataFrame, stations: DataFrame, below_mile: float = 228.0) -> DataFrame:

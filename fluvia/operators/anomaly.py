@@ -38,7 +38,7 @@ def spikes(rows: DataFrame, n: int = 28, least: int = 7, least_rows: int = 30, i
 
     With ``include_current`` the deviation holds the change itself, whose ratio then can't exceed the root of n; without, it ends one row before.
     """
-    live = rows.where("value IS NOT NULL")
+    live = _latest(rows.where("value IS NOT NULL"), max(n + 2, least_rows)).drop("back")  # no earlier row counts
     w = by_time()
     seen = live.withColumn("previous", F.lag("value").over(w)).withColumn("_c", F.abs(F.col("value") - F.col("previous")))
     seen = seen.withColumn("sigma", over_last(F.col("_c"), "std", n, least, w, 0 if include_current else 1)).withColumn("_n", F.count("*").over(Window.partitionBy(KEY)))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-BUCKETS = 1024
-LEVELS = 2
+BUCKETS = 4096
+LEVELS = 1
 
 
 def _place(points: list[float], n: Column) -> list[Column]:

@@ -276,6 +276,7 @@ QUERIES = {
     "storage_trapezoid": storage,
     "spike_removal_iterative": spatial_spikes,
     "full_profile": whole_profile,
+    "frame_limits": lambda s, d: tidy(profile.frame_limits(built_profile(s, d))),
     "envelope_areas": areas,
     "reference_discharge": reference_q,
     "river_bearing": lambda s, d: profile.bearings(rivers(s, d), keys=("river",)).select("river", "mile", F.round("bearing_deg", 6).alias("bearing_deg")),
@@ -444,6 +445,11 @@ SQL = {
         "SELECT CAST(t0 AS DATE) AS at_day, mile, is_gage, gage_id, " + ", ".join(r(c, c, n) for c, n in PROFILE_DIGITS.items()) + " FROM fin",
         **_FULL,
     ),
+    "frame_limits": sql(
+        "daily stations line",
+        f"SELECT {r('a - 0.05 * (b - a)', 'low')}, {r('b + 0.05 * (b - a)', 'high')} FROM (SELECT least(min(water_surface_ft), min(bed_elev_ft)) AS a, greatest(max(water_surface_ft), max(bed_elev_ft)) AS b FROM fin)",
+        **_FULL,
+    ),
     "envelope_areas": sql(
         "daily q0 q stations line",
         "SELECT CAST(t0 AS DATE) AS at_day, mile, " + ", ".join(r(f"CASE WHEN lo IS NULL THEN hi.{p} WHEN hi IS NULL OR lo.m = hi.m THEN lo.{p} ELSE lo.{p} * (1 - (mile - lo.m) / (hi.m - lo.m)) + hi.{p} * (mile - lo.m) / (hi.m - lo.m) END", f"{p}_yd2", 3) for p in ("p05", "p50", "p95")) + " FROM pa",

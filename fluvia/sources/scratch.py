@@ -34,7 +34,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            _remove(spark, path)
+            remove(spark, path)
 
 
 def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
@@ -48,17 +48,18 @@ def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if _SCOPES and not stays:
         _SCOPES[-1].append(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     for file in df.inputFiles()[:1]:
-        _remove(df.sparkSession, file.rpartition("/")[0])
+        remove(df.sparkSession, file.rpartition("/")[0])
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .formats import RECORD, wide, write_results
+from .scratch import remove
 
 KEY = "station_id"
 #: File of each network table and the column of quality control's result that it holds (fixed names).
@@ -87,6 +88,11 @@ def keyed(spark: SparkSession, folder: str, parts: list[str], make: Callable[[],
         return spark.read.parquet(path)
 
 
+def clear_keyed(spark: SparkSession, folder: str, parts: list[str] | None = None) -> None:
+    """Deletes the table that ``keyed`` keeps under ``parts``, or without them all tables of the folder; what isn't there is no error."""
+    remove(spark, f"{folder}/{hashlib.md5('|'.join(parts).encode()).hexdigest()}" if parts is not None else folder)
+
+
 def write_datum_archive(rows: DataFrame, path: str, source: str = "") -> None:
     """One text a station under ``path``: comments with its code and the columns, then its records in order, split by pipes.
 

@@ -70,6 +70,15 @@ def test_keyed_tables_are_made_once(spark, tmp_path):
         assert store.keyed(spark, str(tmp_path), ["q", "0701", "2020"], make).count() == 3
     store.keyed(spark, str(tmp_path), ["q", "0702", "2020"], make)
     assert len(made) == 2
+    store.clear_keyed(spark, str(tmp_path), ["q", "0701", "2020"])
+    store.clear_keyed(spark, str(tmp_path), ["never", "made"])
+    before = len(made)
+    store.keyed(spark, str(tmp_path), ["q", "0702", "2020"], make)
+    assert len(made) == before
+    store.keyed(spark, str(tmp_path), ["q", "0701", "2020"], make)
+    assert len(made) == before + 1
+    store.clear_keyed(spark, str(tmp_path))
+    assert not tmp_path.exists() or not list(tmp_path.iterdir())
 
 
 def test_datum_archives_and_offsets_come_back(spark, tmp_path):
