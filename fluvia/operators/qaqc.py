@@ -70,10 +70,11 @@ def iterate(grid: DataFrame, predict: Predictor, z: float = 3.5, rounds: int = 4
     for _ in range(rounds):
         ready = rows.groupBy(KEY).agg((F.first("active") & (F.count_if(F.col("value").isNotNull() & ~F.col("excluded")) >= least)).alias("ready"))
         known = rows.join(F.broadcast(ready), KEY).withColumn("training", F.col("value").isNotNull() & ~F.col("excluded"))
-        guess = written(predict(known.drop("predicted")).select(KEY, "ts", "predicted"), "guess")
+        guess = predict(known.drop("predicted")).select(KEY, "ts", "predicted")
         fresh = known.withColumnRenamed("predicted", "_old").join(guess, [KEY, "ts"]).withColumn("predicted", F.when(F.col("ready"), F.col("predicted")).otherwise(F.col("_old")))
+        fresh = written(fresh.drop("_old", "training"), "guess")
         gap = fresh.select(KEY, (F.col("value") - F.col("predicted")).alias("residual")).where("residual IS NOT NULL")
-        spread = robust_sigma(gap, floor, column="residual").select(KEY, F.col("sigma").alias("_sigma"))
+        spread = robust_sigma(gap, floor, column="residual", kept=True).select(KEY, F.col("sigma").alias("_sigma"))
         seen = fresh.join(F.broadcast(spread), KEY, "left")
         out = F.coalesce(F.abs(F.col("value") - F.col("predicted")) > z * F.col("_sigma"), F.lit(False))
         seen = seen.withColumn("is_outlier", F.when(F.col("ready"), out).otherwise(F.col("is_outlier"))).withColumn("sigma", F.when(F.col("ready"), F.col("_sigma")).otherwise(F.col("sigma")))
@@ -81,7 +82,7 @@ def iterate(grid: DataFrame, predict: Predictor, z: float = 3.5, rounds: int = 4
         news = seen.groupBy(KEY).agg((F.first("ready") & F.bool_or("_new")).alias("_active"))
         nxt = seen.join(F.broadcast(news), KEY).select(KEY, "ts", "value", (F.col("excluded") | F.col("_new")).alias("excluded"), "predicted", "sigma", "is_outlier", F.col("_active").alias("active"))
         rows = written(nxt, "round")
-        discard(guess)
+        discard(fresh)
         discard(before)
         before = rows
         if rows.where("active").isEmpty():

@@ -4,6 +4,9 @@ Every wanted quantile is one or two order statistics. The span from a group's le
 ``BUCKETS`` equal parts and their rows are counted; the parts that hold wanted ranks are the next, narrower spans, from
 the least to the greatest value in them. After ``LEVELS`` rounds only the rows of the last spans are counted by value.
 Tasks add up counts (with partial sums before each shuffle) and never hold a group's values.
+
+Where a count shows that no group has more than ``TASK_VALUES`` of them, Spark's ``percentile``, which holds a group's different
+values in a task, gives the same in one pass.
 """
 
 from __future__ import annotations
@@ -15,18 +18,28 @@ from ..sources.scratch import written
 
 BUCKETS = 4096
 LEVELS = 1
+#: Values of a group that a task may hold: 30 years of hours.
+TASK_VALUES = 1 << 18
 
 
 def _place(points: list[float], n: Column) -> list[Column]:
     return [F.lit(p) * (n - 1) for p in points]
 
 
-def select(rows: DataFrame, keys: tuple[str, ...], column: str, points: list[float], buckets: int = BUCKETS, levels: int = LEVELS) -> DataFrame:
+def fits(rows: DataFrame, keys: tuple[str, ...], column: str, most: int = TASK_VALUES) -> bool:
+    """Whether no group has more than ``most`` values; counts them."""
+    return (rows.groupBy(*keys).agg(F.count(column).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= most
+
+
+def select(rows: DataFrame, keys: tuple[str, ...], column: str, points: list[float], buckets: int = BUCKETS, levels: int = LEVELS, small: bool | None = None) -> DataFrame:
     """(keys, n, q): the count of non-null values and their quantiles in order of ``points``, linear between neighbours.
 
     Equal to Spark's ``percentile``. A group without values has no row; without keys an empty table gives one row of nulls with n = 0, as an aggregate does.
-    ``rows`` is read several times: pass a written table.
+    ``rows`` is read several times: pass a written table. small: what ``fits`` says of it, if that is known.
     """
+    if fits(rows, keys, column) if small is None else small:
+        q = F.percentile(column, F.array(*map(F.lit, points)))
+        return rows.groupBy(*keys).agg(F.count(column).alias("n"), q.alias("q")).where(F.col("n") > 0 if keys else F.lit(True))
     live = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
     by, on = list(keys), [*keys, "_all"]
     live = live.withColumn("_all", F.lit(0))
@@ -57,9 +70,9 @@ def select(rows: DataFrame, keys: tuple[str, ...], column: str, points: list[flo
     return rows.sparkSession.range(1).select(F.lit(0).alias("_all")).join(both.select("_all", "n", F.array(*out).alias("q")), "_all", "left").select(F.coalesce("n", F.lit(0)).alias("n"), "q")
 
 
-def median(rows: DataFrame, keys: tuple[str, ...], column: str) -> DataFrame:
+def median(rows: DataFrame, keys: tuple[str, ...], column: str, small: bool | None = None) -> DataFrame:
     """(keys, median)."""
-    return select(rows, keys, column, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    return select(rows, keys, column, [0.5], small=small).select(*keys, F.col("q")[0].alias("median"))
 
 
 def slim(rows: DataFrame, keys: tuple[str, ...], *columns: str) -> DataFrame:

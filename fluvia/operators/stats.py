@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .align import KEY, interpolate
-from .quantile import median, select, slim
+from .quantile import fits, median, select, slim
 
 SCALE = 1.4826
 
 
-def robust_sigma(rows: DataFrame, floor: float = 0.25, keys: tuple[str, ...] = (KEY,), column: str = "value") -> DataFrame:
-    """(keys, median, sigma): 1.4826 times the median absolute deviation, at least ``floor``; exact. Keys without values have no row."""
-    values = slim(rows, keys, column)
-    med = written(median(values, keys, column), "medians")
+def robust_sigma(rows: DataFrame, floor: float = 0.25, keys: tuple[str, ...] = (KEY,), column: str = "value", kept: bool = False) -> DataFrame:
+    """(keys, median, sigma): 1.4826 times the median absolute deviation, at least ``floor``; exact. Keys without values have no row.
+
+    rows are written first unless they come from a table that is ``kept``.
+    """
+    values = rows.where(F.col(column).isNotNull()).select(*keys, column) if kept else slim(rows, keys, column)
+    small = fits(values, keys, column)
+    med = median(values, keys, column, small)
+    med = med if small else written(med, "medians")
     gone = values.join(F.broadcast(med), list(keys)).select(*keys, F.abs(F.col(column) - F.col("median")).alias("_d"))
-    mad = median(gone, keys, "_d").withColumnRenamed("median", "_m")
+    mad = median(gone, keys, "_d", small).withColumnRenamed("median", "_m")
     return med.join(mad, list(keys)).select(*keys, "median", F.greatest(F.col("_m") * SCALE, F.lit(floor)).alias("sigma"))
 
 

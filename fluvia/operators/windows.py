@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .align import KEY, blocks, by_time, numbered, own
 
 
@@ -91,15 +92,15 @@ def extrema(rows: DataFrame, half: int = 15, share: float = 0.4, floor: float =
     """Strict peaks and troughs among the non-null rows, counted by position.
 
     A peak is above all ``half`` rows on either side, and the whole window ranges over at least max(share * robust sigma, floor).
-    Rows nearer to an end than ``half`` are none.
+    Rows nearer to an end than ``half`` are none. The readings are a written table, which numbering and sigma read.
     """
     from .stats import robust_sigma
 
-    rows = rows.where("value IS NOT NULL")
+    rows = written(rows.where("value IS NOT NULL"), "readings")
     cut, parts = blocks(numbered(rows), half, half, size=size, place="_i")
     w = Window.partitionBy(*parts).orderBy("_i")
     left, right, whole = w.rowsBetween(-half, -1), w.rowsBetween(1, half), w.rowsBetween(-half, half)
-    ranged = cut.join(F.broadcast(robust_sigma(rows, floor=0.25)), KEY)
+    ranged = cut.join(F.broadcast(robust_sigma(rows, floor=0.25, kept=True)), KEY)
     seen = ranged.withColumns(
         {
             "_full": (F.count("value").over(left) == half) & (F.count("value").over(right) == half),

@@ -111,7 +111,8 @@ def test_quantiles_are_exact(spark, settings):
     rows = [(g, b, v) for g, n in (("a", 500), ("b", 1), ("c", 2), ("d", 37)) for b, v in zip(itertools.cycle("xy"), values(n, n), strict=False)] + [("e", "x", None), ("f", "x", 2.0), ("f", "x", 2.0)]
     df = spark.createDataFrame(rows, "g string, b string, v double").repartition(4)
     for keys in (("g",), ("g", "b"), ()):
-        got = quantile.select(df, keys, "v", POINTS, **settings).collect()
+        got = quantile.select(df, keys, "v", POINTS, **settings, small=False).collect()
+        assert sorted(map(str, got)) == sorted(map(str, quantile.select(df, keys, "v", POINTS).collect()))
         q = F.percentile("v", F.array(*map(F.lit, POINTS)))
         want = (df.groupBy(*keys) if keys else df).agg(F.count("v").alias("n"), q.alias("q")).where("n > 0").collect()
         assert sorted(map(str, got)) == sorted(map(str, want))
@@ -119,11 +120,14 @@ def test_quantiles_are_exact(spark, settings):
 
 def test_one_station_of_many_values(spark):
     df = spark.range(0, 200_000, 1, 8).select(F.lit("s").alias("station_id"), (F.pmod(F.col("id") * 7919, F.lit(200_000)) / 3).alias("v"))
-    r = quantile.select(df, ("station_id",), "v", [0.5, 0.999]).first()
+    r = quantile.select(df, ("station_id",), "v", [0.5, 0.999], small=False).first()
     assert r.n == 200_000 and r.q == df.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.999)))).first()[0]
 
 
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "g string, v double")
-    assert quantile.select(empty, ("g",), "v", [0.5]).count() == 0
-    assert tuple(quantile.select(empty, (), "v", [0.5]).first()) == (0, None)
+    for small in (True, False):
+        assert quantile.select(empty, ("g",), "v", [0.5], small=small).count() == 0
+        assert tuple(quantile.select(empty, (), "v", [0.5], small=small).first()) == (0, None)
+    one = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
+    assert quantile.fits(one, ("g",), "v", 2) and not quantile.fits(one, ("g",), "v", 1) and quantile.fits(empty, ("g",), "v", 0)
