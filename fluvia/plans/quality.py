@@ -42,8 +42,8 @@ def datum_offsets(spark):
 
 
 def drift_flags(spark, d):
-    """The drift flags themselves, at half a sigma so that some stations have one."""
-    return tidy(anomaly.drift(predicted(spark, d), 0.5).select("station_id", "flag_type", "severity", F.col("date_detected").alias("day"), "value", "expected"))
+    """The drift flags themselves, at a fifth of a sigma so that some stations have one."""
+    return tidy(anomaly.drift(predicted(spark, d), 0.2).select("station_id", "flag_type", "severity", F.col("date_detected").alias("day"), "value", "expected"))
 
 
 def metrics(spark, d):
@@ -159,7 +159,7 @@ QUERIES = {
     "flatline": lambda s, d: tidy(anomaly.flatline_runs(rounded_tail(s, d))),
     "spike": lambda s, d: tidy(anomaly.spikes(daily(s, d))),
     "spike_lagged_sigma": lambda s, d: tidy(anomaly.spikes(daily(s, d), include_current=False)),
-    "datum_drift": lambda s, d: tidy(anomaly.drift_shifts(predicted(s, d))),
+    "datum_drift": lambda s, d: tidy(anomaly.drift_shifts(predicted(s, d)), sigma=9),
     "drift_flags": drift_flags,
     "network_consistency": lambda s, d: tidy(anomaly.consistency_scores(predicted(s, d))),
     "anomaly_report": lambda s, d: anomaly.detect(rounded_tail(s, d, 60.0), predicted(s, d)).groupBy("flag_type", "severity").agg(F.count("*").alias("n")),
@@ -236,8 +236,8 @@ SQL = {
     ),
     "spike": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('previous', 'previous')}, {r('change', 'change')}, {r('sigma', 'sigma')} FROM ({_SPIKE.format(a='27 PRECEDING', b='CURRENT ROW')})"),
     "spike_lagged_sigma": sql("daily", f"SELECT station_id, {DAY}, {r('value', 'value')}, {r('previous', 'previous')}, {r('change', 'change')}, {r('sigma', 'sigma')} FROM ({_SPIKE.format(a='28 PRECEDING', b='1 PRECEDING')})"),
-    "datum_drift": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('avg(residual) FILTER (back <= 14)', 'value')}, {r('avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)', 'shift')}, {r('any_value(sigma)', 'sigma')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
-    "drift_flags": sql("daily", f"SELECT station_id, 'datum_drift' AS flag_type, 'warning' AS severity, CAST(max(ts) AS DATE) AS day, {r('avg(residual) FILTER (back <= 14)', 'value')}, CAST(0 AS DOUBLE) AS expected FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28 AND abs(avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)) > 0.5 * any_value(sigma)", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
+    "datum_drift": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('avg(residual) FILTER (back <= 14)', 'value')}, {r('avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)', 'shift')}, {r('any_value(sigma)', 'sigma', 9)} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
+    "drift_flags": sql("daily", f"SELECT station_id, 'datum_drift' AS flag_type, 'warning' AS severity, CAST(max(ts) AS DATE) AS day, {r('avg(residual) FILTER (back <= 14)', 'value')}, CAST(0 AS DOUBLE) AS expected FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 28 AND abs(avg(residual) FILTER (back <= 14) - avg(residual) FILTER (back > 14)) > 0.2 * any_value(sigma)", **_PRED, tail=_TAIL, **_sigma_of_tail("back > 14")),
     "network_consistency": sql("daily", f"SELECT station_id, CAST(max(ts) AS DATE) AS day, {r('arg_max(value, ts)', 'value')}, {r('arg_max(predicted, ts)', 'predicted')}, {r('(arg_max(residual, ts) - avg(residual)) / any_value(sigma)', 'z')} FROM tail JOIN ls USING (station_id) GROUP BY 1 HAVING count(*) >= 5", **_PRED, tail=_TAIL, **_sigma_of_tail("TRUE")),
     "anomaly_report": sql(
         "daily",

@@ -169,9 +169,9 @@ LEFT, TOP = 689300.0, 3324000.0
 
 
 def cells(spark, d):
-    """A raster of 240 by 240 cells of 30 metres: mean prices of line items dealt to cells."""
+    """A raster of 240 by 240 cells of 30 metres: the least price of the line items dealt to each cell."""
     rows = tables.read(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 240).cast("int").alias("row"), (F.col("l_partkey") % 240).cast("int").alias("col"))
-    return rows.agg((F.avg("l_extendedprice") / 1000 - 20).alias("elev_ft"))
+    return rows.agg((F.min("l_extendedprice") / 1000 - 20).alias("elev_ft"))
 
 
 def raster_points(spark, d):
@@ -282,7 +282,7 @@ QUERIES = {
     "river_bearing": lambda s, d: profile.bearings(rivers(s, d), keys=("river",)).select("river", "mile", F.round("bearing_deg", 6).alias("bearing_deg")),
     "reach_length": lambda s, d: profile.reach_lengths(rivers(s, d), ("river",)).select("river", "mile", F.round("reach_mi", 6).alias("reach_mi")),
     "utm_projection": utm_points,
-    "thalweg": lambda s, d: profile.sampled_thalweg(raster_points(s, d), cells(s, d), LEFT, TOP).select("point_id", F.round("bed_elev_ft", 6).alias("bed_elev_ft")),
+    "thalweg": lambda s, d: profile.sampled_thalweg(raster_points(s, d), cells(s, d), LEFT, TOP).select("point_id", F.round("bed_elev_ft", 8).alias("bed_elev_ft")),
     "transect_area": transects,
     "rating_pairs": rating_pairs,
 }
@@ -330,7 +330,7 @@ def _places(spread: float = 2.0) -> str:
 
 
 _RIVERS = f"SELECT vec_id % 5 AS river, CAST(vec_id AS DOUBLE) AS mile, lat, lon FROM ({_places()})"
-_CELLS = "SELECT CAST(l_orderkey % 240 AS INT) AS row, CAST(l_partkey % 240 AS INT) AS col, avg(l_extendedprice) / 1000 - 20 AS elev_ft FROM lineitem GROUP BY 1, 2"
+_CELLS = "SELECT CAST(l_orderkey % 240 AS INT) AS row, CAST(l_partkey % 240 AS INT) AS col, min(l_extendedprice) / 1000 - 20 AS elev_ft FROM lineitem GROUP BY 1, 2"
 
 
 def _utm(points: str) -> dict[str, str]:
@@ -480,7 +480,7 @@ SQL = {
     "utm_projection": sql("", "SELECT vec_id, round(east, 3) AS easting, round(north, 3) AS northing, CAST(round_even(east / 30, 0) AS BIGINT) AS px_col FROM utm", **_utm(_places())),
     "river_bearing": f"SELECT river, mile, {r(_BEAR_DEG, 'bearing_deg')} FROM ({_bear(f'({_RIVERS})', 'river')})",
     "reach_length": f"SELECT river, mile, {r('2 * 3958.8 * asin(sqrt(power(sin(radians(lat - pl) / 2), 2) + cos(radians(pl)) * cos(radians(lat)) * power(sin(radians(lon - po) / 2), 2)))', 'reach_mi')} FROM (SELECT *, lag(lat) OVER w AS pl, lag(lon) OVER w AS po FROM ({_RIVERS}) WINDOW w AS (PARTITION BY river ORDER BY mile))",
-    "thalweg": sql("", f"SELECT vec_id AS point_id, {r('quantile_cont(elev_ft, 0.05)', 'bed_elev_ft')} FROM p LEFT JOIN c ON abs(p.row - c.row) <= 15 AND abs(p.col - c.col) <= 15 GROUP BY 1", **_utm(_places(0.05)), p=f"SELECT vec_id, {_cell('east', 'north')} FROM utm", c=_CELLS),
+    "thalweg": sql("", f"SELECT vec_id AS point_id, {r('quantile_cont(elev_ft, 0.05)', 'bed_elev_ft', 8)} FROM p LEFT JOIN c ON abs(p.row - c.row) <= 15 AND abs(p.col - c.col) <= 15 GROUP BY 1", **_utm(_places(0.05)), p=f"SELECT vec_id, {_cell('east', 'north')} FROM utm", c=_CELLS),
     "transect_area": sql(
         "",
         f"SELECT vec_id AS point_id, {r('sum(coalesce(greatest(surface_ft - elev_ft, 0.0), 0.0) * (30 * 3.280839895))', 'wet_area_ft2', 3)} FROM p LEFT JOIN c USING (row, col) GROUP BY 1",
