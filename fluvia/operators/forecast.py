@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from datetime import timedelta
 
@@ -16,6 +17,7 @@ from ..sources.scratch import discard, written
 from .align import KEY, blocks, by_time, numbered, own
 from .boosting import Boosted, Settings
 from .boosting import fit as fit_all
+from .lags import station_lags
 from .quantile import median, slim
 from .windows import decay_weights, over_last, split_by_place
 
@@ -31,44 +33,80 @@ GRADIENT_LAGS = (1, 2, 3)
 
 @dataclass
 class Network:
-    """What a station's features take from the others: stations (station_id, river_mile) and the composite discharge (ts, composite)."""
+    """What a station's features take from the others: stations (station_id, river_mile) and the composite discharge (ts, composite).
+
+    reach: so many nearest stations up and down, each at the travel time between; None: every other station, each at its up to seven
+    adaptive lags (``lags.station_lags``). table: slots already known, see ``settled``.
+    """
 
     stations: DataFrame
     composite: DataFrame
-    reach: int = 2
+    reach: int | None = 2
     speed: float = 72.0
+    table: DataFrame | None = None
 
-    def slots(self) -> DataFrame:
-        """(station_id, other, slot, lag): the ``reach`` nearest stations up and down at the travel time between, and the nearest ones at each gradient lag."""
+    def slots(self, grid: DataFrame) -> DataFrame:
+        """(station_id, other, slot, lag): the neighbours that a station reads, how many days before and as what, and the nearest ones at each gradient lag.
+
+        With all stations slot n<id>_<i> is the i-th least lag and n<id>_mid the middle one.
+        """
+        if self.table is not None:
+            return self.table
         s = self.stations.where("river_mile IS NOT NULL").select(KEY, "river_mile")
         both = s.crossJoin(F.broadcast(s.toDF("other", "_m"))).where(F.col(KEY) != F.col("other"))  # the station dimension with itself
         gap = F.abs(F.col("_m") - F.col("river_mile"))
         side = F.when((F.col("_m") > F.col("river_mile")) | (F.col("_m") == F.col("river_mile")) & (F.col("other") < F.col(KEY)), "up").otherwise("dn")
-        near = both.withColumn("side", side).withColumn("n", F.row_number().over(Window.partitionBy(KEY, "side").orderBy(gap, "other"))).where(F.col("n") <= self.reach)
-        travel = F.struct(F.concat("side", F.col("n").cast("string")).alias("slot"), F.greatest(F.lit(1), half_even(gap / self.speed)).cast("int").alias("lag"))
+        near = both.withColumn("side", side).withColumn("n", F.row_number().over(Window.partitionBy(KEY, "side").orderBy(gap, "other")))
         level = [F.when(F.col("n") == 1, F.struct(F.concat("side", F.lit(f"_g{k}")).alias("slot"), F.lit(k).alias("lag"))) for k in GRADIENT_LAGS]
-        return near.select(KEY, "other", F.explode(F.array_compact(F.array(travel, *level))).alias("x")).select(KEY, "other", "x.*")
+        if self.reach is None:
+            paced = station_lags(both.select(KEY, "other", gap.alias("miles")), grid, self.speed)
+            own_slot = lambda what, lag: F.struct(F.concat(F.lit("n"), "other", F.lit("_"), what).alias("slot"), lag.cast("int").alias("lag"))
+            each = F.transform("lags", lambda k, i: own_slot((i + 1).cast("string"), k))
+            far = paced.select(KEY, "other", F.explode(F.concat(each, F.array(own_slot(F.lit("mid"), F.get("lags", F.floor(F.size("lags") / 2)))))).alias("x"))
+            return far.unionByName(near.select(KEY, "other", F.explode(F.array_compact(F.array(*level))).alias("x"))).select(KEY, "other", "x.*")
+        travel = F.struct(F.concat("side", F.col("n").cast("string")).alias("slot"), F.greatest(F.lit(1), half_even(gap / self.speed)).cast("int").alias("lag"))
+        return near.where(F.col("n") <= self.reach).select(KEY, "other", F.explode(F.array_compact(F.array(travel, *level))).alias("x")).select(KEY, "other", "x.*")
+
+    def settled(self, grid: DataFrame) -> Network:
+        """This network with its slots written, so that a part of the grid reads the lags of the whole."""
+        return self if self.table is not None else replace(self, table=written(self.slots(grid), "slots"))
+
+    def picks(self) -> list[tuple[str, str, str]]:
+        """(slot, what is taken there, name of the feature)."""
+        if self.reach is not None:
+            return [(f"{s}{n}", c, f"{s}{n}_{c}") for s in ("up", "dn") for n in range(1, self.reach + 1) for c in ("value", "d1", "mean7")]
+        ids = [r[0] for r in self.stations.where("river_mile IS NOT NULL").select(KEY).distinct().orderBy(KEY).collect()]  # the station dimension
+        plain = lambda i: "n" + re.sub(r"\W", "_", i)
+        names = {i: plain(i) if sum(plain(j) == plain(i) for j in ids) == 1 else f"{plain(i)}_{k}th" for k, i in enumerate(ids)}
+        return [(f"n{i}_{k}", "value", f"{names[i]}_lag{k}") for i in ids for k in range(1, 8)] + [(f"n{i}_mid", c, f"{names[i]}_{c}") for i in ids for c in ("d1", "mean7")]
+
+    def sent(self, grid: DataFrame) -> DataFrame:
+        """(station_id, ts, other, slot, lag, value, d1, mean7): each neighbour's reading, daily change and weekly mean, at the day that reads it."""
+        cut, keys = blocks(grid.select(KEY, "ts", "value"), 8)
+        w = by_time(keys)
+        live = own(cut.withColumns({"d1": F.col("value") - F.lag("value", 1).over(w), "mean7": over_last(F.col("value"), "avg", 7, 1, w)}))
+        ahead = live.withColumnRenamed(KEY, "other").join(F.broadcast(self.slots(grid)), "other")
+        return ahead.select(KEY, (F.col("ts") + F.make_interval(days=F.col("lag"))).alias("ts"), "other", "slot", "lag", "value", "d1", "mean7")
 
     def add(self, rows: DataFrame, grid: DataFrame) -> tuple[DataFrame, list[str]]:
-        """rows with the neighbours' values, changes and weekly means a travel time before, slopes to the nearest ones, and composite discharge.
+        """rows with the neighbours' values, changes and weekly means, slopes to the nearest ones, and composite discharge.
 
-        Each neighbour's row is sent ahead to the station and day that read it, so all slots take one shuffle.
+        Each neighbour's row is sent ahead to the station and day that read it, so all slots take one shuffle. With all stations a column
+        ``_lacks`` counts the features that a station never has: its own, and lags that fall together.
         """
-        cut, keys = blocks(grid.select(KEY, "ts", "value"), 8)
-        w = by_time(keys)
-        live = own(cut.withColumns({"d1": F.col("value") - F.lag("value", 1).over(w), "mean7": over_last(F.col("value"), "avg", 7, 1, w)}))
-        sent = live.withColumnRenamed(KEY, "other").join(F.broadcast(self.slots()), "other")
-        sent = sent.withColumn("ts", F.col("ts") + F.make_interval(days=F.col("lag")))
-        sides = [f"{s}{n}" for s in ("up", "dn") for n in range(1, self.reach + 1)]
+        picks = self.picks()
         pick = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
-        wide = sent.groupBy(KEY, "ts").agg(*(pick(s, c).alias(f"{s}_{c}") for s in sides for c in ("value", "d1", "mean7")), *(pick(f"{s}_g{k}", "value").alias(f"_{s}_g{k}") for s in ("up", "dn") for k in GRADIENT_LAGS))
+        wide = self.sent(grid).groupBy(KEY, "ts").agg(*(pick(s, c).alias(name) for s, c, name in picks), *(pick(f"{s}_g{k}", "value").alias(f"_{s}_g{k}") for s in ("up", "dn") for k in GRADIENT_LAGS))
         q = self.composite.select(F.explode(F.array(*(F.struct((F.col("ts") + F.make_interval(days=F.lit(k))).alias("ts"), F.lit(k).alias("k"), F.col("composite").alias("c")) for k in COMPOSITE_LAGS))).alias("x")).select("x.*")
         q = q.groupBy("ts").agg(*(F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"q_lag{k}") for k in COMPOSITE_LAGS))
         out = rows.join(wide, [KEY, "ts"], "left").join(q, "ts", "left")
+        if self.reach is None:
+            has = self.slots(grid).where(F.col("slot").startswith("n")).groupBy(KEY).agg(F.sum(F.when(F.col("slot").endswith("_mid"), 2).otherwise(1)).alias("_has"))
+            out = out.join(F.broadcast(has), KEY, "left").withColumn("_lacks", F.lit(len(picks)) - F.coalesce("_has", F.lit(0))).drop("_has")  # a row a station
         # upstream less self and self less downstream: positive where the surface falls down the river
         slopes = {f"slope_up{k}": F.col(f"_up_g{k}") - F.col(f"lag{k}") for k in GRADIENT_LAGS} | {f"slope_dn{k}": F.col(f"lag{k}") - F.col(f"_dn_g{k}") for k in GRADIENT_LAGS}
         out = out.withColumns(slopes).drop(*(f"_{s}_g{k}" for s in ("up", "dn") for k in GRADIENT_LAGS))
-        return out, [*(f"{s}_{c}" for s in sides for c in ("value", "d1", "mean7")), *slopes, *(f"q_lag{k}" for k in COMPOSITE_LAGS)]
+        return out, [*(name for *_, name in picks), *slopes, *(f"q_lag{k}" for k in COMPOSITE_LAGS)]
 
 
 def features(grid: DataFrame, network: Network | None = None, lags=LAGS, rates=RATES, rolls=ROLLS) -> tuple[DataFrame, list[str]]:
@@ -90,12 +128,17 @@ def features(grid: DataFrame, network: Network | None = None, lags=LAGS, rates=R
     return rows, names + more
 
 
+def _possible(rows: DataFrame, names: list[str]) -> Column:
+    """How many of the features a row's station can have."""
+    return F.lit(len(names)) - F.col("_lacks") if "_lacks" in rows.columns else F.lit(len(names))
+
+
 def training_set(rows: DataFrame, names: list[str], horizon: int, steps_per_day: int = 1, share: float = 0.3) -> DataFrame:
     """rows with target (the value ``horizon`` days ahead) and is_train (the first 80 % of each station): a target and over ``share`` of the features are there."""
     present = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
     cut, keys = blocks(rows, 0, horizon * steps_per_day, 86400 // steps_per_day)
     ahead = own(cut.withColumn("target", F.lead("value", horizon * steps_per_day).over(by_time(keys))))
-    return split_by_place(ahead.where(F.col("target").isNotNull() & (present > share * len(names))))
+    return split_by_place(ahead.where(F.col("target").isNotNull() & (present > share * _possible(rows, names))))
 
 
 def scoring_rows(rows: DataFrame) -> DataFrame:
@@ -192,7 +235,7 @@ def gauge_targets(rows: DataFrame, names: list[str], horizons, steps_per_day: in
     reach = max(horizons) * steps_per_day
     cut, keys = blocks(rows, 0, reach, 86400 // steps_per_day)
     w = by_time(keys)
-    ahead = own(cut.withColumns({f"target_{h}": F.lead("value", h * steps_per_day).over(w) for h in horizons}).withColumn("_ok", present > share * len(names)))
+    ahead = own(cut.withColumns({f"target_{h}": F.lead("value", h * steps_per_day).over(w) for h in horizons}).withColumn("_ok", present > share * _possible(rows, names)))
     ahead = written(ahead, "targets")
     each = F.array(*(F.when(F.col(f"target_{h}").isNotNull() & F.col("_ok"), F.lit(h)) for h in horizons))
     known = ahead.select(KEY, "ts", F.explode(F.array_compact(each)).alias("_h"))
@@ -213,7 +256,7 @@ def gauge_targets(rows: DataFrame, names: list[str], horizons, steps_per_day: in
 
 def gauge_models(grid: DataFrame, horizons=(1,), network: Network | None = None, most_null: float = 1.0, least: int = 0, half_life: float | None = None, **settings) -> tuple[Boosted, DataFrame]:
     """A boosted model for every station and horizon, all fitted at once, and the feature rows they read. With ``half_life`` recent rows weigh more."""
-    rows, names = features(grid, network)
+    rows, names = features(grid, None if network is None else network.settled(grid))
     known = gauge_targets(rows, names, horizons, most_null=most_null, least=least)
     if half_life is not None:
         known = decay_weights(known, half_life)
@@ -241,9 +284,12 @@ def recursive(grid: DataFrame, days: int = 7, keep_days: int = 60, network: Netw
     """(station_id, origin, horizon, pred, lo, hi): each station's one-day model fed its own results; the band grows with the root of the horizon.
 
     All stations step together: each day's features read the neighbours' forecasts of the days before, and the last known
-    discharge goes on. The last ``keep_days`` days and the forecasts so far are a written table, which each day reads and
+    discharge goes on. The last ``keep_days`` days (or as many as the longest lag asks for) and the forecasts so far are a written table, which each day reads and
     adds to, so no rows pass the driver and the lineage is one day long.
     """
+    if network is not None:
+        network = network.settled(grid)
+        keep_days = max(keep_days, (network.table.agg(F.max("lag")).first()[0] or 0) + 8)
     models, _ = gauge_models(grid, (1,), network, **settings)
     spark, end = grid.sparkSession, grid.where("value IS NOT NULL").agg(F.max("ts")).first()[0]
     if end is None:

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import adaptive_speed, half_even
@@ -126,7 +126,27 @@ def adaptive_lags(pairs: DataFrame, q: DataFrame, reference: float | None = None
     slowness = q.where("q IS NOT NULL").withColumn("_s", 1 / adaptive_speed(F.col("q"), base, reference))
     cuts = select(slim(slowness, (), "_s"), (), "_s", [0.1, 0.25, 0.5, 0.75, 0.9])
     rows = pairs.crossJoin(F.broadcast(cuts.select(F.col("q").alias("_c"))))  # one row
+    return rows.select("up", "dn", F.when(F.col("miles") <= 0, _days(1, 2, 3)).otherwise(_lag_set(base)).alias("lags"))
+
+
+def station_lags(pairs: DataFrame, readings: DataFrame, base: float = 72.0, reference: float = 700_000.0) -> DataFrame:
+    """(station_id, other, lags) for pairs (station_id, other, miles): the rules of ``adaptive_lags``, paced by the station's own readings.
+
+    As in the original the readings stand where the discharge would, so a low stage gives long lags. Pairs at one place: 1, 2, 3, 4, 5, 7 and 10
+    days. A station without a reading takes the base speed.
+    """
+    slowness = readings.where("value IS NOT NULL").select(KEY, (1 / adaptive_speed(F.col("value"), base, reference)).alias("_s"))
+    cuts = select(slim(slowness, (KEY,), "_s"), (KEY,), "_s", [0.1, 0.25, 0.5, 0.75, 0.9]).select(KEY, F.col("q").alias("_c"))
+    rows = pairs.join(F.broadcast(cuts), KEY, "left")  # a row a station
+    return rows.select(KEY, "other", F.when(F.col("miles") <= 0, _days(1, 2, 3, 4, 5, 7, 10)).otherwise(_lag_set(base)).alias("lags"))
+
+
+def _days(*days: int) -> Column:
+    return F.array(*(F.lit(k).cast("bigint") for k in days))
+
+
+def _lag_set(base: float) -> Column:
+    """The lags of a row with miles and _c, the quantiles of the days a mile takes, or null."""
     times = F.coalesce(F.transform("_c", lambda c: F.col("miles") * c), F.array(*(F.col("miles") / (base * f) for f in (1.4, 1.4, 1.0, 0.6, 0.6))))
     days = F.transform(times, lambda t: F.greatest(F.lit(1), half_even(t)).cast("bigint"))
-    lags = F.array_sort(F.array_distinct(F.concat(days, F.array(F.element_at(days, 3) + 3, F.element_at(days, 3) + 7))))
-    return rows.select("up", "dn", F.when(F.col("miles") <= 0, F.array(*(F.lit(k).cast("bigint") for k in (1, 2, 3)))).otherwise(lags).alias("lags"))
+    return F.array_sort(F.array_distinct(F.concat(days, F.array(F.element_at(days, 3) + 3, F.element_at(days, 3) + 7))))

@@ -71,6 +71,14 @@ def river_network(spark, d):
     return forecast.Network(tables.stations(spark), stats.composite(discharge(spark, d)))
 
 
+def adaptive_neighbours(spark, d):
+    """What each station reads of each other one: how many days before, the number of readings, and means of value, daily change and week."""
+    g = grid(spark, d)
+    network = forecast.Network(tables.stations(spark), stats.composite(discharge(spark, d)), reach=None).settled(g)
+    rows = network.sent(g).where(F.col("slot").startswith("n")).join(g.select("station_id", "ts"), ["station_id", "ts"], "left_semi")
+    return tidy(rows.groupBy("station_id", "other", "slot", "lag").agg(F.count("value").alias("n"), *(F.avg(c).alias(c) for c in ("value", "d1", "mean7"))))
+
+
 def tier_forecast(spark, d):
     """Tomorrow at every station by its own model, which reads the neighbours, tier by tier."""
     return forecast.tiered(grid(spark, d), tables.stations(spark), network=river_network(spark, d))
@@ -176,6 +184,7 @@ QUERIES = {
     "gbt_fit": gbt,
     "qaqc_trees": tree_result,
     "model_importance": model_importance,
+    "adaptive_neighbours": adaptive_neighbours,
     "forecast_direct": lambda s, d: forecast.direct(grid(s, d), network=river_network(s, d)),
     "forecast_recursive": lambda s, d: forecast.recursive(grid(s, d), network=river_network(s, d)),
     "forecast_tiered": tier_forecast,
@@ -229,6 +238,15 @@ _FEATURES = (
 _NAMES = [f.rpartition(" AS ")[2] for f in _FEATURES]
 
 SQL = {
+    "adaptive_neighbours": sql(
+        "grid stations",
+        f"SELECT c.station_id, c.other, slot, lag, count(g1.value) AS n, {r('avg(g1.value)', 'value')}, {r('avg(d1)', 'd1')}, {r('avg(mean7)', 'mean7')} FROM grid t JOIN c USING (station_id) JOIN g1 ON g1.station_id = c.other AND g1.ts = t.ts - to_days(CAST(lag AS INT)) GROUP BY ALL",
+        g1=f"SELECT *, value - lag(value) OVER ({W}) AS d1, avg(value) OVER ({W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean7 FROM grid",
+        cuts="SELECT station_id, quantile_cont(1 / (72.0 * power(greatest(value, 0.05) / 700000.0, 0.4)), [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM grid WHERE value IS NOT NULL GROUP BY 1",
+        dd="SELECT a.station_id, b.station_id AS other, list_transform(q, lambda x: CAST(greatest(1, round_even(abs(a.river_mile - b.river_mile) * x, 0)) AS BIGINT)) AS d FROM stations a JOIN stations b ON a.station_id <> b.station_id JOIN cuts ON cuts.station_id = a.station_id",
+        ll="SELECT station_id, other, list_sort(list_distinct(list_concat(d, [d[3] + 3, d[3] + 7]))) AS l FROM dd",
+        c="SELECT station_id, other, 'n' || other || '_' || i AS slot, l[i] AS lag FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM ll) UNION ALL SELECT station_id, other, 'n' || other || '_mid', l[len(l) // 2 + 1] FROM ll",
+    ),
     "flatline": sql(
         "daily",
         f"SELECT station_id, CAST(max(ts) AS DATE) AS day, max(v) AS value, coalesce(min(back) FILTER (value <> v) - 1, count(*)) AS n FROM (SELECT *, first_value(value) OVER (PARTITION BY station_id ORDER BY back) AS v FROM t) GROUP BY 1",

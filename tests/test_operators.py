@@ -487,3 +487,44 @@ def test_hourly_features_equal_daily_ones_at_midnight(spark):
             same = ["value", "lag1", "lag3", "d1", "d3", "lead2", "mean7", "mean28"]
             assert [a[c] for c in same] == pytest.approx([b[c] for c in same])
     assert rows.count() == 110
+
+
+def test_every_station_is_read_at_its_adaptive_lags(spark):
+    grid, stations, network_ = river(spark)
+    high = grid.withColumn("value", F.when(F.col("station_id") == "c", None).otherwise(700_000.0 + F.datediff("ts", F.lit(DAY0)) * 0.001))
+    net = forecast.Network(network_.stations, network_.composite, reach=None)
+    slots = {}
+    for r in net.slots(high).collect():
+        slots.setdefault((r.station_id, r.other), {})[r.slot] = r.lag
+    assert {k: v for k, v in slots["b", "a"].items() if k[0] == "n"} == {"na_1": 2, "na_2": 5, "na_3": 9, "na_mid": 5}  # 144 miles at 72 a day, all quantiles alike
+    assert {k: v for k, v in slots["c", "b"].items() if k[0] == "n"} == {"nb_1": 1, "nb_2": 2, "nb_3": 3, "nb_4": 5, "nb_5": 9, "nb_mid": 3}  # no reading: fast, base, slow
+    assert slots["c", "b"]["up_g1"] == 1 and not any(k.startswith("up") for k in slots["c", "a"])
+    rows, names = forecast.features(high, net)
+    at = {(r.station_id, (r.ts - DAY0).days): r for r in rows.collect()}
+    b = at["b", 50]
+    assert (b.na_lag1, b.na_lag2, b.na_lag3) == (at["a", 48].now, at["a", 45].now, at["a", 41].now)
+    assert b.na_d1 == pytest.approx(0.001) and b.na_mean7 == pytest.approx(sum(at["a", 45 - k].now for k in range(7)) / 7)
+    assert b.nb_lag1 is None and b.na_lag4 is None and b._lacks == 27 - 5 - 5  # a and c at three lags, with change and mean
+    assert len(names) == len(set(names)) and set(names) <= set(rows.columns)
+
+
+def test_stations_at_one_place_and_odd_names(spark):
+    stations = spark.createDataFrame([("x.1", 10.0), ("x 1", 10.0), ("far", None)], "station_id string, river_mile double")
+    net = forecast.Network(stations, spark.createDataFrame([], "ts timestamp_ntz, composite double"), reach=None)
+    grid = frame(spark, [1.0, 2.0, 3.0], "x.1").unionByName(frame(spark, [4.0, 5.0, 6.0], "x 1"))
+    rows, names = forecast.features(grid, net)
+    assert len(names) == len(set(names))
+    got = {(r.station_id, (r.ts - DAY0).days): r.asDict() for r in rows.collect()}
+    theirs = [n for n in names if n.startswith("nx_1") and n.endswith("_lag2")]
+    assert sorted(v for n in theirs if (v := got["x.1", 2][n]) is not None) == [4.0]
+    lag = {(r.station_id, r.slot): r.lag for r in net.slots(grid).collect()}
+    assert [lag["x.1", f"nx 1_{k}"] for k in range(1, 8)] == [1, 2, 3, 4, 5, 7, 10] and lag["x.1", "nx 1_mid"] == 4
+
+
+def test_forecasts_read_far_lags(spark):
+    grid, stations, base = river(spark, 260)
+    net = forecast.Network(base.stations, base.composite, reach=None)
+    steps = forecast.recursive(grid, 2, keep_days=5, network=net, trees=3, depth=3).collect()
+    assert sorted((r.station_id, r.horizon) for r in steps) == [(s, h) for s in "abc" for h in (1, 2)]
+    known = forecast.gauge_models(grid, (1,), net, trees=3, depth=3)[1]
+    assert known.where("part_1 = 1").select("station_id").distinct().count() == 3
