@@ -38,13 +38,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts, texts without a letter, and those whose best two languages are close."""
+    """Drops documents without a language: null texts, texts without a letter, and those whose language is ambiguous. Where no row names a language, any text with a letter stays."""
     out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
-    shared = spark.sparkContext.broadcast(language.fit(language.labelled_sample(docs, out)))
+    shared = spark.sparkContext.broadcast(language.learn(docs, out))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = shared.value.predict(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            if not shared.value.languages:
+                return batch.filter(pa.array([language.has_letter(t) for t in texts], pa.bool_()))
+            found = shared.value.predict(texts)
             return batch.filter(pa.array([lang != "und" and not ambiguous for lang, _, ambiguous in found], pa.bool_()))
 
         return work
