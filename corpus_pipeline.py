@@ -59,9 +59,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each near-duplicate group: that with the smallest doc_id, of several texts under it the one with the least hash."""
     found = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("m")).select(F.col("m.doc_id").alias("__near_id"), F.col("m.version").alias("__near_version"))
-    versions = docs.withColumn("__near_version", F.xxhash64("text")).withColumn("__near_id", F.col("doc_id"))
+    versions = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__near_id"), F.xxhash64("text").alias("__near_version"))  # columns of docs may have these names
     kept = versions.join(first, ["__near_id", "__near_version"], "left_semi").dropDuplicates(["__near_id", "__near_version"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return kept.select("__row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
