@@ -68,3 +68,10 @@ def test_run_leaves_only_what_its_rows_need(spark):
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"personal_data", "tokens"}
+
+
+def test_clashing_names_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta", "x", 5), (2, "alpha beta gamma delta", "y", 6), (3, "other words are here", "z", None)], "doc_id long, text string, __near_version string, __near_id int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted(kept.collect()) == [(1, "alpha beta gamma delta", "x", 5), (3, "other words are here", "z", None)]
