@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -74,14 +76,14 @@ def river_network(spark, d):
 def adaptive_neighbours(spark, d):
     """What each station reads of each other one: how many days before, the number of readings, and means of value, daily change and week."""
     g = grid(spark, d)
-    network = forecast.Network(tables.stations(spark), stats.composite(discharge(spark, d)), reach=None).settled(g)
+    network = replace(river_network(spark, d), reach=None).settled(g)
     rows = network.sent(g).where(F.col("slot").startswith("n")).join(g.select("station_id", "ts"), ["station_id", "ts"], "left_semi")
     return tidy(rows.groupBy("station_id", "other", "slot", "lag").agg(F.count("value").alias("n"), *(F.avg(c).alias(c) for c in ("value", "d1", "mean7"))))
 
 
 def tier_forecast(spark, d):
-    """Tomorrow at every station by its own model, which reads the neighbours, tier by tier."""
-    return forecast.tiered(grid(spark, d), tables.stations(spark), network=river_network(spark, d))
+    """Tomorrow at every station by its own model, which reads all other stations at their adaptive lags, tier by tier."""
+    return forecast.tiered(grid(spark, d), tables.stations(spark), network=replace(river_network(spark, d), reach=None))
 
 
 def model_importance(spark, d):
