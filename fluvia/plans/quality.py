@@ -82,8 +82,13 @@ def adaptive_neighbours(spark, d):
 
 
 def tier_forecast(spark, d):
-    """Tomorrow at every station by its own model, which reads all other stations at their adaptive lags, tier by tier."""
-    return forecast.tiered(grid(spark, d), tables.stations(spark), network=replace(river_network(spark, d), reach=None))
+    """Tomorrow at every station by its own model, which reads the neighbours, tier by tier."""
+    return forecast.tiered(grid(spark, d), tables.stations(spark), network=river_network(spark, d))
+
+
+def whole_network_forecast(spark, d):
+    """Tomorrow at every station by its own model, which reads all other stations at their adaptive lags; readings are carried on for three days."""
+    return forecast.tiered(filled(spark, d), tables.stations(spark), network=replace(river_network(spark, d), reach=None))
 
 
 def model_importance(spark, d):
@@ -187,6 +192,7 @@ QUERIES = {
     "qaqc_trees": tree_result,
     "model_importance": model_importance,
     "adaptive_neighbours": adaptive_neighbours,
+    "forecast_whole_network": whole_network_forecast,
     "forecast_direct": lambda s, d: forecast.direct(grid(s, d), network=river_network(s, d)),
     "forecast_recursive": lambda s, d: forecast.recursive(grid(s, d), network=river_network(s, d)),
     "forecast_tiered": tier_forecast,
