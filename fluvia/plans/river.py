@@ -50,8 +50,9 @@ def around(spark, d):
 
 
 def nearest(spark, d):
-    e = tables.read(spark, d, "embeddings")
-    probes = e.select("vec_id", (29.0 + (F.col("embedding")[0] + 0.5) * 6).cast("double").alias("lat"), (-90.5 + F.col("embedding")[1] * 3).cast("double").alias("lon"))
+    """The nearest centreline point of each vector's place, which is reckoned in the vectors' own single precision."""
+    e, f = tables.read(spark, d, "embeddings"), lambda x: F.lit(x).cast("float")
+    probes = e.select("vec_id", (f(29.0) + (F.col("embedding")[0] + f(0.5)) * f(6)).cast("double").alias("lat"), (f(-90.5) + F.col("embedding")[1] * f(3)).cast("double").alias("lon"))
     return network.nearest_mile(probes, tables.centreline(spark)).select("vec_id", "mile")
 
 
