@@ -15,6 +15,8 @@ from .network import neighbours, spatial_prediction
 from .stats import robust_sigma
 
 Predictor = Callable[[DataFrame], DataFrame]
+#: Feet by which a mean may be off for the order in which its readings were added.
+NOISE = 1e-9
 
 
 def climatology(rows: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def iterate(grid: DataFrame, predict: Predictor, z: float = 3.5, rounds: int = 4
 def repair_gaps(result: DataFrame, stations: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """result with suspect and repaired: gap fills checked against the value between both neighbours by river mile.
 
-    A fill further than ``tolerance`` from it is suspect and becomes that value. Only neighbours with a reading of their own
+    A fill further than ``tolerance`` from it is suspect and becomes that value; a distance of just the tolerance, up to the
+    noise that the order of a sum leaves in the fill, is not. Only neighbours with a reading of their own
     at the time anchor a check (by their corrected value), so the order of stations doesn't matter; without both the fill stays.
     """
     n = neighbours(stations)
@@ -103,7 +106,7 @@ def repair_gaps(result: DataFrame, stations: DataFrame, tolerance: float = 5.0)
     anchor = lambda s: result.where("observed IS NOT NULL").select(F.col(KEY).alias(s), "ts", F.col("corrected").alias(f"{s}_value"))
     rows = result.join(F.broadcast(place), KEY, "left").join(anchor("up"), ["up", "ts"], "left").join(anchor("dn"), ["dn", "ts"], "left")
     between = lerp(F.col("up_value"), F.col("dn_value"), share_between(F.col("river_mile"), F.col("up_mile"), F.col("dn_mile")))
-    suspect = F.coalesce(F.col("observed").isNull() & (F.abs(F.col("corrected") - between) > tolerance), F.lit(False))
+    suspect = F.coalesce(F.col("observed").isNull() & (F.abs(F.col("corrected") - between) > tolerance + NOISE), F.lit(False))
     return rows.select(*result.columns, suspect.alias("suspect"), F.when(suspect, between).otherwise(F.col("corrected")).alias("repaired"))
 
 
