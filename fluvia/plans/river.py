@@ -72,9 +72,11 @@ def proximity(spark, d):
 
 
 def pair_list(spark, d):
-    """Pairs of the stations that have a reading on the first day of 1999."""
-    there = daily(spark, d).where(f"ts = {HOT}")
-    return network.pairs(tables.stations(spark).join(there, "station_id", "left_semi"))
+    """Pairs of all stations, with the number of days on which both have a reading."""
+    near, rows = network.pairs(tables.stations(spark)), daily(spark, d).select("station_id", "ts")
+    both = rows.withColumnRenamed("station_id", "up").join(F.broadcast(near), "up").join(rows.withColumnRenamed("station_id", "dn"), ["dn", "ts"])
+    days = both.groupBy("up", "dn").agg(F.count("*").alias("days"))
+    return near.join(days, ["up", "dn"], "left").select("up", "dn", "miles", F.coalesce("days", F.lit(0).cast("bigint")).alias("days"))
 
 
 def rivers(spark, d):
@@ -416,11 +418,7 @@ SQL = {
         b=f"SELECT vec_id, t.mile, max({{'m': l.mile, 'lat': l.lat, 'lon': l.lon}}) FILTER (l.mile <= t.mile) AS lo, min({{'m': l.mile, 'lat': l.lat, 'lon': l.lon}}) FILTER (l.mile >= t.mile) AS hi FROM ({_places()}) t CROSS JOIN line l GROUP BY 1, 2",
     ),
     "proximity_join": sql("stations", f"SELECT vec_id, mile, arg_min(station_id, {{'m': -river_mile, 's': station_id}}) FILTER (abs(mile - river_mile) < 2) AS gage_id, count(*) FILTER (abs(mile - river_mile) < 2) > 0 AS is_gage FROM ({_places()}) CROSS JOIN stations GROUP BY 1, 2"),
-    "pair_enumeration": sql(
-        "daily stations",
-        "SELECT a.station_id AS up, b.station_id AS dn, a.river_mile - b.river_mile AS miles FROM s a JOIN s b ON b.n > a.n AND b.n <= a.n + 3 AND a.river_mile - b.river_mile <= 600",
-        s="SELECT *, row_number() OVER (ORDER BY river_mile DESC, station_id) AS n FROM stations SEMI JOIN (SELECT * FROM daily WHERE ts = TIMESTAMP '1999-01-01') USING (station_id)",
-    ),
+    "pair_enumeration": sql("daily pairs", "SELECT up, dn, miles, count(b.ts) AS days FROM pairs LEFT JOIN daily a ON a.station_id = up LEFT JOIN daily b ON b.station_id = dn AND b.ts = a.ts GROUP BY up, dn, miles"),
     "neighbour_lag_join": sql("grid pairs", f"SELECT g.station_id, p.up AS neighbour_id, CAST(g.ts AS DATE) AS day, {r('n.value', 'neighbour_value')} FROM g JOIN pairs p ON p.dn = g.station_id LEFT JOIN g n ON n.station_id = p.up AND n.ts = g.ts - to_days(CAST(greatest(round_even(p.miles / 20, 0), 1) AS INT))", g="SELECT * FROM grid"),
     "local_gradient": sql(
         "grid stations",
