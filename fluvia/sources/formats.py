@@ -150,9 +150,13 @@ def read_datum_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_datum_archive(files: DataFrame) -> DataFrame:
-    """As ``read_datum_archive``, from (file, value) with whole files."""
+    """As ``read_datum_archive``, from (file, value) with whole files.
+
+    A file's code is sought once, before its lines part: beside them it would be sought, and the file copied, for each line.
+    """
     code = F.regexp_extract("value", r"USACE Code\s*:\s*(\d+)", 1)
-    cut = files.select("file", code.alias("station_id"), F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
+    whole = files.select("file", code.alias("station_id"), F.split("value", r"\r?\n").alias("_lines"))
+    cut = whole.select("file", "station_id", F.posexplode("_lines").alias("ord", "line"))
     cell = F.split("line", r"\|", 7)
     rows = cut.where(~F.col("line").startswith("#") & (F.size(cell) >= 6)).select("station_id", "file", "ord", cell.alias("c"))
     out = rows.select("station_id", "file", "ord", *(F.trim(F.get("c", F.lit(i))).alias(n) for i, n in enumerate(RECORD)))
