@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import FT2_PER_ACRE, FT2_PER_YD2, FT_PER_M, FT_PER_MILE, bearing, haversine, pixel, utm
 from .align import KEY
-from .network import at_miles, nearest_instant, nearest_reading
+from .network import asof_nearest, at_miles, nearest_instant, nearest_reading
 from .windows import median_smooth
 
 
@@ -21,6 +21,15 @@ def controls(stage: DataFrame, stations: DataFrame, dates: DataFrame, days: int
     return nearest_instant(dates, stage, days).join(live, "ts").join(F.broadcast(stations.select(KEY, "river_mile")), KEY).select("at", KEY, "river_mile", "value")
 
 
+def gap_filled_controls(stage: DataFrame, stations: DataFrame, dates: DataFrame, days: int = 7) -> DataFrame:
+    """``controls`` of every station: one without a value at the network's instant has its own reading nearest to the date, within ``days``.
+
+    A value at the network's instant is its station's nearest as well, so one search gives both.
+    """
+    probes = stations.select(KEY).crossJoin(F.broadcast(dates.select("at")))
+    return asof_nearest(probes, stage, days).join(F.broadcast(stations.select(KEY, "river_mile")), KEY).select("at", KEY, "river_mile", "value")
+
+
 def discharge_controls(discharge: DataFrame, gauges: DataFrame, dates: DataFrame) -> DataFrame:
     """(at, station_id, river_mile, value): each gauge's reading nearest to each date, at any distance; gauges whose reading isn't above 0 are left out."""
     own = discharge.join(F.broadcast(gauges.select(KEY, "river_mile")), KEY)

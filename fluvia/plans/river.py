@@ -133,7 +133,8 @@ def stage_profile(spark, d):
 
 
 def storage(spark, d):
-    rows = profile.profile(points(spark, d), every_ten(spark)).withColumn("wet_area_ft2", profile.plain_area(F.col("value"), F.col("mile"), 300.0))
+    every = profile.gap_filled_controls(daily(spark, d), tables.stations(spark), dates(spark))
+    rows = profile.profile(every, every_ten(spark)).withColumn("wet_area_ft2", profile.plain_area(F.col("value"), F.col("mile"), 300.0))
     return profile.storage(rows).select(F.col("at").cast("date").alias("at_day"), "mile", F.round("wet_area_ft2", 4).alias("wet_area_ft2"), F.round("cum_storage_af", 3).alias("cum_storage_af"))
 
 
@@ -471,7 +472,7 @@ SQL = {
     "storage_trapezoid": sql(
         "daily stations",
         f"SELECT CAST(t0 AS DATE) AS at_day, mile, {r('a', 'wet_area_ft2', 4)}, {r('sum(s) OVER (PARTITION BY t0 ORDER BY mile ROWS UNBOUNDED PRECEDING)', 'cum_storage_af', 3)} FROM sl",
-        **_CONTROLS,
+        **_CONTROLS | {"near": _near("daily", "stations")},
         pr=_profile("ctl", "value"),
         ar="SELECT t0, mile, (2200.0 + 2300.0 * mile / 300.0) * greatest(0.4 * value, 0.0) AS a FROM pr",
         sl="SELECT *, coalesce(0.5 * (a + lag(a) OVER w) * (mile - lag(mile) OVER w) * 5280.0 / 43560.0, 0.0) AS s FROM ar WINDOW w AS (PARTITION BY t0 ORDER BY mile)",
